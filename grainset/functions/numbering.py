@@ -46,6 +46,21 @@ def with_row_index(df: DataFrame, order, name: str = "row_idx", num_partitions:
     return out.drop("__mid", "__pid", "__off")
 
 
+def _join_on_groups(left: DataFrame, stats: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Join a per-group table back (null-safe keys, renamed to avoid self-join ambiguity)."""
+    renamed = stats.select(
+        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(group_cols)],
+        *[c for c in stats.columns if c not in group_cols],
+    )
+    renamed = broadcast_if_small(renamed)
+    cond = None
+    for i, c in enumerate(group_cols):
+        e = F.col(c).eqNullSafe(F.col(f"__k{i}"))
+        cond = e if cond is None else cond & e
+    out = left.join(renamed, cond, "inner")
+    return out.drop(*[f"__k{i}" for i in range(len(group_cols))])
+
+
 def with_group_row_index(
     df: DataFrame, group_cols, order, name: str = "group_idx", num_partitions: int | None = None
 ) -> DataFrame:
@@ -57,19 +72,12 @@ def with_group_row_index(
     group_cols = list(group_cols)
     g = with_row_index(df, [*group_cols, *order], "__gidx", num_partitions)
     starts = g.groupBy(*group_cols).agg(F.min("__gidx").alias("__gstart"))
-    starts = broadcast_if_small(starts)
-    cond = [g[c].eqNullSafe(starts[c]) for c in group_cols]
-    out = g.join(starts, cond, "inner")
-    out = out.select(
-        *[g[c] for c in df.columns], (F.col("__gidx") - F.col("__gstart")).alias(name)
-    )
-    return out
+    out = _join_on_groups(g, starts, group_cols)
+    return out.select(*df.columns, (F.col("__gidx") - F.col("__gstart")).alias(name))
 
 
 def with_group_sizes(df: DataFrame, group_cols, name: str = "group_size") -> DataFrame:
     """Attach the row count of each group (partial aggregate + join, no window)."""
     group_cols = list(group_cols)
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(name))
-    sizes = broadcast_if_small(sizes)
-    cond = [df[c].eqNullSafe(sizes[c]) for c in group_cols]
-    return df.join(sizes, cond, "inner").select(*[df[c] for c in df.columns], sizes[name])
+    return _join_on_groups(df, sizes, group_cols)

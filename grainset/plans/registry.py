@@ -403,3 +403,244 @@ def q_file_rows(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------- row groups
+
+from ..operators import rowgroups as RG  # noqa: E402
+from ..operators import sequences as SQ  # noqa: E402
+from ..sources import catalog as CAT  # noqa: E402
+
+BLOCK = 100  # logical block size (rows) for piece operators on single-row-group tables
+
+
+def events_pieces(spark, sf):
+    e = table(spark, sf, "events")
+    return e.withColumn("piece_id", CAT.logical_blocks(F.floor(F.col("event_id") / F.lit(BLOCK))))
+
+
+def _events_indexers():
+    return [
+        RG.SingleFieldIndexer("by_user", "user_id"),
+        RG.SingleFieldIndexer("by_type", "event_type"),
+        RG.FieldNotNullIndexer("big_error", "big_error"),
+    ]
+
+
+def events_index(spark, sf):
+    e = events_pieces(spark, sf).withColumn(
+        "big_error", F.when((F.col("event_type") == "error") & (F.col("value") > 45), F.col("value"))
+    )
+    return RG.build_indexes(e, _events_indexers())
+
+
+_PIECE_SQL = f"(event_id // {BLOCK})"
+
+
+@register(
+    "index_build",
+    f"""SELECT 'by_user' AS index_name, CAST(user_id AS VARCHAR) AS value,
+               list_sort(list(DISTINCT {_PIECE_SQL})) AS piece_ids
+        FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+        UNION ALL
+        SELECT 'by_type', event_type, list_sort(list(DISTINCT {_PIECE_SQL}))
+        FROM events WHERE event_type IS NOT NULL GROUP BY event_type
+        UNION ALL
+        SELECT 'big_error', '*', list_sort(list(DISTINCT {_PIECE_SQL}))
+        FROM events WHERE event_type = 'error' AND value > 45 HAVING count(*) > 0""",
+)
+def q_index_build(spark, sf):
+    return events_index(spark, sf)
+
+
+@register(
+    "index_report",
+    f"""SELECT 'by_user' AS index_name, CAST(user_id AS VARCHAR) AS value,
+               count(DISTINCT {_PIECE_SQL}) AS n_pieces
+        FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+        UNION ALL
+        SELECT 'by_type', event_type, count(DISTINCT {_PIECE_SQL})
+        FROM events WHERE event_type IS NOT NULL GROUP BY event_type
+        UNION ALL
+        SELECT 'big_error', '*', count(DISTINCT {_PIECE_SQL})
+        FROM events WHERE event_type = 'error' AND value > 45 HAVING count(*) > 0""",
+)
+def q_index_report(spark, sf):
+    return RG.index_report(events_index(spark, sf))
+
+
+@register(
+    "select_union",
+    f"""SELECT event_id, {_PIECE_SQL} AS piece_id, user_id FROM events
+        WHERE {_PIECE_SQL} IN (SELECT {_PIECE_SQL} FROM events WHERE CAST(user_id AS VARCHAR) IN ('3')
+                               UNION SELECT {_PIECE_SQL} FROM events WHERE CAST(user_id AS VARCHAR) IN ('7'))""",
+)
+def q_select_union(spark, sf):
+    sel = RG.UnionIndexSelector([RG.SingleIndexSelector("by_user", [3]), RG.SingleIndexSelector("by_user", [7])])
+    return RG.select_pieces(events_pieces(spark, sf), events_index(spark, sf), sel).select(
+        "event_id", "piece_id", "user_id"
+    )
+
+
+@register(
+    "select_intersect",
+    f"""SELECT event_id, {_PIECE_SQL} AS piece_id, user_id FROM events
+        WHERE {_PIECE_SQL} IN (SELECT {_PIECE_SQL} FROM events WHERE user_id IN (3, 7)
+                               INTERSECT SELECT {_PIECE_SQL} FROM events WHERE user_id IN (7, 11)
+                               INTERSECT SELECT {_PIECE_SQL} FROM events WHERE event_type = 'error' AND value > 45)""",
+)
+def q_select_intersect(spark, sf):
+    sel = RG.IntersectIndexSelector(
+        [
+            RG.SingleIndexSelector("by_user", [3, 7]),
+            RG.SingleIndexSelector("by_user", [7, 11]),
+            RG.SingleIndexSelector("big_error", ["*"]),
+        ]
+    )
+    return RG.select_pieces(events_pieces(spark, sf), events_index(spark, sf), sel).select(
+        "event_id", "piece_id", "user_id"
+    )
+
+
+@register(
+    "shard_mod",
+    f"SELECT event_id, {_PIECE_SQL} AS piece_id FROM events WHERE {_PIECE_SQL} % 4 = 1",
+)
+def q_shard_mod(spark, sf):
+    e = events_pieces(spark, sf).select("event_id", "piece_id")
+    return RG.shard(e, 1, 4)
+
+
+_SUBSPLIT_BASE = f"""
+    WITH e AS (SELECT event_id, {_PIECE_SQL} AS piece_id,
+                      row_number() OVER (PARTITION BY {_PIECE_SQL} ORDER BY event_id) - 1 AS i,
+                      count(*) OVER (PARTITION BY {_PIECE_SQL}) AS n FROM events)"""
+
+
+@register(
+    "subsplit_parts",
+    _SUBSPLIT_BASE
+    + """
+    SELECT event_id, piece_id, i AS row_in_piece,
+           CAST(floor(i / (n / least(n, 7.0))) AS INTEGER) AS part FROM e""",
+)
+def q_subsplit_parts(spark, sf):
+    e = events_pieces(spark, sf).select("event_id", "piece_id")
+    return RG.subsplit_parts(e, 7, ["event_id"])
+
+
+@register(
+    "subsplit_overlap",
+    _SUBSPLIT_BASE
+    + """
+    SELECT event_id, piece_id, i AS row_in_piece,
+           unnest(generate_series(CAST(floor(greatest(i - 2, 0) / (n / least(n, 7.0))) AS INTEGER),
+                                  CAST(floor(i / (n / least(n, 7.0))) AS INTEGER))) AS part FROM e""",
+)
+def q_subsplit_overlap(spark, sf):
+    e = events_pieces(spark, sf).select("event_id", "piece_id")
+    return RG.subsplit_parts(e, 7, ["event_id"], overlap=2)
+
+
+@register("rowgroup_catalog")
+def q_rowgroup_catalog(spark, sf):
+    return CAT.row_group_catalog(spark, f"{sf}/lineitem.parquet").drop("file_path")
+
+
+@register(
+    "piece_rows",
+    "SELECT CAST(0 AS BIGINT) AS piece_id, count(*) AS n FROM events",
+)
+def q_piece_rows(spark, sf):
+    path = f"{sf}/events.parquet"
+    cat = CAT.row_group_catalog(spark, path)
+    rows = CAT.attach_pieces(spark.read.parquet(path), cat)
+    return R.group_counts(rows, ["piece_id"])
+
+
+# ---------------------------------------------------------------- sequences
+
+_SEQ_BASE = """
+    WITH e AS (SELECT *, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS g FROM events)"""
+
+
+def _seq_join(n):
+    joins = " ".join(f"JOIN e s{j} ON s{j}.g = s0.g + {j} AND s{j}.user_id = s0.user_id" for j in range(1, n))
+    return f"FROM e s0 {joins}"
+
+
+def _gap_sql(j, sec):
+    return f"date_diff('microsecond', s{j-1}.ts, s{j}.ts) <= {int(sec * 1_000_000)}"
+
+
+_NG_SPEC = {-1: ["event_id", "value"], 0: ["event_id", "event_type"], 1: ["event_id"]}
+
+
+@register(
+    "ngram_overlap",
+    _SEQ_BASE
+    + f"""
+    SELECT s0.user_id, s0.g AS start_pos, s0.event_id AS event_id_0, s0.value AS value_0,
+           s1.event_id AS event_id_1, s1.event_type AS event_type_1, s2.event_id AS event_id_2
+    {_seq_join(3)} WHERE {_gap_sql(1, 21600)} AND {_gap_sql(2, 21600)}""",
+)
+def q_ngram_overlap(spark, sf):
+    spec = SQ.NGram(_NG_SPEC, 21600, "ts")
+    seq = SQ.ngram(table(spark, sf, "events"), spec, ["user_id"], ["ts", "event_id"])
+    return SQ.flatten_ngram(seq, spec)
+
+
+@register(
+    "ngram_sparse_keys",
+    _SEQ_BASE
+    + f"""
+    SELECT s0.user_id, s0.g AS start_pos, s0.event_id AS event_id_0, s0.ts AS ts_0, s2.event_id AS event_id_2
+    {_seq_join(3)} WHERE {_gap_sql(1, 43200)} AND {_gap_sql(2, 43200)}""",
+)
+def q_ngram_sparse_keys(spark, sf):
+    spec = SQ.NGram({0: ["event_id", "ts"], 2: ["event_id"]}, 43200, "ts")
+    seq = SQ.ngram(table(spark, sf, "events"), spec, ["user_id"], ["ts", "event_id"])
+    return SQ.flatten_ngram(seq, spec)
+
+
+@register(
+    "sequence_ancestor",
+    _SEQ_BASE
+    + f"""
+    SELECT s0.user_id, s0.g AS start_pos,
+           s0.event_id AS event_id_0, s0.ts AS ts_0, s0.value AS value_0,
+           s1.event_id AS event_id_1, s1.ts AS ts_1, s1.value AS value_1,
+           s2.event_id AS event_id_2, s2.ts AS ts_2, s2.value AS value_2
+    {_seq_join(3)} WHERE {_gap_sql(1, 10800)} AND {_gap_sql(2, 10800)}""",
+)
+def q_sequence_ancestor(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    seq = SQ.ancestor_sequence(e, 3, 10800, "ts", ["user_id"], ["ts", "event_id"])
+    spec = SQ.NGram({k: ["event_id", "ts", "value"] for k in range(3)}, 10800, "ts")
+    return SQ.flatten_ngram(seq, spec, by_key=True)
+
+
+@register(
+    "ngram_no_overlap",
+    f"""
+    WITH RECURSIVE e AS (
+        SELECT event_id, ts, {_PIECE_SQL} AS piece_id,
+               row_number() OVER (ORDER BY {_PIECE_SQL}, ts, event_id) - 1 AS g FROM events),
+    w AS (SELECT a.piece_id, a.g, a.ts AS t0, b.ts AS t1, a.event_id AS e0, b.event_id AS e1
+          FROM e a JOIN e b ON b.g = a.g + 1 AND b.piece_id = a.piece_id
+          WHERE date_diff('microsecond', a.ts, b.ts) <= 600000000),
+    chain(piece_id, g) AS (
+        SELECT piece_id, min(g) FROM w GROUP BY piece_id
+        UNION ALL
+        SELECT c.piece_id,
+               (SELECT min(w2.g) FROM w w2 WHERE w2.piece_id = c.piece_id
+                  AND w2.t0 > (SELECT w3.t1 FROM w w3 WHERE w3.g = c.g))
+        FROM chain c WHERE c.g IS NOT NULL)
+    SELECT w.piece_id, w.g AS start_pos, w.e0 AS event_id_0, w.t0 AS ts_0, w.e1 AS event_id_1
+    FROM chain c JOIN w ON w.g = c.g""",
+)
+def q_ngram_no_overlap(spark, sf):
+    e = events_pieces(spark, sf).select("piece_id", "event_id", "ts")
+    spec = SQ.NGram({0: ["event_id", "ts"], 1: ["event_id"]}, 600, "ts", timestamp_overlap=False)
+    seq = SQ.ngram_no_overlap(e, spec, ["piece_id"], ["ts", "event_id"])
+    return SQ.flatten_ngram(seq, spec)
