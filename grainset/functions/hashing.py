@@ -36,7 +36,8 @@ def md5_mod_bucket(value) -> Column:
 
 def seeded_key(seed, *cols) -> Column:
     """Text key 'seed|c1|c2...' hashed by the helpers below."""
-    return F.concat_ws("|", F.lit(str(seed)), *[_c(c).cast("string") for c in cols])
+    s = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.concat_ws("|", s, *[_c(c).cast("string") for c in cols])
 
 
 def order_key(seed, *cols) -> Column:

@@ -644,3 +644,189 @@ def q_ngram_no_overlap(spark, sf):
     spec = SQ.NGram({0: ["event_id", "ts"], 1: ["event_id"]}, 600, "ts", timestamp_overlap=False)
     seq = SQ.ngram_no_overlap(e, spec, ["piece_id"], ["ts", "event_id"])
     return SQ.flatten_ngram(seq, spec)
+
+
+# ---------------------------------------------------------------- epochs, shuffles, mixing
+
+from ..operators import batches as B  # noqa: E402
+from ..operators import sampling as X  # noqa: E402
+
+SEED = 7
+
+
+def _events_epochs(spark, sf, epochs=3):
+    e = events_pieces(spark, sf).select("event_id", "piece_id")
+    return X.with_epochs(e, epochs)
+
+
+@register(
+    "epochs",
+    f"""SELECT event_id, {_PIECE_SQL} AS piece_id, epoch,
+               row_number() OVER (ORDER BY epoch, {_PIECE_SQL}, event_id) - 1 AS position
+        FROM events, (SELECT CAST(range AS INTEGER) AS epoch FROM range(3))""",
+)
+def q_epochs(spark, sf):
+    e = _events_epochs(spark, sf)
+    return X.ordered_positions(e, X.read_order(e, ["event_id"]))
+
+
+_MD5 = "md5(concat_ws('|', '{seed}', {cols}))"
+
+
+def _md5_sql(*cols):
+    return _MD5.format(seed=SEED, cols=", ".join(f"CAST({c} AS VARCHAR)" for c in cols))
+
+
+@register(
+    "shuffle_groups",
+    f"""SELECT event_id, piece_id, epoch,
+               row_number() OVER (ORDER BY epoch, {_md5_sql('epoch', 'piece_id')}, piece_id, event_id) - 1 AS position
+        FROM (SELECT event_id, {_PIECE_SQL} AS piece_id FROM events),
+             (SELECT CAST(range AS INTEGER) AS epoch FROM range(3))""",
+)
+def q_shuffle_groups(spark, sf):
+    e = _events_epochs(spark, sf)
+    return X.ordered_positions(e, X.read_order(e, ["event_id"], shuffle_pieces=True, seed=SEED))
+
+
+@register(
+    "shuffle_rows",
+    f"""SELECT event_id, piece_id, epoch,
+               row_number() OVER (ORDER BY epoch, {_md5_sql('epoch', 'piece_id')}, piece_id,
+                                  {_md5_sql('epoch', 'event_id')}, event_id) - 1 AS position
+        FROM (SELECT event_id, {_PIECE_SQL} AS piece_id FROM events),
+             (SELECT CAST(range AS INTEGER) AS epoch FROM range(3))""",
+)
+def q_shuffle_rows(spark, sf):
+    e = _events_epochs(spark, sf)
+    return X.ordered_positions(
+        e, X.read_order(e, ["event_id"], shuffle_pieces=True, shuffle_rows=True, seed=SEED)
+    )
+
+
+@register(
+    "shuffle_subsplit",
+    f"""WITH e AS (SELECT event_id, {_PIECE_SQL} AS piece_id,
+                          row_number() OVER (PARTITION BY {_PIECE_SQL} ORDER BY event_id) - 1 AS i,
+                          count(*) OVER (PARTITION BY {_PIECE_SQL}) AS n FROM events),
+        p AS (SELECT event_id, piece_id, CAST(floor(i / (n / least(n, 3.0))) AS INTEGER) AS part FROM e)
+        SELECT event_id, piece_id, part,
+               row_number() OVER (ORDER BY {_md5_sql('piece_id', 'part')}, piece_id, part, event_id) - 1 AS position
+        FROM p""",
+)
+def q_shuffle_subsplit(spark, sf):
+    e = events_pieces(spark, sf).select("event_id", "piece_id")
+    parts = RG.subsplit_parts(e, 3, ["event_id"]).drop("row_in_piece")
+    order = X.read_order(parts, ["event_id"], epoch_col=None, shuffle_pieces=True, seed=SEED, part_col="part")
+    return X.ordered_positions(parts, order)
+
+
+@register(
+    "capped_sample",
+    f"""WITH head AS (SELECT p_partkey, p_size FROM part ORDER BY p_partkey LIMIT 500)
+        SELECT p_partkey, p_size, epoch,
+               row_number() OVER (PARTITION BY epoch ORDER BY
+                   md5(concat_ws('|', CAST({SEED} + epoch AS VARCHAR), CAST(p_partkey AS VARCHAR))), p_partkey) - 1
+                   AS position
+        FROM head, (SELECT CAST(range AS INTEGER) AS epoch FROM range(2))""",
+)
+def q_capped_sample(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    return X.capped_sample(p, ["p_partkey"], 500, 2, SEED)
+
+
+@register(
+    "shuffle_quality",
+    f"""WITH base AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS orig_pos FROM events),
+        runs AS (SELECT CAST(range AS INTEGER) AS run FROM range(5)),
+        s AS (SELECT run, orig_pos,
+                     row_number() OVER (PARTITION BY run ORDER BY
+                        md5(concat_ws('|', CAST({SEED} + run AS VARCHAR), CAST(event_id AS VARCHAR))), event_id) - 1
+                        AS shuf_pos
+              FROM base, runs),
+        c AS (SELECT run, corr(CAST(orig_pos AS DOUBLE), CAST(shuf_pos AS DOUBLE)) AS c FROM s GROUP BY run)
+        SELECT round(avg(abs(c)), 6) AS mean_abs_corr, round(stddev_pop(abs(c)), 6) AS std_abs_corr FROM c""",
+)
+def q_shuffle_quality(spark, sf):
+    return X.shuffle_quality(table(spark, sf, "events"), "event_id", runs=5, seed=SEED)
+
+
+def _mix_sql(probs):
+    tot = float(sum(probs))
+    cum, acc = [], 0.0
+    for p in probs:
+        acc += p / tot
+        cum.append(acc)
+    u = f"(CAST(('0x' || substr({_md5_sql('draw')}, 1, 13)) AS BIGINT) / {float(2**52)!r})"
+    case = "CASE " + " ".join(
+        f"WHEN {u} < {c!r} THEN {i}" if i < len(cum) - 1 else f"ELSE {i}" for i, c in enumerate(cum)
+    ) + " END"
+    return f"""
+    WITH rows AS (
+        SELECT 0 AS source, row_number() OVER (ORDER BY c_custkey) AS k,
+               c_custkey AS key, c_name AS name, c_acctbal AS acctbal FROM customer
+        UNION ALL
+        SELECT 1, row_number() OVER (ORDER BY s_suppkey), s_suppkey, s_name, s_acctbal FROM supplier),
+    sizes AS (SELECT source, count(*) AS n FROM rows GROUP BY source),
+    draws AS (SELECT range AS draw FROM range((SELECT count(*) + 1 FROM rows))),
+    picked AS (SELECT draw, {case} AS source FROM draws),
+    numbered AS (SELECT draw, source, row_number() OVER (PARTITION BY source ORDER BY draw) AS k FROM picked),
+    stop AS (SELECT min(draw) AS s FROM numbered JOIN sizes USING (source) WHERE k > n)
+    SELECT numbered.draw, numbered.source, numbered.k, rows.key, rows.name, rows.acctbal
+    FROM numbered JOIN rows USING (source, k), stop
+    WHERE stop.s IS NULL OR numbered.draw < stop.s"""
+
+
+@register("weighted_mix", _mix_sql([0.9, 0.1]))
+def q_weighted_mix(spark, sf):
+    c = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal")
+    )
+    s = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal")
+    )
+    return X.weighted_mix([c, s], [0.9, 0.1], [["key"], ["key"]], seed=SEED)
+
+
+# ---------------------------------------------------------------- batches
+
+_BATCH_SQL = """
+    SELECT idx // {size} AS batch_id, count(*) AS batch_rows,
+           list(vec_id ORDER BY idx) AS vec_id, list(label ORDER BY idx) AS label {extra}
+    FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings)
+    GROUP BY 1 {having}"""
+
+
+@register("batches", _BATCH_SQL.format(size=32, extra="", having=""))
+def q_batches(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return B.batch_rows(e, 32, [F.col("vec_id")], ["vec_id", "label"])
+
+
+@register("batches_full_only", _BATCH_SQL.format(size=48, extra="", having="HAVING count(*) = 48"))
+def q_batches_full_only(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return B.batch_rows(e, 48, [F.col("vec_id")], ["vec_id", "label"], full_only=True)
+
+
+@register(
+    "matrix_batch",
+    _BATCH_SQL.format(
+        size=16,
+        extra=", list(embedding ORDER BY idx) AS embedding, [count(*), max(len(embedding))] AS embedding_shape",
+        having="",
+    ),
+)
+def q_matrix_batch(spark, sf):
+    e = table(spark, sf, "embeddings")
+    b = B.batch_rows(e, 16, [F.col("vec_id")], ["vec_id", "label", "embedding"])
+    return B.stack_matrix(b, "embedding")
+
+
+@register(
+    "unbatch_roundtrip",
+    "SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 32 AS batch_id, vec_id, label FROM embeddings",
+)
+def q_unbatch_roundtrip(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return B.unbatch(B.batch_rows(e, 32, [F.col("vec_id")], ["vec_id", "label"]), ["vec_id", "label"])
