@@ -34,28 +34,22 @@ RECORD_SCHEMA = T.StructType(
 def read_metric_records(spark: SparkSession, json_dir: str) -> DataFrame:
     """One pretty-printed JSON object per ``*.json`` file; unreadable files skipped.
 
-    Adds ``has_author`` / ``has_metrics`` flags: a key that is absent differs from a
-    key holding null, which the cleaning step needs.
+    Each file is read whole (one row per file) and parsed with ``from_json``; the key
+    list tells an absent key from a key holding null, which the cleaning step needs.
     """
-    raw = (
-        spark.read.schema(RECORD_SCHEMA)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("pathGlobFilter", "*.json")
-        .json(json_dir)
-    )
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(json_dir)
-    text = text.select(
-        F.col("_metadata.file_path").alias("__path"),
-        F.get_json_object("value", "$").isNotNull().alias("__valid"),
-        F.expr("array_contains(json_object_keys(value), 'author')").alias("has_author"),
-        F.expr("array_contains(json_object_keys(value), 'overall_comment_metrics')").alias("has_metrics"),
-        F.expr("array_contains(json_object_keys(value), 'date')").alias("has_date"),
-    )
-    raw = raw.select("*", F.col("_metadata.file_path").alias("__path"))
-    out = raw.join(text, "__path", "inner").filter(F.col("__valid") & F.col("_corrupt_record").isNull())
-    return out.drop("__valid", "_corrupt_record")
+    text = spark.read.text(json_dir, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
+    keys = F.json_object_keys(F.col("value"))
+    schema = T.StructType([f for f in RECORD_SCHEMA.fields if f.name != "_corrupt_record"])
+    rec = F.from_json(F.col("value"), schema)
+    out = text.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        rec.alias("__r"),
+        F.array_contains(keys, "author").alias("has_author"),
+        F.array_contains(keys, "overall_comment_metrics").alias("has_metrics"),
+        F.array_contains(keys, "date").alias("has_date"),
+        keys.isNotNull().alias("__valid"),
+    ).filter("__valid")
+    return out.select("source_file", "__r.*", "has_author", "has_metrics", "has_date")
 
 
 def _int_text(c):
@@ -92,17 +86,16 @@ def clean_metric_records(records: DataFrame) -> DataFrame:
         "has_author",
         "has_metrics",
         "has_date",
+        m.isNotNull().alias("__metrics_obj"),
         # A malformed value (not absent, not parseable) drops the row.
         ((lines_txt.isNull() | lines.isNotNull()) & (dens_txt.isNull() | dens.isNotNull())
          & (total_txt.isNull() | total.isNotNull())).alias("__ok_values"),
     )
     keep = (
         F.col("has_author") & F.col("has_metrics") & F.col("has_date") & F.col("date").isNotNull()
-        & F.col("__ok_values") & F.col("overall_comment_metrics_present")
+        & F.col("__ok_values") & F.col("__metrics_obj")
     )
-    out = out.withColumn("overall_comment_metrics_present", F.lit(True))
-    return out.filter(keep).drop("has_author", "has_metrics", "has_date", "__ok_values",
-                                 "overall_comment_metrics_present")
+    return out.filter(keep).drop("has_author", "has_metrics", "has_date", "__ok_values", "__metrics_obj")
 
 
 def read_work_list(spark: SparkSession, path: str) -> DataFrame:
