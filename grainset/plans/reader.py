@@ -69,6 +69,9 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     df = spark.read.parquet(*urls)
     if spec.filters:
         df = df.filter(P.dnf_filter(spec.filters))
+    row_key = spec.row_key or ["piece_id", "__fp", "__ri"]
+    # Physical row order inside a piece: (file, row index), taken before any join.
+    df = df.withColumn("__fp", F.col("_metadata.file_path")).withColumn("__ri", F.col("_metadata.row_index"))
     # Pieces: Parquet row groups from the footers, or logical row blocks.
     if spec.block_rows:
         df = logical_blocks_by_row(df, spec.block_rows)
@@ -86,9 +89,6 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
             )
         df = attach_pieces(df, cat)
         total_pieces = None
-    row_key = spec.row_key or ["piece_id", "__ri"]
-    if "__ri" in row_key:
-        df = df.withColumn("__ri", F.col("_metadata.row_index"))
     if spec.selector is not None:
         if not spec.index_path:
             raise ValueError("a selector needs index_path")

@@ -107,11 +107,11 @@ def attach_pieces(df: DataFrame, catalog: DataFrame, name: str = "piece_id") ->
     the ``_metadata`` file path and row index of each row).
     """
     files = broadcast_if_small(_file_table(catalog))
-    tagged = df.withColumn("__fp", F.col("_metadata.file_path")).withColumn("__ri", F.col("_metadata.row_index"))
-    joined = tagged.join(files, tagged["__fp"] == files["file_path"], "inner")
-    ordinal = F.size(F.filter(F.col("__starts"), lambda s: s <= F.col("__ri"))) - F.lit(1)
+    tagged = df.withColumn("__afp", F.col("_metadata.file_path")).withColumn("__ari", F.col("_metadata.row_index"))
+    joined = tagged.join(files, tagged["__afp"] == files["file_path"], "inner")
+    ordinal = F.size(F.filter(F.col("__starts"), lambda s: s <= F.col("__ari"))) - F.lit(1)
     out = joined.withColumn(name, F.col("__base") + ordinal.cast("bigint"))
-    return out.drop("__fp", "__ri", "__starts", "__base", "file_path")
+    return out.drop("__afp", "__ari", "__starts", "__base", "file_path")
 
 
 def logical_blocks(block_col: Column, name: str = "piece_id") -> Column:
@@ -122,17 +122,17 @@ def logical_blocks(block_col: Column, name: str = "piece_id") -> Column:
 def logical_blocks_by_row(df: DataFrame, block_rows: int, name: str = "piece_id") -> DataFrame:
     """Logical blocks of ``block_rows`` consecutive rows per file, numbered densely by
     (file path, block)."""
-    tagged = df.withColumn("__fp", F.col("_metadata.file_path")).withColumn(
+    tagged = df.withColumn("__lfp", F.col("_metadata.file_path")).withColumn(
         "__blk", F.floor(F.col("_metadata.row_index") / F.lit(block_rows)).cast("bigint")
     )
-    per_file = tagged.groupBy("__fp").agg(F.max("__blk").alias("__nb"))
+    per_file = tagged.groupBy("__lfp").agg(F.max("__blk").alias("__nb"))
     # One row per file.
     per_file = per_file.withColumn(
-        "__base", F.sum(F.col("__nb") + 1).over(Window.orderBy("__fp")) - (F.col("__nb") + 1)
+        "__base", F.sum(F.col("__nb") + 1).over(Window.orderBy("__lfp")) - (F.col("__nb") + 1)
     )
     per_file = broadcast_if_small(per_file)
-    out = tagged.join(per_file, "__fp").withColumn(name, F.col("__base") + F.col("__blk"))
-    return out.drop("__fp", "__blk", "__nb", "__base")
+    out = tagged.join(per_file, "__lfp").withColumn(name, F.col("__base") + F.col("__blk"))
+    return out.drop("__lfp", "__blk", "__nb", "__base")
 
 
 def file_size_health(spark: SparkSession, path: str, min_median_bytes: int = 50 * 1024 * 1024) -> DataFrame:

@@ -85,7 +85,9 @@ class Field:
         ])
 
     def metadata(self) -> dict:
-        meta = {"np": self.dtype, "shape": json.dumps(list(self.shape)), "codec": self.codec or ""}
+        # Nullability is kept here too: Spark reads every Parquet column back as nullable.
+        meta = {"np": self.dtype, "shape": json.dumps(list(self.shape)), "codec": self.codec or "",
+                "nullable": self.nullable}
         if self.decimal:
             meta["decimal"] = json.dumps(list(self.decimal))
         return {META_KEY: meta}
@@ -111,7 +113,7 @@ def fields_of(schema: T.StructType) -> list[Field]:
             raise ValueError(f"Field {sf.name!r} carries no declared schema metadata")
         dec = tuple(json.loads(meta["decimal"])) if "decimal" in meta else None
         out.append(Field(sf.name, meta["np"], tuple(json.loads(meta["shape"])), meta.get("codec") or None,
-                         sf.nullable, dec))
+                         bool(meta.get("nullable", sf.nullable)), dec))
     return out
 
 

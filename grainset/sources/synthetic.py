@@ -60,10 +60,12 @@ def _value(f: Field, seed: int, i: Column) -> Column:
 def generate_rows(spark: SparkSession, fields: list[Field], num_rows: int, seed: int = 0,
                   num_partitions: int | None = None) -> DataFrame:
     schema = make_schema(fields)
+    # The row id gets a private name: a field called "id" must not shadow it.
     ids = spark.range(0, num_rows, numPartitions=num_partitions or spark.sparkContext.defaultParallelism)
+    ids = ids.select(F.col("id").alias("__rid"))
     cols = []
     for f in fields:
-        rid = F.col("id")
+        rid = F.col("__rid")
         if not f.is_tensor:
             c = _value(f, seed, rid)
         else:

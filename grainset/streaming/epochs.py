@@ -35,21 +35,37 @@ def infinite_epochs(spark: SparkSession, dataset: DataFrame, seed: int | None =
     return out
 
 
-def run_epochs(stream: DataFrame, sink, max_epochs: int, checkpoint_dir: str):
-    """Drive ``max_epochs`` micro-batches into ``sink(batch_df, batch_id)`` and stop.
+def run_epochs(stream: DataFrame, sink, max_epochs: int, checkpoint_dir: str, timeout_s: float = 300.0):
+    """Drive at least ``max_epochs`` micro-batches into ``sink(batch_df, batch_id)``, then stop.
 
     The checkpoint folder must be on shared storage on a cluster (query restarts resume).
     """
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir).trigger(
-        processingTime="0 seconds"
-    ).start()
+    import threading
+    import time
+
+    done = threading.Event()
+    seen = {"n": 0}
+
+    def counting_sink(batch_df, batch_id):
+        if seen["n"] < max_epochs:
+            sink(batch_df, batch_id)
+            seen["n"] += 1
+        if seen["n"] >= max_epochs:
+            done.set()
+
+    q = (
+        stream.writeStream.foreachBatch(counting_sink)
+        .option("checkpointLocation", checkpoint_dir)
+        .trigger(processingTime="100 milliseconds")
+        .start()
+    )
+    deadline = time.monotonic() + timeout_s
     try:
-        while True:
-            q.awaitTermination(0.2)
-            prog = q.lastProgress
-            if prog is not None and prog.get("batchId", -1) >= max_epochs - 1:
-                q.processAllAvailable()
-                break
+        while not done.wait(0.2):
+            if q.exception() is not None:
+                raise q.exception()
+            if time.monotonic() > deadline:
+                raise TimeoutError(f"only {seen['n']} of {max_epochs} epochs ran in {timeout_s}s")
     finally:
         q.stop()
-    return q
+    return seen["n"]
