@@ -146,7 +146,7 @@ def weighted_mix(sources: list[DataFrame], probabilities: list[float], order_col
 
 
 def buffer_shuffle(df: DataFrame, capacity: int, min_after_retrieve: int, seed: int = 0,
-                   extra_capacity: int = 1000) -> DataFrame:
+                   extra_capacity: int = 1000, emit_order: bool = False) -> DataFrame:
     """Partition-local streaming shuffle through a bounded random buffer.
 
     Rows enter a buffer of at most ``capacity + extra_capacity`` rows; once it holds at
@@ -158,14 +158,31 @@ def buffer_shuffle(df: DataFrame, capacity: int, min_after_retrieve: int, seed:
         raise ValueError("min_after_retrieve must not exceed capacity")
     schema = df.schema
     names = df.columns
+    if emit_order:
+        from pyspark.sql import types as T
+
+        schema = T.StructType(list(df.schema.fields) + [
+            T.StructField("emit_partition", T.IntegerType(), False),
+            T.StructField("emit_seq", T.LongType(), False),
+        ])
 
     def run(batches):
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        rng = random.Random(f"{seed}|{ctx.partitionId() if ctx else 0}")
+        pid = ctx.partitionId() if ctx else 0
+        rng = random.Random(f"{seed}|{pid}")
         buf: list = []
         out: list = []
+        emitted = [0]
+
+        def frame(rows):
+            pdf = pd.DataFrame(rows, columns=names)
+            if emit_order:
+                pdf["emit_partition"] = pid
+                pdf["emit_seq"] = range(emitted[0], emitted[0] + len(rows))
+            emitted[0] += len(rows)
+            return pdf
         for pdf in batches:
             for row in pdf.itertuples(index=False, name=None):
                 if len(buf) >= capacity + extra_capacity:
@@ -177,11 +194,22 @@ def buffer_shuffle(df: DataFrame, capacity: int, min_after_retrieve: int, seed:
                     buf[j], buf[-1] = buf[-1], buf[j]
                     out.append(buf.pop())
                 if len(out) >= 4096:
-                    yield pd.DataFrame(out, columns=names)
+                    yield frame(out)
                     out = []
         rng.shuffle(buf)
         out.extend(buf)
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield frame(out)
 
     return df.mapInPandas(run, schema)
+
+
+def shuffled_batches(df: DataFrame, batch_size: int, capacity: int, min_after_retrieve: int, seed: int = 0,
+                     columns: list[str] | None = None, full_only: bool = False) -> DataFrame:
+    """Batches drawn through the bounded shuffle buffer: rows are batched in the order
+    the buffer emits them (per partition, then emission sequence)."""
+    from .batches import batch_rows
+
+    shuffled = buffer_shuffle(df, capacity, min_after_retrieve, seed, emit_order=True)
+    return batch_rows(shuffled, batch_size, [F.col("emit_partition"), F.col("emit_seq")],
+                      columns or df.columns, full_only=full_only)

@@ -223,7 +223,11 @@ def _greedy_no_overlap(length: int, threshold: float):
     return run
 
 
-def ngram_no_overlap(df: DataFrame, spec: NGram, scope: list[str], order: list | None = None) -> DataFrame:
+MAX_SCOPE_ROWS = 5_000_000
+
+
+def ngram_no_overlap(df: DataFrame, spec: NGram, scope: list[str], order: list | None = None,
+                     max_scope_rows: int | None = MAX_SCOPE_ROWS) -> DataFrame:
     """Greedy non-overlapping windows: scanning left to right inside a scope, a window
     is taken when its gaps pass and its first timestamp is *greater* than the last
     taken window's end. The greedy is sequential, so it runs per scope in a grouped
@@ -244,6 +248,15 @@ def ngram_no_overlap(df: DataFrame, spec: NGram, scope: list[str], order: list |
     elif isinstance(ts_type, (T.TimestampType, T.TimestampNTZType)):
         tcol = _gap(ts_type, F.col(ts), F.lit("1970-01-01 00:00:00").cast(ts_type.simpleString()))
     slim = pos.select(scope_key.alias("__scope_key"), F.col("__o"), tcol.cast("double").alias("__ts"))
+    if max_scope_rows is not None:
+        # The greedy scan holds one scope in one task: refuse unbounded scopes up front
+        # (one partial aggregate over the data, a single number to the driver).
+        biggest = slim.groupBy("__scope_key").count().agg(F.max("count")).first()[0] or 0
+        if biggest > max_scope_rows:
+            raise ValueError(
+                f"a sequence scope holds {biggest} rows (> {max_scope_rows}); use a bounded scope such as "
+                "row groups, or sliding windows (timestamp_overlap=True), which have no such limit"
+            )
     starts = slim.groupBy("__scope_key").applyInPandas(
         _greedy_no_overlap(L, float(spec.delta_threshold)), "__start bigint"
     )

@@ -830,3 +830,29 @@ def q_matrix_batch(spark, sf):
 def q_unbatch_roundtrip(spark, sf):
     e = table(spark, sf, "embeddings")
     return B.unbatch(B.batch_rows(e, 32, [F.col("vec_id")], ["vec_id", "label"]), ["vec_id", "label"])
+
+
+# ---------------------------------------------------------------- more sources
+
+
+@register(
+    "conv_turn_pairs",
+    """WITH c AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS g FROM conversations)
+       SELECT a.conv_id, a.g AS start_pos, a.turn AS turn_0, a.role AS role_0, a.text AS text_0,
+              b.turn AS turn_1, b.role AS role_1, b.text AS text_1
+       FROM c a JOIN c b ON b.g = a.g + 1 AND b.conv_id = a.conv_id
+       WHERE b.turn - a.turn <= 1""",
+)
+def q_conv_turn_pairs(spark, sf):
+    conv = table(spark, sf, "conversations")
+    spec = SQ.NGram({0: ["turn", "role", "text"], 1: ["turn", "role", "text"]}, 1, "turn")
+    return SQ.flatten_ngram(SQ.ngram(conv, spec, ["conv_id"], ["turn"]), spec)
+
+
+@register(
+    "pages_url_split",
+    f"SELECT page_id, url FROM pages WHERE {_split_sql('url', [0.5, 0.25, 0.25], 1)}",
+)
+def q_pages_url_split(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return P.in_pseudorandom_split([0.5, 0.25, 0.25], 1, "url").apply(p)
