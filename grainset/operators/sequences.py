@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..functions.numbering import with_row_index
 from ..operators.projection import resolve_fields
 
-BUCKET_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 16  # rows per window bucket; L-1 head rows are copied per bucket
 
 
 def _key_name(k: int) -> str:
