@@ -856,3 +856,56 @@ def q_conv_turn_pairs(spark, sf):
 def q_pages_url_split(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
     return P.in_pseudorandom_split([0.5, 0.25, 0.25], 1, "url").apply(p)
+
+
+# ---------------------------------------------------------------- reader plan and shards
+
+import os  # noqa: E402
+
+from pyspark.sql import types as T  # noqa: E402
+
+from ..operators.projection import insert_explicit_nulls  # noqa: E402
+from ..plans.reader import DatasetSpec, read_dataset  # noqa: E402
+from ..sources import schema as SC  # noqa: E402
+
+
+@register(
+    "dataset_read",
+    f"""SELECT CAST(0 AS INTEGER) AS epoch, {_PIECE_SQL} AS piece_id, event_id, user_id,
+               row_number() OVER (ORDER BY event_id) - 1 AS position
+        FROM events WHERE event_type = 'click' AND {_PIECE_SQL} % 2 = 0""",
+)
+def q_dataset_read(spark, sf):
+    url = "file://" + os.path.abspath(os.path.join(sf, "events.parquet"))
+    spec = DatasetSpec(url, fields=["event_id", "user_id", "event_type"], block_rows=BLOCK,
+                       predicate=P.in_set(["click"], "event_type"), cur_shard=0, shard_count=2)
+    return read_dataset(spark, spec).drop("event_type").withColumn("epoch", F.col("epoch").cast("int"))
+
+
+@register("shard_path_hash_cover", "SELECT event_id FROM events")
+def q_shard_path_hash_cover(spark, sf):
+    e = table(spark, sf, "events")
+    parts = [RG.shard_by_path_hash(e, k, 3).select("event_id") for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register(
+    "tensor_check",
+    "SELECT vec_id, coalesce(len(embedding) IN (64, 0), false) AS ok FROM embeddings",
+)
+def q_tensor_check(spark, sf):
+    e = table(spark, sf, "embeddings")
+    t = SC.tensor(F.array(F.size("embedding")), F.col("embedding"))
+    return e.select("vec_id", SC.tensor_compliant(t, (64,)).alias("ok"))
+
+
+@register(
+    "explicit_nulls",
+    "SELECT doc_id, quality, toxic, CAST(NULL AS VARCHAR) AS split FROM labels",
+)
+def q_explicit_nulls(spark, sf):
+    schema = T.StructType([
+        T.StructField("doc_id", T.LongType(), False), T.StructField("quality", T.IntegerType(), True),
+        T.StructField("toxic", T.IntegerType(), True), T.StructField("split", T.StringType(), True),
+    ])
+    return insert_explicit_nulls(table(spark, sf, "labels"), schema)
