@@ -67,8 +67,7 @@ class ExpressionIndexer:
 
 def build_indexes(df: DataFrame, indexers: list, piece_col: str = "piece_id") -> DataFrame:
     """All indexes in one pass: stack (index_name, value, piece) rows from every indexer,
-    then one partial-aggregated ``groupBy``. Duplicate (index, value, piece) entries are
-    removed map-side, so a hot value ships at most one row per piece per task."""
+    then one partial-aggregated ``groupBy``."""
     names = [ix.index_name for ix in indexers]
     if len(set(names)) != len(names):
         raise ValueError("index names must be unique")
@@ -78,8 +77,9 @@ def build_indexes(df: DataFrame, indexers: list, piece_col: str = "piece_id") ->
     for ix in indexers:
         e = ix.entries(df, piece_col)
         stacked = e if stacked is None else stacked.unionByName(e)
-    dedup = stacked.distinct()
-    return dedup.groupBy("index_name", "value").agg(F.array_sort(F.collect_list("piece_id")).alias("piece_ids"))
+    # collect_set de-duplicates map-side (partial aggregate per task), so one shuffle
+    # carries at most one (index, value, piece) entry per task.
+    return stacked.groupBy("index_name", "value").agg(F.array_sort(F.collect_set("piece_id")).alias("piece_ids"))
 
 
 def write_indexes(index: DataFrame, path: str, mode: str = "overwrite"):

@@ -119,13 +119,21 @@ def weighted_mix(sources: list[DataFrame], probabilities: list[float], order_col
         acc += p / total_p
         cum.append(acc)
     spark = sources[0].sparkSession
-    numbered = []
-    for i, (s, oc) in enumerate(zip(sources, order_cols)):
-        n = with_row_index(s.select(*cols), [F.col(c) for c in oc], "__r")
-        numbered.append(n.select(F.lit(i).alias("source"), (F.col("__r") + 1).alias("k"), *cols))
-    rows = numbered[0]
-    for n in numbered[1:]:
-        rows = rows.unionByName(n)
+    if all(list(oc) == list(order_cols[0]) for oc in order_cols):
+        # One numbering pass over all sources (grouped by source).
+        tagged = sources[0].select(F.lit(0).alias("source"), *cols)
+        for i, s in enumerate(sources[1:], start=1):
+            tagged = tagged.unionByName(s.select(F.lit(i).alias("source"), *cols))
+        rows = with_group_row_index(tagged, ["source"], [F.col(c) for c in order_cols[0]], "__r")
+        rows = rows.select("source", (F.col("__r") + 1).alias("k"), *cols)
+    else:
+        numbered = []
+        for i, (s, oc) in enumerate(zip(sources, order_cols)):
+            n = with_row_index(s.select(*cols), [F.col(c) for c in oc], "__r")
+            numbered.append(n.select(F.lit(i).alias("source"), (F.col("__r") + 1).alias("k"), *cols))
+        rows = numbered[0]
+        for n in numbered[1:]:
+            rows = rows.unionByName(n)
     # One row per source: collecting the counts is metadata-sized.
     counts = {r["source"]: r["__n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("__n")).collect()}
     sizes = spark.createDataFrame([(i, counts.get(i, 0)) for i in range(len(sources))], "source int, __n bigint")
