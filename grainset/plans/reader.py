@@ -88,7 +88,8 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
                 "piece_id", (F.row_number().over(Window.orderBy("file_path", "row_group")) - 1).cast("bigint")
             )
         df = attach_pieces(df, cat)
-        total_pieces = None
+        # The too-many-shards check uses the total row-group count (metadata-sized).
+        total_pieces = cat.count() if spec.shard_count is not None else None
     if spec.selector is not None:
         if not spec.index_path:
             raise ValueError("a selector needs index_path")

@@ -137,7 +137,8 @@ def _infer_dtype(dt: T.DataType) -> str | None:
     return None
 
 
-def infer_fields(schema: T.StructType, omit_unsupported: bool = True, strict_compat: bool = False) -> list[Field]:
+def infer_fields(schema: T.StructType, omit_unsupported: bool = True, strict_compat: bool = False,
+                 partition_columns: list[str] | None = None) -> list[Field]:
     """Fields inferred from a plain Parquet schema (S6).
 
     Scalars and arrays of scalars map directly. Nested lists, structs and maps are kept
@@ -160,6 +161,10 @@ def infer_fields(schema: T.StructType, omit_unsupported: bool = True, strict_com
                 continue
             raise ValueError(f"Column {sf.name!r} of type {dt.simpleString()} is not supported")
         out.append(Field(sf.name, "object", (), None, sf.nullable))
+    if strict_compat and partition_columns:
+        # Reference order: partition columns first (Spark lists them last).
+        first = [f for f in out if f.name in partition_columns]
+        out = first + [f for f in out if f.name not in partition_columns]
     return out
 
 

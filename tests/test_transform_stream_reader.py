@@ -118,3 +118,19 @@ def test_predicates_on_stream(spark, tmp_dir):
     q.stop()
     assert sorted(r["id"] for r in spark.sql("select id from pred_stream").collect()) == [
         i for i in range(20) if i % 4 in (2, 3)]
+
+
+def test_partitioned_read_and_shard_check(spark, tmp_dir):
+    path = tmp_dir + "/part"
+    spark.range(60).select(F.col("id"), (F.col("id") % 3).cast("string").alias("pk")).write.partitionBy("pk").parquet(path)
+    url = "file://" + path
+    out = read_dataset(spark, DatasetSpec(url, fields=["id"], predicate=P.in_set(["1"], "pk"),
+                                          strict_predicate_fields=False))
+    assert out.columns == ["position", "epoch", "piece_id", "id"]  # partition column not returned
+    assert sorted(r["id"] for r in out.collect()) == [i for i in range(60) if i % 3 == 1]
+    with pytest.raises(ValueError, match="shards"):
+        read_dataset(spark, DatasetSpec(url, fields=["id"], cur_shard=0, shard_count=1000))
+    from grainset.sources.schema import infer_fields
+
+    names = [f.name for f in infer_fields(spark.read.parquet(path).schema, strict_compat=True, partition_columns=["pk"])]
+    assert names == ["pk", "id"]
