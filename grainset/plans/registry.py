@@ -456,13 +456,13 @@ def q_index_build(spark, sf):
 @register(
     "index_report",
     f"""SELECT 'by_user' AS index_name, CAST(user_id AS VARCHAR) AS value,
-               count(DISTINCT {_PIECE_SQL}) AS n_pieces
+               CAST(count(DISTINCT {_PIECE_SQL}) AS INTEGER) AS n_pieces
         FROM events WHERE user_id IS NOT NULL GROUP BY user_id
         UNION ALL
-        SELECT 'by_type', event_type, count(DISTINCT {_PIECE_SQL})
+        SELECT 'by_type', event_type, CAST(count(DISTINCT {_PIECE_SQL}) AS INTEGER)
         FROM events WHERE event_type IS NOT NULL GROUP BY event_type
         UNION ALL
-        SELECT 'big_error', '*', count(DISTINCT {_PIECE_SQL})
+        SELECT 'big_error', '*', CAST(count(DISTINCT {_PIECE_SQL}) AS INTEGER)
         FROM events WHERE event_type = 'error' AND value > 45 HAVING count(*) > 0""",
 )
 def q_index_report(spark, sf):
@@ -534,8 +534,9 @@ def q_subsplit_parts(spark, sf):
     _SUBSPLIT_BASE
     + """
     SELECT event_id, piece_id, i AS row_in_piece,
-           unnest(generate_series(CAST(floor(greatest(i - 2, 0) / (n / least(n, 7.0))) AS INTEGER),
-                                  CAST(floor(i / (n / least(n, 7.0))) AS INTEGER))) AS part FROM e""",
+           CAST(unnest(generate_series(CAST(floor(greatest(i - 2, 0) / (n / least(n, 7.0))) AS INTEGER),
+                                       CAST(floor(i / (n / least(n, 7.0))) AS INTEGER))) AS INTEGER) AS part
+    FROM e""",
 )
 def q_subsplit_overlap(spark, sf):
     e = events_pieces(spark, sf).select("event_id", "piece_id")
@@ -791,7 +792,7 @@ def q_weighted_mix(spark, sf):
 # ---------------------------------------------------------------- batches
 
 _BATCH_SQL = """
-    SELECT idx // {size} AS batch_id, count(*) AS batch_rows,
+    SELECT idx // {size} AS batch_id, CAST(count(*) AS INTEGER) AS batch_rows,
            list(vec_id ORDER BY idx) AS vec_id, list(label ORDER BY idx) AS label {extra}
     FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings)
     GROUP BY 1 {having}"""
@@ -813,7 +814,8 @@ def q_batches_full_only(spark, sf):
     "matrix_batch",
     _BATCH_SQL.format(
         size=16,
-        extra=", list(embedding ORDER BY idx) AS embedding, [count(*), max(len(embedding))] AS embedding_shape",
+        extra=", list(embedding ORDER BY idx) AS embedding, "
+        "[CAST(count(*) AS INTEGER), CAST(max(len(embedding)) AS INTEGER)] AS embedding_shape",
         having="",
     ),
 )
