@@ -8,13 +8,23 @@ that summation order does not change the value hash.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import batches as B
 from ..operators import predicates as P
 from ..operators import reports as R
-from ..operators.projection import convert_precision, select_fields, tensor_ready
+from ..operators import rowgroups as RG
+from ..operators import sampling as X
+from ..operators import sequences as SQ
+from ..operators.projection import convert_precision, insert_explicit_nulls, select_fields, tensor_ready
+from ..sources import catalog as CAT
+from ..sources import schema as SC
 from ..session import table
+from .reader import DatasetSpec, read_dataset
 
 ND = 6
 
@@ -407,9 +417,6 @@ def q_file_rows(spark, sf):
 
 # ---------------------------------------------------------------- row groups
 
-from ..operators import rowgroups as RG  # noqa: E402
-from ..operators import sequences as SQ  # noqa: E402
-from ..sources import catalog as CAT  # noqa: E402
 
 BLOCK = 100  # logical block size (rows) for piece operators on single-row-group tables
 
@@ -649,8 +656,6 @@ def q_ngram_no_overlap(spark, sf):
 
 # ---------------------------------------------------------------- epochs, shuffles, mixing
 
-from ..operators import batches as B  # noqa: E402
-from ..operators import sampling as X  # noqa: E402
 
 SEED = 7
 
@@ -862,14 +867,6 @@ def q_pages_url_split(spark, sf):
 
 # ---------------------------------------------------------------- reader plan and shards
 
-import os  # noqa: E402
-
-from pyspark.sql import types as T  # noqa: E402
-
-from ..operators.projection import insert_explicit_nulls  # noqa: E402
-from ..plans.reader import DatasetSpec, read_dataset  # noqa: E402
-from ..sources import schema as SC  # noqa: E402
-
 
 @register(
     "dataset_read",

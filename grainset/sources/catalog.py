@@ -12,7 +12,6 @@ with many row groups never multiplies rows in the join.
 
 from __future__ import annotations
 
-import os
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
@@ -149,6 +148,3 @@ def file_size_health(spark: SparkSession, path: str, min_median_bytes: int = 50
         ((F.col("n_files") > 1) & (F.col("length") < min_median_bytes)).alias("too_small"),
     )
 
-
-def rel_path_of(file_uri: str, root: str) -> str:
-    return os.path.relpath(unquote(urlparse(file_uri).path), unquote(urlparse(root).path))
