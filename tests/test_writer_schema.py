@@ -171,3 +171,19 @@ def test_file_size_health(spark, tmp_dir):
     spark.range(100).repartition(3).write.parquet(tmp_dir + "/small")
     h = file_size_health(spark, tmp_dir + "/small").first()
     assert h["n_files"] == 3 and h["too_small"]
+
+
+def test_stored_indexes_survive_restamp(spark, tmp_dir):
+    from grainset.operators import rowgroups as RG
+
+    path = tmp_dir + "/idx"
+    df = spark.range(2000).select(F.col("id"), (F.col("id") % 13).alias("m"))
+    W.materialize_dataset(df.coalesce(1), path, row_group_size_mb=None)
+    with pytest.raises(ValueError):
+        W.load_dataset_indexes(spark, path)
+    W.build_dataset_indexes(spark, path, [RG.SingleFieldIndexer("m_index", "m")])
+    W.stamp_metadata(spark, path)  # re-stamping keeps the stored index
+    idx = W.load_dataset_indexes(spark, path)
+    assert idx.filter("index_name = 'm_index'").count() == 13
+    # The side folder is invisible to dataset reads.
+    assert spark.read.parquet(path).count() == 2000
