@@ -9,7 +9,7 @@ Catalyst pushes filters and projections into the Parquet scan.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from ..operators import sampling as X
 from ..operators.projection import resolve_fields
 from ..operators.sequences import NGram, ngram, ngram_no_overlap
 from ..operators.transform import TransformSpec, apply_transform
+from ..session import broadcast_if_small
 from ..sources.catalog import attach_pieces, logical_blocks_by_row, row_group_catalog
 
 
@@ -42,6 +43,14 @@ def normalize_urls(url_or_urls) -> list[str]:
     return out
 
 
+def _selected_pieces(spark: SparkSession, spec) -> tuple:
+    if not spec.index_path:
+        raise ValueError("a selector needs index_path")
+    index = RG.read_indexes(spark, spec.index_path)
+    RG.check_index_names(index, spec.selector)
+    return index, spec.selector.pieces(index)
+
+
 @dataclass
 class DatasetSpec:
     urls: object
@@ -64,6 +73,20 @@ class DatasetSpec:
     strict_predicate_fields: bool = True
 
 
+def _pruned_scan(spark: SparkSession, urls: list[str], catalog: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Scan only the files that hold a selected row group (file-level skipping).
+
+    The selected-file list is metadata-sized (at most one entry per file)."""
+    files = catalog.join(pieces, "piece_id", "left_semi").select("file_path").distinct()
+    paths = sorted(unquote(r["file_path"]) for r in files.collect())
+    reader = spark.read
+    if len(urls) == 1:
+        reader = reader.option("basePath", urls[0])  # keep hive partition columns
+    if not paths:
+        return reader.parquet(*urls).limit(0)
+    return reader.parquet(*paths)
+
+
 def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     urls = normalize_urls(spec.urls)
     df = spark.read.parquet(*urls)
@@ -87,15 +110,18 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
             cat = cat.drop("piece_id").withColumn(
                 "piece_id", (F.row_number().over(Window.orderBy("file_path", "row_group")) - 1).cast("bigint")
             )
+        if spec.selector is not None:
+            index, pieces = _selected_pieces(spark, spec)
+            df = _pruned_scan(spark, urls, cat, pieces)
+            if spec.filters:
+                df = df.filter(P.dnf_filter(spec.filters))
+            df = df.withColumn("__fp", F.col("_metadata.file_path")).withColumn("__ri", F.col("_metadata.row_index"))
         df = attach_pieces(df, cat)
         # The too-many-shards check uses the total row-group count (metadata-sized).
         total_pieces = cat.count() if spec.shard_count is not None else None
     if spec.selector is not None:
-        if not spec.index_path:
-            raise ValueError("a selector needs index_path")
-        index = RG.read_indexes(spark, spec.index_path)
-        RG.check_index_names(index, spec.selector)
-        df = RG.select_pieces(df, index, spec.selector)
+        index, pieces = _selected_pieces(spark, spec)
+        df = df.join(broadcast_if_small(pieces), "piece_id", "left_semi")
     if spec.shard_count is not None:
         df = RG.shard(df, spec.cur_shard, spec.shard_count, total_pieces)
     if spec.ngram is not None and spec.shuffle_row_drop_partitions > 1 and not spec.ngram.timestamp_overlap:

@@ -134,3 +134,24 @@ def test_partitioned_read_and_shard_check(spark, tmp_dir):
 
     names = [f.name for f in infer_fields(spark.read.parquet(path).schema, strict_compat=True, partition_columns=["pk"])]
     assert names == ["pk", "id"]
+
+
+def test_selector_prunes_files(spark, tmp_dir):
+    from grainset.sources import writer as W
+
+    path = tmp_dir + "/sel ds"
+    # range() with 4 partitions writes exactly one 1000-id block per file.
+    spark.range(0, 4000, numPartitions=4).select(F.col("id"), F.floor(F.col("id") / 1000).alias("blk")).write.parquet(path)
+    W.stamp_metadata(spark, path)
+    W.build_dataset_indexes(spark, path, [RG.SingleFieldIndexer("blk_index", "blk")])
+    url = "file://" + path
+    spec = DatasetSpec(url, fields=["id", "blk"], selector=RG.SingleIndexSelector("blk_index", [2]),
+                       index_path=path + "/_grainset/index")
+    out = read_dataset(spark, spec)
+    ids = sorted(r["id"] for r in out.collect())
+    assert ids == list(range(2000, 3000))
+    from grainset.plans.reader import _pruned_scan
+
+    pieces = spec.selector.pieces(W.load_dataset_indexes(spark, path))
+    scan = _pruned_scan(spark, [url], W.load_catalog(spark, path), pieces)
+    assert len(scan.inputFiles()) == 1  # only the file holding block 2 is scanned
