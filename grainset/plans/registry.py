@@ -21,6 +21,7 @@ from ..operators import rowgroups as RG
 from ..operators import sampling as X
 from ..operators import sequences as SQ
 from ..operators.projection import convert_precision, insert_explicit_nulls, select_fields, tensor_ready
+from ..operators.transform import TransformSpec, apply_transform, edit_field
 from ..sources import catalog as CAT
 from ..sources import schema as SC
 from ..session import table
@@ -908,3 +909,74 @@ def q_explicit_nulls(spark, sf):
         T.StructField("toxic", T.IntegerType(), True), T.StructField("split", T.StringType(), True),
     ])
     return insert_explicit_nulls(table(spark, sf, "labels"), schema)
+
+
+# ---------------------------------------------------------------- user functions and buffers
+
+
+
+def _double_value(pdf):
+    return pdf.assign(value2=pdf["value"] * 2.0)
+
+
+def _upper_type(row):
+    return {"event_id": row["event_id"], "kind": (row["event_type"] or "").upper()}
+
+
+def _piece_summary(pdf):
+    import pandas as pd
+
+    return pd.DataFrame({"piece_id": [int(pdf["piece_id"].iloc[0])], "n": [len(pdf)],
+                         "max_value": [float(pdf["value"].max())]})
+
+
+@register("transform_batch", "SELECT event_id, value * 2.0 AS value2 FROM events")
+def q_transform_batch(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "value")
+    spec = TransformSpec(_double_value, edit_fields=[edit_field("value2", "float64", (), True)],
+                         removed_fields=["value"])
+    return apply_transform(e, spec)
+
+
+@register("transform_row", "SELECT event_id, upper(coalesce(event_type, '')) AS kind FROM events")
+def q_transform_row(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    spec = TransformSpec(_upper_type, edit_fields=[edit_field("kind", "str", (), True)],
+                         removed_fields=["event_type"], mode="row")
+    return apply_transform(e, spec)
+
+
+@register(
+    "transform_piece",
+    f"""SELECT {_PIECE_SQL} AS piece_id, count(*) AS n, max(value) AS max_value FROM events GROUP BY 1""",
+)
+def q_transform_piece(spark, sf):
+    e = events_pieces(spark, sf).select("piece_id", "value")
+    spec = TransformSpec(_piece_summary, edit_fields=[edit_field("n", "int64"), edit_field("max_value", "float64")],
+                         removed_fields=["value"], mode="piece")
+    return apply_transform(e, spec)
+
+
+@register("buffer_shuffle_rows", "SELECT event_id, value FROM events")
+def q_buffer_shuffle_rows(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "value")
+    return X.buffer_shuffle(e, capacity=1000, min_after_retrieve=800, seed=SEED)
+
+
+@register("shuffled_batches_unbatched", "SELECT event_id FROM events")
+def q_shuffled_batches_unbatched(spark, sf):
+    e = table(spark, sf, "events").select("event_id")
+    b = X.shuffled_batches(e, 64, capacity=500, min_after_retrieve=400, seed=SEED)
+    return B.unbatch(b, ["event_id"]).select("event_id")
+
+
+@register("file_health")
+def q_file_health(spark, sf):
+    from ..sources.catalog import file_size_health
+
+    return file_size_health(spark, sf)
+
+
+@register("row_groups_per_file")
+def q_row_groups_per_file(spark, sf):
+    return CAT.row_groups_per_file(CAT.row_group_catalog(spark, sf)).drop("file_path")
