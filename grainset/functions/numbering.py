@@ -11,11 +11,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, reliable_checkpoint
+from ..session import broadcast_if_small, default_parallelism, estimated_bytes, reliable_checkpoint
 
 _MASK33 = (1 << 33) - 1
 
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 100_000
+
+
+def numbering_partitions(df: DataFrame) -> int:
+    """Range partitions for numbering: about 256 MB each by Catalyst's size estimate,
+    at least one per core (or the shuffle setting if smaller), at most 100 000. Without
+    an estimate, the session's shuffle partition count."""
+    spark = df.sparkSession
+    shuffle_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    est = estimated_bytes(df)
+    if est is None:
+        return shuffle_n
+    floor_n = min(default_parallelism(spark), shuffle_n)
+    return int(min(MAX_PARTITIONS, max(floor_n, -(-est // TARGET_PARTITION_BYTES))))
+
+
 def _cols(order):
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
@@ -25,8 +42,7 @@ def with_row_index(df: DataFrame, order, name: str = "row_idx", num_partitions:
 
     ``order`` must be unique per row (add a key column to break ties).
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or numbering_partitions(df)
     order_cols = _cols(order)
     tagged = (
         df.repartitionByRange(n, *order_cols)

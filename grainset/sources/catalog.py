@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, default_parallelism
 
 CATALOG_SCHEMA = (
     "file_path string, rel_path string, row_group int, first_row bigint, num_rows bigint, "
@@ -80,7 +80,7 @@ def row_group_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog ordered by (relative path, row group) with a dense 0-based ``piece_id``."""
     root = _root_uri(spark, path)
     files = list_parquet_files(spark, path).select("file_path", F.lit(root).alias("root"))
-    files = files.repartition(max(1, spark.sparkContext.defaultParallelism), "file_path")
+    files = files.repartition(default_parallelism(spark), "file_path")
     groups = files.mapInPandas(_footer_rows, CATALOG_SCHEMA)
     # Metadata-sized table (one row per row group): a global window is acceptable here.
     w = Window.orderBy("rel_path", "row_group")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import default_parallelism
 from .schema import Field
 
 UNKNOWN_DIM = 13
@@ -60,7 +61,7 @@ def _value(f: Field, seed: int, i: Column) -> Column:
 def generate_rows(spark: SparkSession, fields: list[Field], num_rows: int, seed: int = 0,
                   num_partitions: int | None = None) -> DataFrame:
     # The row id gets a private name: a field called "id" must not shadow it.
-    ids = spark.range(0, num_rows, numPartitions=num_partitions or spark.sparkContext.defaultParallelism)
+    ids = spark.range(0, num_rows, numPartitions=num_partitions or default_parallelism(spark))
     ids = ids.select(F.col("id").alias("__rid"))
     cols = []
     for f in fields:
