@@ -22,15 +22,19 @@ MAX_PARTITIONS = 100_000
 
 def numbering_partitions(df: DataFrame) -> int:
     """Range partitions for numbering: about 256 MB each by Catalyst's size estimate,
-    at least one per core (or the shuffle setting if smaller), at most 100 000. Without
-    an estimate, the session's shuffle partition count."""
+    at least one per core (or the shuffle setting if smaller), at most
+    max(shuffle partitions, 4 x cores) and 100 000. Without a usable estimate, the
+    session's shuffle partition count."""
     spark = df.sparkSession
     shuffle_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     est = estimated_bytes(df)
-    if est is None:
+    # Plans over checkpoints or RDDs report the "unknown" sentinel (Long.MaxValue).
+    if est is None or est >= (1 << 60):
         return shuffle_n
-    floor_n = min(default_parallelism(spark), shuffle_n)
-    return int(min(MAX_PARTITIONS, max(floor_n, -(-est // TARGET_PARTITION_BYTES))))
+    cores = default_parallelism(spark)
+    floor_n = min(cores, shuffle_n)
+    upper = min(MAX_PARTITIONS, max(shuffle_n, 4 * cores))
+    return int(max(floor_n, min(upper, -(-est // TARGET_PARTITION_BYTES))))
 
 
 def _cols(order):
