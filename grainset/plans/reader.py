@@ -13,6 +13,7 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import predicates as P
 from ..operators import rowgroups as RG
@@ -22,6 +23,7 @@ from ..operators.sequences import NGram, ngram, ngram_no_overlap
 from ..operators.transform import TransformSpec, apply_transform
 from ..session import broadcast_if_small
 from ..sources.catalog import attach_pieces, logical_blocks_by_row, row_group_catalog
+from ..sources.rowgroup_scan import scan_row_groups
 
 
 def normalize_urls(url_or_urls) -> list[str]:
@@ -71,6 +73,7 @@ class DatasetSpec:
     block_rows: int | None = None  # logical blocks instead of Parquet row groups
     row_key: list = field(default_factory=list)
     strict_predicate_fields: bool = True
+    row_group_scan: bool = False  # read selected row groups only (no hive partition columns)
 
 
 def _pruned_scan(spark: SparkSession, urls: list[str], catalog: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -110,13 +113,22 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
             cat = cat.drop("piece_id").withColumn(
                 "piece_id", (F.row_number().over(Window.orderBy("file_path", "row_group")) - 1).cast("bigint")
             )
+        scanned_groups = False
         if spec.selector is not None:
             index, pieces = _selected_pieces(spark, spec)
-            df = _pruned_scan(spark, urls, cat, pieces)
-            if spec.filters:
-                df = df.filter(P.dnf_filter(spec.filters))
-            df = df.withColumn("__fp", F.col("_metadata.file_path")).withColumn("__ri", F.col("_metadata.row_index"))
-        df = attach_pieces(df, cat)
+            if spec.row_group_scan and not spec.filters:
+                # Row-group-level skipping: only the selected row groups are read.
+                data_schema = T.StructType([f for f in df.schema.fields if f.name not in ("__fp", "__ri")])
+                df = scan_row_groups(spark, cat, pieces, data_schema, row_ids=True)
+                scanned_groups = True
+            else:
+                df = _pruned_scan(spark, urls, cat, pieces)
+                if spec.filters:
+                    df = df.filter(P.dnf_filter(spec.filters))
+                df = df.withColumn("__fp", F.col("_metadata.file_path")).withColumn(
+                    "__ri", F.col("_metadata.row_index"))
+        if not scanned_groups:
+            df = attach_pieces(df, cat)
         # The too-many-shards check uses the total row-group count (metadata-sized).
         total_pieces = cat.count() if spec.shard_count is not None else None
     if spec.selector is not None:

@@ -103,3 +103,22 @@ def test_subsplit_parts_partition_each_piece(spark):
         assert parts == [0] * 4 + [1] * 3 + [2] * 3  # floor(i / (10/3))
     over = RG.subsplit_parts(df, 3, ["id"], overlap=1).collect()
     assert len(over) == 100 + 10 * 2  # each boundary row is repeated in the earlier part
+
+
+def test_row_group_scan_reads_only_selected_groups(spark, tmp_dir):
+    from pyspark.sql import types as T
+
+    from grainset.sources.rowgroup_scan import scan_row_groups
+
+    path = tmp_dir + "/rg scan"
+    _write_multi_group(spark, path)
+    cat = CAT.row_group_catalog(spark, path)
+    data = CAT.attach_pieces(spark.read.parquet(path), cat)
+    idx = RG.build_indexes(data, [RG.SingleFieldIndexer("s_index", "s")])
+    pieces = RG.SingleIndexSelector("s_index", ["s5", "s19999"]).pieces(idx)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.StringType())])
+    got = scan_row_groups(spark, cat, pieces, schema)
+    expect = RG.select_pieces(data, idx, RG.SingleIndexSelector("s_index", ["s5", "s19999"])).select("id", "s", "piece_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expect.collect()))
+    n_groups = cat.count()
+    assert got.rdd.getNumPartitions() == 2 < n_groups
