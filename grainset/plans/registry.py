@@ -980,3 +980,16 @@ def q_file_health(spark, sf):
 @register("row_groups_per_file")
 def q_row_groups_per_file(spark, sf):
     return CAT.row_groups_per_file(CAT.row_group_catalog(spark, sf)).drop("file_path")
+
+
+@register(
+    "shard_all",
+    f"SELECT event_id, {_PIECE_SQL} AS piece_id, CAST({_PIECE_SQL} % 4 AS INTEGER) AS shard FROM events",
+)
+def q_shard_all(spark, sf):
+    e = events_pieces(spark, sf).select("event_id", "piece_id")
+    parts = [RG.shard(e, k, 4).withColumn("shard", F.lit(k)) for k in range(4)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
