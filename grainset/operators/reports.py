@@ -50,7 +50,8 @@ def period_means(
     src = df
     for b in by:
         src = src.filter(F.col(b).isNotNull())
-    src = src.select(key_fn(F.col(ts_col)).alias(key_name), *by, *metrics)
+    # Null keys form no group (as in a pandas group-by).
+    src = src.select(key_fn(F.col(ts_col)).alias(key_name), *by, *metrics).filter(F.col(key_name).isNotNull())
     return src.groupBy(key_name, *by).agg(*_mean_cols(metrics, ndigits=ndigits))
 
 
@@ -59,7 +60,7 @@ def quarterly_means(
 ) -> DataFrame:
     """Quarter means labelled by the quarter end date; empty quarters between the first
     and last appear with a null mean (calendar gap filling)."""
-    q = df.select(dates.quarter_start(F.col(ts_col)).alias("__q"), F.col(metric))
+    q = df.select(dates.quarter_start(F.col(ts_col)).alias("__q"), F.col(metric)).filter(F.col("__q").isNotNull())
     agg = q.groupBy("__q").agg(*_mean_cols([metric], ndigits=ndigits))
     span = agg.agg(F.min("__q").alias("lo"), F.max("__q").alias("hi"))
     # One row per quarter in the span: bounded by the calendar, so a broadcast is safe.
@@ -94,7 +95,8 @@ def daily_trend(
     ndigits: int | None = None,
 ) -> DataFrame:
     """Daily mean of ``metric`` with a linear trend over the day *position* 0..n-1."""
-    daily = df.groupBy(dates.utc_day(F.col(ts_col)).alias("day")).agg(F.avg(metric).alias("avg_value"))
+    daily = df.filter(F.col(ts_col).isNotNull()).groupBy(dates.utc_day(F.col(ts_col)).alias("day")).agg(
+        F.avg(metric).alias("avg_value"))
     # The daily table has one row per calendar day (bounded); numbering it in one
     # window is cheap and keeps the x-axis exactly the sorted day index.
     daily = daily.withColumn("x", (F.row_number().over(Window.orderBy("day")) - 1).cast("int"))
@@ -115,7 +117,7 @@ def author_daily_trend(
 ) -> DataFrame:
     """Per author: daily means and trend, skipping authors with fewer than
     ``min_records`` records, then those with fewer than ``min_days`` days."""
-    src = df.filter(F.col(author_col).isNotNull())
+    src = df.filter(F.col(author_col).isNotNull() & F.col(ts_col).isNotNull())
     per_day = src.groupBy(F.col(author_col).alias("author"), dates.utc_day(F.col(ts_col)).alias("day")).agg(
         F.avg(metric).alias("avg_value"), F.count(F.lit(1)).alias("n")
     )
@@ -145,7 +147,8 @@ def period_means_long(
 ) -> DataFrame:
     """Same period report for several metrics in one pass (long form)."""
     key_name, key_fn = PERIODS[period]
-    long = metrics_long(df.withColumn(key_name, key_fn(F.col(ts_col))), metrics, [key_name])
+    keyed = df.withColumn(key_name, key_fn(F.col(ts_col))).filter(F.col(key_name).isNotNull())
+    long = metrics_long(keyed, metrics, [key_name])
     e = F.avg("value")
     if ndigits is not None:
         e = F.round(e, ndigits)
