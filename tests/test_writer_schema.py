@@ -187,3 +187,23 @@ def test_stored_indexes_survive_restamp(spark, tmp_dir):
     assert idx.filter("index_name = 'm_index'").count() == 13
     # The side folder is invisible to dataset reads.
     assert spark.read.parquet(path).count() == 2000
+
+
+def test_converter_batches_and_metadata_report(spark, tmp_dir):
+    from grainset.operators import rowgroups as RG
+
+    spark.conf.set(W.CACHE_DIR_CONF, "file://" + tmp_dir + "/cache2")
+    df = spark.range(70).select(F.col("id"), (F.col("id") * 1.0).alias("x"))
+    conv = W.make_converter(df.coalesce(1))
+    b = conv.batches(spark).orderBy("batch_id").collect()
+    assert [r["batch_rows"] for r in b] == [32, 32, 6]
+    assert sorted(x for r in b for x in r["id"]) == list(range(70))
+    sb = conv.batches(spark, batch_size=10, shuffling_queue_capacity=20, seed=1).collect()
+    assert sorted(x for r in sb for x in r["id"]) == list(range(70))
+    path = tmp_dir + "/meta"
+    W.materialize_dataset(df, path)
+    W.build_dataset_indexes(spark, path, [RG.SingleFieldIndexer("id_index", "id"),
+                                          RG.SingleFieldIndexer("x_index", "x")])
+    text, rep = W.metadata_report(spark, path, skip_indexes=["x_index"])
+    assert "id" in text and rep.select("index_name").distinct().collect()[0][0] == "id_index"
+    assert rep.count() == 70
