@@ -104,3 +104,21 @@ def test_capped_sample_and_quality(spark):
     assert sorted(r["position"] for r in s if r["epoch"] == 2) == list(range(100))
     q = X.shuffle_quality(df, "k", runs=4, seed=1).first()
     assert 0 <= q["mean_abs_corr"] < 0.2
+
+
+def test_hot_group_is_spread_over_tasks(spark):
+    # One user holds a third of all rows: numbering must not put it in one task.
+    n = 30000
+    df = spark.range(n).select(F.col("id").alias("event_id"),
+                               F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1).alias("user_id"))
+    numbered = with_group_row_index(df, ["user_id"], [F.col("event_id")], "k", num_partitions=8)
+    tasks = (numbered.filter("user_id = 0").select(F.spark_partition_id().alias("p")).distinct().count())
+    assert tasks > 1
+    hot = sorted(r["k"] for r in numbered.filter("user_id = 0").collect())
+    assert hot == list(range(n // 3))
+    # Sequences over the hot user are assembled in fixed-size buckets, not one task.
+    from grainset.operators import sequences as SQ
+
+    spec = SQ.NGram({0: ["event_id"], 1: ["event_id"]}, 10 ** 9, "event_id")
+    seq = SQ.ngram(df.filter("user_id = 0"), spec, ["user_id"], ["event_id"], bucket_rows=1024)
+    assert seq.count() == n // 3 - 1
