@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbering import with_row_index
+from ..session import broadcast_if_small, reliable_checkpoint
 from ..operators.projection import resolve_fields
 
 BUCKET_ROWS = 1 << 16  # rows per window bucket; L-1 head rows are copied per bucket
@@ -226,13 +227,87 @@ def _greedy_no_overlap(length: int, threshold: float):
 MAX_SCOPE_ROWS = 5_000_000
 
 
+def _greedy_starts_distributed(slim: DataFrame, L: int, thr: float, bucket_rows: int) -> DataFrame:
+    """Start positions of the greedy non-overlapping windows, fully distributed.
+
+    1. Valid windows V (L rows of one scope, gaps <= thr) from ``lead`` over fixed-size
+       buckets of the global position (the first L-1 rows of a bucket are copied back).
+    2. Successor of a taken window s: the first valid start after the tie run of its
+       end timestamp, in the same scope: nxt(s) = nv(tie_end(ts(s+L-1)) + 1), where
+       tie_end is a (scope, ts) aggregate and nv a bucketed suffix minimum.
+    3. The taken windows are the path head -> nxt -> nxt ... from each scope's first
+       valid window, marked by pointer jumping: log2(path) self-joins build the
+       2^k-th successors, then log2(path) joins extend the path from the heads.
+    Every table is keyed by position (uniform), each round is checkpointed."""
+    B = bucket_rows
+    o, b = F.col("__o"), F.floor(F.col("__o") / F.lit(B)).cast("bigint")
+    base = slim.select(o, b.alias("__b"), "__scope_key", "__ts")
+    if L > 1:
+        head = base.filter((F.pmod(o, F.lit(B)) < F.lit(L - 1)) & (F.col("__b") > 0))
+        base = base.unionByName(head.withColumn("__b", F.col("__b") - 1))
+    w = Window.partitionBy("__b").orderBy("__o")
+    sel = [o, F.col("__b"), F.col("__scope_key"), F.col("__ts").alias("__t0")]
+    for j in range(1, L):
+        sel += [F.lead("__ts", j).over(w).alias(f"__t{j}"), F.lead("__scope_key", j).over(w).alias(f"__k{j}"),
+                F.lead("__o", j).over(w).alias(f"__o{j}")]
+    win = base.select(*sel).filter(b == F.col("__b"))
+    complete, ok, unsorted = F.lit(True), F.lit(True), F.lit(False)
+    for j in range(1, L):
+        complete = complete & (F.col(f"__o{j}") == o + F.lit(j)) & (F.col(f"__k{j}") == F.col("__scope_key"))
+        gap = F.col(f"__t{j}") - F.col(f"__t{j-1}")
+        ok = ok & (gap <= F.lit(thr))
+        unsorted = unsorted | (gap < F.lit(0.0))
+    msg = "NGram assumes that the data is sorted by the timestamp field which is not the case"
+    keep = F.when(complete & unsorted, F.raise_error(F.lit(msg))).otherwise(complete & ok)
+    V = win.filter(F.coalesce(keep, F.lit(False))).select(
+        o.alias("s"), F.col("__scope_key").alias("sk"), F.col(f"__t{L - 1}").alias("t_end"))
+    V = reliable_checkpoint(V)
+    # Tie runs: last position holding each (scope, timestamp).
+    tie = slim.groupBy("__scope_key", "__ts").agg(F.max("__o").alias("tie_end"))
+    Vu = V.join(tie, (V["sk"] == tie["__scope_key"]) & (V["t_end"] == tie["__ts"]), "inner").select(
+        "s", "sk", (F.col("tie_end") + 1).alias("u"))
+    # nv(p): first valid start at or after p, as a bucketed suffix minimum.
+    flagged = slim.join(V.select(F.col("s").alias("__o"), F.lit(True).alias("__v")), "__o", "left")
+    cand = F.when(F.col("__v"), F.struct(F.col("__o").alias("pos"), F.col("__scope_key").alias("sk")))
+    flagged = flagged.select(o, b.alias("__b"), cand.alias("__c"))
+    # Suffix minima as running minima in descending order: Spark evaluates growing
+    # (unbounded preceding .. current) frames incrementally, whereas a shrinking
+    # (current .. unbounded following) frame is re-aggregated for every row.
+    suffix = Window.partitionBy("__b").orderBy(F.col("__o").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    local = flagged.select(o, F.col("__b"), F.min("__c").over(suffix).alias("__local"))
+    firsts = flagged.groupBy("__b").agg(F.min("__c").alias("__first"))  # one row per bucket
+    later = Window.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select("__b", F.min("__first").over(later).alias("__next"))
+    nv = local.join(broadcast_if_small(firsts), "__b", "left").select(
+        F.col("__o").alias("u"), F.coalesce("__local", "__next").alias("__nv"))
+    nxt = Vu.join(nv, "u", "left").select(
+        "s", F.when(F.col("__nv.sk") == F.col("sk"), F.col("__nv.pos")).alias("j"))
+    jumps = [reliable_checkpoint(nxt)]
+    while jumps[-1].filter(F.col("j").isNotNull()).limit(1).count() > 0:
+        t = jumps[-1]
+        a, c = t.alias("a"), t.alias("c")
+        nxt2 = a.join(c, F.col("a.j") == F.col("c.s"), "left").select(F.col("a.s").alias("s"), F.col("c.j").alias("j"))
+        jumps.append(reliable_checkpoint(nxt2))
+    path = V.groupBy("sk").agg(F.min("s").alias("s")).select("s")
+    for t in reversed(jumps[:-1]):
+        step = path.join(t, "s").filter(F.col("j").isNotNull()).select(F.col("j").alias("s"))
+        path = reliable_checkpoint(path.unionByName(step).distinct())
+    return path.select(F.col("s").alias("__start"))
+
+
 def ngram_no_overlap(df: DataFrame, spec: NGram, scope: list[str], order: list | None = None,
-                     max_scope_rows: int | None = MAX_SCOPE_ROWS) -> DataFrame:
+                     max_scope_rows: int | None = MAX_SCOPE_ROWS, method: str = "auto",
+                     bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Greedy non-overlapping windows: scanning left to right inside a scope, a window
     is taken when its gaps pass and its first timestamp is *greater* than the last
-    taken window's end. The greedy is sequential, so it runs per scope in a grouped
-    pandas function: the scope must be bounded (a row group / logical block), which
-    is the reference scope for sequences."""
+    taken window's end.
+
+    ``method``: 'grouped' runs the sequential scan per scope in a grouped pandas
+    function (fast; scope must fit one task), 'distributed' uses pointer jumping (no
+    scope bound), 'auto' picks 'grouped' when the largest scope has at most
+    ``max_scope_rows`` rows (one partial aggregate decides)."""
+    if method not in ("auto", "grouped", "distributed"):
+        raise ValueError("method must be 'auto', 'grouped' or 'distributed'")
     spec = spec.resolve(df.columns)
     ts = spec.timestamp_field
     order = order or [ts]
@@ -248,18 +323,16 @@ def ngram_no_overlap(df: DataFrame, spec: NGram, scope: list[str], order: list |
     elif isinstance(ts_type, (T.TimestampType, T.TimestampNTZType)):
         tcol = _gap(ts_type, F.col(ts), F.lit("1970-01-01 00:00:00").cast(ts_type.simpleString()))
     slim = pos.select(scope_key.alias("__scope_key"), F.col("__o"), tcol.cast("double").alias("__ts"))
-    if max_scope_rows is not None:
-        # The greedy scan holds one scope in one task: refuse unbounded scopes up front
-        # (one partial aggregate over the data, a single number to the driver).
+    if method == "auto":
+        limit = max_scope_rows if max_scope_rows is not None else MAX_SCOPE_ROWS
         biggest = slim.groupBy("__scope_key").count().agg(F.max("count")).first()[0] or 0
-        if biggest > max_scope_rows:
-            raise ValueError(
-                f"a sequence scope holds {biggest} rows (> {max_scope_rows}); use a bounded scope such as "
-                "row groups, or sliding windows (timestamp_overlap=True), which have no such limit"
-            )
-    starts = slim.groupBy("__scope_key").applyInPandas(
-        _greedy_no_overlap(L, float(spec.delta_threshold)), "__start bigint"
-    )
+        method = "grouped" if biggest <= limit else "distributed"
+    if method == "grouped":
+        starts = slim.groupBy("__scope_key").applyInPandas(
+            _greedy_no_overlap(L, float(spec.delta_threshold)), "__start bigint"
+        )
+    else:
+        starts = _greedy_starts_distributed(slim, L, float(spec.delta_threshold), bucket_rows)
     # Assemble the rows of the chosen windows with an equi-join on position.
     members = starts.select(
         F.col("__start"), F.explode(F.sequence(F.lit(0), F.lit(L - 1))).alias("__j")

@@ -993,3 +993,29 @@ def q_shard_all(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register(
+    "ngram_no_overlap_users",
+    """
+    WITH RECURSIVE e AS (
+        SELECT event_id, ts, user_id, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS g FROM events),
+    w AS (SELECT a.user_id, a.g, a.ts AS t0, b.ts AS t1, a.event_id AS e0, b.event_id AS e1
+          FROM e a JOIN e b ON b.g = a.g + 1 AND b.user_id = a.user_id
+          WHERE date_diff('microsecond', a.ts, b.ts) <= 3600000000),
+    chain(user_id, g) AS (
+        SELECT user_id, min(g) FROM w GROUP BY user_id
+        UNION ALL
+        SELECT c.user_id,
+               (SELECT min(w2.g) FROM w w2 WHERE w2.user_id = c.user_id
+                  AND w2.t0 > (SELECT w3.t1 FROM w w3 WHERE w3.g = c.g))
+        FROM chain c WHERE c.g IS NOT NULL)
+    SELECT w.user_id, w.g AS start_pos, w.e0 AS event_id_0, w.t0 AS ts_0, w.e1 AS event_id_1
+    FROM chain c JOIN w ON w.g = c.g""",
+)
+def q_ngram_no_overlap_users(spark, sf):
+    # Per-user scope is unbounded in general: the pointer-jumping plan is used.
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    spec = SQ.NGram({0: ["event_id", "ts"], 1: ["event_id"]}, 3600, "ts", timestamp_overlap=False)
+    seq = SQ.ngram_no_overlap(e, spec, ["user_id"], ["ts", "event_id"], method="distributed")
+    return SQ.flatten_ngram(seq, spec)

@@ -114,3 +114,16 @@ def test_regex_fields(spark):
     spec = SQ.NGram({0: ["id.*"], 1: ["other"]}, 5, "^id$")
     out = SQ.ngram(df, spec, ["g"], ["id"])
     assert set(out.schema["t0"].dataType.fieldNames()) == {"id", "id2"}
+
+
+@pytest.mark.parametrize("length,thr", [(2, 600.0), (3, 1800.0), (1, 0.0)])
+def test_no_overlap_distributed_matches_grouped(spark, length, thr):
+    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("user_id", "event_id", "ts")
+    # Coarse timestamps create ties, which the successor rule must skip.
+    e = e.withColumn("ts", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz"))
+    spec = SQ.NGram({k: ["event_id"] for k in range(length)}, thr, "ts", timestamp_overlap=False)
+    grouped = SQ.ngram_no_overlap(e, spec, ["user_id"], ["ts", "event_id"], method="grouped")
+    dist = SQ.ngram_no_overlap(e, spec, ["user_id"], ["ts", "event_id"], method="distributed", bucket_rows=512)
+    key = lambda r: (r["user_id"], r["t0"]["event_id"])
+    assert sorted(map(key, grouped.collect())) == sorted(map(key, dist.collect()))
+    assert grouped.count() > 0
