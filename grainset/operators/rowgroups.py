@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.numbering import with_group_row_index, with_group_sizes
 from ..session import broadcast_if_small
 
-INDEX_SCHEMA = "index_name string, value string, piece_ids array<bigint>"
-
-
 @dataclass
 class SingleFieldIndexer:
     """value -> pieces holding it; arrays contribute each element; nulls skipped."""

@@ -46,14 +46,13 @@ def read_order(
     Shuffled rows: inside each piece, rows are ordered by md5(seed, epoch, row key).
     """
     ep = [F.col(epoch_col)] if epoch_col else []
-    ep_key = [F.col(epoch_col)] if epoch_col else []
     unit = [F.col(piece_col)] + ([F.col(part_col)] if part_col else [])
     key = list(ep)
     if shuffle_pieces:
-        key.append(order_key(seed, *ep_key, *unit))
+        key.append(order_key(seed, *ep, *unit))
     key.extend(unit)
     if shuffle_rows:
-        key.append(order_key(seed, *ep_key, *[F.col(c) for c in row_key]))
+        key.append(order_key(seed, *ep, *[F.col(c) for c in row_key]))
     key.extend(F.col(c) for c in row_key)
     return key
 

@@ -15,7 +15,7 @@ builds the window; windows that cross a scope boundary are dropped.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +39,6 @@ class NGram:
     delta_threshold: float
     timestamp_field: str
     timestamp_overlap: bool = True
-    _resolved: bool = field(default=False, repr=False)
 
     def __post_init__(self):
         if not isinstance(self.fields, dict):
@@ -70,7 +69,7 @@ class NGram:
         ts = resolve_fields(columns, [self.timestamp_field])
         if len(ts) != 1:
             raise ValueError("timestamp_field was matched to more than one field")
-        return NGram(fields, self.delta_threshold, ts[0], self.timestamp_overlap, True)
+        return NGram(fields, self.delta_threshold, ts[0], self.timestamp_overlap)
 
     def fields_at(self, key: int) -> list[str]:
         return list(self.fields.get(key, []))
