@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,7 @@ def local_session(app: str = "grainset", cores: str = "*", partitions: int = 8)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -96,3 +99,35 @@ def default_parallelism(spark: SparkSession) -> int:
         return max(1, spark.sparkContext.defaultParallelism)
     except Exception:  # Spark Connect
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_shipped: set = set()
+_ship_lock = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``grainset`` importable in Python workers (UDFs, grouped/partition pandas
+    functions, the row-group data source): zip the package once per application and
+    add it with ``addPyFile`` (``addArtifacts`` on Spark Connect). Executors fetch it
+    from the driver, so this works on a cluster as well as locally."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:
+        app = spark.conf.get("spark.app.id", "connect")
+    with _ship_lock:
+        if app in _shipped:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        out_dir = tempfile.mkdtemp(prefix="grainset-pkg-")
+        zpath = os.path.join(out_dir, "grainset.zip")
+        with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+            for root, _dirs, files in os.walk(pkg_dir):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+        try:
+            spark.sparkContext.addPyFile(zpath)
+        except Exception:  # Spark Connect
+            spark.addArtifacts(zpath, pyfile=True)
+        _shipped.add(app)
