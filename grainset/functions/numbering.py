@@ -101,3 +101,24 @@ def with_group_sizes(df: DataFrame, group_cols, name: str = "group_size") -> Dat
     group_cols = list(group_cols)
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(name))
     return _join_on_groups(df, sizes, group_cols)
+
+
+def with_dense_group_rank(df: DataFrame, id_col: str, group_col: str, name: str = "group_idx",
+                          block_rows: int = 1 << 20) -> DataFrame:
+    """0-based rank of each row inside its group, ordered by a *dense, deterministic*
+    integer id (e.g. ``spark.range`` output with a group derived from the id).
+
+    No checkpoint is needed because recomputation yields the same rows: ids are cut
+    into fixed blocks, per (block, group) counts are prefix-summed over blocks (a table
+    with one row per block and group), and the rank inside a block is a window over at
+    most ``block_rows`` rows.
+    """
+    blk = F.floor(F.col(id_col) / F.lit(block_rows)).cast("bigint")
+    keyed = df.withColumn("__blk", blk)
+    counts = keyed.groupBy("__blk", group_col).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group_col).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__blk", group_col, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inner = Window.partitionBy("__blk", group_col).orderBy(id_col)
+    ranked = keyed.withColumn("__r", F.row_number().over(inner) - 1)
+    out = ranked.join(broadcast_if_small(offsets), ["__blk", group_col], "inner")
+    return out.withColumn(name, F.col("__off") + F.col("__r")).drop("__blk", "__r", "__off")

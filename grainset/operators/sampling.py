@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform, order_key
-from ..functions.numbering import with_group_row_index, with_row_index
+from ..functions.numbering import with_dense_group_rank, with_group_row_index, with_row_index
 
 
 def with_epochs(df: DataFrame, num_epochs: int, name: str = "epoch") -> DataFrame:
@@ -144,7 +144,8 @@ def weighted_mix(sources: list[DataFrame], probabilities: list[float], order_col
         cond = u < F.lit(c) if i < len(cum) - 1 else F.lit(True)
         pick = F.when(cond, F.lit(i)) if pick is None else pick.when(cond, F.lit(i))
     draws = draws.withColumn("source", pick)
-    kd = with_group_row_index(draws, ["source"], [F.col("draw")], "__k").withColumn("k", F.col("__k") + 1)
+    # Draws are a pure function of the dense draw id: rank per source without a checkpoint.
+    kd = with_dense_group_rank(draws, "draw", "source", "__k").withColumn("k", F.col("__k") + 1)
     kd = kd.join(F.broadcast(sizes), "source")  # one row per source
     stop = kd.filter(F.col("k") > F.col("__n")).agg(F.min("draw").alias("__stop"))
     kept = kd.crossJoin(F.broadcast(stop)).filter(F.col("__stop").isNull() | (F.col("draw") < F.col("__stop")))

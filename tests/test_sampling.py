@@ -122,3 +122,14 @@ def test_hot_group_is_spread_over_tasks(spark):
     spec = SQ.NGram({0: ["event_id"], 1: ["event_id"]}, 10 ** 9, "event_id")
     seq = SQ.ngram(df.filter("user_id = 0"), spec, ["user_id"], ["event_id"], bucket_rows=1024)
     assert seq.count() == n // 3 - 1
+
+
+def test_dense_group_rank(spark):
+    from grainset.functions.numbering import with_dense_group_rank
+
+    df = spark.range(5000).select(F.col("id"), (F.col("id") % 7 == 0).cast("int").alias("g"))
+    out = with_dense_group_rank(df, "id", "g", "k", block_rows=300).collect()
+    for g in (0, 1):
+        ids = sorted(r["id"] for r in out if r["g"] == g)
+        got = {r["id"]: r["k"] for r in out if r["g"] == g}
+        assert [got[i] for i in ids] == list(range(len(ids)))
