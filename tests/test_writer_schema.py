@@ -207,3 +207,23 @@ def test_converter_batches_and_metadata_report(spark, tmp_dir):
     text, rep = W.metadata_report(spark, path, skip_indexes=["x_index"])
     assert "id" in text and rep.select("index_name").distinct().collect()[0][0] == "id_index"
     assert rep.count() == 70
+
+
+def test_vectors_codec_and_expression_index(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from grainset.operators import rowgroups as RG
+    from grainset.operators.projection import ColumnCodec, vectors_to_arrays
+
+    df = spark.createDataFrame([(0, Vectors.dense([1.0, 2.0]), Vectors.sparse(3, [1], [5.0]))], ["id", "v", "s"])
+    arr = vectors_to_arrays(df, "float32")
+    assert arr.schema["v"].dataType == T.ArrayType(T.FloatType(), False)
+    r = arr.first()
+    assert r["v"] == [1.0, 2.0] and r["s"] == [0.0, 5.0, 0.0]
+    codec = ColumnCodec(lambda c: F.to_json(c), lambda c: F.from_json(c, "array<int>"), T.StringType())
+    enc = codec.encode_df(spark.createDataFrame([([1, 2],)], "a array<int>"), "a")
+    assert enc.schema["a"].dataType == T.StringType() and codec.decode_df(enc, "a").first()["a"] == [1, 2]
+    rows = spark.createDataFrame([(0, "a b"), (1, "b"), (1, "c")], "piece_id long, text string")
+    idx = RG.build_indexes(rows, [RG.ExpressionIndexer("words", F.split("text", " "))])
+    got = {r["value"]: r["piece_ids"] for r in idx.collect()}
+    assert got == {"a": [0], "b": [0, 1], "c": [1]}
