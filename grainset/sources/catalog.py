@@ -45,7 +45,8 @@ def _footer_rows(batches):
         for file_path, root in zip(pdf["file_path"], pdf["root"]):
             with _open_for_footer(file_path) as fh:
                 md = pq.ParquetFile(fh).metadata
-            rel = unquote(file_path)[len(unquote(root)):].lstrip("/")
+            fp, rp = unquote(urlparse(file_path).path), unquote(urlparse(root).path).rstrip("/") + "/"
+            rel = fp[len(rp):] if fp.startswith(rp) else fp.lstrip("/")
             first = 0
             for g in range(md.num_row_groups):
                 rg = md.row_group(g)

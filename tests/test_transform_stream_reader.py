@@ -159,3 +159,24 @@ def test_selector_prunes_files(spark, tmp_dir):
     pieces = spec.selector.pieces(W.load_dataset_indexes(spark, path))
     scan = _pruned_scan(spark, [url], W.load_catalog(spark, path), pieces)
     assert len(scan.inputFiles()) == 1  # only the file holding block 2 is scanned
+
+
+def test_golden_ngram_through_reader(spark, tmp_dir):
+    path = tmp_dir + "/golden"
+    ids = [0, 3, 8, 10, 11, 20, 23]
+    # One file (one row group) per partition value, as in the reference fixture.
+    spark.createDataFrame([(i, f"p_{i // 10}") for i in ids], "id long, partition_key string").coalesce(1).write.partitionBy(
+        "partition_key").parquet(path)
+    out = read_dataset(spark, DatasetSpec("file://" + path, fields=["id"], ngram=NGram({0: ["id"], 1: ["id"]}, 4, "id")))
+    assert sorted((r["t0"]["id"], r["t1"]["id"]) for r in out.collect()) == [(0, 3), (10, 11), (20, 23)]
+
+
+def test_ngram_scope_is_the_row_group(spark, tmp_dir):
+    from grainset.sources.catalog import row_group_catalog
+
+    path = tmp_dir + "/groups"
+    spark.range(6000).coalesce(1).write.option("parquet.block.size", "8192").parquet(path)
+    sizes = [r["num_rows"] for r in row_group_catalog(spark, path).collect()]
+    assert len(sizes) > 1
+    out = read_dataset(spark, DatasetSpec("file://" + path, fields=["id"], ngram=NGram({0: ["id"], 1: ["id"]}, 1, "id")))
+    assert out.count() == sum(n - 1 for n in sizes)
