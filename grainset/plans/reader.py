@@ -45,6 +45,28 @@ def normalize_urls(url_or_urls) -> list[str]:
     return out
 
 
+def _catalog_for(spark: SparkSession, urls: list[str]) -> DataFrame:
+    """Row-group catalog of the dataset: the stored one of a stamped dataset, else built
+    from the footers once and checkpointed (it is used several times and must not be
+    re-read, and its piece ids must stay fixed)."""
+    from pyspark.sql import Window
+
+    from ..session import reliable_checkpoint
+    from ..sources.writer import SIDE_DIR, path_exists
+
+    if len(urls) == 1 and path_exists(spark, f"{urls[0]}/{SIDE_DIR}/catalog"):
+        return spark.read.parquet(f"{urls[0]}/{SIDE_DIR}/catalog")
+    cats = [row_group_catalog(spark, u) for u in urls]
+    cat = cats[0]
+    for c in cats[1:]:
+        cat = cat.unionByName(c)
+    if len(cats) > 1:
+        cat = cat.drop("piece_id").withColumn(
+            "piece_id", (F.row_number().over(Window.orderBy("file_path", "row_group")) - 1).cast("bigint")
+        )
+    return reliable_checkpoint(cat)
+
+
 def _selected_pieces(spark: SparkSession, spec) -> tuple:
     if not spec.index_path:
         raise ValueError("a selector needs index_path")
@@ -103,16 +125,7 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
         df = logical_blocks_by_row(df, spec.block_rows)
         total_pieces = None
     else:
-        cats = [row_group_catalog(spark, u) for u in urls]
-        cat = cats[0]
-        for c in cats[1:]:
-            cat = cat.unionByName(c)
-        if len(cats) > 1:
-            from pyspark.sql import Window
-
-            cat = cat.drop("piece_id").withColumn(
-                "piece_id", (F.row_number().over(Window.orderBy("file_path", "row_group")) - 1).cast("bigint")
-            )
+        cat = _catalog_for(spark, urls)
         scanned_groups = False
         if spec.selector is not None:
             index, pieces = _selected_pieces(spark, spec)
