@@ -74,3 +74,18 @@ def test_row_index_equals_sequential(spark, n, parts, dup):
     out = with_row_index(df, [F.col("g"), F.col("id")], "i", num_partitions=parts).collect()
     expect = {key: i for i, key in enumerate(sorted((r["g"], r["id"]) for r in out))}
     assert all(r["i"] == expect[(r["g"], r["id"])] for r in out)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(ts=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40)), min_size=1, max_size=60),
+       length=st.integers(1, 3), thr=st.integers(0, 6))
+def test_no_overlap_distributed_equals_sequential(spark, ts, length, thr):
+    from grainset.operators import sequences as SQ
+
+    rows = [(scope, t, i) for i, (scope, t) in enumerate(ts)]
+    df = spark.createDataFrame(rows, "scope int, t long, rid long")
+    spec = SQ.NGram({k: ["rid"] for k in range(length)}, thr, "t", timestamp_overlap=False)
+    a = SQ.ngram_no_overlap(df, spec, ["scope"], ["t", "rid"], method="grouped")
+    b = SQ.ngram_no_overlap(df, spec, ["scope"], ["t", "rid"], method="distributed", bucket_rows=8)
+    key = lambda r: (r["scope"], r["t0"]["rid"])
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
