@@ -227,3 +227,16 @@ def test_vectors_codec_and_expression_index(spark):
     idx = RG.build_indexes(rows, [RG.ExpressionIndexer("words", F.split("text", " "))])
     got = {r["value"]: r["piece_ids"] for r in idx.collect()}
     assert got == {"a": [0], "b": [0, 1], "c": [1]}
+
+
+def test_cli_copy_stamp_index_report(spark, tmp_dir, capsys):
+    from grainset import cli
+
+    src = tmp_dir + "/cli_src"
+    spark.range(50).select(F.col("id"), (F.col("id") % 5).alias("m")).write.parquet(src)
+    dst = tmp_dir + "/cli_dst"
+    assert cli.main(["copy", src, dst, "--field-regex", "id", "m", "--partition-count", "2"]) == 0
+    assert cli.main(["index", dst, "--field", "m"]) == 0
+    assert cli.main(["report", dst, "--print-values"]) == 0
+    out = capsys.readouterr().out
+    assert "index m_index: 5 values" in out
