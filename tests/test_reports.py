@@ -176,3 +176,12 @@ def test_measures_map_last_wins(spark):
                                "measures array<struct<metric:string,value:string>>")
     m = df.select(M.measures_to_map().alias("m")).first()["m"]
     assert m == {"a": "3", "b": "2"}
+
+
+def test_metric_sink_roundtrip(spark, json_dir, tmp_dir):
+    df = M.clean_metric_records(M.read_metric_records(spark, json_dir)).select(
+        "commit_hash", "author", "date_text", "comment_lines")
+    out = os.path.join(tmp_dir, "metrics_out")
+    M.write_metric_records(df, out)
+    back = spark.read.json(out)
+    assert back.count() == df.count() and "commit_hash" in back.columns

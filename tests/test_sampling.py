@@ -133,3 +133,16 @@ def test_dense_group_rank(spark):
         ids = sorted(r["id"] for r in out if r["g"] == g)
         got = {r["id"]: r["k"] for r in out if r["g"] == g}
         assert [got[i] for i in ids] == list(range(len(ids)))
+
+
+def test_shuffle_analysis_dataset(spark, tmp_dir):
+    from grainset.sources.catalog import row_group_catalog
+    from grainset.sources.synthetic import shuffle_analysis_dataset
+
+    path = tmp_dir + "/shuf"
+    df = shuffle_analysis_dataset(spark, path, num_rows=1000, row_group_size=100)
+    assert df.count() == 1000
+    cat = row_group_catalog(spark, path).collect()
+    assert len(cat) == 10 and all(r["num_rows"] == 100 for r in cat)
+    q = X.shuffle_quality(df, "id", runs=3, seed=2).first()
+    assert q["mean_abs_corr"] < 0.2
