@@ -62,3 +62,17 @@ def unbatch(batches: DataFrame, columns: list[str]) -> DataFrame:
     return batches.select("batch_id", z.alias("__z")).select(
         "batch_id", *[F.col("__z")[c].alias(c) for c in columns]
     )
+
+
+def piece_batches(df: DataFrame, columns: list[str], order: list, piece_col: str = "piece_id") -> DataFrame:
+    """One batch per row group (the columnar reader's unit): arrays of each column in the
+    piece's row order. Pieces are bounded by the row-group size, so each group fits a task."""
+    grouped = df.groupBy(piece_col).agg(
+        F.sort_array(F.collect_list(F.struct(*[F.col(o) if isinstance(o, str) else o for o in order],
+                                             *[F.col(c).alias(f"__c_{c}") for c in columns]))).alias("__rows")
+    )
+    return grouped.select(
+        piece_col,
+        F.size("__rows").alias("batch_rows"),
+        *[F.col("__rows").getField(f"__c_{c}").alias(c) for c in columns],
+    )

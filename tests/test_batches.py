@@ -23,3 +23,10 @@ def test_stack_matrix_requires_equal_lengths(spark):
     bad = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "id long, x array<double>")
     with pytest.raises(Exception, match="must be equal"):
         B.stack_matrix(B.batch_rows(bad, 2, [F.col("id")], ["x"]), "x").collect()
+
+
+def test_piece_batches_follow_row_groups(spark):
+    df = spark.range(25).select(F.col("id"), F.floor(F.col("id") / 10).alias("piece_id"), (F.col("id") * 3).alias("v"))
+    out = {r["piece_id"]: r for r in B.piece_batches(df, ["id", "v"], ["id"]).collect()}
+    assert [out[p]["batch_rows"] for p in (0, 1, 2)] == [10, 10, 5]
+    assert out[1]["id"] == list(range(10, 20)) and out[2]["v"] == [60, 63, 66, 69, 72]
