@@ -1019,3 +1019,14 @@ def q_ngram_no_overlap_users(spark, sf):
     spec = SQ.NGram({0: ["event_id", "ts"], 1: ["event_id"]}, 3600, "ts", timestamp_overlap=False)
     seq = SQ.ngram_no_overlap(e, spec, ["user_id"], ["ts", "event_id"], method="distributed")
     return SQ.flatten_ngram(seq, spec)
+
+
+@register(
+    "piece_batches",
+    f"""SELECT {_PIECE_SQL} AS piece_id, CAST(count(*) AS INTEGER) AS batch_rows,
+               list(event_id ORDER BY event_id) AS event_id, list(value ORDER BY event_id) AS value
+        FROM events GROUP BY 1""",
+)
+def q_piece_batches(spark, sf):
+    e = events_pieces(spark, sf).select("piece_id", "event_id", "value")
+    return B.piece_batches(e, ["event_id", "value"], ["event_id"])
