@@ -96,6 +96,7 @@ class DatasetSpec:
     row_key: list = field(default_factory=list)
     strict_predicate_fields: bool = True
     row_group_scan: bool = False  # read selected row groups only (no hive partition columns)
+    global_positions: bool = True  # False: return sort keys instead of numbering (no checkpoint)
 
 
 def _pruned_scan(spark: SparkSession, urls: list[str], catalog: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -171,6 +172,12 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     order = X.read_order(df, [c for c in row_key if c != "piece_id"], "piece_id", "epoch",
                          spec.shuffle_row_groups, spec.shuffle_rows, spec.seed, part_col)
     keep = ["epoch", "piece_id", *([part_col] if part_col else []), *selected]
+    if not spec.global_positions:
+        if spec.ngram is not None or spec.transform is not None:
+            raise ValueError("sequences and transforms need global_positions=True")
+        # Sort keys only: sortWithinPartitions(order_key*) or a range write gives the order
+        # without materialising a global numbering.
+        return df.select(*[k.alias(f"order_key{i}") for i, k in enumerate(order)], *keep)
     ordered = X.ordered_positions(df, order, "position").select("position", *keep)
     if spec.transform is not None:
         ordered = apply_transform(ordered, spec.transform)

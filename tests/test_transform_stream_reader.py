@@ -180,3 +180,16 @@ def test_ngram_scope_is_the_row_group(spark, tmp_dir):
     assert len(sizes) > 1
     out = read_dataset(spark, DatasetSpec("file://" + path, fields=["id"], ngram=NGram({0: ["id"], 1: ["id"]}, 1, "id")))
     assert out.count() == sum(n - 1 for n in sizes)
+
+
+def test_reader_without_global_positions(spark, tmp_dir):
+    path = tmp_dir + "/nopos"
+    spark.range(300).select(F.col("id")).coalesce(1).write.parquet(path)
+    spec = DatasetSpec("file://" + path, fields=["id"], block_rows=50, num_epochs=2, shuffle_row_groups=True,
+                       shuffle_rows=True, seed=3)
+    with_pos = [r["id"] for r in read_dataset(spark, spec).orderBy("position").collect()]
+    spec.global_positions = False
+    keyed = read_dataset(spark, spec)
+    keys = [c for c in keyed.columns if c.startswith("order_key")]
+    assert [r["id"] for r in keyed.orderBy(*keys).collect()] == with_pos
+    assert "ExistingRDD" not in keyed._jdf.queryExecution().executedPlan().toString()
