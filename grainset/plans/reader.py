@@ -22,7 +22,7 @@ from ..operators.projection import resolve_fields
 from ..operators.sequences import NGram, ngram, ngram_no_overlap
 from ..operators.transform import TransformSpec, apply_transform
 from ..session import broadcast_if_small
-from ..sources.catalog import attach_pieces, logical_blocks_by_row, row_group_catalog
+from ..sources.catalog import attach_pieces, logical_blocks_by_row, max_groups_per_file, row_group_catalog
 from ..sources.rowgroup_scan import scan_row_groups
 
 
@@ -142,7 +142,7 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
                 df = df.withColumn("__fp", F.col("_metadata.file_path")).withColumn(
                     "__ri", F.col("_metadata.row_index"))
         if not scanned_groups:
-            df = attach_pieces(df, cat)
+            df = attach_pieces(df, cat, max_groups_per_file=max_groups_per_file(cat))
         # The too-many-shards check uses the total row-group count (metadata-sized).
         total_pieces = cat.count() if spec.shard_count is not None else None
     if spec.selector is not None:

@@ -12,6 +12,7 @@ with many row groups never multiplies rows in the join.
 
 from __future__ import annotations
 
+import math
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
@@ -100,20 +101,41 @@ def _file_table(catalog: DataFrame) -> DataFrame:
     )
 
 
-def attach_pieces(df: DataFrame, catalog: DataFrame, name: str = "piece_id") -> DataFrame:
+def attach_pieces(df: DataFrame, catalog: DataFrame, name: str = "piece_id",
+                  max_groups_per_file: int | None = None) -> DataFrame:
     """Add the row-group ``piece_id`` to rows scanned from the catalogued dataset.
 
     ``df`` must come straight from ``spark.read.parquet`` of the same dataset (it uses
-    the ``_metadata`` file path and row index of each row).
+    the ``_metadata`` file path and row index of each row). The row group of a row is
+    found in its file's sorted first-row offsets: by a linear count for few groups per
+    file, or, when ``max_groups_per_file`` is given and large, by a binary search of
+    ceil(log2(G)) steps (map-side, no shuffle).
     """
     files = broadcast_if_small(_file_table(catalog))
     tagged = df.withColumn("__afp", F.col("_metadata.file_path")).withColumn("__ari", F.col("_metadata.row_index"))
     joined = tagged.join(files, tagged["__afp"] == files["file_path"], "inner")
-    ordinal = F.size(F.filter(F.col("__starts"), lambda s: s <= F.col("__ari"))) - F.lit(1)
-    out = joined.withColumn(name, F.col("__base") + ordinal.cast("bigint"))
+    if max_groups_per_file is None or max_groups_per_file <= 16:
+        ordinal = F.size(F.filter(F.col("__starts"), lambda s: s <= F.col("__ari"))) - F.lit(1)
+        out = joined.withColumn(name, F.col("__base") + ordinal.cast("bigint"))
+    else:
+        # Largest i with starts[i] <= row index; starts[0] = 0, so i exists.
+        out = joined.withColumn("__lo", F.lit(0)).withColumn("__hi", F.size("__starts") - 1)
+        for _ in range(int(math.ceil(math.log2(max_groups_per_file))) + 1):
+            mid = ((F.col("__lo") + F.col("__hi") + 1) / 2).cast("int")
+            fits = F.try_element_at(F.col("__starts"), mid + 1) <= F.col("__ari")
+            out = out.withColumn("__mid", mid).withColumn("__fit", F.coalesce(fits, F.lit(False)))
+            out = out.withColumn("__lo", F.when(F.col("__fit"), F.col("__mid")).otherwise(F.col("__lo"))).withColumn(
+                "__hi", F.when(F.col("__fit"), F.col("__hi")).otherwise(F.col("__mid") - 1))
+        out = out.withColumn(name, F.col("__base") + F.col("__lo").cast("bigint")).drop(
+            "__lo", "__hi", "__mid", "__fit")
     return out.drop("__afp", "__ari", "__starts", "__base", "file_path")
 
 
+def max_groups_per_file(catalog: DataFrame) -> int:
+    """Largest number of row groups in one file (a metadata-sized aggregate)."""
+    return int(catalog.groupBy("file_path").count().agg(F.max("count")).first()[0] or 0)
+
+
 def logical_blocks(block_col: Column, name: str = "piece_id") -> Column:
     """Piece id from a row key when files hold one row group (fixed-size logical blocks)."""
     return block_col.cast("bigint").alias(name)

@@ -122,3 +122,16 @@ def test_row_group_scan_reads_only_selected_groups(spark, tmp_dir):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expect.collect()))
     n_groups = cat.count()
     assert got.rdd.getNumPartitions() == 2 < n_groups
+
+
+def test_attach_binary_search_matches_linear(spark, tmp_dir):
+    path = tmp_dir + "/many groups"
+    spark.range(30000).select(F.col("id"), (F.col("id") * 7 % 13).alias("m")).coalesce(1).write.option(
+        "parquet.block.size", "4096").parquet(path)
+    cat = CAT.row_group_catalog(spark, path)
+    g = CAT.max_groups_per_file(cat)
+    assert g > 16
+    data = spark.read.parquet(path)
+    lin = {r["id"]: r["piece_id"] for r in CAT.attach_pieces(data, cat).select("id", "piece_id").collect()}
+    bs = {r["id"]: r["piece_id"] for r in CAT.attach_pieces(data, cat, max_groups_per_file=g).select("id", "piece_id").collect()}
+    assert lin == bs and len(bs) == 30000
