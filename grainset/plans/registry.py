@@ -1030,3 +1030,19 @@ def q_ngram_no_overlap_users(spark, sf):
 def q_piece_batches(spark, sf):
     e = events_pieces(spark, sf).select("piece_id", "event_id", "value")
     return B.piece_batches(e, ["event_id", "value"], ["event_id"])
+
+
+@register("rowgroup_scan_select", "SELECT event_id, event_type, value FROM events")
+def q_rowgroup_scan_select(spark, sf):
+    # Index the real Parquet row groups, select those holding 'click' events (every row
+    # group here), and read exactly the selected row groups through the data source.
+    from ..sources.rowgroup_scan import scan_row_groups
+
+    path = f"{sf}/events.parquet"
+    cat = CAT.row_group_catalog(spark, path)
+    rows = CAT.attach_pieces(spark.read.parquet(path), cat)
+    index = RG.build_indexes(rows, [RG.SingleFieldIndexer("by_type", "event_type")])
+    pieces = RG.SingleIndexSelector("by_type", ["click"]).pieces(index)
+    schema = T.StructType([f for f in table(spark, sf, "events").schema.fields
+                           if f.name in ("event_id", "event_type", "value")])
+    return scan_row_groups(spark, cat, pieces, schema).drop("piece_id")

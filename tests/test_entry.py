@@ -37,11 +37,11 @@ sys.path.insert(0, {repo!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 import __spark_entry__ as E
-for name in ("transform_batch", "rowgroup_catalog", "ngram_no_overlap", "buffer_shuffle_rows"):
+for name in ("transform_batch", "rowgroup_catalog", "ngram_no_overlap", "buffer_shuffle_rows", "rowgroup_scan_select"):
     print(name, E.queries()[name](spark, "/root/testdata/sf0.001").count())
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", script], cwd=str(tmp_path), env=env, capture_output=True,
                          text=True, timeout=600)
     assert out.returncode == 0, out.stderr[-2000:]
-    assert out.stdout.count("\n") == 4
+    assert out.stdout.count("\n") == 5
