@@ -82,18 +82,24 @@ def _join_on_groups(left: DataFrame, stats: DataFrame, group_cols: list[str]) ->
 
 
 def with_group_row_index(
-    df: DataFrame, group_cols, order, name: str = "group_idx", num_partitions: int | None = None
+    df: DataFrame, group_cols, order, name: str = "group_idx", num_partitions: int | None = None,
+    size_name: str | None = None,
 ) -> DataFrame:
     """0-based position inside each group, without one task per group.
 
     A hot group is spread over many range partitions; its first global index is found
-    with a partial (map-side combined) aggregate and subtracted.
+    with a partial (map-side combined) aggregate and subtracted. With ``size_name`` the
+    same aggregate also yields the group size.
     """
     group_cols = list(group_cols)
     g = with_row_index(df, [*group_cols, *order], "__gidx", num_partitions)
-    starts = g.groupBy(*group_cols).agg(F.min("__gidx").alias("__gstart"))
+    aggs = [F.min("__gidx").alias("__gstart")]
+    if size_name:
+        aggs.append(F.count(F.lit(1)).alias(size_name))
+    starts = g.groupBy(*group_cols).agg(*aggs)
     out = _join_on_groups(g, starts, group_cols)
-    return out.select(*df.columns, (F.col("__gidx") - F.col("__gstart")).alias(name))
+    extra = [F.col(size_name)] if size_name else []
+    return out.select(*df.columns, (F.col("__gidx") - F.col("__gstart")).alias(name), *extra)
 
 
 def with_group_sizes(df: DataFrame, group_cols, name: str = "group_size") -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import with_group_row_index, with_group_sizes
+from ..functions.numbering import with_group_row_index
 from ..session import broadcast_if_small
 
 @dataclass
@@ -198,8 +198,7 @@ def subsplit_parts(
     parts whose end lies within ``overlap`` rows before it, so no sequence is lost."""
     if parts < 1:
         raise ValueError("parts must be >= 1")
-    numbered = with_group_row_index(df, [piece_col], order, index_name)
-    sized = with_group_sizes(numbered, [piece_col], "__n")
+    sized = with_group_row_index(df, [piece_col], order, index_name, size_name="__n")
     n = F.col("__n").cast("double")
 
     def part_of(i: Column) -> Column:
