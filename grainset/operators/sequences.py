@@ -97,12 +97,17 @@ def _gap(ts_type, later: Column, earlier: Column) -> Column:
 
 
 def _windows(df: DataFrame, length: int, scope: list[str], order: list, carry: list[str],
-             bucket_rows: int) -> DataFrame:
+             bucket_rows: int, position_col: str | None = None) -> DataFrame:
     """One row per window start: ``__s{j}`` structs of ``carry`` for j = 0..L-1 and a
     flag telling whether all L rows exist in the same scope."""
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    needed = list(dict.fromkeys([*scope, *carry, *[o for o in order if isinstance(o, str)]]))
-    pos = with_row_index(df.select(*needed), [*[F.col(c) for c in scope], *order_cols], "__g")
+    if position_col is not None:
+        # A dense global position, contiguous per scope (e.g. the reader's ``position``).
+        needed = list(dict.fromkeys([*scope, *carry]))
+        pos = df.select(*needed, F.col(position_col).alias("__g"))
+    else:
+        order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+        needed = list(dict.fromkeys([*scope, *carry, *[o for o in order if isinstance(o, str)]]))
+        pos = with_row_index(df.select(*needed), [*[F.col(c) for c in scope], *order_cols], "__g")
     row = F.struct(*[F.col(c) for c in carry], *[F.col(c).alias(f"__scope_{i}") for i, c in enumerate(scope)])
     b = F.floor(F.col("__g") / F.lit(bucket_rows)).cast("bigint")
     base = pos.select(F.col("__g"), b.alias("__b"), row.alias("__row"))
@@ -125,12 +130,15 @@ def _windows(df: DataFrame, length: int, scope: list[str], order: list, carry: l
 
 
 def ngram(df: DataFrame, spec: NGram, scope: list[str], order: list | None = None,
-          bucket_rows: int = BUCKET_ROWS, check_sorted: bool = True) -> DataFrame:
+          bucket_rows: int = BUCKET_ROWS, check_sorted: bool = True,
+          position_col: str | None = None) -> DataFrame:
     """All sliding windows of ``spec`` inside each scope.
 
     Output: one row per window with the scope columns, ``start_pos`` (global position)
     and one struct column per timestep key that has fields (named ``t0``, ``t1``,
     ``t_m1`` for -1, ...). ``order`` defaults to (timestamp, then the key fields).
+    ``position_col``: an existing dense 0-based position, contiguous per scope and
+    following ``order`` (as the reader's ``position``); it replaces the numbering pass.
     """
     if not spec.timestamp_overlap:
         raise ValueError("use ngram_no_overlap for timestamp_overlap=False")
@@ -139,7 +147,7 @@ def ngram(df: DataFrame, spec: NGram, scope: list[str], order: list | None = Non
     order = order or [ts]
     L = spec.length
     carry = list(dict.fromkeys([ts, *spec.all_fields()]))
-    win = _windows(df, L, scope, order, carry, bucket_rows).filter("__complete")
+    win = _windows(df, L, scope, order, carry, bucket_rows, position_col).filter("__complete")
     ts_type = df.schema[ts].dataType
     ok = F.lit(True)
     unsorted = F.lit(False)
@@ -296,7 +304,7 @@ def _greedy_starts_distributed(slim: DataFrame, L: int, thr: float, bucket_rows:
 
 def ngram_no_overlap(df: DataFrame, spec: NGram, scope: list[str], order: list | None = None,
                      max_scope_rows: int | None = MAX_SCOPE_ROWS, method: str = "auto",
-                     bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+                     bucket_rows: int = BUCKET_ROWS, position_col: str | None = None) -> DataFrame:
     """Greedy non-overlapping windows: scanning left to right inside a scope, a window
     is taken when its gaps pass and its first timestamp is *greater* than the last
     taken window's end.
@@ -313,8 +321,11 @@ def ngram_no_overlap(df: DataFrame, spec: NGram, scope: list[str], order: list |
     L = spec.length
     ts_type = df.schema[ts].dataType
     carry = list(dict.fromkeys([ts, *spec.all_fields()]))
-    pos = with_row_index(df, [*[F.col(c) for c in scope], *[F.col(o) if isinstance(o, str) else o for o in order]],
-                         "__o")
+    if position_col is not None:
+        pos = df.withColumn("__o", F.col(position_col))
+    else:
+        pos = with_row_index(df, [*[F.col(c) for c in scope],
+                                  *[F.col(o) if isinstance(o, str) else o for o in order]], "__o")
     scope_key = F.to_json(F.struct(*[F.col(c) for c in scope]))
     tcol = F.col(ts)
     if isinstance(ts_type, T.DateType):

@@ -183,7 +183,8 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
         ordered = apply_transform(ordered, spec.transform)
     if spec.ngram is not None:
         scope = ["epoch", "piece_id"] + ([part_col] if part_col else [])
+        # Reader positions are dense and contiguous per scope: no second numbering pass.
         if spec.ngram.timestamp_overlap:
-            return ngram(ordered, spec.ngram, scope, ["position"])
-        return ngram_no_overlap(ordered, spec.ngram, scope, ["position"])
+            return ngram(ordered, spec.ngram, scope, ["position"], position_col="position")
+        return ngram_no_overlap(ordered, spec.ngram, scope, ["position"], position_col="position")
     return ordered
