@@ -68,9 +68,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing ``df`` as a Parquet table in the shared checkpoint folder
+    and reading it back: later passes are columnar (a count reads one column) and the
+    files survive executor loss. Falls back to ``DataFrame.checkpoint`` when the table
+    cannot be written as Parquet (e.g. column names Parquet rejects)."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        return df.checkpoint(eager=True)
+    path = f"{base.rstrip('/')}/grainset-{uuid.uuid4().hex}"
+    try:
+        df.write.mode("error").parquet(path)
+    except Exception:  # noqa: BLE001 - unsupported names/types: use the RDD checkpoint
+        return df.checkpoint(eager=True)
+    return spark.read.parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
