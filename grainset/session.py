@@ -83,9 +83,43 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
         df.write.mode("error").parquet(path)
     except Exception:  # noqa: BLE001 - unsupported names/types: use the RDD checkpoint
         return df.checkpoint(eager=True)
+    _track_table(spark, path)
     return spark.read.parquet(path)
 
 
+_tables: list = []
+_tables_lock = threading.Lock()
+_atexit_registered = [False]
+
+
+def _track_table(spark: SparkSession, path: str) -> None:
+    import atexit
+
+    with _tables_lock:
+        _tables.append(path)
+        if not _atexit_registered[0]:
+            _atexit_registered[0] = True
+            atexit.register(lambda: cleanup_checkpoints(spark))
+
+
+def cleanup_checkpoints(spark: SparkSession) -> int:
+    """Delete the numbering tables this driver wrote into the checkpoint folder (Spark's
+    checkpoint cleaner only handles RDD checkpoints). Call it when the results that
+    depend on them are written; it also runs, best effort, when the driver exits."""
+    removed = 0
+    with _tables_lock:
+        paths = list(_tables)
+        _tables.clear()
+    for path in paths:
+        try:
+            jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if jp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jp, True):
+                removed += 1
+        except Exception:  # noqa: BLE001 - session already stopped or Spark Connect
+            pass
+    return removed
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate for the optimized plan (None when unknown)."""
     try:

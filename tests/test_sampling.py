@@ -146,3 +146,13 @@ def test_shuffle_analysis_dataset(spark, tmp_dir):
     assert len(cat) == 10 and all(r["num_rows"] == 100 for r in cat)
     q = X.shuffle_quality(df, "id", runs=3, seed=2).first()
     assert q["mean_abs_corr"] < 0.2
+
+
+def test_cleanup_numbering_tables(spark):
+    from grainset.session import _tables, cleanup_checkpoints, ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    before = len(_tables)
+    out = with_row_index(spark.range(100), [F.col("id")], "i")
+    assert out.count() == 100 and len(_tables) > before
+    assert cleanup_checkpoints(spark) >= 1 and not _tables
