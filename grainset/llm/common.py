@@ -165,7 +165,7 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def sizes(df: DataFrame) -> tuple[int, int]:
-    """(shuffle partitions, chunks): partitions of at most four chunks' text each."""
+    """(shuffle partitions, chunks): four chunks to a partition."""
     raw = (estimated_bytes(df) or 0) * TEXT_PER_FILE_BYTE
     parts = max(shuffle_partitions(df), math.ceil(raw / (4 * CHUNK_BYTES)))
     return parts, parts * 4

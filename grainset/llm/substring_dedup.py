@@ -249,7 +249,7 @@ def _remove(window):
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): kept words joined by one space."""
-    _, chunks = sizes(docs)
+    buckets, _ = sizes(docs)
     dealt = chunked(docs, id_col, text_col)
     copies = later_copies(docs, id_col, text_col).selectExpr("chunk", "0 kind", "doc_id", "tk blob")
 
@@ -261,8 +261,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     def each(side: DataFrame, fn, schema: str) -> DataFrame:
         return dealt.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(fn, schema)
 
-    anchors = shared_keys(each(beside(None), _send_anchors(window, chunks), PACKED))
-    windows = each(beside(anchors), _send_windows(window, chunks), PACKED)
+    anchors = shared_keys(each(beside(None), _send_anchors(window, buckets), PACKED))
+    windows = each(beside(anchors), _send_windows(window, buckets), PACKED)
     smaller = windows.groupBy("p").applyInArrow(_smallest, LISTS)
     return each(beside(smaller), _remove(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
