@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (
@@ -50,7 +50,9 @@ LENGTH = 100
 GRAM = 40
 MOST_CONTEXTS = 20_000
 SIDE = "chunk long, kind int, doc long, pos long, c1 long, c2 long, mask long, blob binary"
-CONTEXTS = "ak long, c1 long, c2 long, doc long, pos long, chunk long, body binary"
+FOUND = "ak long, c1 long, c2 long, doc long, pos long, len long, chunk long"
+MASKS = "c1 long, c2 long, ak long, len long, mask long"
+BODIES = "p int, ak long, c1 long, c2 long, doc long, pos long, body binary"
 _U = np.uint64
 
 
@@ -135,42 +137,66 @@ def _earliest(c1, c2, doc, pos):
 
 
 def _send_contexts(length, gram):
-    schema = pa.schema([(x, pa.int64()) for x in ("ak", "c1", "c2", "doc", "pos", "chunk")] + [("body", pa.binary())])
+    names = ("ak", "c1", "c2", "doc", "pos", "len")
+    schema = pa.schema([(x, pa.int64()) for x in (*names, "chunk")])
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         lists = [b for k, b in zip(side.column("kind").to_pylist(), side.column("blob").to_pylist()) if k == 1]
         if not docs.num_rows or not lists:
             return schema.empty_table()
-        chunk = docs.column("chunk")[0].as_py()
         shared = np.sort(np.concatenate([np.frombuffer(b, _U) for b in lists]))
-        cols = {x: [] for x in ("ak", "c1", "c2", "doc", "pos", "run", "lo", "hi")}
-        bufs = []
+        cols = {x: [] for x in names}
         for _, ids, buf, bounds in _runs(docs, _side_copies(side)):
             c = Contexts(buf, bounds, length, gram)
             c.pick(in_sorted(c.key, shared))
-            if not len(c.lo):
-                continue
-            c1, c2 = c.hashes()
-            for name, value in (("ak", c.key), ("c1", c1), ("c2", c2), ("doc", ids[c.doc]), ("pos", c.places()),
-                                ("run", np.full(len(c.lo), len(bufs))), ("lo", c.lo), ("hi", c.hi + length)):
+            for name, value in zip(names, (c.key, *c.hashes(), ids[c.doc], c.places(), c.hi + length - c.lo)):
                 cols[name].append(value)
-            bufs.append(buf)
-        if not bufs:
+        if not cols["ak"]:
             return schema.empty_table()
         v = {k: np.concatenate(x) for k, x in cols.items()}
         order, new = _earliest(v["c1"], v["c2"], v["doc"], v["pos"])
         pick = order[new]
-        pick = pick[np.lexsort((v["lo"][pick], v["run"][pick]))]
-        bodies, total = [], [0]
-        for r, lo, hi in zip(v["run"][pick].tolist(), v["lo"][pick].tolist(), v["hi"][pick].tolist()):
-            bodies.append(bufs[r][lo:hi])
-            total.append(total[-1] + hi - lo)
-        body = pa.BinaryArray.from_buffers(
-            pa.binary(), len(pick),
-            [None, pa.py_buffer(np.array(total, np.int32)), pa.py_buffer(np.ascontiguousarray(np.concatenate(bodies)))],
-        )
-        out = {k: pa.array(v[k][pick].view(np.int64)) for k in ("ak", "c1", "c2", "doc", "pos")}
-        return pa.table(out | {"chunk": pa.array(np.full(len(pick), chunk)), "body": body}, schema=schema)
+        out = {k: pa.array(v[k][pick].view(np.int64)) for k in names}
+        return pa.table(out | {"chunk": pa.array(np.full(len(pick), docs.column("chunk")[0].as_py()))}, schema=schema)
+
+    return run
+
+
+def _send_bodies(buckets, most):
+    """The bytes of the asked-for contexts; the hash tells texts of one doc_id apart.
+    Contexts of an anchor with more than ``most`` are dealt apart, to buckets of their own."""
+    schema = pa.schema(
+        [("p", pa.int32())] + [(x, pa.int64()) for x in ("ak", "c1", "c2", "doc", "pos")] + [("body", pa.binary())]
+    )
+
+    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+        if not docs.num_rows or not side.num_rows:
+            return schema.empty_table()
+        ask = {x: side.column(x).to_numpy() for x in ("doc", "pos", "c1", "c2", "ak", "len", "count")}
+        order = np.argsort(ask["doc"], kind="stable")
+        ask = {k: v[order] for k, v in ask.items()}
+        rows, bodies, seen = [], [], np.zeros(len(order), dtype=bool)
+        for _, ids, buf, bounds in _runs(docs, set()):
+            lo, hi = np.searchsorted(ask["doc"], ids, "left"), np.searchsorted(ask["doc"], ids, "right")
+            doc = np.repeat(np.arange(len(ids)), hi - lo)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[doc]
+            start = bounds[doc] + ask["pos"][at]
+            end = start + ask["len"][at]
+            ok = ~seen[at] & (end <= bounds[doc + 1])
+            at, start, end = at[ok], start[ok], end[ok]
+            ok = BYTES.spans(BYTES.prefix(buf), start, end) == ask["c1"][at].view(_U)
+            at, start, end = at[ok], start[ok], end[ok]
+            _, once = np.unique(at, return_index=True)
+            at, start, end = at[once], start[once], end[once]
+            seen[at] = True
+            rows.append(at)
+            bodies += [buf[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist())]
+        at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        out = {x: pa.array(ask[x][at]) for x in ("ak", "c1", "c2", "doc", "pos")}
+        p = ((ask["ak"][at].view(_U) >> _U(24)) % _U(buckets)).astype(np.int32)
+        apart = buckets + ((ask["c1"][at].view(_U) >> _U(24)) % _U(buckets * 64)).astype(np.int32)
+        p = np.where(ask["count"][at] > most, apart, p)
+        return pa.table({"p": pa.array(p)} | out | {"body": pa.array(bodies, pa.binary())}, schema=schema)
 
     return run
 
@@ -192,14 +218,15 @@ def _string_starts(off, length):
     return ctx, shift, off[:-1][ctx] + shift, count
 
 
-def _index(length):
+def _index(length, buckets):
     """Masks (one bit for each string of a context) of strings that occur earlier in another."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.filter(pc.less(table.column("p"), buckets))
         ak = table.column("ak").to_numpy()
         _, inverse, count = np.unique(ak, return_inverse=True, return_counts=True)
         table = table.take(pa.array(np.flatnonzero(count[inverse] > 1)))
-        c1, c2, masks = table.column("c1").to_numpy(), table.column("c2").to_numpy(), np.zeros(table.num_rows, _U)
+        masks, lens = np.zeros(table.num_rows, _U), pc.binary_length(table.column("body")).to_numpy().astype(np.int64)
         if table.num_rows:
             data, off = _body_arrays(table)
             ctx, shift, at, count = _string_starts(off, length)
@@ -216,17 +243,19 @@ def _index(length):
             bits = np.where(mark, _U(1) << shift.astype(_U), _U(0))
             masks = np.bitwise_or.reduceat(bits, np.cumsum(count) - count)
         on = masks != 0
-        return pa.table({"c1": c1[on], "c2": c2[on], "mask": masks[on].view(np.int64)})
+        out = {x: table.column(x).to_numpy()[on] for x in ("c1", "c2", "ak")}
+        return pa.table(out | {"len": lens[on], "mask": masks[on].view(np.int64)})
 
     return run
 
 
-def _strings(length):
+def _strings(length, buckets):
     """Rows for each string of the contexts of anchors too frequent for one task."""
 
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            table = table.filter(pc.greater_equal(table.column("p"), buckets))
             if not table.num_rows:
                 continue
             data, off = _body_arrays(table)
@@ -236,6 +265,8 @@ def _strings(length):
                 "w2": BYTES_B.spans(BYTES_B.prefix(data), at, at + length).view(np.int64),
                 "doc": table.column("doc").to_numpy()[ctx],
                 "pos": table.column("pos").to_numpy()[ctx] + shift,
+                "ak": table.column("ak").to_numpy()[ctx],
+                "len": np.diff(off)[ctx],
                 "c1": table.column("c1").to_numpy()[ctx],
                 "c2": table.column("c2").to_numpy()[ctx],
                 "bit": (_U(1) << shift.astype(_U)).view(np.int64),
@@ -328,50 +359,50 @@ def suffix_dedup(
     a character. A context holds length - gram + 1 strings at most, so this is 64 or less."""
     if not 0 < gram <= length or length - gram >= 64:
         raise ValueError("gram must be within 63 bytes of length")
-    _, chunks = sizes(docs)
+    parts, _ = sizes(docs)
     dealt = chunked(docs, id_col, text_col)
-    empty = "cast(null as long)"
+    none = "cast(null as long)"
     copies = later_copies(docs, id_col, text_col).selectExpr(
-        "chunk", "0 kind", "doc_id doc", f"{empty} pos", f"{empty} c1", f"{empty} c2", f"{empty} mask", "tk blob"
+        "chunk", "0 kind", "doc_id doc", f"{none} pos", f"{none} c1", f"{none} c2", f"{none} mask", "tk blob"
     )
 
     def each(side: DataFrame, fn, schema: str) -> DataFrame:
         return dealt.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(fn, schema)
 
-    anchors = shared_keys(each(copies, _send_anchors(length, gram, chunks), PACKED))
+    anchors = shared_keys(each(copies, _send_anchors(length, gram, parts), PACKED))
     lists = anchors.selectExpr(
-        "chunk", "1 kind", f"{empty} doc", f"{empty} pos", f"{empty} c1", f"{empty} c2", f"{empty} mask", "keys blob"
+        "chunk", "1 kind", f"{none} doc", f"{none} pos", f"{none} c1", f"{none} c2", f"{none} mask", "keys blob"
     )
-    found = each(copies.unionAll(lists), _send_contexts(length, gram), CONTEXTS)
-    distinct = found.groupBy("c1", "c2").agg(
-        F.min(F.struct("doc", "pos", "ak", "body")).alias("first"), F.count(F.lit(1)).alias("n")
-    )
-    distinct = distinct.select("c1", "c2", "n", "first.doc", "first.pos", "first.ak", "first.body")
-    hot = distinct.groupBy("ak").count().where(F.col("count") > most_contexts).select("ak")
-    bucketed = distinct.join(hot, "ak", "left_anti").withColumn("p", F.pmod(F.xxhash64("ak"), F.lit(chunks)))
-    masks = (
-        bucketed.select("p", "ak", "c1", "c2", "doc", "pos", "body")
-        .groupBy("p")
-        .applyInArrow(_index(length), "c1 long, c2 long, mask long")
-    )
-    strings = (
-        distinct.join(hot, "ak", "left_semi")
-        .select("c1", "c2", "doc", "pos", "body")
-        .mapInArrow(_strings(length), "w1 long, w2 long, doc long, pos long, c1 long, c2 long, bit long")
+    found = each(copies.unionAll(lists), _send_contexts(length, gram), FOUND)
+    # A context occurs at most once for each chunk here, so its group is small.
+    same = Window.partitionBy("c1", "c2")
+    found = found.withColumn("first", F.min(F.struct("doc", "pos")).over(same))
+    found = found.withColumn("n", F.count(F.lit(1)).over(same))
+    distinct = found.where(F.struct("doc", "pos") == F.col("first")).drop("first", "n")
+    count = distinct.groupBy("ak").count().where("count > 1")
+    asked = distinct.join(count, "ak")
+    asked = asked.select("chunk", "doc", "pos", "c1", "c2", "ak", "len", "count")
+    bodies = each(asked, _send_bodies(parts, most_contexts), BODIES).repartition(parts, "p")
+    masks = bodies.groupBy("p").applyInArrow(_index(length, parts), MASKS)
+    strings = bodies.mapInArrow(
+        _strings(length, parts), "w1 long, w2 long, doc long, pos long, ak long, len long, c1 long, c2 long, bit long"
     )
     earliest = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     late = strings.join(earliest.where("n > 1").select("w1", "w2", "first"), ["w1", "w2"]).where(
         F.struct("doc", "pos") != F.col("first")
     )
-    masks = masks.unionAll(late.groupBy("c1", "c2").agg(F.expr("bit_or(bit)").alias("mask")))
-    answer = (
-        distinct.select("c1", "c2", "n", "doc", "pos")
-        .join(masks, ["c1", "c2"], "left")
+    late = late.groupBy("c1", "c2", "ak", "len").agg(F.expr("bit_or(bit)").alias("mask"))
+    masks = masks.unionAll(late.select("c1", "c2", "ak", "len", "mask"))
+    masks = masks.withColumnsRenamed({"ak": "of", "len": "of_len"})
+    # The conditions on ak and len hold wherever c1 and c2 agree; they keep both readers of
+    # ``found`` on the same columns and so on one exchange.
+    back = (
+        found.join(masks, ["c1", "c2"], "left")
+        .where("of is null or (of = ak and of_len = len)")
         .where("n > 1 or mask is not null")
-        .select("c1", "c2", "doc", "pos", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    )
-    back = answer.join(found.select("c1", "c2", "chunk"), ["c1", "c2"]).selectExpr(
-        "chunk", "1 kind", "doc", "pos", "c1", "c2", "mask", "cast(null as binary) blob"
+        .selectExpr(
+            "chunk", "1 kind", "first.doc", "first.pos", "c1", "c2", "coalesce(mask, 0L) mask", "cast(null as binary) blob"
+        )
     )
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     return each(copies.unionAll(back), _remove(length, gram), schema)
