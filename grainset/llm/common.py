@@ -165,10 +165,15 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def sizes(df: DataFrame) -> tuple[int, int]:
-    """(shuffle partitions, chunks): four chunks to a partition."""
+    """(shuffle partitions, chunks): two chunks to a partition. A chunk sends a row to each
+    key bucket, so there are fewer buckets than partitions (``key_buckets``)."""
     raw = (estimated_bytes(df) or 0) * TEXT_PER_FILE_BYTE
     parts = max(shuffle_partitions(df), math.ceil(raw / (4 * CHUNK_BYTES)))
-    return parts, parts * 4
+    return parts, parts * 2
+
+
+def key_buckets(df: DataFrame) -> int:
+    return max(1, sizes(df)[0] // 2)
 
 
 def documents_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,9 +34,9 @@ from .common import (
     cover,
     ids_of,
     in_sorted,
+    key_buckets,
     later_copies,
     null_ids,
-    sizes,
     text_buffers,
     token_spans,
     window_ok,
@@ -249,7 +249,7 @@ def _remove(window):
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): kept words joined by one space."""
-    buckets, _ = sizes(docs)
+    buckets = key_buckets(docs)
     dealt = chunked(docs, id_col, text_col)
     copies = later_copies(docs, id_col, text_col).selectExpr("chunk", "0 kind", "doc_id", "tk blob")
 

@@ -37,11 +37,12 @@ from .common import (
     copy_mask,
     cover,
     ids_of,
+    in_sorted,
+    key_buckets,
     later_copies,
     null_ids,
     sizes,
     text_buffers,
-    in_sorted,
 )
 from .repeats import PACKED, own_repeats, pack_keys, shared_keys
 from .runlength_index import RunLengthIndex
@@ -49,9 +50,10 @@ from .runlength_index import RunLengthIndex
 LENGTH = 100
 GRAM = 40
 MOST_CONTEXTS = 20_000
+INDEXES = 16  # built one after the other in a partition, to keep each small
 SIDE = "chunk long, kind int, doc long, pos long, c1 long, c2 long, mask long, blob binary"
 FOUND = "ak long, c1 long, c2 long, doc long, pos long, len long, chunk long"
-MASKS = "c1 long, c2 long, ak long, len long, mask long"
+MASKS = "c1 long, c2 long, mask long"
 BODIES = "p int, ak long, c1 long, c2 long, doc long, pos long, body binary"
 _U = np.uint64
 
@@ -226,7 +228,7 @@ def _index(length, buckets):
         ak = table.column("ak").to_numpy()
         _, inverse, count = np.unique(ak, return_inverse=True, return_counts=True)
         table = table.take(pa.array(np.flatnonzero(count[inverse] > 1)))
-        masks, lens = np.zeros(table.num_rows, _U), pc.binary_length(table.column("body")).to_numpy().astype(np.int64)
+        masks = np.zeros(table.num_rows, _U)
         if table.num_rows:
             data, off = _body_arrays(table)
             ctx, shift, at, count = _string_starts(off, length)
@@ -243,8 +245,8 @@ def _index(length, buckets):
             bits = np.where(mark, _U(1) << shift.astype(_U), _U(0))
             masks = np.bitwise_or.reduceat(bits, np.cumsum(count) - count)
         on = masks != 0
-        out = {x: table.column(x).to_numpy()[on] for x in ("c1", "c2", "ak")}
-        return pa.table(out | {"len": lens[on], "mask": masks[on].view(np.int64)})
+        out = {x: table.column(x).to_numpy()[on] for x in ("c1", "c2")}
+        return pa.table(out | {"mask": masks[on].view(np.int64)})
 
     return run
 
@@ -265,8 +267,6 @@ def _strings(length, buckets):
                 "w2": BYTES_B.spans(BYTES_B.prefix(data), at, at + length).view(np.int64),
                 "doc": table.column("doc").to_numpy()[ctx],
                 "pos": table.column("pos").to_numpy()[ctx] + shift,
-                "ak": table.column("ak").to_numpy()[ctx],
-                "len": np.diff(off)[ctx],
                 "c1": table.column("c1").to_numpy()[ctx],
                 "c2": table.column("c2").to_numpy()[ctx],
                 "bit": (_U(1) << shift.astype(_U)).view(np.int64),
@@ -360,6 +360,7 @@ def suffix_dedup(
     if not 0 < gram <= length or length - gram >= 64:
         raise ValueError("gram must be within 63 bytes of length")
     parts, _ = sizes(docs)
+    groups = parts * INDEXES
     dealt = chunked(docs, id_col, text_col)
     none = "cast(null as long)"
     copies = later_copies(docs, id_col, text_col).selectExpr(
@@ -369,7 +370,7 @@ def suffix_dedup(
     def each(side: DataFrame, fn, schema: str) -> DataFrame:
         return dealt.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(fn, schema)
 
-    anchors = shared_keys(each(copies, _send_anchors(length, gram, parts), PACKED))
+    anchors = shared_keys(each(copies, _send_anchors(length, gram, key_buckets(docs)), PACKED))
     lists = anchors.selectExpr(
         "chunk", "1 kind", f"{none} doc", f"{none} pos", f"{none} c1", f"{none} c2", f"{none} mask", "keys blob"
     )
@@ -378,27 +379,24 @@ def suffix_dedup(
     same = Window.partitionBy("c1", "c2")
     found = found.withColumn("first", F.min(F.struct("doc", "pos")).over(same))
     found = found.withColumn("n", F.count(F.lit(1)).over(same))
+    # True for every row; so all readers below ask for the same columns and share one exchange.
+    found = found.where("chunk >= 0 and len > 0 and ak is not null")
     distinct = found.where(F.struct("doc", "pos") == F.col("first")).drop("first", "n")
     count = distinct.groupBy("ak").count().where("count > 1")
     asked = distinct.join(count, "ak")
     asked = asked.select("chunk", "doc", "pos", "c1", "c2", "ak", "len", "count")
-    bodies = each(asked, _send_bodies(parts, most_contexts), BODIES).repartition(parts, "p")
-    masks = bodies.groupBy("p").applyInArrow(_index(length, parts), MASKS)
+    bodies = each(asked, _send_bodies(groups, most_contexts), BODIES).repartition(parts, "p")
+    masks = bodies.groupBy("p").applyInArrow(_index(length, groups), MASKS)
     strings = bodies.mapInArrow(
-        _strings(length, parts), "w1 long, w2 long, doc long, pos long, ak long, len long, c1 long, c2 long, bit long"
+        _strings(length, groups), "w1 long, w2 long, doc long, pos long, c1 long, c2 long, bit long"
     )
     earliest = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     late = strings.join(earliest.where("n > 1").select("w1", "w2", "first"), ["w1", "w2"]).where(
         F.struct("doc", "pos") != F.col("first")
     )
-    late = late.groupBy("c1", "c2", "ak", "len").agg(F.expr("bit_or(bit)").alias("mask"))
-    masks = masks.unionAll(late.select("c1", "c2", "ak", "len", "mask"))
-    masks = masks.withColumnsRenamed({"ak": "of", "len": "of_len"})
-    # The conditions on ak and len hold wherever c1 and c2 agree; they keep both readers of
-    # ``found`` on the same columns and so on one exchange.
+    masks = masks.unionAll(late.groupBy("c1", "c2").agg(F.expr("bit_or(bit)").alias("mask")))
     back = (
         found.join(masks, ["c1", "c2"], "left")
-        .where("of is null or (of = ak and of_len = len)")
         .where("n > 1 or mask is not null")
         .selectExpr(
             "chunk", "1 kind", "first.doc", "first.pos", "c1", "c2", "coalesce(mask, 0L) mask", "cast(null as binary) blob"
