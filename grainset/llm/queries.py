@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import pii, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.query,
+    "op5_pii": pii.query,
     "op6_substring_dedup": substring_dedup.query,
+    "op7_quality_rules": quality_rules.query,
     "op9_suffix_dedup": suffix_dedup.query,
+    "op10_simhash_dedup": simhash_dedup.query,
 }
 
 ORACLE: dict[str, str] = {}
