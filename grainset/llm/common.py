@@ -24,6 +24,8 @@ CHUNK_BYTES = 8 << 20
 TEXT_PER_FILE_BYTE = 3
 # Bytes handled by one numpy pass (arrays of eight bytes per text byte follow).
 PASS_BYTES = 2 << 20
+# Catalyst gives frames of unknown size about this many bytes; then the session decides.
+NO_ESTIMATE = 1 << 60
 
 _MASK = (1 << 64) - 1
 
@@ -167,7 +169,8 @@ def shuffle_partitions(df: DataFrame) -> int:
 def sizes(df: DataFrame) -> tuple[int, int]:
     """(shuffle partitions, chunks): two chunks to a partition. A chunk sends a row to each
     key bucket, so there are fewer buckets than partitions (``key_buckets``)."""
-    raw = (estimated_bytes(df) or 0) * TEXT_PER_FILE_BYTE
+    size = estimated_bytes(df) or 0
+    raw = size * TEXT_PER_FILE_BYTE if size < NO_ESTIMATE else 0
     parts = max(shuffle_partitions(df), math.ceil(raw / (4 * CHUNK_BYTES)))
     return parts, parts * 2
 
@@ -181,16 +184,20 @@ def documents_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Deal (doc_id, text, tk) by chunk. Every user of this frame reads the same exchange.
 
-    ``tk`` is the SHA-256 of the text. A null doc_id is dealt by text and stays null.
+    ``tk`` is the SHA-256 of the text. A null doc_id is dealt by text and stays null. With
+    ``carry``, column ``rest`` holds all columns of the row by position.
     """
     parts, chunks = sizes(docs)
-    frame = documents_frame(docs, id_col, text_col)
+    frame = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")] if carry else []),
+    )
     tk = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    frame = frame.select("doc_id", "text", tk.alias("tk"))
-    frame = frame.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(chunks)))
+    frame = frame.withColumn("tk", tk).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(chunks)))
     return frame.repartition(parts, "chunk")
 
 
