@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import pii, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts
+import corpus_pipeline
+
+from . import decontamination, line_dedup, mixing, pii, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
     "op2_token_counts": token_counts.query,
+    "op3_toxicity": toxicity.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_pii": pii.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_mixing": mixing.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}
