@@ -215,6 +215,7 @@ def _send_variants(min_near):
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         shared = np.sort(_blobs(side, HALVES, _U)) if docs.num_rows else np.zeros(0, _U)
+        elsewhere = np.sort(_blobs(side, LINES, LINE)["a"])  # lines whose first place is in another chunk
         if not len(shared):
             return schema.empty_table()
         chunk, done, out = docs.column("chunk")[0].as_py(), [], []
@@ -222,7 +223,7 @@ def _send_variants(min_near):
         for _, _, x in _runs(docs):
             at = np.flatnonzero(x.n >= min_near)
             hits = np.stack([in_sorted(k, shared) for k in x.halves(at)])
-            on = hits.any(axis=0)
+            on = hits.any(axis=0) & ~in_sorted(x.a[at], elsewhere)
             parts.append((x, at[on], hits[:, on]))
             done.append(x.table(at[on]))
         if not sum(len(d) for d in done):
@@ -292,7 +293,9 @@ def _verify(batches):
 
 def near_lines(variants: DataFrame) -> DataFrame:
     """(chunk, a): first occurrences that an earlier line is within one edit of, verified."""
-    x = variants.groupBy("key", "a").agg(F.min(F.struct("kind", "doc", "no", "chunk", "words")).alias("o"))
+    # A line is sent once, so this only puts its rows behind one exchange for the three readers
+    # below; the conditions spare them each an inferred one, which would part them again.
+    x = variants.where("key is not null and a is not null").groupBy("key", "a").agg(F.min(F.struct("kind", "doc", "no", "chunk", "words")).alias("o"))
     place = F.struct(F.col("o.doc").alias("doc"), F.col("o.no").alias("no"), F.col("a").alias("a"))
     least = lambda kind: F.min(F.when(F.col("o.kind") == kind, place))
     keys = x.where(F.col("o.kind") != WORDS).groupBy("key")
