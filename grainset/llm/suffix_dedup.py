@@ -375,11 +375,13 @@ def suffix_dedup(
         "chunk", "1 kind", f"{none} doc", f"{none} pos", f"{none} c1", f"{none} c2", f"{none} mask", "keys blob"
     )
     found = each(copies.unionAll(lists), _send_contexts(length, gram), FOUND)
+    found = found.where("c1 is not null and c2 is not null")
     # A context occurs at most once for each chunk here, so its group is small.
     same = Window.partitionBy("c1", "c2")
     found = found.withColumn("first", F.min(F.struct("doc", "pos")).over(same))
     found = found.withColumn("n", F.count(F.lit(1)).over(same))
-    # True for every row; so all readers below ask for the same columns and share one exchange.
+    # These conditions hold for every row: all readers below then ask for the same columns and
+    # have no other conditions to push down, so they share one exchange.
     found = found.where("chunk >= 0 and len > 0 and ak is not null")
     distinct = found.where(F.struct("doc", "pos") == F.col("first")).drop("first", "n")
     count = distinct.groupBy("ak").count().where("count > 1")
