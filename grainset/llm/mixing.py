@@ -2,7 +2,7 @@
 
 1. Domains and classifier. Labelled rows (those in the labels table) name a domain; a
    naive Bayes classifier over ``MARKERS`` (how often each short string occurs per hundred
-   characters, capped to a few levels) is counted on all labelled rows and gives every
+   bytes, capped to a few levels) is counted on all labelled rows and gives every
    document posteriors over the domains.
 2. Rates. Nonnegative document rates minimise the squared relative gap between expected
    domain token totals (sum of rate x tokens x posterior) and their targets, plus a small
@@ -17,12 +17,14 @@ every row its rate by one expression.
 Defined cases: null and empty texts have 0 tokens and the prior as posteriors; a null label
 or domain is left out of the counts; a domain without tokens gets no rate; target weights are
 scaled to sum to 1, domains without a target have target 0; repeated rows each get a rate;
-other columns are not read (``mix`` keeps those named in ``keep``); an empty table gives an
+other columns are not read (``carry`` keeps them); an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,32 +43,34 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def levels(text: Column, size: Column) -> list[Column]:
-    """Level of each marker: how many times per 100 characters, doubling from 1/4, as 0..5."""
-    text = F.coalesce(text, F.lit(""))
-    out = []
-    for i, m in enumerate(MARKERS):
-        count = (size - F.length(F.replace(text, F.lit(m), F.lit("")))) / len(m)
-        rate = count * 100 / F.greatest(size, F.lit(1))
-        level = F.when(rate <= 0, 0).otherwise(F.least(F.lit(LEVELS - 1), F.greatest(F.lit(1), F.floor(F.log2(rate * 8)))))
-        out.append(level.cast("int").alias(f"m{i}"))
-    return out
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def marker_levels(text: Column) -> Column:
+    """Level of each marker: how often per 100 bytes, doubling from 1/8, as 0..5."""
+    whole = F.octet_length(text)
+    counts = [(whole - F.octet_length(F.replace(text, F.lit(m), F.lit("")))) / len(m.encode()) for m in MARKERS]
+
+    def level(share):
+        return F.when(share <= 0, 0).otherwise(F.least(F.lit(LEVELS - 1), F.greatest(F.lit(1), F.floor(F.log2(share * 8))))).cast("int")
 
+    return let(F.array(*counts), lambda c: F.transform(c, lambda x: level(x * 100 / F.greatest(whole, F.lit(1)))))
 
-def features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Kept columns with n_tokens and marker levels m0, m1, ..."""
-    text = F.col(text_col).cast("string")
-    frame = docs.select(*keep, text.alias("__text"), F.coalesce(F.length(text), F.lit(0)).alias("__size"))
-    return frame.select(*keep, tokens(F.col("__text")).alias("n_tokens"), *levels(F.col("__text"), F.col("__size")))
 
+def features(text: Column) -> Column:
+    """struct(n_tokens, levels)."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.struct(tokens(text).alias("n_tokens"), marker_levels(text).alias("levels"))
 
-def fit_domains(labelled: DataFrame, domain_col: str = "domain") -> dict:
-    """Smoothed log probabilities from counts over all labelled rows: one row for each
-    domain, marker and level reaches the driver."""
-    marker = [F.struct(F.lit(i).alias("marker"), F.col(f"m{i}").alias("level")) for i in range(len(MARKERS))]
+
+def fit_domains(labelled: DataFrame) -> dict:
+    """Counts over all labelled rows (domain, f): one row for each domain, marker and level
+    reaches the driver."""
     rows = (
-        labelled.where(F.col(domain_col).isNotNull())
-        .select(F.col(domain_col).cast("string").alias("domain"), F.inline(F.array(*marker)))
+        labelled.where(F.col("domain").isNotNull())
+        .select(F.col("domain").cast("string").alias("domain"), F.posexplode("f.levels").alias("marker", "level"))
         .groupBy("domain", "marker", "level")
         .count()
         .collect()
@@ -77,30 +81,31 @@ def fit_domains(labelled: DataFrame, domain_col: str = "domain") -> dict:
     return {"domains": names, "count": count, "size": size}
 
 
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
-def posteriors(frame: DataFrame, model: dict) -> DataFrame:
-    """Adds ``p``, an array of the posteriors in the order of the model's domains."""
+def posteriors(levels: Column, model: dict) -> Column:
+    """Array of the posteriors in the order of the model's domains (naive Bayes)."""
     names = model["domains"]
     if not names:
-        return frame.withColumn("p", F.array().cast("array<double>"))
+        return F.array().cast("array<double>")
     total = sum(model["size"].values())
-    scores = []
+    tables = []
     for d in names:
-        score = F.lit(_log((model["size"][d] + 1) / (total + len(names))))
-        for i in range(len(MARKERS)):
-            table = [_log((model["count"].get((d, i, k), 0) + 0.5) / (model["size"][d] + 0.5 * LEVELS)) for k in range(LEVELS)]
-            score = score + F.element_at(F.array(*[F.lit(v) for v in table]), F.col(f"m{i}") + 1)
-        scores.append(score)
-    frame = frame.withColumn("__s", F.array(*scores))
-    frame = frame.withColumn("__e", F.transform("__s", lambda s: F.exp(s - F.array_max("__s"))))
-    whole = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
-    frame = frame.withColumn("p", F.transform("__e", lambda x: x / whole))
-    return frame.drop("__s", "__e", *[f"m{i}" for i in range(len(MARKERS))])
+        prior = math.log((model["size"][d] + 1) / (total + len(names)))
+        rows = [
+            F.array(*[F.lit(math.log((model["count"].get((d, i, k), 0) + 0.5) / (model["size"][d] + 0.5 * LEVELS))) for k in range(LEVELS)])
+            for i in range(len(MARKERS))
+        ]
+        tables.append(F.struct(F.lit(prior).alias("prior"), F.array(*rows).alias("rows")))
+
+    def score(t):
+        return F.aggregate(F.zip_with(t["rows"], levels, lambda row, k: row[k]), t["prior"], lambda a, x: a + x)
+
+    def share(e):
+        return let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda whole: F.transform(e, lambda x: x / whole))
+
+    def exps(s):
+        return let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+
+    return let(F.transform(F.array(*tables), score), lambda s: let(exps(s), share))
 
 
 def _dot(values: list[float]) -> Column:
@@ -149,7 +154,7 @@ def _stepped(ahead: Column, price: Column, plan: dict) -> Column:
     return F.greatest(F.lit(0.0), ahead - plan["step"] * (price + plan["pull"] * (ahead - 1.0)))
 
 
-def rates(plan: dict) -> Column:
+def rates(p: Column, plan: dict) -> Column:
     """The rate of a row with posteriors ``p``: the fitted steps played through."""
     if not plan["steps"]:
         return F.lit(1.0)
@@ -158,7 +163,7 @@ def rates(plan: dict) -> Column:
     )
 
     def one(state, s):
-        dot = F.aggregate(F.zip_with(s["price"], "p", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        dot = F.aggregate(F.zip_with(s["price"], p, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
         new = _stepped(state["ahead"], dot, plan)
         return F.struct(new.alias("rate"), (new + s["beta"] * (new - state["rate"])).alias("ahead"))
 
@@ -171,17 +176,27 @@ def domain_column() -> Column:
     return F.concat_ws("/", F.col("lang").cast("string"), F.when(F.col("quality") == 1, "good").otherwise("poor"))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    rows = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__label"), "quality")
-    picked = docs.select(F.col(id_col).alias("__id"), F.col("lang"), F.col("text"))
-    return picked.join(rows, F.col("__id") == F.col("__label")).withColumn("domain", domain_column())
-
-
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, list[str]]:
-    """Kept columns, n_tokens, p and rate for every row; and the domains in the order of p."""
-    model = fit_domains(features(labelled_rows(docs, labels), ["domain"]))
-    frame = posteriors(features(docs, list(keep)), model)
-    return frame.withColumn("rate", rates(fit_prices(frame, model["domains"], targets))), model["domains"]
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], carry: bool = False) -> tuple[DataFrame, list[str]]:
+    """doc_id, o = struct(n_tokens, p, rate) for every row, and the domains in the order of
+    p; with ``carry`` also ``rest``. Markers are read off the texts once and written with the
+    ids; only ``carry`` reads the texts again, so as not to write them."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    read = docs.select(doc_id, F.col("lang").cast("string").alias("lang"), features(F.col("text")).alias("f"))
+    read = reliable_checkpoint(read)
+    rows = labels.select(F.col("doc_id").cast("long").alias("label_id"), "quality").where("label_id is not null and quality is not null")
+    labelled = read.join(rows, F.col("doc_id") == F.col("label_id")).select(domain_column().alias("domain"), "f")
+    model = fit_domains(labelled)
+    fitted = read.select(F.col("f.n_tokens").alias("n_tokens"), posteriors(F.col("f.levels"), model).alias("p"))
+    plan = fit_prices(fitted, model["domains"], targets)
+
+    def result(f):
+        rate = lambda p: F.struct(f["n_tokens"].alias("n_tokens"), p.alias("p"), rates(p, plan).alias("rate"))
+        return let(posteriors(f["levels"], model), rate)
+
+    if not carry:
+        return read.select("doc_id", result(F.col("f")).alias("o")), model["domains"]
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    return docs.select(doc_id, rest, let(features(F.col("text")), result).alias("o")), model["domains"]
 
 
 # Twice the share of good text for the languages that are rare; little poor text.
@@ -192,21 +207,19 @@ TARGETS = {"en/good": 0.45, "de/good": 0.17, "fr/good": 0.17, "es/good": 0.17,
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, carry: bool = False) -> DataFrame:
     """doc_id, n_tokens, domain (likeliest), posterior of it, rate, expected_tokens; with
     ``carry`` also ``rest``, a struct of the input row."""
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", *([rest] if carry else []))
-    keep = ("doc_id", "rest") if carry else ("doc_id",)
-    frame, domains = mix(frame, labels, targets, keep)
-    best = F.array_max("p")
+    frame, domains = mix(docs, labels, targets, carry)
+    best = F.array_max("o.p")
     name = F.lit(None).cast("string")
     if domains:
-        name = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("p", best).cast("int"))
+        name = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("o.p", best).cast("int"))
     return frame.select(
-        *keep,
-        "n_tokens",
+        "doc_id",
+        *(["rest"] if carry else []),
+        F.col("o.n_tokens").alias("n_tokens"),
         name.alias("domain"),
         best.alias("posterior"),
-        F.round("rate", 9).alias("rate"),
-        F.round(F.col("rate") * F.col("n_tokens"), 6).alias("expected_tokens"),
+        F.round("o.rate", 9).alias("rate"),
+        F.round(F.col("o.rate") * F.col("o.n_tokens"), 6).alias("expected_tokens"),
     )
 
 
