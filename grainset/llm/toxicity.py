@@ -144,29 +144,37 @@ class Model:
 
 
 class LabelModel:
-    """Bernoulli votes given a hidden label, weighted down by their correlations."""
+    """Bernoulli votes given a hidden label, weighted down by their correlations. ``votes``
+    is a float32 matrix of documents x voters; ``known`` is 0, 1 or -1."""
 
     def __init__(self, votes: np.ndarray, known: np.ndarray, rounds: int = 3, steps: int = 10):
-        v = votes.astype(float)
         self.prior = float(np.clip((known == 1).sum() / max((known >= 0).sum(), 1), 1e-3, 0.5))
-        p = np.where(known >= 0, known, np.where(v.sum(axis=1) > 0, 0.5, self.prior))
-        self.weight = np.ones(v.shape[1])
+        p = np.where(known >= 0, known, np.where(votes.sum(axis=1) > 0, 0.5, self.prior))
+        self.weight = np.ones(votes.shape[1])
+        together = (votes.T @ votes).astype(float)
         for _ in range(rounds):
             for _ in range(steps):
-                self._accuracies(v, p)
-                p = np.where(known >= 0, known, self.posterior(v))
-            self._correlations(v, p)
-        self._accuracies(v, p)
+                self._accuracies(votes, p)
+                p = np.where(known >= 0, known, self.posterior(votes))
+            self._correlations(votes, p, together)
+        self._accuracies(votes, p)
 
     def _accuracies(self, v, p):
-        q = 1 - p
-        self.toxic = np.clip((p @ v + 0.5) / (p.sum() + 1), 1e-4, 1 - 1e-4)
-        self.clean = np.clip((q @ v + 0.05) / (q.sum() + 1), 1e-5, 1 - 1e-4)
-
-    def _correlations(self, v, p):
-        rest = v - (p[:, None] * self.toxic + (1 - p)[:, None] * self.clean)
-        scale = np.sqrt(np.maximum((rest**2).mean(axis=0), 1e-9))
-        self.correlation = (rest.T @ rest) / len(v) / scale[:, None] / scale[None, :]
+        fired = p.astype(np.float32) @ v
+        still = v.sum(axis=0) - fired
+        self.toxic = np.clip((fired + 0.5) / (p.sum() + 1), 1e-4, 1 - 1e-4)
+        self.clean = np.clip((still + 0.05) / ((1 - p).sum() + 1), 1e-5, 1 - 1e-4)
+
+    def _correlations(self, v, p, together):
+        """Correlations of what the label leaves unexplained (products of v - E[v | p])."""
+        q, t, c = 1 - p, self.toxic, self.clean
+        fired = (p.astype(np.float32) @ v).astype(float)
+        still = v.sum(axis=0) - fired
+        cross = np.outer(fired, t) + np.outer(still, c)
+        mean = (p @ p) * np.outer(t, t) + (p @ q) * (np.outer(t, c) + np.outer(c, t)) + (q @ q) * np.outer(c, c)
+        rest = (together - cross - cross.T + mean) / len(v)
+        scale = np.sqrt(np.maximum(np.diag(rest), 1e-9))
+        self.correlation = rest / scale[:, None] / scale[None, :]
         strong = np.where(self.correlation > 0.1, self.correlation, 0)
         np.fill_diagonal(strong, 1)
         self.weight = 1 / strong.sum(axis=1)
@@ -174,8 +182,9 @@ class LabelModel:
     def posterior(self, v):
         fire = np.log(self.toxic / self.clean)
         still = np.log((1 - self.toxic) / (1 - self.clean))
-        z = v @ (self.weight * (fire - still)) + (self.weight * still).sum() + np.log(self.prior / (1 - self.prior))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z = v @ (self.weight * (fire - still)).astype(np.float32)
+        z = z + (self.weight * still).sum() + np.log(self.prior / (1 - self.prior))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(float)))
 
 
 def _logistic(doc, term, patterns, target, size, steps: int = 400, rate: float = 0.3, decay: float = 1e-5):
@@ -232,8 +241,9 @@ def train(
             for lo, hi, buf, bounds in text_buffers(batch.column(0)):
                 doc, term, patterns = model.features(buf, bounds)
                 cut = np.searchsorted(doc, np.arange(1, hi - lo))
-                found = [x.tolist() for x in np.split(term, cut)]
-                cols = [pa.array(toxic[lo:hi]), pa.array(found, pa.list_(pa.int64())), pa.array(patterns.tolist())]
+                found = [x.astype(np.int32).tobytes() for x in np.split(term, cut)]
+                shape = [x.astype(np.int8).tobytes() for x in patterns]
+                cols = [pa.array(toxic[lo:hi]), pa.array(found, pa.binary()), pa.array(shape, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["toxic", "terms", "patterns"])
 
     # As many unlabelled documents, by a share of the hash range.
@@ -242,21 +252,20 @@ def train(
     free = frame.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
     free = free.join(F.broadcast(rows.select("label_id").distinct()), F.col("doc_id") == F.col("label_id"), "left_anti")
     both = labelled.unionAll(free.select("text", F.lit(None).cast("int").alias("toxic")))
-    got = both.mapInArrow(run, "toxic long, terms array<long>, patterns array<double>").toPandas()
-    key = got.apply(lambda r: (int(r["toxic"]), tuple(r["terms"]), tuple(r["patterns"])), axis=1)
-    got = got.loc[key.sort_values(kind="stable").index]  # the same model in whatever order rows came
-    known = got["toxic"].to_numpy()
-    doc = np.repeat(np.arange(len(got)), got["terms"].map(len))
-    term = np.concatenate([np.zeros(0, np.int64), *got["terms"]]).astype(np.int64)
-    patterns = np.array(got["patterns"].tolist(), dtype=float).reshape(len(got), len(PATTERNS))
+    got = both.mapInArrow(run, "toxic long, terms binary, patterns binary").collect()
+    got = sorted((r["toxic"], bytes(r["terms"]), bytes(r["patterns"])) for r in got)  # the same model in whatever order rows came
+    known = np.array([r[0] for r in got])
+    doc = np.repeat(np.arange(len(got)), [len(r[1]) // 4 for r in got])
+    term = np.frombuffer(b"".join(r[1] for r in got), np.int32).astype(np.int64)
+    patterns = np.frombuffer(b"".join(r[2] for r in got), np.int8).reshape(len(got), len(PATTERNS)).astype(float)
     slot = np.full(len(model.terms), -1)
     slot[np.searchsorted(model.terms, lexicon)] = np.arange(len(lexicon))
-    votes = np.zeros((len(got), len(lexicon) + len(PATTERNS)), dtype=np.int8)
+    votes = np.zeros((len(got), len(lexicon) + len(PATTERNS)), dtype=np.float32)
     on = slot[term] >= 0
     votes[doc[on], slot[term[on]]] = 1
     votes[:, len(lexicon) :] = patterns
-    label_model = LabelModel(votes, known)
-    target = np.where(known >= 0, known, label_model.posterior(votes.astype(float)))
+    target = np.where(known >= 0, known, LabelModel(votes, known).posterior(votes))
+    del got, votes
     model.weight, model.bias = _logistic(doc, term, patterns, target, len(model.terms))
     return model
 
