@@ -22,8 +22,9 @@ from grainset.session import estimated_bytes
 # Raw text bytes a chunk should hold; text is taken as three times its Parquet size.
 CHUNK_BYTES = 8 << 20
 TEXT_PER_FILE_BYTE = 3
-# Bytes handled by one numpy pass (arrays of eight bytes per text byte follow).
-PASS_BYTES = 2 << 20
+# Bytes handled by one numpy pass (arrays of eight bytes per text byte follow; the tables of
+# powers double when a pass holds more than a power of two).
+PASS_BYTES = (1 << 20) - 2
 # Catalyst gives frames of unknown size about this many bytes; then the session decides.
 NO_ESTIMATE = 1 << 60
 
