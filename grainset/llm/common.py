@@ -189,13 +189,13 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     """Deal (doc_id, text, tk) by chunk. Every user of this frame reads the same exchange.
 
     ``tk`` is the SHA-256 of the text. A null doc_id is dealt by text and stays null. With
-    ``carry``, column ``rest`` holds all columns of the row by position.
+    ``carry``, column ``rest`` holds the row's other columns by position.
     """
     parts, chunks = sizes(docs)
     frame = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")] if carry else []),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []),
     )
     tk = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     frame = frame.withColumn("tk", tk).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(chunks)))

@@ -367,7 +367,7 @@ def line_dedup(
     carry: bool = False,
 ) -> DataFrame:
     """doc_id, n_lines (with a word), n_exact and n_near (removed), text (kept lines); with
-    ``carry`` also ``rest``, a struct of the input row."""
+    ``carry`` also ``rest``, a struct of the input row's other columns."""
     buckets = key_buckets(docs)
     dealt = chunked(docs, id_col, text_col, carry)
 

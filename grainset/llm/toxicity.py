@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -275,10 +276,12 @@ def mark(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.score(batch.column(0))), batch.column(1)], names=["score", "rest"])
+            text = pc.struct_field(batch.column(0), [at])
+            yield pa.RecordBatch.from_arrays([pa.array(model.score(text)), batch.column(0)], names=["score", "rest"])
 
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
-    frame = docs.select(F.col(text_col).cast("string").alias("text"), rest)
+    frame = docs.select(rest)
+    at = docs.columns.index(text_col)
     out = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("rest", frame.schema["rest"].dataType)])
     return frame.mapInArrow(run, out)
 
