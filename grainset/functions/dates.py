@@ -10,20 +10,29 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def utc_clock(ts) -> Column:
+    """UTC wall-clock time, whatever the session zone: a TIMESTAMP is an instant; text, dates
+    and zoneless timestamps already are wall-clock times."""
+    c = _c(ts)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    instant = epoch + F.make_dt_interval(secs=F.unix_micros(c.cast("timestamp")).cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(18,6)"))
+    return F.when(F.typeof(c) == F.lit("timestamp"), instant).otherwise(c.cast("timestamp_ntz"))
+
+
 def month_key(ts) -> Column:
-    """'%Y-%m' of the wall-clock time."""
-    return F.date_format(_c(ts), "yyyy-MM")
+    """'%Y-%m' of the (UTC) wall-clock time."""
+    return F.date_format(utc_clock(ts), "yyyy-MM")
 
 
 def week_of_year_sunday(ts) -> Column:
     """strftime %U: Sunday-based week number, days before the first Sunday are week 0."""
-    t = _c(ts)
+    t = utc_clock(ts)
     return F.floor((F.dayofyear(t) + F.lit(7) - F.dayofweek(t)) / F.lit(7)).cast("int")
 
 
 def week_key(ts) -> Column:
-    """'%Y-W%U' of the wall-clock time."""
-    t = _c(ts)
+    """'%Y-W%U' of the (UTC) wall-clock time."""
+    t = utc_clock(ts)
     return F.concat(
         F.date_format(t, "yyyy"), F.lit("-W"), F.lpad(week_of_year_sunday(t).cast("string"), 2, "0")
     )
@@ -39,7 +48,7 @@ def quarter_end(quarter_start_col) -> Column:
 
 
 def utc_day(ts) -> Column:
-    return F.to_date(_c(ts))
+    return F.to_date(utc_clock(ts))
 
 
 def wall_clock(iso_text) -> Column:

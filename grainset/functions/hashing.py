@@ -23,12 +23,13 @@ def _c(x) -> Column:
 
 
 def md5_mod_bucket(value) -> Column:
-    """int(md5(str(value)).hexdigest(), 16) % (2**63 - 1) as an exact decimal.
+    """int(md5(str(value)).hexdigest(), 16) % (2**63 - 1) as an exact decimal; null hashes
+    as the text 'None'.
 
     2**64 = 2 (mod 2**63 - 1), so the 128-bit digest hi*2**64 + lo reduces to
     (2*hi + lo) mod (2**63 - 1), which fits in decimal(38, 0).
     """
-    digest = F.md5(_c(value).cast("string"))
+    digest = F.md5(F.coalesce(_c(value).cast("string"), F.lit("None")))
     hi = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
     lo = F.conv(F.substring(digest, 17, 16), 16, 10).cast("decimal(20,0)")
     return F.pmod(hi * F.lit(2) + lo, F.lit(SPLIT_MODULUS).cast("decimal(20,0)")).cast("decimal(20,0)")

@@ -17,14 +17,12 @@ _MASK33 = (1 << 33) - 1
 
 
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_PARTITIONS = 100_000
 
 
 def numbering_partitions(df: DataFrame) -> int:
     """Range partitions for numbering: about 256 MB each by Catalyst's size estimate,
-    at least one per core (or the shuffle setting if smaller), at most
-    max(shuffle partitions, 4 x cores) and 100 000. Without a usable estimate, the
-    session's shuffle partition count."""
+    at least one per core (or the shuffle setting if smaller). Without a usable
+    estimate, the session's shuffle partition count."""
     spark = df.sparkSession
     shuffle_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     est = estimated_bytes(df)
@@ -33,8 +31,7 @@ def numbering_partitions(df: DataFrame) -> int:
         return shuffle_n
     cores = default_parallelism(spark)
     floor_n = min(cores, shuffle_n)
-    upper = min(MAX_PARTITIONS, max(shuffle_n, 4 * cores))
-    return int(max(floor_n, min(upper, -(-est // TARGET_PARTITION_BYTES))))
+    return int(max(floor_n, -(-est // TARGET_PARTITION_BYTES)))
 
 
 def _cols(order):

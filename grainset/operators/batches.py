@@ -7,12 +7,19 @@ Rows get a global position under a given order (distributed prefix numbering),
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import with_row_index
 
 
+def in_order(entries: Column, keys: list[str]) -> Column:
+    """The structs of an array ordered by their ``keys`` fields alone, so that the other
+    fields may be of any type (maps too) and are not compared."""
+    place = F.transform(entries, lambda x, i: F.struct(*[x[k].alias(k) for k in keys], i.alias("__i")))
+    return F.transform(F.array_sort(place), lambda p: entries[p["__i"]])
+
+
 def batch_rows(df: DataFrame, batch_size: int, order: list, columns: list[str] | None = None,
                full_only: bool = False, position_col: str | None = None) -> DataFrame:
     """Group rows into batches of ``batch_size`` in ``order``.
@@ -30,9 +37,9 @@ def batch_rows(df: DataFrame, batch_size: int, order: list, columns: list[str] |
         pos = df
     bid = F.floor(F.col(position_col) / F.lit(batch_size)).cast("bigint")
     grouped = pos.groupBy(bid.alias("batch_id")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(position_col).alias("__p"), *[F.col(c) for c in columns])))
-        .alias("__rows")
+        F.collect_list(F.struct(F.col(position_col).alias("__p"), *[F.col(c) for c in columns])).alias("__all")
     )
+    grouped = grouped.select("batch_id", in_order(F.col("__all"), ["__p"]).alias("__rows"))
     out = grouped.select(
         "batch_id",
         F.size("__rows").alias("batch_rows"),
@@ -67,10 +74,12 @@ def unbatch(batches: DataFrame, columns: list[str]) -> DataFrame:
 def piece_batches(df: DataFrame, columns: list[str], order: list, piece_col: str = "piece_id") -> DataFrame:
     """One batch per row group (the columnar reader's unit): arrays of each column in the
     piece's row order. Pieces are bounded by the row-group size, so each group fits a task."""
+    keys = [f"__o_{i}" for i in range(len(order))]
+    by = [(F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys)]
     grouped = df.groupBy(piece_col).agg(
-        F.sort_array(F.collect_list(F.struct(*[F.col(o) if isinstance(o, str) else o for o in order],
-                                             *[F.col(c).alias(f"__c_{c}") for c in columns]))).alias("__rows")
+        F.collect_list(F.struct(*by, *[F.col(c).alias(f"__c_{c}") for c in columns])).alias("__all")
     )
+    grouped = grouped.select(piece_col, in_order(F.col("__all"), keys).alias("__rows"))
     return grouped.select(
         piece_col,
         F.size("__rows").alias("batch_rows"),

@@ -17,13 +17,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbering import with_row_index
 from ..session import broadcast_if_small, reliable_checkpoint
+from ..operators.batches import in_order
 from ..operators.projection import resolve_fields
 
 BUCKET_ROWS = 1 << 16  # rows per window bucket; L-1 head rows are copied per bucket
@@ -208,34 +208,9 @@ def ancestor_sequence(df: DataFrame, length: int, delta_threshold: float, timest
     return ngram(df, spec, scope, order, bucket_rows, check_sorted=False)
 
 
-def _greedy_no_overlap(length: int, threshold: float):
-    """Per-scope sequential scan (pandas): start positions of the taken windows."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__o").reset_index(drop=True)
-        tv = pdf["__ts"].to_numpy(dtype="float64")
-        pos = pdf["__o"].to_numpy()
-        keep = []
-        prev_end = None
-        for s in range(0, len(pdf) - length + 1):
-            w = tv[s:s + length]
-            if (w[1:] < w[:-1]).any():
-                raise NotImplementedError("NGram assumes that the data is sorted by the timestamp field")
-            if prev_end is not None and w[0] <= prev_end:
-                continue
-            if ((w[1:] - w[:-1]) <= threshold).all():
-                keep.append(int(pos[s]))
-                prev_end = w[-1]
-        return pd.DataFrame({"__start": pd.Series(keep, dtype="int64")})
-
-    return run
-
-
-MAX_SCOPE_ROWS = 5_000_000
-
-
-def _greedy_starts_distributed(slim: DataFrame, L: int, thr: float, bucket_rows: int) -> DataFrame:
-    """Start positions of the greedy non-overlapping windows, fully distributed.
+def _greedy_starts(slim: DataFrame, L: int, thr: float, unit: float, bucket_rows: int) -> DataFrame:
+    """Start positions of the greedy non-overlapping windows. ``__ts`` keeps its
+    exact type; gaps are its differences divided by ``unit``.
 
     1. Valid windows V (L rows of one scope, gaps <= thr) from ``lead`` over fixed-size
        buckets of the global position (the first L-1 rows of a bucket are copied back).
@@ -261,7 +236,7 @@ def _greedy_starts_distributed(slim: DataFrame, L: int, thr: float, bucket_rows:
     complete, ok, unsorted = F.lit(True), F.lit(True), F.lit(False)
     for j in range(1, L):
         complete = complete & (F.col(f"__o{j}") == o + F.lit(j)) & (F.col(f"__k{j}") == F.col("__scope_key"))
-        gap = F.col(f"__t{j}") - F.col(f"__t{j-1}")
+        gap = (F.col(f"__t{j}") - F.col(f"__t{j-1}")).cast("double") / F.lit(unit)
         ok = ok & (gap <= F.lit(thr))
         unsorted = unsorted | (gap < F.lit(0.0))
     msg = "NGram assumes that the data is sorted by the timestamp field which is not the case"
@@ -303,46 +278,32 @@ def _greedy_starts_distributed(slim: DataFrame, L: int, thr: float, bucket_rows:
 
 
 def ngram_no_overlap(df: DataFrame, spec: NGram, scope: list[str], order: list | None = None,
-                     max_scope_rows: int | None = MAX_SCOPE_ROWS, method: str = "auto",
                      bucket_rows: int = BUCKET_ROWS, position_col: str | None = None) -> DataFrame:
     """Greedy non-overlapping windows: scanning left to right inside a scope, a window
     is taken when its gaps pass and its first timestamp is *greater* than the last
-    taken window's end.
-
-    ``method``: 'grouped' runs the sequential scan per scope in a grouped pandas
-    function (fast; scope must fit one task), 'distributed' uses pointer jumping (no
-    scope bound), 'auto' picks 'grouped' when the largest scope has at most
-    ``max_scope_rows`` rows (one partial aggregate decides)."""
-    if method not in ("auto", "grouped", "distributed"):
-        raise ValueError("method must be 'auto', 'grouped' or 'distributed'")
+    taken window's end. Scopes of any size use the same distributed plan."""
     spec = spec.resolve(df.columns)
     ts = spec.timestamp_field
     order = order or [ts]
     L = spec.length
     ts_type = df.schema[ts].dataType
     carry = list(dict.fromkeys([ts, *spec.all_fields()]))
+    needed = list(dict.fromkeys([*scope, *carry, *[o for o in order if isinstance(o, str)]]))
     if position_col is not None:
-        pos = df.withColumn("__o", F.col(position_col))
+        pos = df.select(*needed, F.col(position_col).alias("__o"))
     else:
-        pos = with_row_index(df, [*[F.col(c) for c in scope],
-                                  *[F.col(o) if isinstance(o, str) else o for o in order]], "__o")
+        slim_df = df.select(*needed) if all(isinstance(o, str) for o in order) else df
+        pos = with_row_index(slim_df, [*[F.col(c) for c in scope],
+                                       *[F.col(o) if isinstance(o, str) else o for o in order]], "__o")
     scope_key = F.to_json(F.struct(*[F.col(c) for c in scope]))
-    tcol = F.col(ts)
+    tcol, unit = F.col(ts), 1.0
     if isinstance(ts_type, T.DateType):
-        tcol = F.unix_date(tcol).cast("double") * F.lit(86400.0)
+        tcol = F.unix_date(tcol)  # days, as the gaps of the sliding form
     elif isinstance(ts_type, (T.TimestampType, T.TimestampNTZType)):
-        tcol = _gap(ts_type, F.col(ts), F.lit("1970-01-01 00:00:00").cast(ts_type.simpleString()))
-    slim = pos.select(scope_key.alias("__scope_key"), F.col("__o"), tcol.cast("double").alias("__ts"))
-    if method == "auto":
-        limit = max_scope_rows if max_scope_rows is not None else MAX_SCOPE_ROWS
-        biggest = slim.groupBy("__scope_key").count().agg(F.max("count")).first()[0] or 0
-        method = "grouped" if biggest <= limit else "distributed"
-    if method == "grouped":
-        starts = slim.groupBy("__scope_key").applyInPandas(
-            _greedy_no_overlap(L, float(spec.delta_threshold)), "__start bigint"
-        )
-    else:
-        starts = _greedy_starts_distributed(slim, L, float(spec.delta_threshold), bucket_rows)
+        epoch = F.lit("1970-01-01 00:00:00").cast(ts_type.simpleString())
+        tcol, unit = F.timestamp_diff("MICROSECOND", epoch, tcol), 1e6
+    slim = pos.select(scope_key.alias("__scope_key"), F.col("__o"), tcol.alias("__ts"))
+    starts = _greedy_starts(slim, L, float(spec.delta_threshold), unit, bucket_rows)
     # Assemble the rows of the chosen windows with an equi-join on position.
     members = starts.select(
         F.col("__start"), F.explode(F.sequence(F.lit(0), F.lit(L - 1))).alias("__j")
@@ -350,8 +311,9 @@ def ngram_no_overlap(df: DataFrame, spec: NGram, scope: list[str], order: list |
     row = pos.select("__o", *scope, F.struct(*[F.col(c) for c in carry]).alias("__row"))
     joined = members.join(row, "__o")
     grouped = joined.groupBy("__start", *scope).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("__j"), F.col("__row")))).alias("__rows")
+        F.collect_list(F.struct(F.col("__j"), F.col("__row"))).alias("__all")
     )
+    grouped = grouped.select("__start", *scope, in_order(F.col("__all"), ["__j"]).alias("__rows"))
     out = [*[F.col(c) for c in scope], F.col("__start").alias("start_pos")]
     for j in range(L):
         key = spec.base_key + j

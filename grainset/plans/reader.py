@@ -22,7 +22,7 @@ from ..operators.projection import resolve_fields
 from ..operators.sequences import NGram, ngram, ngram_no_overlap
 from ..operators.transform import TransformSpec, apply_transform
 from ..session import broadcast_if_small
-from ..sources.catalog import attach_pieces, logical_blocks_by_row, max_groups_per_file, row_group_catalog
+from ..sources.catalog import attach_pieces, logical_blocks_by_row, max_groups_per_file, rebased_catalog, row_group_catalog
 from ..sources.rowgroup_scan import scan_row_groups
 
 
@@ -55,7 +55,7 @@ def _catalog_for(spark: SparkSession, urls: list[str]) -> DataFrame:
     from ..sources.writer import SIDE_DIR, path_exists
 
     if len(urls) == 1 and path_exists(spark, f"{urls[0]}/{SIDE_DIR}/catalog"):
-        return spark.read.parquet(f"{urls[0]}/{SIDE_DIR}/catalog")
+        return reliable_checkpoint(rebased_catalog(spark, urls[0], spark.read.parquet(f"{urls[0]}/{SIDE_DIR}/catalog")))
     cats = [row_group_catalog(spark, u) for u in urls]
     cat = cats[0]
     for c in cats[1:]:

@@ -1014,10 +1014,9 @@ def q_shard_all(spark, sf):
     FROM chain c JOIN w ON w.g = c.g""",
 )
 def q_ngram_no_overlap_users(spark, sf):
-    # Per-user scope is unbounded in general: the pointer-jumping plan is used.
     e = table(spark, sf, "events").select("user_id", "event_id", "ts")
     spec = SQ.NGram({0: ["event_id", "ts"], 1: ["event_id"]}, 3600, "ts", timestamp_overlap=False)
-    seq = SQ.ngram_no_overlap(e, spec, ["user_id"], ["ts", "event_id"], method="distributed")
+    seq = SQ.ngram_no_overlap(e, spec, ["user_id"], ["ts", "event_id"])
     return SQ.flatten_ngram(seq, spec)
 
 

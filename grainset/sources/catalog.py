@@ -59,13 +59,10 @@ def _footer_rows(batches):
 
 
 def list_parquet_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, length) of every ``*.parquet`` file under ``path`` (content never read)."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-    )
+    """(file_path, length) of every file that a Parquet scan of ``path`` reads, whatever its
+    name (hidden files and summary files are not; content is never read)."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listing = listing.where(~F.col("_metadata.file_name").rlike("^_(common_)?metadata"))
     return listing.select(F.col("_metadata.file_path").alias("file_path"), F.col("length"))
 
 
@@ -89,6 +86,28 @@ def row_group_catalog(spark: SparkSession, path: str) -> DataFrame:
     return groups.withColumn("piece_id", (F.row_number().over(w) - 1).cast("bigint"))
 
 
+def rebased_catalog(spark: SparkSession, path: str, stored: DataFrame) -> DataFrame:
+    """A stored catalog with today's file paths: files are matched by their path below the
+    dataset, so a copied or moved dataset keeps its catalog. Fails if the dataset holds other
+    files than the catalog (metadata-sized: one row per file)."""
+    root = unquote(urlparse(_root_uri(spark, path)).path).rstrip("/") + "/"
+
+    def relative(batches):
+        for pdf in batches:
+            full = [unquote(urlparse(u).path) for u in pdf["file_path"]]
+            rel = [f[len(root):] if f.startswith(root) else f.lstrip("/") for f in full]
+            yield pd.DataFrame({"file_path": pdf["file_path"], "rel_path": rel})
+
+    now = list_parquet_files(spark, path).select("file_path").mapInPandas(relative, "file_path string, rel_path string")
+    both = stored.select("rel_path").distinct().join(now, "rel_path", "full")
+    missing, extra = both.join(stored.select("rel_path", F.lit(1).alias("in_catalog")).distinct(), "rel_path", "left").agg(
+        F.count(F.when(F.col("file_path").isNull(), 1)), F.count(F.when(F.col("in_catalog").isNull(), 1))
+    ).first()
+    if missing or extra:
+        raise ValueError(f"stale catalog at {path}: {missing} catalogued files are gone, {extra} files are new; stamp the dataset again")
+    return stored.drop("file_path").join(now, "rel_path").select(*stored.columns)
+
+
 def row_groups_per_file(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("file_path", "rel_path").agg(F.count(F.lit(1)).alias("num_row_groups"))
 
@@ -113,7 +132,10 @@ def attach_pieces(df: DataFrame, catalog: DataFrame, name: str = "piece_id",
     """
     files = broadcast_if_small(_file_table(catalog))
     tagged = df.withColumn("__afp", F.col("_metadata.file_path")).withColumn("__ari", F.col("_metadata.row_index"))
-    joined = tagged.join(files, tagged["__afp"] == files["file_path"], "inner")
+    # A scanned file that the catalog lacks must not lose its rows silently.
+    joined = tagged.join(files, tagged["__afp"] == files["file_path"], "left")
+    unknown = F.raise_error(F.concat(F.lit("no row groups catalogued for file "), F.col("__afp")))
+    joined = joined.withColumn("__base", F.coalesce(F.col("__base"), unknown.cast("bigint")))
     if max_groups_per_file is None or max_groups_per_file <= 16:
         ordinal = F.size(F.filter(F.col("__starts"), lambda s: s <= F.col("__ari"))) - F.lit(1)
         out = joined.withColumn(name, F.col("__base") + ordinal.cast("bigint"))

@@ -144,4 +144,4 @@ def write_metric_records(df: DataFrame, path: str, key_col: str = "commit_hash",
 
 def pending_keys(work: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
     """Keys whose result does not exist yet (anti join)."""
-    return work.join(done.select(key).distinct(), key, "left_anti")
+    return work.join(done.select(key), key, "left_anti")

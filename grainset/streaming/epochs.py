@@ -28,7 +28,7 @@ def infinite_epochs(spark: SparkSession, dataset: DataFrame, seed: int | None =
         .load()
         .select(F.col("value").cast("int").alias("epoch"))
     )
-    out = ticks.crossJoin(dataset)
+    out = F.broadcast(ticks).crossJoin(dataset)  # one tick a batch
     if seed is not None:
         keys = [F.col(c) for c in (order_cols or dataset.columns)]
         out = out.withColumn("order_key", order_key(seed, F.col("epoch"), *keys))

@@ -30,3 +30,9 @@ def test_piece_batches_follow_row_groups(spark):
     out = {r["piece_id"]: r for r in B.piece_batches(df, ["id", "v"], ["id"]).collect()}
     assert [out[p]["batch_rows"] for p in (0, 1, 2)] == [10, 10, 5]
     assert out[1]["id"] == list(range(10, 20)) and out[2]["v"] == [60, 63, 66, 69, 72]
+
+
+def test_batches_with_map_columns(spark):
+    df = spark.range(7).selectExpr("id", "map('k', id) m")
+    rows = {r["batch_id"]: r["m"] for r in B.batch_rows(df, 3, ["id"]).collect()}
+    assert rows[1] == [{"k": 3}, {"k": 4}, {"k": 5}]

@@ -185,3 +185,19 @@ def test_metric_sink_roundtrip(spark, json_dir, tmp_dir):
     M.write_metric_records(df, out)
     back = spark.read.json(out)
     assert back.count() == df.count() and "commit_hash" in back.columns
+
+
+def test_calendar_keys_do_not_follow_the_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    from grainset.functions import dates as D
+
+    df = spark.sql("select timestamp'2024-01-01 02:00:00Z' t, timestamp_ntz'2024-01-01 02:00:00' n, date'2024-01-01' d")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            row = df.select(*[f(F.col(c)).cast("string") for c in ("t", "n", "d") for f in (D.utc_day, D.month_key, D.week_key)]).first()
+            assert list(row) == ["2024-01-01", "2024-01", "2024-W00"] * 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -135,3 +135,26 @@ def test_attach_binary_search_matches_linear(spark, tmp_dir):
     lin = {r["id"]: r["piece_id"] for r in CAT.attach_pieces(data, cat).select("id", "piece_id").collect()}
     bs = {r["id"]: r["piece_id"] for r in CAT.attach_pieces(data, cat, max_groups_per_file=g).select("id", "piece_id").collect()}
     assert lin == bs and len(bs) == 30000
+
+
+def test_pieces_survive_odd_names_moves_and_appends(spark, tmp_path):
+    import os
+    import shutil
+
+    from pyspark.errors import PySparkException
+
+    from grainset.plans.reader import DatasetSpec, read_dataset
+    from grainset.sources import writer as W
+
+    path = str(tmp_path / "data set")
+    spark.range(200).repartition(2).write.parquet(path)
+    part = sorted(f for f in os.listdir(path) if f.startswith("part-"))[0]
+    os.rename(f"{path}/{part}", f"{path}/part-odd")
+    assert read_dataset(spark, DatasetSpec(f"file://{path}")).count() == 200
+    W.stamp_metadata(spark, path)
+    moved = str(tmp_path / "moved")
+    shutil.copytree(path, moved)
+    assert read_dataset(spark, DatasetSpec(f"file://{moved}")).count() == 200
+    spark.range(50).write.mode("append").parquet(moved)
+    with pytest.raises((ValueError, PySparkException), match="stale catalog"):
+        read_dataset(spark, DatasetSpec(f"file://{moved}")).count()

@@ -117,13 +117,36 @@ def test_regex_fields(spark):
 
 
 @pytest.mark.parametrize("length,thr", [(2, 600.0), (3, 1800.0), (1, 0.0)])
-def test_no_overlap_distributed_matches_grouped(spark, length, thr):
+def test_no_overlap_matches_sequential_scan(spark, length, thr):
     e = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("user_id", "event_id", "ts")
     # Coarse timestamps create ties, which the successor rule must skip.
     e = e.withColumn("ts", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz"))
     spec = SQ.NGram({k: ["event_id"] for k in range(length)}, thr, "ts", timestamp_overlap=False)
-    grouped = SQ.ngram_no_overlap(e, spec, ["user_id"], ["ts", "event_id"], method="grouped")
-    dist = SQ.ngram_no_overlap(e, spec, ["user_id"], ["ts", "event_id"], method="distributed", bucket_rows=512)
-    key = lambda r: (r["user_id"], r["t0"]["event_id"])
-    assert sorted(map(key, grouped.collect())) == sorted(map(key, dist.collect()))
-    assert grouped.count() > 0
+    got = SQ.ngram_no_overlap(e, spec, ["user_id"], ["ts", "event_id"], bucket_rows=512).collect()
+    rows = [(r["user_id"], r["ts"], r["event_id"]) for r in e.collect()]
+    want = taken_windows(rows, length, lambda a, b: (b - a).total_seconds() <= thr)
+    assert sorted((r["user_id"], r["t0"]["event_id"]) for r in got) == want and want
+
+
+def taken_windows(rows, length, near):
+    """(scope, first key) of the greedy windows over (scope, time, key) rows."""
+    out, rows = [], sorted(rows)
+    for scope in sorted({r[0] for r in rows}):
+        part, end = [r for r in rows if r[0] == scope], None
+        for i in range(len(part) - length + 1):
+            times = [r[1] for r in part[i : i + length]]
+            if (end is None or times[0] > end) and all(near(a, b) for a, b in zip(times, times[1:])):
+                out.append((scope, part[i][2]))
+                end = times[-1]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "date"])
+def test_no_overlap_keeps_the_time_type(spark, kind):
+    import datetime as dt
+
+    base = 1_700_000_000_000_000_001 if kind == "bigint" else dt.date(2024, 1, 1)
+    step = 10 if kind == "bigint" else dt.timedelta(days=1)
+    df = spark.createDataFrame([("a", base + i * step, i) for i in range(6)], f"g string, t {kind}, rid long")
+    spec = SQ.NGram({0: ["rid"], 1: ["rid"]}, 10 if kind == "bigint" else 1, "t", timestamp_overlap=False)
+    assert SQ.ngram_no_overlap(df, spec, ["g"], ["t", "rid"]).count() == 3
