@@ -25,6 +25,8 @@ TEXT_PER_FILE_BYTE = 3
 # Bytes handled by one numpy pass (arrays of eight bytes per text byte follow; the tables of
 # powers double when a pass holds more than a power of two).
 PASS_BYTES = (1 << 20) - 2
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 # Catalyst gives frames of unknown size about this many bytes; then the session decides.
 NO_ESTIMATE = 1 << 60
 
@@ -180,9 +182,18 @@ def key_buckets(df: DataFrame) -> int:
     return max(1, sizes(df)[0] // 2)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts are long, so 10,000 of them (Spark's default) make Arrow batches that several
+    tasks and the Python workers of an executor can't hold at once; lower that setting."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_SETTING, "10000")) > BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def documents_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) by position of the first such column, whatever else the table holds."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -192,7 +203,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     ``carry``, column ``rest`` holds the row's other columns by position.
     """
     parts, chunks = sizes(docs)
-    frame = docs.select(
+    frame = small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []),

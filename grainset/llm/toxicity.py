@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTES, documents_frame, in_sorted, mix, text_buffers, token_spans
+from .common import BYTES, documents_frame, in_sorted, mix, small_batches, text_buffers, token_spans
 from .simhash_dedup import _lower
 
 SAMPLE = 20_000
@@ -280,7 +280,7 @@ def mark(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(model.score(text)), batch.column(0)], names=["score", "rest"])
 
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
-    frame = docs.select(rest)
+    frame = small_batches(docs).select(rest)
     at = docs.columns.index(text_col)
     out = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("rest", frame.schema["rest"].dataType)])
     return frame.mapInArrow(run, out)
