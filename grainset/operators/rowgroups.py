@@ -9,74 +9,80 @@ size-checked broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import with_group_row_index
 from ..session import broadcast_if_small
 
+class Indexer:
+    """An index by name; ``values`` gives a row's entries as an array of text."""
+
+    index_name: str
+
+    def values(self, df: DataFrame) -> Column:
+        raise NotImplementedError
+
+
+def _texts(df: DataFrame, c: Column) -> Column:
+    kind = df.select(c.alias("v")).schema["v"].dataType
+    return F.transform(c, lambda x: x.cast("string")) if kind.typeName() == "array" else F.array(c.cast("string"))
+
+
 @dataclass
-class SingleFieldIndexer:
+class SingleFieldIndexer(Indexer):
     """value -> pieces holding it; arrays contribute each element; nulls skipped."""
 
     index_name: str
     field: str
 
-    def entries(self, df: DataFrame, piece_col: str = "piece_id") -> DataFrame:
-        dt = df.schema[self.field].dataType
-        v = F.explode_outer(F.col(self.field)) if dt.typeName() == "array" else F.col(self.field)
-        rows = df.select(F.col(piece_col).alias("piece_id"), v.alias("__v"))
-        return rows.filter(F.col("__v").isNotNull()).select(
-            F.lit(self.index_name).alias("index_name"), F.col("__v").cast("string").alias("value"), "piece_id"
-        )
+    def values(self, df: DataFrame) -> Column:
+        return _texts(df, F.col(self.field))
 
 
 @dataclass
-class FieldNotNullIndexer:
+class FieldNotNullIndexer(Indexer):
     """Pieces holding at least one non-null value of the field (single entry '*')."""
 
     index_name: str
     field: str
 
-    def entries(self, df: DataFrame, piece_col: str = "piece_id") -> DataFrame:
-        return df.filter(F.col(self.field).isNotNull()).select(
-            F.lit(self.index_name).alias("index_name"), F.lit("*").alias("value"), F.col(piece_col).alias("piece_id")
-        )
+    def values(self, df: DataFrame) -> Column:
+        return F.array(F.when(F.col(self.field).isNotNull(), F.lit("*")))
 
 
 @dataclass
-class ExpressionIndexer:
+class ExpressionIndexer(Indexer):
     """Custom index: any Column (scalar or array) extracted per row is the index value."""
 
     index_name: str
     value: Column
 
-    def entries(self, df: DataFrame, piece_col: str = "piece_id") -> DataFrame:
-        rows = df.select(F.col(piece_col).alias("piece_id"), self.value.alias("__v"))
-        dt = rows.schema["__v"].dataType
-        if dt.typeName() == "array":
-            rows = rows.select("piece_id", F.explode_outer("__v").alias("__v"))
-        return rows.filter(F.col("__v").isNotNull()).select(
-            F.lit(self.index_name).alias("index_name"), F.col("__v").cast("string").alias("value"), "piece_id"
-        )
+    def values(self, df: DataFrame) -> Column:
+        return _texts(df, self.value)
 
 
 def build_indexes(df: DataFrame, indexers: list, piece_col: str = "piece_id") -> DataFrame:
-    """All indexes in one pass: stack (index_name, value, piece) rows from every indexer,
-    then one partial-aggregated ``groupBy``."""
+    """All indexes in one scan: each row gives its (index_name, value) entries of every
+    indexer, then one partially aggregated ``groupBy``."""
     names = [ix.index_name for ix in indexers]
     if len(set(names)) != len(names):
         raise ValueError("index names must be unique")
     if not indexers:
         raise ValueError("no indexers given")
-    stacked = None
-    for ix in indexers:
-        e = ix.entries(df, piece_col)
-        stacked = e if stacked is None else stacked.unionByName(e)
+
+    def entries(ix):
+        named = lambda v: F.struct(F.lit(ix.index_name).alias("index_name"), v.alias("value"))
+        return F.transform(F.coalesce(ix.values(df), F.array().cast("array<string>")), named)
+
+    rows = df.select(F.col(piece_col).alias("piece_id"), F.explode(F.concat(*map(entries, indexers))).alias("e"))
+    rows = rows.where("e.value IS NOT NULL").select("e.index_name", "e.value", "piece_id")
     # collect_set de-duplicates map-side (partial aggregate per task), so one shuffle
     # carries at most one (index, value, piece) entry per task.
-    return stacked.groupBy("index_name", "value").agg(F.array_sort(F.collect_set("piece_id")).alias("piece_ids"))
+    return rows.groupBy("index_name", "value").agg(F.array_sort(F.collect_set("piece_id")).alias("piece_ids"))
 
 
 def write_indexes(index: DataFrame, path: str, mode: str = "overwrite"):
@@ -101,14 +107,31 @@ class Selector:
 
 
 class SingleIndexSelector(Selector):
-    """Pieces holding any of ``values`` in index ``index_name``; unknown values select nothing."""
+    """Pieces holding any of ``values`` in index ``index_name``; unknown values select nothing.
+    Numbers match equal numbers however they are written (2 finds 2.0), booleans match
+    ``true`` and ``false``; everything else is compared as text."""
 
     def __init__(self, index_name: str, values):
         self.index_name = index_name
-        self.values = [str(v) for v in values]
+        self.values = list(values)
+
+    def _wanted(self) -> Column:
+        value = F.col("value")
+        plain = lambda v: isinstance(v, (int, float, Decimal, np.number)) and not isinstance(v, (bool, np.bool_))
+        texts = [str(v).lower() if isinstance(v, (bool, np.bool_)) else str(v) for v in self.values]
+        out = value.isin(texts)
+        whole = [int(v) for v in self.values if plain(v) and not isinstance(v, (float, np.floating)) and v == int(v)]
+        other = [float(v) for v in self.values if plain(v)]
+        # Exact for whole numbers; the double comparison is for what has a fraction or exponent.
+        if whole:
+            out = out | F.coalesce(value.try_cast("decimal(38,10)").isin([Decimal(v) for v in whole]), F.lit(False))
+        if other:
+            broken = value.rlike("[.eE]")
+            out = out | (broken & F.coalesce(value.try_cast("double").isin(other), F.lit(False)))
+        return out
 
     def pieces(self, index: DataFrame) -> DataFrame:
-        hit = index.filter((F.col("index_name") == self.index_name) & F.col("value").isin(self.values))
+        hit = index.filter((F.col("index_name") == self.index_name) & self._wanted())
         return hit.select(F.explode("piece_ids").alias("piece_id")).distinct()
 
 

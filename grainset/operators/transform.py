@@ -2,7 +2,7 @@
 
 Without a function the transform is pure projection (``drop``/``select``), planned
 by Catalyst. With a function, rows travel through Arrow batches in ``mapInPandas``
-(batch functions) or are converted to dicts inside the batch (row functions); a
+(batch functions) or as dicts of exact Python values in ``mapInArrow`` (row functions); a
 function that needs a whole row group at once runs in ``applyInPandas`` grouped by
 ``piece_id`` (pieces are bounded by the row-group size).
 """
@@ -15,8 +15,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.schema import Field
 
@@ -42,52 +44,47 @@ class TransformSpec:
         self.edit_fields = [f if isinstance(f, Field) else edit_field(*f) for f in self.edit_fields]
 
 
-def _struct_field(f: Field) -> T.StructField:
-    return f.struct_field()
-
-
 def transform_schema(schema: T.StructType, spec: TransformSpec) -> T.StructType:
-    """Post-transform schema: removed and edited fields leave their place, edited fields
-    are appended last (without codec); ``selected_fields`` fixes the final order."""
-    names = schema.fieldNames()
-    unknown = set(spec.removed_fields) - set(names)
-    if unknown:
-        warnings.warn(f"removed_fields names not in the schema are ignored: {sorted(unknown)}")
-    edited = {f.name for f in spec.edit_fields}
-    exclude = edited | set(spec.removed_fields)
-    fields = [f for f in schema.fields if f.name not in exclude]
-    fields += [_struct_field(f) for f in spec.edit_fields]
-    if spec.selected_fields is not None:
-        unknown = set(spec.selected_fields) - {f.name for f in fields}
-        if unknown:
-            warnings.warn(f"selected_fields names not in the schema are ignored: {sorted(unknown)}")
-        by = {f.name: f for f in fields}
-        fields = [by[n] for n in spec.selected_fields if n in by]
-    return T.StructType(fields)
-
-
-def _flatten_tensors(pdf: pd.DataFrame, out_schema: T.StructType, edits: dict) -> pd.DataFrame:
-    """Multi-dimensional results must be constant-shape and C-contiguous; they become
-    tensor structs (shape + flattened values)."""
-    for f in out_schema.fields:
-        e = edits.get(f.name)
-        if e is None or len(e.shape) <= 1 or f.name not in pdf:
-            continue
-
-        def conv(x, e=e):
-            if x is None:
-                return None
-            a = np.asarray(x)
-            if any(d is None for d in e.shape):
-                raise ValueError(f"field {e.name} has a variable dimension; batches need a fixed shape")
-            if a.shape != tuple(e.shape):
-                raise ValueError(f"field {e.name} must be the shape {e.shape}")
-            if not a.flags.c_contiguous:
-                raise ValueError(f"field {e.name} error: only support row major multi-dimensional array")
-            return {"shape": list(a.shape), "values": a.ravel().tolist()}
-
-        pdf[f.name] = pdf[f.name].map(conv)
-    return pdf
+    """Schema of the result: untouched fields in their order, then the edited ones, or just
+    ``selected_fields`` in the order given. Names that are not there are warned about."""
+    edits = {f.name: f.struct_field() for f in spec.edit_fields}
+    held = {f.name: f for f in schema.fields}
+    for name in sorted(set(spec.removed_fields) - held.keys()):
+        warnings.warn(f"cannot remove {name!r}: the input has no such field")
+    result = {n: f for n, f in held.items() if n not in spec.removed_fields and n not in edits} | edits
+    order = list(result) if spec.selected_fields is None else spec.selected_fields
+    for name in order:
+        if name not in result:
+            warnings.warn(f"cannot select {name!r}: the result has no such field")
+    return T.StructType([result[n] for n in order if n in result])
+
+
+def _tensor_value(e: Field, value):
+    """A function's array as a tensor struct: its shape and its values in row-major order."""
+    if value is None:
+        return None
+    if None in e.shape:
+        raise ValueError(f"{e.name}: results need a fixed shape, {e.shape} is declared")
+    cells = np.asarray(value)
+    if cells.shape != e.shape or not cells.flags.c_contiguous:
+        raise ValueError(f"{e.name}: expected a row-major array of shape {e.shape}, got {cells.shape}")
+    return {"shape": list(cells.shape), "values": cells.ravel().tolist()}
+
+
+def _python_rows(batch: pa.RecordBatch):
+    """Rows as dicts of exact Python values (a nullable integer stays an integer, a null is
+    None); arrays of numbers without nulls become numpy arrays."""
+    columns = []
+    for column in batch.columns:
+        values = column.to_pylist()
+        kind = column.type
+        if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+            if pa.types.is_floating(kind.value_type) or pa.types.is_integer(kind.value_type):
+                dtype = kind.value_type.to_pandas_dtype()
+                values = [v if v is None or None in v else np.array(v, dtype=dtype) for v in values]
+        columns.append(values)
+    for row in zip(*columns):
+        yield dict(zip(batch.schema.names, row))
 
 
 def apply_transform(df: DataFrame, spec: TransformSpec, piece_col: str = "piece_id") -> DataFrame:
@@ -96,31 +93,38 @@ def apply_transform(df: DataFrame, spec: TransformSpec, piece_col: str = "piece_
         return df.select(*out_schema.fieldNames())
     want = out_schema.fieldNames()
     removed = set(spec.removed_fields)
-    edits = {f.name: f for f in spec.edit_fields}
     func = spec.func
     mode = spec.mode
 
+    tensors = [f for f in spec.edit_fields if len(f.shape) > 1 and f.name in want]
+
+    def check_names(names):
+        if set(names) - removed != set(want):
+            raise ValueError(f"the function's columns {sorted(names)} do not match those of the schema {sorted(want)}")
+
     def finish(res: pd.DataFrame) -> pd.DataFrame:
-        res = res.drop(columns=[c for c in res.columns if c in removed])
-        if set(res.columns) != set(want):
-            raise ValueError(
-                f"Transformed result columns ({','.join(sorted(res.columns))}) do not match required "
-                f"schema columns ({','.join(sorted(want))})"
-            )
-        return _flatten_tensors(res, out_schema, edits)[want]
+        check_names(res.columns)
+        for e in tensors:
+            res[e.name] = res[e.name].map(lambda x, e=e: _tensor_value(e, x))
+        return res[want]
 
     if mode == "piece":
         if piece_col not in df.columns:
             raise ValueError("piece transforms need a piece_id column")
         return df.groupBy(piece_col).applyInPandas(lambda pdf: finish(func(pdf)), out_schema)
 
-    def run(batches):
-        for pdf in batches:
-            if mode == "row":
-                rows = [func(r) for r in pdf.to_dict("records")]
-                res = pd.DataFrame(rows, columns=list(rows[0].keys()) if rows else want)
-            else:
-                res = func(pdf)
-            yield finish(res)
+    if mode == "row":
+        arrow = to_arrow_schema(out_schema)
+
+        def run_rows(batches):
+            for batch in batches:
+                rows = []
+                for r in _python_rows(batch):
+                    got = func(r)
+                    check_names(got)
+                    rows.append(got | {e.name: _tensor_value(e, got[e.name]) for e in tensors})
+                yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
+
+        return df.mapInArrow(run_rows, out_schema)
 
-    return df.mapInPandas(run, out_schema)
+    return df.mapInPandas(lambda batches: (finish(func(pdf)) for pdf in batches), out_schema)

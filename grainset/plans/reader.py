@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from ..operators import sampling as X
 from ..operators.projection import resolve_fields
 from ..operators.sequences import NGram, ngram, ngram_no_overlap
 from ..operators.transform import TransformSpec, apply_transform
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, reliable_checkpoint
 from ..sources.catalog import attach_pieces, logical_blocks_by_row, max_groups_per_file, rebased_catalog, row_group_catalog
 from ..sources.rowgroup_scan import scan_row_groups
 
@@ -49,9 +49,6 @@ def _catalog_for(spark: SparkSession, urls: list[str]) -> DataFrame:
     """Row-group catalog of the dataset: the stored one of a stamped dataset, else built
     from the footers once and checkpointed (it is used several times and must not be
     re-read, and its piece ids must stay fixed)."""
-    from pyspark.sql import Window
-
-    from ..session import reliable_checkpoint
     from ..sources.writer import SIDE_DIR, path_exists
 
     if len(urls) == 1 and path_exists(spark, f"{urls[0]}/{SIDE_DIR}/catalog"):
@@ -149,7 +146,15 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
         index, pieces = _selected_pieces(spark, spec)
         df = df.join(broadcast_if_small(pieces), "piece_id", "left_semi")
     if spec.shard_count is not None:
-        df = RG.shard(df, spec.cur_shard, spec.shard_count, total_pieces)
+        if spec.filters:
+            # Shards deal out the pieces that the filters leave, numbered anew.
+            left = df.select("piece_id").distinct()
+            numbered = left.withColumn("__ordinal", F.row_number().over(Window.orderBy("piece_id")) - 1)
+            numbered = reliable_checkpoint(numbered)
+            df = df.join(broadcast_if_small(numbered), "piece_id")
+            df = RG.shard(df, spec.cur_shard, spec.shard_count, numbered.count(), "__ordinal").drop("__ordinal")
+        else:
+            df = RG.shard(df, spec.cur_shard, spec.shard_count, total_pieces)
     if spec.ngram is not None and spec.shuffle_row_drop_partitions > 1 and not spec.ngram.timestamp_overlap:
         raise NotImplementedError("timestamp_overlap=False is not supported with shuffle_row_drop_partitions > 1")
     part_col = None

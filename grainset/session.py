@@ -70,20 +70,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` as a Parquet table in the shared checkpoint folder
     and reading it back: later passes are columnar (a count reads one column) and the
-    files survive executor loss. Falls back to ``DataFrame.checkpoint`` when the table
-    cannot be written as Parquet (e.g. column names Parquet rejects)."""
+    files survive executor loss. Repeated column names and types that Parquet lacks go
+    through ``DataFrame.checkpoint``; any other error rises."""
     import uuid
 
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
-    if not base:
+    names = [n.lower() for n in df.columns]
+    if not base or len(set(names)) < len(names) or any("void" in t or "interval" in t for _, t in df.dtypes):
         return df.checkpoint(eager=True)
     path = f"{base.rstrip('/')}/grainset-{uuid.uuid4().hex}"
-    try:
-        df.write.mode("error").parquet(path)
-    except Exception:  # noqa: BLE001 - unsupported names/types: use the RDD checkpoint
-        return df.checkpoint(eager=True)
     _track_table(spark, path)
+    df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
 
 

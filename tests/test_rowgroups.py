@@ -158,3 +158,26 @@ def test_pieces_survive_odd_names_moves_and_appends(spark, tmp_path):
     spark.range(50).write.mode("append").parquet(moved)
     with pytest.raises((ValueError, PySparkException), match="stale catalog"):
         read_dataset(spark, DatasetSpec(f"file://{moved}")).count()
+
+
+def test_selector_values_match_by_type(spark):
+    df = spark.sql("SELECT id DIV 10 AS piece_id, id % 2 = 0 AS b, CAST(id DIV 10 AS double) AS d, "
+                   "9007199254740992L + id AS n FROM range(40)")
+    idx = RG.build_indexes(df, [RG.SingleFieldIndexer(x, x) for x in ("b", "d", "n")])
+    found = lambda name, *v: sorted(r[0] for r in RG.SingleIndexSelector(name, v).pieces(idx).collect())
+    assert found("b", True) == [0, 1, 2, 3]
+    assert found("d", 2) == found("d", 2.0) == [2]
+    assert found("n", 9007199254740993) == [0] and found("n", 9007199254741002) == [1]
+    assert found("d", "nothing") == []
+
+
+def test_shards_deal_out_filtered_pieces(spark, tmp_path):
+    from grainset.plans.reader import DatasetSpec, read_dataset
+
+    path = str(tmp_path / "parts")
+    spark.range(0, 40, 1, 4).selectExpr("id", "id DIV 10 AS p").write.partitionBy("p").parquet(path)
+    read = lambda k, n: read_dataset(spark, DatasetSpec(
+        f"file://{path}", fields=["id"], filters=[[("p", "in", {0, 2})]], cur_shard=k, shard_count=n))
+    assert [read(k, 2).count() for k in (0, 1)] == [10, 10]
+    with pytest.raises(ValueError):
+        read(0, 4)

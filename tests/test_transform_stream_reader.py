@@ -193,3 +193,11 @@ def test_reader_without_global_positions(spark, tmp_dir):
     keys = [c for c in keyed.columns if c.startswith("order_key")]
     assert [r["id"] for r in keyed.orderBy(*keys).collect()] == with_pos
     assert "ExistingRDD" not in keyed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_functions_see_exact_integers(spark):
+    df = spark.createDataFrame([(9007199254740993, 1), (None, 2), (9007199254740995, 3)], "n long, k int")
+    spec = TransformSpec(lambda r: {"k": r["k"], "n": r["n"], "s": repr(r["n"])},
+                         edit_fields=[edit_field("s", "str", (), True)], mode="row")
+    got = {r["k"]: (r["n"], r["s"]) for r in apply_transform(df, spec).collect()}
+    assert got == {1: (9007199254740993, "9007199254740993"), 2: (None, "None"), 3: (9007199254740995, "9007199254740995")}

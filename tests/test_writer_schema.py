@@ -240,3 +240,31 @@ def test_cli_copy_stamp_index_report(spark, tmp_dir, capsys):
     assert cli.main(["report", dst, "--print-values"]) == 0
     out = capsys.readouterr().out
     assert "index m_index: 5 values" in out
+
+
+@pytest.mark.parametrize("field, sql", [
+    (S.Field("x", "uint8"), "300"),
+    (S.Field("x", "uint8"), "-1"),
+    (S.Field("x", "int8"), "300"),
+    (S.Field("x", "int32"), "'seven'"),
+    (S.Field("x", "uint16", (None,)), "array(1, 70000)"),
+    (S.Field("x", "float32", (2,)), "array(1.0, 2.0, 3.0)"),
+    (S.Field("x", "float32", (2, 2)), "struct(array(9) AS shape, array(1.0F) AS values)"),
+])
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_values_outside_the_declaration_are_refused(spark, field, sql, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="Field x"):
+            conform(spark.sql(f"SELECT {sql} AS x"), S.make_schema([field])).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_restamping_keeps_the_declared_schema(spark, tmp_dir):
+    path = tmp_dir + "/declared"
+    fields = [S.Field("id", "int64"), S.Field("x", "uint16")]
+    W.materialize_dataset(spark.sql("SELECT 1L AS id, 65535 AS x"), path, S.make_schema(fields))
+    W.stamp_metadata(spark, path)
+    assert S.fields_of(W.load_declared_schema(spark, path)) == fields
