@@ -69,7 +69,7 @@ def _join_on_groups(left: DataFrame, stats: DataFrame, group_cols: list[str]) ->
         *[F.col(c).alias(f"__k{i}") for i, c in enumerate(group_cols)],
         *[c for c in stats.columns if c not in group_cols],
     )
-    renamed = broadcast_if_small(renamed)
+    renamed = broadcast_if_small(renamed, measure=True)
     cond = None
     for i, c in enumerate(group_cols):
         e = F.col(c).eqNullSafe(F.col(f"__k{i}"))

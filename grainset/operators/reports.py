@@ -56,19 +56,21 @@ def period_means(
 
 
 def quarterly_means(
-    df: DataFrame, metric: str, ts_col: str = "date", ndigits: int | None = None, label: str = "quarter_end"
+    df: DataFrame, metric: str, ts_col: str = "date", ndigits: int | None = None, label: str = "quarter_end",
+    by: list[str] | None = None,
 ) -> DataFrame:
     """Quarter means labelled by the quarter end date; empty quarters between the first
-    and last appear with a null mean (calendar gap filling)."""
-    q = df.select(dates.quarter_start(F.col(ts_col)).alias("__q"), F.col(metric)).filter(F.col("__q").isNotNull())
-    agg = q.groupBy("__q").agg(*_mean_cols([metric], ndigits=ndigits))
-    span = agg.agg(F.min("__q").alias("lo"), F.max("__q").alias("hi"))
-    # One row per quarter in the span: bounded by the calendar, so a broadcast is safe.
+    and last (of each ``by`` group; null groups are left out) appear with a null mean."""
+    by = list(by or [])
+    q = df.select(dates.quarter_start(F.col(ts_col)).alias("__q"), *by, F.col(metric))
+    q = q.dropna(subset=["__q", *by])
+    agg = q.groupBy(*by, "__q").agg(*_mean_cols([metric], ndigits=ndigits))
+    span = agg.groupBy(*by).agg(F.min("__q").alias("lo"), F.max("__q").alias("hi"))
     calendar = span.select(
-        F.explode(F.sequence(F.col("lo"), F.col("hi"), F.expr("INTERVAL 3 MONTHS"))).alias("__q")
+        *by, F.explode(F.sequence(F.col("lo"), F.col("hi"), F.expr("INTERVAL 3 MONTHS"))).alias("__q")
     )
-    out = calendar.join(agg, "__q", "left")
-    return out.select(dates.quarter_end(F.col("__q")).alias(label), f"avg_{metric}")
+    out = calendar.join(agg, [*by, "__q"], "left")
+    return out.select(*by, dates.quarter_end(F.col("__q")).alias(label), f"avg_{metric}")
 
 
 def _fit(points: DataFrame, keys: list[str], x: str, y: str, ndigits: int | None) -> DataFrame:

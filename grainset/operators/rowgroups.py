@@ -12,10 +12,10 @@ from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbering import with_group_row_index
+from ..functions.hashing import md5_mod_bucket
 from ..session import broadcast_if_small
 
 class Indexer:
@@ -182,7 +182,7 @@ def check_index_names(index: DataFrame, selector: Selector, known: set[str] | No
 
 def select_pieces(df: DataFrame, index: DataFrame, selector: Selector, piece_col: str = "piece_id") -> DataFrame:
     """Rows of the *whole* selected pieces (a superset of the matching rows)."""
-    pieces = broadcast_if_small(selector.pieces(index).withColumnRenamed("piece_id", piece_col))
+    pieces = broadcast_if_small(selector.pieces(index).withColumnRenamed("piece_id", piece_col), measure=True)
     return df.join(pieces, piece_col, "left_semi")
 
 
@@ -201,10 +201,28 @@ def shard(df: DataFrame, cur_shard: int, shard_count: int, total_pieces: int | N
     return df.filter(F.pmod(F.col(piece_col), F.lit(shard_count)) == F.lit(cur_shard))
 
 
-def shard_by_path_hash(df: DataFrame, cur_shard: int, shard_count: int, path_col: Column | None = None) -> DataFrame:
-    """File-level sharding by a hash of the file path."""
-    p = path_col if path_col is not None else F.col("_metadata.file_path")
-    return df.filter(F.pmod(F.xxhash64(p), F.lit(shard_count)) == F.lit(cur_shard))
+def shard_numbers(df: DataFrame, shard_count: int, piece_col: str = "piece_id", name: str = "shard") -> DataFrame:
+    """All shards in one scan: every row with the shard its piece belongs to."""
+    if not isinstance(shard_count, int) or shard_count <= 0:
+        raise ValueError("need shard_count > 0")
+    return df.withColumn(name, F.pmod(F.col(piece_col), F.lit(shard_count)).cast("int"))
+
+
+def path_hash_shard(path: Column, shard_count: int) -> Column:
+    """Shard of a path: its md5 bucket modulo the number of shards."""
+    return F.pmod(md5_mod_bucket(path), F.lit(shard_count)).cast("int")
+
+
+def shard_by_path_hash(df: DataFrame, cur_shard: int, shard_count: int, path_col: Column | None = None,
+                       root: str | None = None) -> DataFrame:
+    """File-level sharding by a hash of the file's path below the dataset folder ``root`` (a
+    qualified URI; a moved dataset keeps its shards), or of ``path_col``."""
+    p = path_col
+    if p is None:
+        p = F.col("_metadata.file_path")
+        if root is not None:
+            p = F.when(p.startswith(root), F.substring(p, len(root) + 1, 1 << 20)).otherwise(p)
+    return df.filter(path_hash_shard(p, shard_count) == F.lit(cur_shard))
 
 
 # ------------------------------------------------------------------ sub-splits
@@ -221,7 +239,10 @@ def subsplit_parts(
     parts whose end lies within ``overlap`` rows before it, so no sequence is lost."""
     if parts < 1:
         raise ValueError("parts must be >= 1")
-    sized = with_group_row_index(df, [piece_col], order, index_name, size_name="__n")
+    # Pieces are bounded (row-group or block size), so a window per piece is one task's work.
+    piece = Window.partitionBy(piece_col)
+    sized = df.withColumn(index_name, (F.row_number().over(piece.orderBy(*order)) - 1).cast("bigint")).withColumn(
+        "__n", F.count(F.lit(1)).over(piece))
     n = F.col("__n").cast("double")
 
     def part_of(i: Column) -> Column:

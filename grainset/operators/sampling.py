@@ -8,14 +8,12 @@ single-partition window.
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform, order_key
 from ..functions.numbering import with_dense_group_rank, with_group_row_index, with_row_index
+from ..session import broadcast_if_small
 
 
 def with_epochs(df: DataFrame, num_epochs: int, name: str = "epoch") -> DataFrame:
@@ -62,6 +60,45 @@ def ordered_positions(df: DataFrame, order: list[Column], name: str = "position"
     return with_row_index(df, order, name)
 
 
+def piece_positions(
+    df: DataFrame,
+    row_key: list[str],
+    num_epochs: int = 1,
+    piece_col: str = "piece_id",
+    part_col: str | None = None,
+    shuffle_pieces: bool = False,
+    shuffle_rows: bool = False,
+    seed: int = 0,
+    name: str = "position",
+) -> DataFrame:
+    """Every row once per epoch with ``epoch`` and its 0-based position in ``read_order``.
+
+    No global sort of rows: only the list of pieces (one row per piece, part and epoch) is
+    put in order, giving each piece its first position; a row adds its index inside the
+    piece, from a window over that piece alone (pieces are bounded by the row-group or block
+    size). Unshuffled rows are indexed once, whatever the number of epochs.
+    """
+    if not isinstance(num_epochs, int) or isinstance(num_epochs, bool) or num_epochs < 1:
+        raise ValueError("num_epochs must be a positive integer (None means infinite: use streaming.epochs)")
+    unit = [piece_col] + ([part_col] if part_col else [])
+    key = [F.col(c) for c in row_key]
+    sizes = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n"))
+    starts = with_epochs(sizes, num_epochs)
+    draw = [order_key(seed, F.col("epoch"), *[F.col(c) for c in unit])] if shuffle_pieces else []
+    before = Window.partitionBy("epoch").orderBy(*draw, *unit).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("__n").over(Window.partitionBy("epoch"))
+    starts = starts.select(*unit, "epoch", (F.coalesce(F.sum("__n").over(before), F.lit(0)) + F.col("epoch") * total).alias("__start"))
+    if shuffle_rows:
+        rows = with_epochs(df, num_epochs)
+        inside = Window.partitionBy(*unit, "epoch").orderBy(order_key(seed, F.col("epoch"), *key), *key)
+        rows = rows.withColumn("__i", F.row_number().over(inside) - 1)
+    else:
+        inside = Window.partitionBy(*unit).orderBy(*key)
+        rows = with_epochs(df.withColumn("__i", F.row_number().over(inside) - 1), num_epochs)
+    out = rows.join(broadcast_if_small(starts, measure=True), [*unit, "epoch"])
+    return out.select(*df.columns, "epoch", (F.col("__start") + F.col("__i")).alias(name))
+
+
 def capped_sample(df: DataFrame, order: list[str], rows_capacity: int, num_epochs: int, seed: int,
                   shuffle: bool = True) -> DataFrame:
     """First ``rows_capacity`` rows (by ``order``), repeated for ``num_epochs``, each epoch
@@ -95,19 +132,22 @@ def shuffle_quality(df: DataFrame, id_col: str, runs: int = 5, seed: int = 0) ->
 
 
 def weighted_mix(sources: list[DataFrame], probabilities: list[float], order_cols: list[list[str]],
-                 seed: int = 0) -> DataFrame:
+                 seed: int = 0, specs: list | None = None) -> DataFrame:
     """Interleave same-schema sources: draw d picks source i when u(d) < cum_i
     (normalised cumulative probabilities, u = md5-uniform of (seed, d)) and takes that
     source's next row; output stops at the first draw whose source is exhausted.
 
     Output: ``draw``, ``source``, ``k`` (1-based row number within the source) and the
     source columns. All steps are distributed: draw numbering per source uses prefix
-    numbering, not one window per source.
+    numbering, not one window per source. ``specs``: the NGram spec of each source when they
+    hold sequences; differing specs are an error.
     """
     if len(sources) < 2:
         raise ValueError("at least two sources are needed")
     if len(sources) != len(probabilities):
         raise ValueError("one probability per source")
+    if specs is not None and not (len(specs) == len(sources) and all(specs[0].same_spec(s) for s in specs[1:])):
+        raise ValueError("sources of sequences must share one sequence spec")
     cols = sources[0].columns
     for s in sources[1:]:
         if set(s.columns) != set(cols):
@@ -153,71 +193,10 @@ def weighted_mix(sources: list[DataFrame], probabilities: list[float], order_col
     return out.select("draw", "source", "k", *cols)
 
 
-def buffer_shuffle(df: DataFrame, capacity: int, min_after_retrieve: int, seed: int = 0,
-                   extra_capacity: int = 1000, emit_order: bool = False) -> DataFrame:
-    """Partition-local streaming shuffle through a bounded random buffer.
-
-    Rows enter a buffer of at most ``capacity + extra_capacity`` rows; once it holds at
-    least ``min_after_retrieve`` rows, a uniformly chosen row leaves for every row that
-    enters; at the end the buffer drains in random order. Memory per task is bounded by
-    the buffer, whatever the partition size. The generator is seeded by (seed, partition).
-    """
-    if min_after_retrieve > capacity:
-        raise ValueError("min_after_retrieve must not exceed capacity")
-    schema = df.schema
-    names = df.columns
-    if emit_order:
-        from pyspark.sql import types as T
-
-        schema = T.StructType(list(df.schema.fields) + [
-            T.StructField("emit_partition", T.IntegerType(), False),
-            T.StructField("emit_seq", T.LongType(), False),
-        ])
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        ctx = TaskContext.get()
-        pid = ctx.partitionId() if ctx else 0
-        rng = random.Random(f"{seed}|{pid}")
-        buf: list = []
-        out: list = []
-        emitted = [0]
-
-        def frame(rows):
-            pdf = pd.DataFrame(rows, columns=names)
-            if emit_order:
-                pdf["emit_partition"] = pid
-                pdf["emit_seq"] = range(emitted[0], emitted[0] + len(rows))
-            emitted[0] += len(rows)
-            return pdf
-        for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                if len(buf) >= capacity + extra_capacity:
-                    raise RuntimeError("shuffling buffer overflow")
-                buf.append(row)
-                # Retrieval is allowed while more than min_after_retrieve rows are held.
-                while len(buf) > min_after_retrieve:
-                    j = rng.randrange(len(buf))
-                    buf[j], buf[-1] = buf[-1], buf[j]
-                    out.append(buf.pop())
-                if len(out) >= 4096:
-                    yield frame(out)
-                    out = []
-        rng.shuffle(buf)
-        out.extend(buf)
-        if out:
-            yield frame(out)
-
-    return df.mapInPandas(run, schema)
-
-
-def shuffled_batches(df: DataFrame, batch_size: int, capacity: int, min_after_retrieve: int, seed: int = 0,
+def shuffled_batches(df: DataFrame, batch_size: int, row_key: list[str], seed: int = 0,
                      columns: list[str] | None = None, full_only: bool = False) -> DataFrame:
-    """Batches drawn through the bounded shuffle buffer: rows are batched in the order
-    the buffer emits them (per partition, then emission sequence)."""
+    """Batches of the whole table in the seeded order md5(seed, row key), the key breaking ties."""
     from .batches import batch_rows
 
-    shuffled = buffer_shuffle(df, capacity, min_after_retrieve, seed, emit_order=True)
-    return batch_rows(shuffled, batch_size, [F.col("emit_partition"), F.col("emit_seq")],
-                      columns or df.columns, full_only=full_only)
+    keys = [F.col(c) for c in row_key]
+    return batch_rows(df, batch_size, [order_key(seed, *keys), *keys], columns or df.columns, full_only=full_only)

@@ -68,7 +68,7 @@ class NGram:
         fields = {k: resolve_fields(columns, v) if v else [] for k, v in self.fields.items()}
         ts = resolve_fields(columns, [self.timestamp_field])
         if len(ts) != 1:
-            raise ValueError("timestamp_field was matched to more than one field")
+            raise ValueError(f"{self.timestamp_field!r} names {len(ts)} columns: one time column is needed")
         return NGram(fields, self.delta_threshold, ts[0], self.timestamp_overlap)
 
     def fields_at(self, key: int) -> list[str]:
@@ -156,7 +156,7 @@ def ngram(df: DataFrame, spec: NGram, scope: list[str], order: list | None = Non
         ok = ok & (g <= F.lit(float(spec.delta_threshold)))
         unsorted = unsorted | (g < F.lit(0.0))
     if check_sorted:
-        msg = f"NGram assumes that the data is sorted by {ts} field which is not the case"
+        msg = f"{ts} goes back in time within a sequence: sort the rows by it"
         ok = F.when(unsorted, F.raise_error(F.lit(msg))).otherwise(ok)
     win = win.filter(ok)
     out = [F.col("__s0")[f"__scope_{i}"].alias(c) for i, c in enumerate(scope)]
@@ -239,7 +239,7 @@ def _greedy_starts(slim: DataFrame, L: int, thr: float, unit: float, bucket_rows
         gap = (F.col(f"__t{j}") - F.col(f"__t{j-1}")).cast("double") / F.lit(unit)
         ok = ok & (gap <= F.lit(thr))
         unsorted = unsorted | (gap < F.lit(0.0))
-    msg = "NGram assumes that the data is sorted by the timestamp field which is not the case"
+    msg = "the time column goes back within a sequence: sort the rows by it"
     keep = F.when(complete & unsorted, F.raise_error(F.lit(msg))).otherwise(complete & ok)
     V = win.filter(F.coalesce(keep, F.lit(False))).select(
         o.alias("s"), F.col("__scope_key").alias("sk"), F.col(f"__t{L - 1}").alias("t_end"))

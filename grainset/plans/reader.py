@@ -13,7 +13,6 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import predicates as P
 from ..operators import rowgroups as RG
@@ -23,14 +22,13 @@ from ..operators.sequences import NGram, ngram, ngram_no_overlap
 from ..operators.transform import TransformSpec, apply_transform
 from ..session import broadcast_if_small, reliable_checkpoint
 from ..sources.catalog import attach_pieces, logical_blocks_by_row, max_groups_per_file, rebased_catalog, row_group_catalog
-from ..sources.rowgroup_scan import scan_row_groups
 
 
 def normalize_urls(url_or_urls) -> list[str]:
     """Non-empty list of URLs sharing scheme and netloc; trailing '/' removed."""
     urls = url_or_urls if isinstance(url_or_urls, list) else [url_or_urls]
     if not urls:
-        raise ValueError("dataset url list must be non-empty.")
+        raise ValueError("no dataset URL given")
     out = []
     for u in urls:
         if not isinstance(u, str) or not u:
@@ -41,7 +39,7 @@ def normalize_urls(url_or_urls) -> list[str]:
         if not p.scheme:
             raise ValueError(f"URL {u!r} has no scheme (e.g. file://, hdfs://, s3a://)")
     if any((p.scheme, p.netloc) != (parsed[0].scheme, parsed[0].netloc) for p in parsed):
-        raise ValueError("The dataset url list must contain url with the same scheme and netloc.")
+        raise ValueError(f"the URLs {out} differ in scheme or host")
     return out
 
 
@@ -64,12 +62,12 @@ def _catalog_for(spark: SparkSession, urls: list[str]) -> DataFrame:
     return reliable_checkpoint(cat)
 
 
-def _selected_pieces(spark: SparkSession, spec) -> tuple:
+def _selected_pieces(spark: SparkSession, spec) -> DataFrame:
     if not spec.index_path:
         raise ValueError("a selector needs index_path")
     index = RG.read_indexes(spark, spec.index_path)
     RG.check_index_names(index, spec.selector)
-    return index, spec.selector.pieces(index)
+    return spec.selector.pieces(index)
 
 
 @dataclass
@@ -92,7 +90,6 @@ class DatasetSpec:
     block_rows: int | None = None  # logical blocks instead of Parquet row groups
     row_key: list = field(default_factory=list)
     strict_predicate_fields: bool = True
-    row_group_scan: bool = False  # read selected row groups only (no hive partition columns)
     global_positions: bool = True  # False: return sort keys instead of numbering (no checkpoint)
 
 
@@ -124,26 +121,18 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
         total_pieces = None
     else:
         cat = _catalog_for(spark, urls)
-        scanned_groups = False
         if spec.selector is not None:
-            index, pieces = _selected_pieces(spark, spec)
-            if spec.row_group_scan and not spec.filters:
-                # Row-group-level skipping: only the selected row groups are read.
-                data_schema = T.StructType([f for f in df.schema.fields if f.name not in ("__fp", "__ri")])
-                df = scan_row_groups(spark, cat, pieces, data_schema, row_ids=True)
-                scanned_groups = True
-            else:
-                df = _pruned_scan(spark, urls, cat, pieces)
-                if spec.filters:
-                    df = df.filter(P.dnf_filter(spec.filters))
-                df = df.withColumn("__fp", F.col("_metadata.file_path")).withColumn(
-                    "__ri", F.col("_metadata.row_index"))
-        if not scanned_groups:
-            df = attach_pieces(df, cat, max_groups_per_file=max_groups_per_file(cat))
+            pieces = _selected_pieces(spark, spec)
+            df = _pruned_scan(spark, urls, cat, pieces)
+            if spec.filters:
+                df = df.filter(P.dnf_filter(spec.filters))
+            df = df.withColumn("__fp", F.col("_metadata.file_path")).withColumn("__ri", F.col("_metadata.row_index"))
+        df = attach_pieces(df, cat, max_groups_per_file=max_groups_per_file(cat))
         # The too-many-shards check uses the total row-group count (metadata-sized).
         total_pieces = cat.count() if spec.shard_count is not None else None
     if spec.selector is not None:
-        index, pieces = _selected_pieces(spark, spec)
+        if spec.block_rows:
+            pieces = _selected_pieces(spark, spec)
         df = df.join(broadcast_if_small(pieces), "piece_id", "left_semi")
     if spec.shard_count is not None:
         if spec.filters:
@@ -156,16 +145,12 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
         else:
             df = RG.shard(df, spec.cur_shard, spec.shard_count, total_pieces)
     if spec.ngram is not None and spec.shuffle_row_drop_partitions > 1 and not spec.ngram.timestamp_overlap:
-        raise NotImplementedError("timestamp_overlap=False is not supported with shuffle_row_drop_partitions > 1")
+        raise NotImplementedError("windows without overlap cannot be cut from sub-splits: use one part")
     part_col = None
     if spec.shuffle_row_drop_partitions > 1:
         overlap = (spec.ngram.length - 1) if spec.ngram is not None else 0
         df = RG.subsplit_parts(df, spec.shuffle_row_drop_partitions, [F.col(c) for c in row_key], overlap=overlap)
         part_col = "part"
-    if spec.num_epochs != 1:
-        df = X.with_epochs(df, spec.num_epochs)
-    else:
-        df = df.withColumn("epoch", F.lit(0))
     # Row predicate, then projection (predicate fields must be in the selected view).
     columns = [c for c in df.columns if not c.startswith("__") and c not in ("piece_id", "epoch", "part")]
     selected = resolve_fields(columns, spec.fields) if spec.fields else columns
@@ -174,16 +159,18 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
         if missing and spec.strict_predicate_fields:
             raise ValueError(f"Predicate fields {sorted(missing)} must be among the selected fields")
         df = df.filter(spec.predicate.to_column())
-    order = X.read_order(df, [c for c in row_key if c != "piece_id"], "piece_id", "epoch",
-                         spec.shuffle_row_groups, spec.shuffle_rows, spec.seed, part_col)
+    key = [c for c in row_key if c != "piece_id"]
+    shuffles = {"shuffle_pieces": spec.shuffle_row_groups, "shuffle_rows": spec.shuffle_rows, "seed": spec.seed}
     keep = ["epoch", "piece_id", *([part_col] if part_col else []), *selected]
     if not spec.global_positions:
+        df = X.with_epochs(df, spec.num_epochs) if spec.num_epochs != 1 else df.withColumn("epoch", F.lit(0))
         if spec.ngram is not None or spec.transform is not None:
             raise ValueError("sequences and transforms need global_positions=True")
         # Sort keys only: sortWithinPartitions(order_key*) or a range write gives the order
         # without materialising a global numbering.
+        order = X.read_order(df, key, "piece_id", "epoch", part_col=part_col, **shuffles)
         return df.select(*[k.alias(f"order_key{i}") for i, k in enumerate(order)], *keep)
-    ordered = X.ordered_positions(df, order, "position").select("position", *keep)
+    ordered = X.piece_positions(df, key, spec.num_epochs, part_col=part_col, **shuffles).select("position", *keep)
     if spec.transform is not None:
         ordered = apply_transform(ordered, spec.transform)
     if spec.ngram is not None:

@@ -24,7 +24,8 @@ from ..operators.projection import convert_precision, insert_explicit_nulls, sel
 from ..operators.transform import TransformSpec, apply_transform, edit_field
 from ..sources import catalog as CAT
 from ..sources import schema as SC
-from ..session import table
+from ..sources.metrics import measures_to_map
+from ..session import DRIVER_TABLES, shared_table_path, table
 from .reader import DatasetSpec, read_dataset
 
 ND = 6
@@ -395,8 +396,9 @@ def q_changed_file_rollup(spark, sf):
 )
 def q_json_measure_map(spark, sf):
     e = table(spark, sf, "events")
-    m = F.from_json("props", "map<string,int>")
-    return e.select("event_id", F.element_at(m, F.lit("k")).alias("k"))
+    pairs = F.map_entries(F.from_json("props", "map<string,int>"))
+    e = e.withColumn("measures", F.transform(pairs, lambda p: F.struct(p["key"].alias("metric"), p["value"].alias("value"))))
+    return e.select("event_id", F.element_at(measures_to_map(), F.lit("k")).alias("k"))
 
 
 @register(
@@ -551,9 +553,25 @@ def q_subsplit_overlap(spark, sf):
     return RG.subsplit_parts(e, 7, ["event_id"], overlap=2)
 
 
-@register("rowgroup_catalog")
+def _table_catalogs(spark, sf):
+    """Catalog of every table of the folder (metadata-sized)."""
+    return CAT.row_group_catalog(spark, sf).withColumn("table_name", F.regexp_extract("rel_path", r"^([a-z]+)\.parquet", 1))
+
+
+def _per_table_sql(select):
+    return " UNION ALL ".join(select.format(t=t) for t in DRIVER_TABLES)
+
+
+@register(
+    "rowgroup_catalog",
+    _per_table_sql("SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS footer_rows, true AS numbered FROM {t}"),
+)
 def q_rowgroup_catalog(spark, sf):
-    return CAT.row_group_catalog(spark, f"{sf}/lineitem.parquet").drop("file_path")
+    cat = _table_catalogs(spark, sf)
+    per = cat.groupBy("table_name").agg(
+        F.sum("num_rows").alias("footer_rows"), F.min("piece_id").alias("lo"), F.max("piece_id").alias("hi"),
+        F.count(F.lit(1)).alias("n"))
+    return per.select("table_name", "footer_rows", (F.col("hi") - F.col("lo") + 1 == F.col("n")).alias("numbered"))
 
 
 @register(
@@ -661,9 +679,9 @@ def q_ngram_no_overlap(spark, sf):
 SEED = 7
 
 
-def _events_epochs(spark, sf, epochs=3):
+def _positions(spark, sf, epochs=3, **shuffles):
     e = events_pieces(spark, sf).select("event_id", "piece_id")
-    return X.with_epochs(e, epochs)
+    return X.piece_positions(e, ["event_id"], epochs, seed=SEED, **shuffles)
 
 
 @register(
@@ -673,8 +691,7 @@ def _events_epochs(spark, sf, epochs=3):
         FROM events, (SELECT CAST(range AS INTEGER) AS epoch FROM range(3))""",
 )
 def q_epochs(spark, sf):
-    e = _events_epochs(spark, sf)
-    return X.ordered_positions(e, X.read_order(e, ["event_id"]))
+    return _positions(spark, sf)
 
 
 _MD5 = "md5(concat_ws('|', '{seed}', {cols}))"
@@ -692,8 +709,7 @@ def _md5_sql(*cols):
              (SELECT CAST(range AS INTEGER) AS epoch FROM range(3))""",
 )
 def q_shuffle_groups(spark, sf):
-    e = _events_epochs(spark, sf)
-    return X.ordered_positions(e, X.read_order(e, ["event_id"], shuffle_pieces=True, seed=SEED))
+    return _positions(spark, sf, shuffle_pieces=True)
 
 
 @register(
@@ -705,10 +721,7 @@ def q_shuffle_groups(spark, sf):
              (SELECT CAST(range AS INTEGER) AS epoch FROM range(3))""",
 )
 def q_shuffle_rows(spark, sf):
-    e = _events_epochs(spark, sf)
-    return X.ordered_positions(
-        e, X.read_order(e, ["event_id"], shuffle_pieces=True, shuffle_rows=True, seed=SEED)
-    )
+    return _positions(spark, sf, shuffle_pieces=True, shuffle_rows=True)
 
 
 @register(
@@ -717,15 +730,14 @@ def q_shuffle_rows(spark, sf):
                           row_number() OVER (PARTITION BY {_PIECE_SQL} ORDER BY event_id) - 1 AS i,
                           count(*) OVER (PARTITION BY {_PIECE_SQL}) AS n FROM events),
         p AS (SELECT event_id, piece_id, CAST(floor(i / (n / least(n, 3.0))) AS INTEGER) AS part FROM e)
-        SELECT event_id, piece_id, part,
-               row_number() OVER (ORDER BY {_md5_sql('piece_id', 'part')}, piece_id, part, event_id) - 1 AS position
+        SELECT event_id, piece_id, part, CAST(0 AS INTEGER) AS epoch,
+               row_number() OVER (ORDER BY {_md5_sql('0', 'piece_id', 'part')}, piece_id, part, event_id) - 1 AS position
         FROM p""",
 )
 def q_shuffle_subsplit(spark, sf):
     e = events_pieces(spark, sf).select("event_id", "piece_id")
     parts = RG.subsplit_parts(e, 3, ["event_id"]).drop("row_in_piece")
-    order = X.read_order(parts, ["event_id"], epoch_col=None, shuffle_pieces=True, seed=SEED, part_col="part")
-    return X.ordered_positions(parts, order)
+    return X.piece_positions(parts, ["event_id"], shuffle_pieces=True, seed=SEED, part_col="part")
 
 
 @register(
@@ -882,21 +894,30 @@ def q_dataset_read(spark, sf):
     return read_dataset(spark, spec).drop("event_type").withColumn("epoch", F.col("epoch").cast("int"))
 
 
-@register("shard_path_hash_cover", "SELECT event_id FROM events")
+@register(
+    "shard_path_hash_cover",
+    f"""SELECT page_id, CAST({_BUCKET_SQL.format(f='url')} % 3 AS INTEGER) AS shard FROM pages""",
+)
 def q_shard_path_hash_cover(spark, sf):
-    e = table(spark, sf, "events")
-    parts = [RG.shard_by_path_hash(e, k, 3).select("event_id") for k in range(3)]
+    # Every shard keeps the rows whose path hashes to it; pages carry their own path.
+    p = table(spark, sf, "pages")
+    parts = [RG.shard_by_path_hash(p, k, 3, F.col("url")).select("page_id", F.lit(k).alias("shard")) for k in range(3)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register(
     "tensor_check",
-    "SELECT vec_id, coalesce(len(embedding) IN (64, 0), false) AS ok FROM embeddings",
+    """SELECT vec_id, coalesce(len(embedding) = 64, false) AS square, coalesce(len(embedding) = 48, false) AS other
+       FROM embeddings""",
 )
 def q_tensor_check(spark, sf):
     e = table(spark, sf, "embeddings")
-    t = SC.tensor(F.array(F.size("embedding")), F.col("embedding"))
-    return e.select("vec_id", SC.tensor_compliant(t, (64,)).alias("ok"))
+
+    def fits(*shape):
+        t = SC.tensor(F.array(*[F.lit(d) for d in shape]), F.col("embedding"))
+        return SC.tensor_compliant(t, shape)
+
+    return e.select("vec_id", fits(8, 8).alias("square"), fits(8, 6).alias("other"))
 
 
 @register(
@@ -957,17 +978,25 @@ def q_transform_piece(spark, sf):
     return apply_transform(e, spec)
 
 
-@register("buffer_shuffle_rows", "SELECT event_id, value FROM events")
+@register(
+    "buffer_shuffle_rows",
+    f"""SELECT event_id, value, CAST(0 AS INTEGER) AS epoch,
+               row_number() OVER (ORDER BY {_PIECE_SQL}, {_md5_sql("0", "event_id")}, event_id) - 1 AS position
+        FROM events""",
+)
 def q_buffer_shuffle_rows(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "value")
-    return X.buffer_shuffle(e, capacity=1000, min_after_retrieve=800, seed=SEED)
+    # Rows shuffled inside their piece (the bounded shuffle), in a fixed seeded order.
+    e = events_pieces(spark, sf).select("event_id", "value", "piece_id")
+    return X.piece_positions(e, ["event_id"], shuffle_rows=True, seed=SEED).drop("piece_id")
 
 
-@register("shuffled_batches_unbatched", "SELECT event_id FROM events")
+@register(
+    "shuffled_batches_unbatched",
+    f"SELECT event_id, (row_number() OVER (ORDER BY {_md5_sql('event_id')}, event_id) - 1) // 64 AS batch_id FROM events",
+)
 def q_shuffled_batches_unbatched(spark, sf):
     e = table(spark, sf, "events").select("event_id")
-    b = X.shuffled_batches(e, 64, capacity=500, min_after_retrieve=400, seed=SEED)
-    return B.unbatch(b, ["event_id"]).select("event_id")
+    return B.unbatch(X.shuffled_batches(e, 64, ["event_id"], seed=SEED), ["event_id"])
 
 
 @register("file_health")
@@ -977,9 +1006,24 @@ def q_file_health(spark, sf):
     return file_size_health(spark, sf)
 
 
-@register("row_groups_per_file")
+@register(
+    "row_groups_per_file",
+    _per_table_sql("SELECT '{t}.parquet' AS rel_path, count(*) AS n_rows, count(*) AS footer_rows, true AS all_groups FROM {t}"),
+)
 def q_row_groups_per_file(spark, sf):
-    return CAT.row_groups_per_file(CAT.row_group_catalog(spark, sf)).drop("file_path")
+    # Rows counted through their attached row group, against the footers.
+    files = CAT.row_groups_per_file(CAT.row_group_catalog(spark, sf))
+    out = None
+    for t in DRIVER_TABLES:
+        path = f"{sf}/{t}.parquet"
+        cat = CAT.row_group_catalog(spark, path)
+        rows = CAT.attach_pieces(spark.read.parquet(path).select("_metadata"), cat).groupBy("piece_id").agg(F.count(F.lit(1)).alias("n"))
+        per = cat.join(rows, "piece_id", "full").groupBy("rel_path").agg(
+            F.sum("n").alias("n_rows"), F.sum("num_rows").alias("footer_rows"),
+            F.count(F.when(F.col("n") == F.col("num_rows"), 1)).alias("right"))
+        out = per if out is None else out.unionByName(per)
+    out = out.join(files, "rel_path")
+    return out.select("rel_path", "n_rows", "footer_rows", (F.col("right") == F.col("num_row_groups")).alias("all_groups"))
 
 
 @register(
@@ -987,12 +1031,7 @@ def q_row_groups_per_file(spark, sf):
     f"SELECT event_id, {_PIECE_SQL} AS piece_id, CAST({_PIECE_SQL} % 4 AS INTEGER) AS shard FROM events",
 )
 def q_shard_all(spark, sf):
-    e = events_pieces(spark, sf).select("event_id", "piece_id")
-    parts = [RG.shard(e, k, 4).withColumn("shard", F.lit(k)) for k in range(4)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return RG.shard_numbers(events_pieces(spark, sf).select("event_id", "piece_id"), 4)
 
 
 @register(
@@ -1031,17 +1070,24 @@ def q_piece_batches(spark, sf):
     return B.piece_batches(e, ["event_id", "value"], ["event_id"])
 
 
-@register("rowgroup_scan_select", "SELECT event_id, event_type, value FROM events")
+@register(
+    "rowgroup_scan_select",
+    f"""WITH e AS (SELECT event_id, event_type, value, {_PIECE_SQL} AS piece_id, user_id FROM events)
+        SELECT event_id, event_type, value, piece_id FROM e
+        WHERE piece_id IN (SELECT piece_id FROM e WHERE user_id = 3 INTERSECT
+                           SELECT piece_id FROM e WHERE value IN (6, 7.5, 12.25))""",
+)
 def q_rowgroup_scan_select(spark, sf):
-    # Index the real Parquet row groups, select those holding 'click' events (every row
-    # group here), and read exactly the selected row groups through the data source.
-    from ..sources.rowgroup_scan import scan_row_groups
+    # The index is stored once, then selects blocks in a configured read; 6 finds 6.0.
+    e = events_pieces(spark, sf)
+    path = shared_table_path(spark, "index")
+    RG.write_indexes(RG.build_indexes(e, [RG.SingleFieldIndexer("by_user", "user_id"),
+                                          RG.SingleFieldIndexer("by_value", "value")]), path)
+    url = "file://" + os.path.abspath(os.path.join(sf, "events.parquet"))
+    sel = RG.IntersectIndexSelector([RG.SingleIndexSelector("by_user", [3]),
+                                     RG.SingleIndexSelector("by_value", [6, 7.5, 12.25])])
+    spec = DatasetSpec(url, fields=["event_id", "event_type", "value"], block_rows=BLOCK, selector=sel, index_path=path)
+    return read_dataset(spark, spec).select("event_id", "event_type", "value", "piece_id")
 
-    path = f"{sf}/events.parquet"
-    cat = CAT.row_group_catalog(spark, path)
-    rows = CAT.attach_pieces(spark.read.parquet(path), cat)
-    index = RG.build_indexes(rows, [RG.SingleFieldIndexer("by_type", "event_type")])
-    pieces = RG.SingleIndexSelector("by_type", ["click"]).pieces(index)
-    schema = T.StructType([f for f in table(spark, sf, "events").schema.fields
-                           if f.name in ("event_id", "event_type", "value")])
-    return scan_row_groups(spark, cat, pieces, schema).drop("piece_id")
+
+from . import registry_values  # noqa: E402,F401  (registers its queries)

@@ -67,20 +67,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_table_path(spark: SparkSession, kind: str = "") -> str:
+    """A new path in the shared checkpoint folder, removed by ``cleanup_checkpoints``."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainset-{kind}{uuid.uuid4().hex}"
+    _track_table(spark, path)
+    return path
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` as a Parquet table in the shared checkpoint folder
     and reading it back: later passes are columnar (a count reads one column) and the
     files survive executor loss. Repeated column names and types that Parquet lacks go
     through ``DataFrame.checkpoint``; any other error rises."""
-    import uuid
-
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     names = [n.lower() for n in df.columns]
     if not base or len(set(names)) < len(names) or any("void" in t or "interval" in t for _, t in df.dtypes):
         return df.checkpoint(eager=True)
-    path = f"{base.rstrip('/')}/grainset-{uuid.uuid4().hex}"
-    _track_table(spark, path)
+    path = shared_table_path(spark)
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
 
@@ -127,13 +133,18 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES, measure: bool = False) -> DataFrame:
     """Hint a broadcast only when the estimated size is below ``limit``.
 
+    The estimate of an aggregate follows its input. With ``measure`` a table estimated above
+    the limit is written to the checkpoint folder once and judged by its real size.
     Otherwise the planner keeps its own choice (sort-merge or shuffled hash join),
     so a side that grows with the data never gets pinned to every executor.
     """
     size = estimated_bytes(df)
+    if measure and (size is None or size > limit):
+        df = reliable_checkpoint(df)
+        size = estimated_bytes(df)
     if size is not None and size <= limit:
         return F.broadcast(df)
     return df

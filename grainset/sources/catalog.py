@@ -130,7 +130,7 @@ def attach_pieces(df: DataFrame, catalog: DataFrame, name: str = "piece_id",
     file, or, when ``max_groups_per_file`` is given and large, by a binary search of
     ceil(log2(G)) steps (map-side, no shuffle).
     """
-    files = broadcast_if_small(_file_table(catalog))
+    files = broadcast_if_small(_file_table(catalog), measure=True)
     tagged = df.withColumn("__afp", F.col("_metadata.file_path")).withColumn("__ari", F.col("_metadata.row_index"))
     # A scanned file that the catalog lacks must not lose its rows silently.
     joined = tagged.join(files, tagged["__afp"] == files["file_path"], "left")
@@ -174,7 +174,7 @@ def logical_blocks_by_row(df: DataFrame, block_rows: int, name: str = "piece_id"
     per_file = per_file.withColumn(
         "__base", F.sum(F.col("__nb") + 1).over(Window.orderBy("__lfp")) - (F.col("__nb") + 1)
     )
-    per_file = broadcast_if_small(per_file)
+    per_file = broadcast_if_small(per_file, measure=True)
     out = tagged.join(per_file, "__lfp").withColumn(name, F.col("__base") + F.col("__blk"))
     return out.drop("__lfp", "__blk", "__nb", "__base")
 

@@ -129,12 +129,12 @@ def parse_commit_lines(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def measures_to_map(measures_col: str = "measures", key: str = "metric", value: str = "value"):
-    """Array of {metric, value} structs to a map; a repeated key keeps the last value.
-
-    Needs ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` (set by ``measure_map``)."""
-    return F.map_from_entries(
-        F.transform(F.col(measures_col), lambda m: F.struct(m[key].alias("key"), m[value].alias("value")))
-    )
+    """Array of {metric, value} structs to a map; a repeated key keeps the last value, whatever
+    the session's key policy. Entries without a key are left out."""
+    named = F.filter(F.col(measures_col), lambda m: m[key].isNotNull())
+    keys = F.array_distinct(F.transform(named, lambda m: m[key]))
+    last = F.transform(keys, lambda k: F.element_at(F.filter(named, lambda m: m[key] == k), -1)[value])
+    return F.map_from_arrays(keys, last)
 
 
 def write_metric_records(df: DataFrame, path: str, key_col: str = "commit_hash", mode: str = "overwrite"):

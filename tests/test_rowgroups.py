@@ -105,23 +105,30 @@ def test_subsplit_parts_partition_each_piece(spark):
     assert len(over) == 100 + 10 * 2  # each boundary row is repeated in the earlier part
 
 
-def test_row_group_scan_reads_only_selected_groups(spark, tmp_dir):
-    from pyspark.sql import types as T
+def test_attach_moves_no_rows_when_the_estimate_is_large(spark, tmp_dir, monkeypatch):
+    import grainset.session as S
 
-    from grainset.sources.rowgroup_scan import scan_row_groups
-
-    path = tmp_dir + "/rg scan"
+    path = tmp_dir + "/large estimate"
     _write_multi_group(spark, path)
     cat = CAT.row_group_catalog(spark, path)
-    data = CAT.attach_pieces(spark.read.parquet(path), cat)
-    idx = RG.build_indexes(data, [RG.SingleFieldIndexer("s_index", "s")])
-    pieces = RG.SingleIndexSelector("s_index", ["s5", "s19999"]).pieces(idx)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.StringType())])
-    got = scan_row_groups(spark, cat, pieces, schema)
-    expect = RG.select_pieces(data, idx, RG.SingleIndexSelector("s_index", ["s5", "s19999"])).select("id", "s", "piece_id")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expect.collect()))
-    n_groups = cat.count()
-    assert got.rdd.getNumPartitions() == 2 < n_groups
+    real, calls = S.estimated_bytes, []
+
+    def first_is_huge(df):
+        calls.append(1)
+        return 1 << 50 if len(calls) == 1 else real(df)
+
+    monkeypatch.setattr(S, "estimated_bytes", first_is_huge)
+    out = CAT.attach_pieces(spark.read.parquet(path), cat)
+    assert len(calls) == 2  # the file table was written and measured
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert out.count() == spark.read.parquet(path).count()
+
+
+def test_path_hash_shards_follow_the_path_below_the_root(spark):
+    df = spark.createDataFrame([(f"file:/a/d/part-{i}",) for i in range(40)], "p string")
+    parts = [RG.shard_by_path_hash(df, k, 3, F.col("p")).count() for k in range(3)]
+    assert sum(parts) == 40 and min(parts) > 0
 
 
 def test_attach_binary_search_matches_linear(spark, tmp_dir):

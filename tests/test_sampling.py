@@ -90,11 +90,42 @@ def test_zero_probability_source_never_ends_stream(spark):
     assert out.count() == 50
 
 
-def test_buffer_shuffle_preserves_rows(spark):
-    df = spark.range(5000).repartition(4)
-    out = X.buffer_shuffle(df, capacity=100, min_after_retrieve=80, seed=5)
-    vals = [r["id"] for r in out.collect()]
-    assert sorted(vals) == list(range(5000))
+def test_piece_positions_match_a_global_sort(spark):
+    # Positions from the list of pieces equal the rank of the rows in the read order.
+    df = spark.range(1000).select(F.col("id").alias("k"), F.floor(F.col("id") * 7 % 13).alias("piece_id")).repartition(5)
+    for pieces, rows in ((False, False), (True, False), (True, True), (False, True)):
+        got = X.piece_positions(df, ["k"], 3, shuffle_pieces=pieces, shuffle_rows=rows, seed=5)
+        rep = X.with_epochs(df, 3)
+        want = X.ordered_positions(rep, X.read_order(rep, ["k"], shuffle_pieces=pieces, shuffle_rows=rows, seed=5))
+        key = lambda r: (r["epoch"], r["k"], r["piece_id"], r["position"])
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    with pytest.raises(ValueError):
+        X.piece_positions(df, ["k"], 0)
+
+
+def test_epochs_do_not_sort_rows_globally(spark):
+    df = spark.range(1000).select("id", F.floor(F.col("id") / 10).alias("piece_id"))
+    plan = X.piece_positions(df, ["id"], 3, shuffle_pieces=True)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_shuffled_batches_hold_every_row_once(spark):
+    df = spark.range(1000).repartition(4)
+    out = X.shuffled_batches(df, 64, ["id"], seed=3).collect()
+    ids = [i for r in sorted(out, key=lambda r: r["batch_id"]) for i in r["id"]]
+    assert sorted(ids) == list(range(1000)) and ids != list(range(1000))
+    again = X.shuffled_batches(df.repartition(7), 64, ["id"], seed=3).collect()
+    assert ids == [i for r in sorted(again, key=lambda r: r["batch_id"]) for i in r["id"]]
+
+
+def test_mixed_sequences_must_share_a_spec(spark):
+    from grainset.operators.sequences import NGram
+
+    df = spark.range(5)
+    a, b = NGram({0: ["id"], 1: ["id"]}, 1, "id"), NGram({0: ["id"]}, 1, "id")
+    with pytest.raises(ValueError):
+        X.weighted_mix([df, df], [0.5, 0.5], [["id"], ["id"]], specs=[a, b])
+    X.weighted_mix([df, df], [0.5, 0.5], [["id"], ["id"]], specs=[a, a])
 
 
 def test_capped_sample_and_quality(spark):

@@ -198,7 +198,7 @@ def test_converter_batches_and_metadata_report(spark, tmp_dir):
     b = conv.batches(spark).orderBy("batch_id").collect()
     assert [r["batch_rows"] for r in b] == [32, 32, 6]
     assert sorted(x for r in b for x in r["id"]) == list(range(70))
-    sb = conv.batches(spark, batch_size=10, shuffling_queue_capacity=20, seed=1).collect()
+    sb = conv.batches(spark, batch_size=10, shuffle=True, seed=1).collect()
     assert sorted(x for r in sb for x in r["id"]) == list(range(70))
     path = tmp_dir + "/meta"
     W.materialize_dataset(df, path)
