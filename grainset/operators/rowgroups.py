@@ -66,8 +66,8 @@ class ExpressionIndexer(Indexer):
 
 
 def build_indexes(df: DataFrame, indexers: list, piece_col: str = "piece_id") -> DataFrame:
-    """All indexes in one scan: each row gives its (index_name, value) entries of every
-    indexer, then one partially aggregated ``groupBy``."""
+    """All indexes in one scan, as long rows (index_name, value, piece_id), each once: a value
+    that is in every piece is as many rows, spread over tasks, and never one array."""
     names = [ix.index_name for ix in indexers]
     if len(set(names)) != len(names):
         raise ValueError("index names must be unique")
@@ -80,9 +80,18 @@ def build_indexes(df: DataFrame, indexers: list, piece_col: str = "piece_id") ->
 
     rows = df.select(F.col(piece_col).alias("piece_id"), F.explode(F.concat(*map(entries, indexers))).alias("e"))
     rows = rows.where("e.value IS NOT NULL").select("e.index_name", "e.value", "piece_id")
-    # collect_set de-duplicates map-side (partial aggregate per task), so one shuffle
-    # carries at most one (index, value, piece) entry per task.
-    return rows.groupBy("index_name", "value").agg(F.array_sort(F.collect_set("piece_id")).alias("piece_ids"))
+    # Duplicates go map-side first: one shuffle carries an entry at most once per task.
+    return rows.dropDuplicates()
+
+
+def index_arrays(index: DataFrame, index_name: str | None = None, values: list | None = None) -> DataFrame:
+    """The sorted piece ids of each value as an array, for listings; name an index or some
+    values (as in ``SingleIndexSelector``) where the pieces are many."""
+    if values is not None:
+        index = index.filter(SingleIndexSelector(index_name, values).hits())
+    elif index_name is not None:
+        index = index.filter(F.col("index_name") == index_name)
+    return index.groupBy("index_name", "value").agg(F.array_sort(F.collect_list("piece_id")).alias("piece_ids"))
 
 
 def write_indexes(index: DataFrame, path: str, mode: str = "overwrite"):
@@ -90,12 +99,12 @@ def write_indexes(index: DataFrame, path: str, mode: str = "overwrite"):
 
 
 def read_indexes(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("index_name", "value", "piece_ids")
+    return spark.read.parquet(path).select("index_name", "value", "piece_id")
 
 
 def index_report(index: DataFrame) -> DataFrame:
     """Per index and value: how many pieces hold it."""
-    return index.select("index_name", "value", F.size("piece_ids").alias("n_pieces"))
+    return index.groupBy("index_name", "value").agg(F.count(F.lit(1)).cast("int").alias("n_pieces"))
 
 
 # ------------------------------------------------------------------ selectors
@@ -130,9 +139,11 @@ class SingleIndexSelector(Selector):
             out = out | (broken & F.coalesce(value.try_cast("double").isin(other), F.lit(False)))
         return out
 
+    def hits(self) -> Column:
+        return (F.col("index_name") == self.index_name) & self._wanted()
+
     def pieces(self, index: DataFrame) -> DataFrame:
-        hit = index.filter((F.col("index_name") == self.index_name) & self._wanted())
-        return hit.select(F.explode("piece_ids").alias("piece_id")).distinct()
+        return index.filter(self.hits()).select("piece_id").distinct()
 
 
 class IntersectIndexSelector(Selector):

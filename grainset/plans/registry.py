@@ -444,6 +444,13 @@ def events_index(spark, sf):
     return RG.build_indexes(e, _events_indexers())
 
 
+def stored_events_index(spark, sf):
+    """The index written once; selectors then read only their entries."""
+    path = shared_table_path(spark, "index")
+    RG.write_indexes(events_index(spark, sf), path)
+    return RG.read_indexes(spark, path)
+
+
 _PIECE_SQL = f"(event_id // {BLOCK})"
 
 
@@ -460,7 +467,7 @@ _PIECE_SQL = f"(event_id // {BLOCK})"
         FROM events WHERE event_type = 'error' AND value > 45 HAVING count(*) > 0""",
 )
 def q_index_build(spark, sf):
-    return events_index(spark, sf)
+    return RG.index_arrays(events_index(spark, sf))
 
 
 @register(
@@ -487,7 +494,7 @@ def q_index_report(spark, sf):
 )
 def q_select_union(spark, sf):
     sel = RG.UnionIndexSelector([RG.SingleIndexSelector("by_user", [3]), RG.SingleIndexSelector("by_user", [7])])
-    return RG.select_pieces(events_pieces(spark, sf), events_index(spark, sf), sel).select(
+    return RG.select_pieces(events_pieces(spark, sf), stored_events_index(spark, sf), sel).select(
         "event_id", "piece_id", "user_id"
     )
 
@@ -507,7 +514,7 @@ def q_select_intersect(spark, sf):
             RG.SingleIndexSelector("big_error", ["*"]),
         ]
     )
-    return RG.select_pieces(events_pieces(spark, sf), events_index(spark, sf), sel).select(
+    return RG.select_pieces(events_pieces(spark, sf), stored_events_index(spark, sf), sel).select(
         "event_id", "piece_id", "user_id"
     )
 

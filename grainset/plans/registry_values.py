@@ -6,13 +6,14 @@ from __future__ import annotations
 from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates
 from ..operators import predicates as P
 from ..operators import reports as R
 from ..operators import rowgroups as RG
 from ..operators import sequences as SQ
-from ..operators.projection import conform, convert_precision, tensor_ready, vectors_to_arrays
+from ..operators.projection import ColumnCodec, conform, convert_precision, register_codec, tensor_ready, vectors_to_arrays
 from ..operators.transform import TransformSpec, apply_transform, edit_field
 from ..session import shared_table_path, table
 from ..sources import metrics as M
@@ -424,3 +425,17 @@ def q_managed_write(spark, sf):
     declared = {f.name: f.dtype for f in SC.fields_of(W.load_declared_schema(spark, copy))}
     rows = read_dataset(spark, DatasetSpec(_uri(copy), fields=["s_suppkey", "s_name", "s_nationkey"]))
     return rows.select("s_suppkey", "s_name", "s_nationkey", F.lit(declared["s_nationkey"]).alias("declared"))
+
+
+@register(
+    "named_codec",
+    """SELECT event_id, event_type, hex(event_type) AS stored FROM events""",
+)
+def q_named_codec(spark, sf):
+    # A field declares its codec by name: stored in that form, decoded by the declared read.
+    register_codec("hex", ColumnCodec(lambda c: F.hex(F.encode(c, "UTF-8")), lambda c: F.decode(F.unhex(c), "UTF-8"), T.StringType()))
+    schema = SC.make_schema([SC.Field("event_id", "int64"), SC.Field("event_type", "str", codec="hex", nullable=True)])
+    path = shared_table_path(spark, "codec")
+    W.materialize_dataset(table(spark, sf, "events").select("event_id", "event_type"), path, schema)
+    stored = spark.read.parquet(path).select("event_id", F.col("event_type").alias("stored"))
+    return W.read_declared(spark, path).join(stored, "event_id")

@@ -168,11 +168,6 @@ def infer_fields(schema: T.StructType, omit_unsupported: bool = True, strict_com
     return out
 
 
-def schema_view(fields: list[Field], names: list[str]) -> list[Field]:
-    by = {f.name: f for f in fields}
-    return [by[n] for n in names]
-
-
 # ---------------------------------------------------------------- tensors
 
 

@@ -74,7 +74,7 @@ def test_selector_golden_counts(spark):
 def test_not_null_index_and_report(spark):
     df = _f1(spark)
     idx = RG.build_indexes(df, [RG.FieldNotNullIndexer("arr_nn", "string_array_nullable")])
-    row = idx.collect()[0]
+    row = RG.index_arrays(idx).collect()[0]
     assert row["value"] == "*" and row["piece_ids"] == list(range(10))
     rep = RG.index_report(_index(df)).filter("index_name = 'sensor_index'").collect()
     assert rep[0]["n_pieces"] == 10

@@ -225,10 +225,35 @@ def test_vectors_codec_and_expression_index(spark):
     assert enc.schema["a"].dataType == T.StringType() and codec.decode_df(enc, "a").first()["a"] == [1, 2]
     rows = spark.createDataFrame([(0, "a b"), (1, "b"), (1, "c")], "piece_id long, text string")
     idx = RG.build_indexes(rows, [RG.ExpressionIndexer("words", F.split("text", " "))])
-    got = {r["value"]: r["piece_ids"] for r in idx.collect()}
+    got = {r["value"]: r["piece_ids"] for r in RG.index_arrays(idx).collect()}
     assert got == {"a": [0], "b": [0, 1], "c": [1]}
 
 
+def test_columns_are_stored_and_read_by_codec_name(spark, tmp_dir):
+    from grainset.operators.projection import CODECS, ColumnCodec, register_codec
+
+    hexed = ColumnCodec(lambda c: F.hex(F.encode(c, "UTF-8")), lambda c: F.decode(F.unhex(c), "UTF-8"), T.StringType())
+    register_codec("hex", hexed)
+    try:
+        schema = S.make_schema([S.Field("id", "int64"), S.Field("t", "str", codec="hex", nullable=True)])
+        path = tmp_dir + "/codec"
+        W.materialize_dataset(spark.createDataFrame([(1, "ab"), (2, None)], "id long, t string"), path, schema)
+        assert {r["t"] for r in spark.read.parquet(path).collect()} == {"6162", None}
+        assert {(r["id"], r["t"]) for r in W.read_declared(spark, path).collect()} == {(1, "ab"), (2, None)}
+    finally:
+        CODECS.pop("hex")
+
+
+def test_report_lists_piece_ids(spark, tmp_dir):
+    from grainset.operators import rowgroups as RG
+
+    path = tmp_dir + "/listed"
+    spark.range(0, 40, numPartitions=2).write.parquet(path)
+    W.stamp_metadata(spark, path)
+    W.build_dataset_indexes(spark, path, [RG.FieldNotNullIndexer("all", "id")])
+    assert W.metadata_report(spark, path, list_pieces=True)[1].first()["piece_ids"] == [0, 1]
+
+
 def test_cli_copy_stamp_index_report(spark, tmp_dir, capsys):
     from grainset import cli
 
