@@ -1,8 +1,10 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
 Every stage works on all rows its predecessor kept and returns the columns of documents (the
-last one adds the mixing columns). A null doc_id stays a row of its own; repeated rows of a
-kept document stay; an empty table passes through.
+last one adds the mixing columns). Documents are told apart by row, not by doc_id: of near
+copies one row stays, whether their doc_ids are null, repeated or neither (smallest doc_id,
+null last, then smallest text hash), and of rows that repeat doc_id and text one stays; an
+empty table passes through.
 """
 
 from __future__ import annotations
@@ -34,11 +36,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component."""
+    """Keeps one row of each component (``simhash_dedup.keep_one``)."""
     ship_package(spark)
-    found = simhash_dedup.simhash_dedup(docs, shingle=simhash_dedup.SHINGLE, distance=simhash_dedup.DISTANCE)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone")), "left_anti")
+    return simhash_dedup.keep_one(docs, shingle=simhash_dedup.SHINGLE, distance=simhash_dedup.DISTANCE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

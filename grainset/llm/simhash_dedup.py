@@ -78,15 +78,22 @@ def fingerprint_batch(column, shingle: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row, fp as a signed 64-bit number."""
+def fingerprints(
+    docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False
+) -> DataFrame:
+    """(doc_id, fp) for every row, fp as a signed 64-bit number; if ``keyed`` also tk, the
+    SHA-256 of the text (null for a null text)."""
 
     def run(batches):
         for batch in batches:
             fp = fingerprint_batch(batch.column(1), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            tk = [batch.column(2)] if keyed else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *tk], names=["doc_id", "fp", "tk"][: 2 + keyed])
 
-    return documents_frame(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    frame = documents_frame(docs, id_col, text_col)
+    if keyed:
+        frame = frame.withColumn("tk", F.unhex(F.sha2("text", 256)))
+    return frame.mapInArrow(run, "doc_id long, fp long" + ", tk binary" * keyed)
 
 
 class Golay:
@@ -228,14 +235,50 @@ def simhash_dedup(
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id that
     links of at most ``distance`` differing bits reach."""
     marked = reliable_checkpoint(fingerprints(docs, shingle, id_col, text_col))
-    groups = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    least = _least(marked, F.col("doc_id"), distance, most).withColumnRenamed("least", "component_id")
+    return marked.join(least, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    distance: int = DISTANCE,
+    most: int = MOST,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One whole row of each component: smallest doc_id (null last), then smallest SHA-256 of
+    the text (null text last). Of rows that repeat both, the one with the least hash of all
+    columns stays, once."""
+    marked = fingerprints(docs, shingle, id_col, text_col, keyed=True)
+    marked = reliable_checkpoint(marked.groupBy("doc_id", "tk", "fp").agg(F.count(F.lit(1)).alias("n")))
+    place = F.struct(F.isnull("doc_id"), "doc_id", F.isnull("tk"), "tk")
+    found = marked.join(_least(marked, place, distance, most), "fp")
+    doc, tk = docs[id_col].cast("long"), F.unhex(F.sha2(docs[text_col].cast("string"), 256))
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("key_id"), F.col("tk").alias("key_tk"))
+        return rows.join(keys, doc.eqNullSafe(keys["key_id"]) & tk.eqNullSafe(keys["key_tk"]), how)
+
+    out = among(docs, found.where(~place.eqNullSafe(F.col("least"))), "left_anti")
+    if marked.where("n > 1").isEmpty():
+        return out
+    again = found.where(place.eqNullSafe(F.col("least")) & (F.col("n") > 1))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    once = among(docs, again, "left_semi").groupBy(doc.alias("key_id"), tk.alias("key_tk"))
+    once = once.agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    return among(out, again, "left_anti").unionAll(once)
+
+
+def _least(marked: DataFrame, value, distance: int, most: int) -> DataFrame:
+    """(fp, least): the least value in the component of each fingerprint."""
+    groups = marked.groupBy("fp").agg(F.min(value).alias("first"))
     roots = components(links(groups, distance, most))
     groups = groups.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = groups.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = groups.groupBy("root").agg(F.min("first").alias("least"))
+    return groups.join(least, "root").select("fp", "least")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

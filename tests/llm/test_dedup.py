@@ -1,6 +1,7 @@
 """Substring, suffix, line and SimHash dedup against brute force."""
 
 import collections
+import hashlib
 import random
 import re
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from grainset.llm import line_dedup, simhash_dedup, substring_dedup, suffix_dedup
 from grainset.llm.runlength_index import RunLengthIndex
 
@@ -227,3 +229,15 @@ def test_golay_keys_share():
 )
 def test_empty_table(frame, operator):
     assert operator(frame([])).count() == 0
+
+
+def test_one_row_of_each_component(spark, frame, words):
+    rng = random.Random(21)
+    a, b, c, d, e, f, g = (" ".join(rng.choice(words) for _ in range(80)) for _ in range(7))
+    rows = [(5, a), (None, a), (None, b), (None, c), (None, c.upper())]  # a copy and unique texts without id
+    rows += [(7, d), (7, a), (7, e), (7, e), (8, e)]  # one id with three texts, a repeated row
+    rows += [(None, f), (None, f), (9, None), (10, ""), (11, g)]
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, frame(rows), "").collect())
+    least = min(c, c.upper(), key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert got == collections.Counter([(5, a), (None, b), (None, least), (7, d), (7, e), (None, f), (9, None), (11, g)])
+    assert corpus_pipeline.dedup_documents(spark, frame([]), "").count() == 0
