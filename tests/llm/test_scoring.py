@@ -176,6 +176,38 @@ def test_decontamination(spark, frame, words):
         decontamination.build_index(docs, bench, most_items=3)
 
 
+def test_verbatim_after_reshuffled_copies(spark, frame, words):
+    rng = random.Random(31)
+    shuffled = lambda w: rng.sample(w, len(w))
+    items = [rng.sample(words, n) for n in (15, 17, 20, 24, 32, 40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(200))) for i in range(100)]
+    for k, it in enumerate(items):
+        parts = [shuffled(it) for _ in range(4)] + [it] + [shuffled(it) for _ in range(2)]
+        rows.append((1000 + k, " ".join(w for p in parts for w in p)))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    docs = frame(rows)
+    index = decontamination.build_index(docs, bench)
+    got = {(r.doc_id, r.item_id): r.lcs for r in decontamination.matches(docs, index).collect()}
+    assert got == {(1000 + k, k): 1.0 for k in range(6)}
+
+
+def test_terms_count_once_in_each_window():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(17)
+    doc = np.repeat(np.arange(3), [10, 200, 90])
+    projection, square = rng.random((decontamination.TERMS, 5)).astype(np.float32), rng.random(decontamination.TERMS)
+    index = decontamination.Index(projection, square, [], [], [], np.zeros((0, 5)), np.zeros(0), 0.3)
+    at, _, _ = decontamination._blocks(doc, 3, decontamination.STEP)
+    ends = np.cumsum([10, 200, 90])
+    seen = []
+    for size, total, length in index._windows(words, doc, at):
+        seen.append(size)
+        for b, first in enumerate(at):
+            slot = np.unique(decontamination._slot(words[first : min(first + size * decontamination.STEP, ends[doc[first]])]))
+            assert np.allclose(total[b], projection[slot].sum(axis=0), atol=1e-4) and np.isclose(length[b], square[slot].sum())
+    assert tuple(seen) == decontamination.SIZES
+
+
 def test_mixing_rates(spark):
     rng = np.random.default_rng(3)
     p = rng.dirichlet([0.3, 0.3, 0.3], 400)
