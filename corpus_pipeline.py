@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
-    out = line_dedup.line_dedup(docs, carry=True)
+    out = line_dedup.line_dedup(docs, carry=True, **line_dedup.EVERY_LINE)
     return out.select(*[(new[c] if c in new else F.col("rest")[c]).alias(c) for c in docs.columns])
 
 

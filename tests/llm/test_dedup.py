@@ -153,6 +153,37 @@ def test_line_dedup(corpus, frame):
         assert r.rest.doc_id == r.doc_id and r.rest.chunk == "c"
 
 
+def test_line_dedup_short_lines(spark, tmp_path, frame):
+    rng = random.Random(17)
+    vocab = [f"v{i}" for i in range(9)]
+    rows = [
+        (0, "Copyright 2019 Acme Inc.\nhttps://a.example/x\n----\n今日は天気がいい\none two three"),
+        (1, "copyright  2020 Acme Inc.\nhttps://a.example/x\n----\n今日は天気がいい\none two four\n"),
+        (2, "a b c d e f g\nCopyright 2019 2020 Acme Inc."),
+        (3, "a b c d e f g h\nb c d e f g\nonly"),
+        (4, None),
+        (None, "only\na b c d x f g"),
+    ]
+    for i in range(10, 90):
+        rows.append((i, "\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 5)))))
+    places = sorted({(i, k, tuple(split_words(x.translate(LOW))), x) for i, t in keyed(rows) for k, x in enumerate(t.split("\n"))})
+    first = {}
+    for i, k, w, _ in places:
+        first.setdefault(w, (i, k))
+    long = sorted((p, w) for w, p in first.items() if len(w) >= 4)
+    close = {w for n, (_, w) in enumerate(long) if any(near(w, v) for _, v in long[:n])}
+    want = collections.defaultdict(list)
+    for i, k, w, x in places:
+        want[i] += [x] if not w or (first[w] == (i, k) and w not in close) else []
+    docs = frame(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got[1] == "one two four\n" and got[2] == "a b c d e f g" and got[3] == "only" and got[4] is None and got[None] == ""
+    assert all((t or "") == "\n".join(want[2**62 if i is None else i]) for i, t in got.items())
+    hashes = {r.doc_id: r.kept_sha256 for r in line_dedup.query(spark, str(tmp_path)).collect()}
+    assert hashes == {i: t if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in got.items()}
+
+
 def fingerprint(text):
     w = split_words((text or "").translate(LOW))
     shingles = [" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))] if w else []
