@@ -364,7 +364,7 @@ class Encoder:
             size += len(w) + 1
             if size >= ROUND or hi + 1 == len(words):
                 some = words[lo : hi + 1]
-                self.known.update(zip(some, self.values(some, self._merge([BLANK + w for w in some]))))
+                self.known.update(zip(some, self.values(some, self._merge([BLANK + w.replace(" ", BLANK) for w in some]))))
                 lo, size = hi + 1, 0
         for w in new:
             if len(w) > WORD:
@@ -528,6 +528,12 @@ class _Digest(Encoder):
         names = self.names
         return [",".join([names[k] for k in i]) for i in listed]
 
+    def _forget(self, words: set) -> None:
+        super()._forget(words)
+        for w in words:
+            if len(w) > WORD:
+                self.shown.pop(w, None)
+
     def _look(self, words, listed, which) -> None:
         for k in which:
             word, ids = words[k], listed[k]

@@ -4,7 +4,21 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, line_dedup, mixing, pii, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import (
+    alignment,
+    decontamination,
+    line_dedup,
+    mixing,
+    pii,
+    piece_bpe,
+    quality_rules,
+    simhash_dedup,
+    spelling,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -17,6 +31,9 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
+    "op11_token_alignment": alignment.query,
+    "op12_piece_encoding": piece_bpe.query,
+    "op13_spelling_groups": spelling.query,
     "pipeline": corpus_pipeline.run,
 }
 
