@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbering import with_row_index
 
@@ -85,3 +86,44 @@ def piece_batches(df: DataFrame, columns: list[str], order: list, piece_col: str
         F.size("__rows").alias("batch_rows"),
         *[F.col("__rows").getField(f"__c_{c}").alias(c) for c in columns],
     )
+
+
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StructType, T.MapType)) or isinstance(kind, T.ArrayType) and _nested(kind.elementType)
+
+
+def _collated(c: Column, kind: T.DataType) -> Column:
+    """An array of values of type ``kind``, one of each row, rebuilt."""
+    if isinstance(kind, T.StructType):
+
+        def field(f):
+            return _collated(F.transform(c, lambda x: x[f.name]), f.dataType).alias(f.name)
+
+        return F.struct(*map(field, kind.fields))
+    if isinstance(kind, T.MapType):
+        missing = F.raise_error(F.lit("a row's map lacks a key of the first row's")).cast(kind.valueType)
+
+        def values(k):
+            got = F.transform(c, lambda m: F.when(F.map_contains_key(m, k), F.element_at(m, k)).otherwise(missing))
+            return _collated(got, kind.valueType)
+
+        keys = F.map_keys(F.get(c, F.lit(0)))
+        return F.map_from_arrays(keys, F.transform(keys, values))
+    if _nested(kind):  # sequences: one entry per step, as many as the shortest has
+        steps = F.array_min(F.transform(c, lambda a: F.size(a)))
+        places = F.filter(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1), lambda i: i < steps)
+        return F.transform(places, lambda i: _collated(F.transform(c, lambda a: F.get(a, i)), kind.elementType))
+    return c
+
+
+def collate(batches: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Turns the batch arrays of nested ``columns`` (all, unless given) inside out: an array of
+    structs becomes a struct of arrays, an array of maps a map of arrays (the first row's keys,
+    an error if a row lacks one), an array of sequences of such an array with an entry for each
+    step, as many as the shortest sequence has; and so on inside. Values of other types
+    (numbers, tensors, decimals, text) stay arrays with one value of each row."""
+    out = []
+    for f in batches.schema.fields:
+        inside = isinstance(f.dataType, T.ArrayType) and (columns is None or f.name in columns)
+        out.append(_collated(F.col(f.name), f.dataType.elementType).alias(f.name) if inside else F.col(f.name))
+    return batches.select(*out)

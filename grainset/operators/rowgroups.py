@@ -107,6 +107,91 @@ def index_report(index: DataFrame) -> DataFrame:
     return index.groupBy("index_name", "value").agg(F.count(F.lit(1)).cast("int").alias("n_pieces"))
 
 
+# ------------------------------------------------------------------ indexes with a state
+
+
+class StateIndexer:
+    """An index that keeps a state for each piece instead of its values: ``update`` gives the
+    state's fields as aggregates over a piece's rows, ``merge`` as aggregates over states (of
+    the same piece, from parts built apart), ``hits`` whether a state may hold what is asked."""
+
+    index_name: str
+
+    def update(self) -> dict[str, Column]:
+        raise NotImplementedError
+
+    def merge(self) -> dict[str, Column]:
+        raise NotImplementedError
+
+    def hits(self, asked) -> Column:
+        raise NotImplementedError
+
+
+@dataclass
+class RangeIndexer(StateIndexer):
+    """Least and largest value of a field; asked for an interval (low, high), both included;
+    None leaves a side open. Pieces without a value hold nothing."""
+
+    index_name: str
+    field: str
+
+    def update(self):
+        return {"low": F.min(self.field), "high": F.max(self.field)}
+
+    def merge(self):
+        return {"low": F.min("low"), "high": F.max("high")}
+
+    def hits(self, asked):
+        low, high = asked
+        out = F.col("low").isNotNull()
+        if low is not None:
+            out = out & (F.col("high") >= F.lit(low))
+        return out if high is None else out & (F.col("low") <= F.lit(high))
+
+
+@dataclass
+class DistinctIndexer(StateIndexer):
+    """A sketch of a field's distinct values (HyperLogLog); asked for a least number of them."""
+
+    index_name: str
+    field: str
+
+    def update(self):
+        return {"sketch": F.hll_sketch_agg(self.field)}
+
+    def merge(self):
+        return {"sketch": F.hll_union_agg("sketch")}
+
+    def hits(self, asked):
+        return F.hll_sketch_estimate("sketch") >= F.lit(asked)
+
+
+def _aggregated(df: DataFrame, piece_col: str, aggregates: dict[str, Column]) -> DataFrame:
+    return df.groupBy(piece_col).agg(*[c.alias(k) for k, c in aggregates.items()])
+
+
+def build_state_index(df: DataFrame, indexer: StateIndexer, piece_col: str = "piece_id") -> DataFrame:
+    """(piece_id, state fields): a partial aggregate per task, then one row for each piece."""
+    return _aggregated(df.withColumnRenamed(piece_col, "piece_id"), "piece_id", indexer.update())
+
+
+def merge_state_indexes(indexer: StateIndexer, *indexes: DataFrame) -> DataFrame:
+    """One index of several: rows added later, to old or new pieces, need no second scan of
+    those already indexed."""
+    out = indexes[0]
+    for other in indexes[1:]:
+        out = out.unionByName(other)
+    return _aggregated(out, "piece_id", indexer.merge())
+
+
+def write_state_index(index: DataFrame, indexer: StateIndexer, path: str, mode: str = "overwrite"):
+    index.write.mode(mode).parquet(f"{path.rstrip('/')}/state/{indexer.index_name}")
+
+
+def read_state_index(spark, indexer: StateIndexer, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path.rstrip('/')}/state/{indexer.index_name}")
+
+
 # ------------------------------------------------------------------ selectors
 
 
@@ -146,6 +231,20 @@ class SingleIndexSelector(Selector):
         return index.filter(self.hits()).select("piece_id").distinct()
 
 
+class StateIndexSelector(Selector):
+    """Pieces whose state in ``indexer``'s index may hold ``asked``; takes that index, or a
+    folder written by ``write_state_index``, so it may stand beside selectors on values."""
+
+    def __init__(self, indexer: StateIndexer, asked, state: DataFrame | str):
+        self.indexer, self.asked, self.state = indexer, asked, state
+
+    def pieces(self, index: DataFrame | None = None) -> DataFrame:
+        state = self.state
+        if isinstance(state, str):
+            state = read_state_index(index.sparkSession, self.indexer, state)
+        return state.filter(self.indexer.hits(self.asked)).select("piece_id")
+
+
 class IntersectIndexSelector(Selector):
     def __init__(self, selectors: list):
         if not selectors:
@@ -179,7 +278,7 @@ def check_index_names(index: DataFrame, selector: Selector, known: set[str] | No
     def walk(s):
         if isinstance(s, SingleIndexSelector):
             names.add(s.index_name)
-        else:
+        elif not isinstance(s, StateIndexSelector):
             for c in s.selectors:
                 walk(c)
 
@@ -240,7 +339,7 @@ def shard_by_path_hash(df: DataFrame, cur_shard: int, shard_count: int, path_col
 
 
 def subsplit_parts(
-    df: DataFrame, parts: int, order: list, piece_col: str = "piece_id", overlap: int = 0,
+    df: DataFrame, parts: int, order: list, piece_col: str | list = "piece_id", overlap: int = 0,
     index_name: str = "row_in_piece", part_name: str = "part",
 ) -> DataFrame:
     """Split each piece into ``parts`` contiguous parts: part = floor(i / (n / least(n, P)))
@@ -251,7 +350,7 @@ def subsplit_parts(
     if parts < 1:
         raise ValueError("parts must be >= 1")
     # Pieces are bounded (row-group or block size), so a window per piece is one task's work.
-    piece = Window.partitionBy(piece_col)
+    piece = Window.partitionBy(*([piece_col] if isinstance(piece_col, str) else piece_col))
     sized = df.withColumn(index_name, (F.row_number().over(piece.orderBy(*order)) - 1).cast("bigint")).withColumn(
         "__n", F.count(F.lit(1)).over(piece))
     n = F.col("__n").cast("double")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_uniform, order_key
 from ..functions.numbering import with_dense_group_rank, with_group_row_index, with_row_index
 from ..session import broadcast_if_small
+from .rowgroups import subsplit_parts
 
 
 def with_epochs(df: DataFrame, num_epochs: int, name: str = "epoch") -> DataFrame:
@@ -70,25 +71,36 @@ def piece_positions(
     shuffle_rows: bool = False,
     seed: int = 0,
     name: str = "position",
+    rank_col: str | None = None,
 ) -> DataFrame:
     """Every row once per epoch with ``epoch`` and its 0-based position in ``read_order``.
 
     No global sort of rows: only the list of pieces (one row per piece, part and epoch) is
     put in order, giving each piece its first position; a row adds its index inside the
     piece, from a window over that piece alone (pieces are bounded by the row-group or block
-    size). Unshuffled rows are indexed once, whatever the number of epochs.
+    size). Unshuffled rows are indexed once, whatever the number of epochs. With ``rank_col``
+    the rows are there once per epoch already (``shuffled_parts``) and have that order inside
+    their piece; rows may be missing.
     """
     if not isinstance(num_epochs, int) or isinstance(num_epochs, bool) or num_epochs < 1:
         raise ValueError("num_epochs must be a positive integer (None means infinite: use streaming.epochs)")
     unit = [piece_col] + ([part_col] if part_col else [])
     key = [F.col(c) for c in row_key]
-    sizes = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n"))
-    starts = with_epochs(sizes, num_epochs)
+    if rank_col:
+        starts = df.groupBy(*unit, "epoch").agg(F.count(F.lit(1)).alias("__n"))
+    else:
+        starts = with_epochs(df.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n")), num_epochs)
     draw = [order_key(seed, F.col("epoch"), *[F.col(c) for c in unit])] if shuffle_pieces else []
     before = Window.partitionBy("epoch").orderBy(*draw, *unit).rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("__n").over(Window.partitionBy("epoch"))
+    if rank_col:  # epochs may differ in their number of rows (overlaps behind a predicate)
+        before = Window.orderBy("epoch", *draw, *unit).rowsBetween(Window.unboundedPreceding, -1)
+        total = F.lit(0)
     starts = starts.select(*unit, "epoch", (F.coalesce(F.sum("__n").over(before), F.lit(0)) + F.col("epoch") * total).alias("__start"))
-    if shuffle_rows:
+    if rank_col:
+        inside = Window.partitionBy(*unit, "epoch").orderBy(rank_col)
+        rows = df.withColumn("__i", F.row_number().over(inside) - 1)
+    elif shuffle_rows:
         rows = with_epochs(df, num_epochs)
         inside = Window.partitionBy(*unit, "epoch").orderBy(order_key(seed, F.col("epoch"), *key), *key)
         rows = rows.withColumn("__i", F.row_number().over(inside) - 1)
@@ -96,7 +108,30 @@ def piece_positions(
         inside = Window.partitionBy(*unit).orderBy(*key)
         rows = with_epochs(df.withColumn("__i", F.row_number().over(inside) - 1), num_epochs)
     out = rows.join(broadcast_if_small(starts, measure=True), [*unit, "epoch"])
-    return out.select(*df.columns, "epoch", (F.col("__start") + F.col("__i")).alias(name))
+    kept = [c for c in df.columns if not (rank_col and c == "epoch")]
+    return out.select(*kept, "epoch", (F.col("__start") + F.col("__i")).alias(name))
+
+
+def shuffled_parts(
+    df: DataFrame,
+    parts: int,
+    row_key: list[str],
+    num_epochs: int = 1,
+    seed: int = 0,
+    overlap: int = 0,
+    piece_col: str = "piece_id",
+    index_name: str = "row_in_piece",
+    part_name: str = "part",
+) -> DataFrame:
+    """Every row once per epoch and part that it is in. The rows of a piece are shuffled first
+    (``index_name`` is their place in the epoch's order) and the shuffled piece is cut into
+    parts, so what is in a part changes with the seed and the epoch; all parts of an epoch are
+    the table. ``overlap`` repeats rows of the next parts as in ``subsplit_parts``, in the
+    shuffled order too."""
+    rows = with_epochs(df, num_epochs)
+    key = [F.col(c) for c in row_key]
+    order = [order_key(seed, F.col("epoch"), *key), *key]
+    return subsplit_parts(rows, parts, order, [piece_col, "epoch"], overlap, index_name, part_name)
 
 
 def capped_sample(df: DataFrame, order: list[str], rows_capacity: int, num_epochs: int, seed: int,

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,73 +210,163 @@ def ancestor_sequence(df: DataFrame, length: int, delta_threshold: float, timest
     return ngram(df, spec, scope, order, bucket_rows, check_sorted=False)
 
 
+# Buckets that one task of the skeleton walk goes through.
+WALK_BUCKETS = 4096
+
+
+class _Bucket:
+    """The greedy path inside one bucket. ``starts`` are the valid windows' first positions,
+    ``breaks`` the last positions of tie runs (of one scope and time), those of the first L-1
+    rows after the bucket included; ``beyond`` is the first break behind all these."""
+
+    def __init__(self, number, size, length, starts, breaks, beyond):
+        self.base, self.end = number * size, (number + 1) * size
+        self.starts = np.asarray(starts, dtype=np.int64)
+        breaks = np.asarray(breaks, dtype=np.int64)
+        places = np.append(breaks, self.end if beyond is None else beyond)
+        # Where the search goes on after each window: behind the tie run of its last row.
+        self.after = places[np.searchsorted(breaks, self.starts + length - 1)] + 1
+        self.following = np.searchsorted(self.starts, self.after).tolist()
+        # A window from before the bucket ends before it or in its first L-1 rows, its tie run behind.
+        runs = places[np.searchsorted(breaks, np.arange(self.base, self.base + max(length - 1, 1)))] + 1
+        self.entries = sorted({self.base, *runs[runs < self.end].tolist()})
+        self.broken = bool(((breaks >= self.base + length - 1) & (breaks < self.end)).any())
+
+    def path(self, entry: int) -> tuple[list[int], int]:
+        """The windows taken from ``entry`` on (as indexes), and where the next bucket goes on."""
+        at, taken = int(np.searchsorted(self.starts, entry)), []
+        while at < len(self.starts):
+            taken.append(at)
+            at = self.following[at]
+        return taken, max(int(self.after[taken[-1]]) if taken else entry, self.end)
+
+
+def _walk(buckets, entry: int, size: int):
+    """Goes through (number, entries, exits) in order; yields (number, entry) and at last (None, exit)."""
+    for number, entries, exits in buckets:
+        if entry < (number + 1) * size:
+            entry = max(entry, number * size)
+            yield number, entry
+            entry = exits[entries.index(entry)]
+    yield None, entry
+
+
 def _greedy_starts(slim: DataFrame, L: int, thr: float, unit: float, bucket_rows: int) -> DataFrame:
     """Start positions of the greedy non-overlapping windows. ``__ts`` keeps its
     exact type; gaps are its differences divided by ``unit``.
 
-    1. Valid windows V (L rows of one scope, gaps <= thr) from ``lead`` over fixed-size
-       buckets of the global position (the first L-1 rows of a bucket are copied back).
-    2. Successor of a taken window s: the first valid start after the tie run of its
-       end timestamp, in the same scope: nxt(s) = nv(tie_end(ts(s+L-1)) + 1), where
-       tie_end is a (scope, ts) aggregate and nv a bucketed suffix minimum.
-    3. The taken windows are the path head -> nxt -> nxt ... from each scope's first
-       valid window, marked by pointer jumping: log2(path) self-joins build the
-       2^k-th successors, then log2(path) joins extend the path from the heads.
-    Every table is keyed by position (uniform), each round is checkpointed."""
-    B = bucket_rows
+    1. Rows are dealt into buckets of consecutive positions (the next bucket's first L rows are
+       copied); each bucket becomes one written row: its valid windows' starts (L rows of one
+       scope, gaps <= thr) and the ends of its tie runs.
+    2. A taken window's successor is the first valid start behind the tie run of its last row;
+       behind the last window of a scope that is the next scope's first, so all scopes are one
+       path. A bucket can be entered at its begin or behind one of at most L-1 tie runs: it is
+       reduced to the exits of these entries (the skeleton).
+    3. The skeleton is walked in two levels, stretches of ``WALK_BUCKETS`` buckets side by side,
+       then one row for each stretch; then each bucket marks its path from the entry found."""
+    B, ahead = max(bucket_rows, 2 * L), max(L - 1, 1)
     o, b = F.col("__o"), F.floor(F.col("__o") / F.lit(B)).cast("bigint")
     base = slim.select(o, b.alias("__b"), "__scope_key", "__ts")
-    if L > 1:
-        head = base.filter((F.pmod(o, F.lit(B)) < F.lit(L - 1)) & (F.col("__b") > 0))
-        base = base.unionByName(head.withColumn("__b", F.col("__b") - 1))
+    head = base.filter((F.pmod(o, F.lit(B)) < F.lit(L)) & (F.col("__b") > 0))
+    base = base.unionByName(head.withColumn("__b", F.col("__b") - 1))
     w = Window.partitionBy("__b").orderBy("__o")
     sel = [o, F.col("__b"), F.col("__scope_key"), F.col("__ts").alias("__t0")]
-    for j in range(1, L):
+    for j in range(1, ahead + 1):
         sel += [F.lead("__ts", j).over(w).alias(f"__t{j}"), F.lead("__scope_key", j).over(w).alias(f"__k{j}"),
                 F.lead("__o", j).over(w).alias(f"__o{j}")]
-    win = base.select(*sel).filter(b == F.col("__b"))
-    complete, ok, unsorted = F.lit(True), F.lit(True), F.lit(False)
+    win = base.select(*sel)
+    own = b == F.col("__b")
+    complete, ok, unsorted = own, F.lit(True), F.lit(False)
     for j in range(1, L):
         complete = complete & (F.col(f"__o{j}") == o + F.lit(j)) & (F.col(f"__k{j}") == F.col("__scope_key"))
         gap = (F.col(f"__t{j}") - F.col(f"__t{j-1}")).cast("double") / F.lit(unit)
         ok = ok & (gap <= F.lit(thr))
         unsorted = unsorted | (gap < F.lit(0.0))
     msg = "the time column goes back within a sequence: sort the rows by it"
-    keep = F.when(complete & unsorted, F.raise_error(F.lit(msg))).otherwise(complete & ok)
-    V = win.filter(F.coalesce(keep, F.lit(False))).select(
-        o.alias("s"), F.col("__scope_key").alias("sk"), F.col(f"__t{L - 1}").alias("t_end"))
-    V = reliable_checkpoint(V)
-    # Tie runs: last position holding each (scope, timestamp).
-    tie = slim.groupBy("__scope_key", "__ts").agg(F.max("__o").alias("tie_end"))
-    Vu = V.join(tie, (V["sk"] == tie["__scope_key"]) & (V["t_end"] == tie["__ts"]), "inner").select(
-        "s", "sk", (F.col("tie_end") + 1).alias("u"))
-    # nv(p): first valid start at or after p, as a bucketed suffix minimum.
-    flagged = slim.join(V.select(F.col("s").alias("__o"), F.lit(True).alias("__v")), "__o", "left")
-    cand = F.when(F.col("__v"), F.struct(F.col("__o").alias("pos"), F.col("__scope_key").alias("sk")))
-    flagged = flagged.select(o, b.alias("__b"), cand.alias("__c"))
-    # Suffix minima as running minima in descending order: Spark evaluates growing
-    # (unbounded preceding .. current) frames incrementally, whereas a shrinking
-    # (current .. unbounded following) frame is re-aggregated for every row.
-    suffix = Window.partitionBy("__b").orderBy(F.col("__o").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    local = flagged.select(o, F.col("__b"), F.min("__c").over(suffix).alias("__local"))
-    firsts = flagged.groupBy("__b").agg(F.min("__c").alias("__first"))  # one row per bucket
-    later = Window.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.select("__b", F.min("__first").over(later).alias("__next"))
-    nv = local.join(broadcast_if_small(firsts), "__b", "left").select(
-        F.col("__o").alias("u"), F.coalesce("__local", "__next").alias("__nv"))
-    nxt = Vu.join(nv, "u", "left").select(
-        "s", F.when(F.col("__nv.sk") == F.col("sk"), F.col("__nv.pos")).alias("j"))
-    jumps = [reliable_checkpoint(nxt)]
-    while jumps[-1].filter(F.col("j").isNotNull()).limit(1).count() > 0:
-        t = jumps[-1]
-        a, c = t.alias("a"), t.alias("c")
-        nxt2 = a.join(c, F.col("a.j") == F.col("c.s"), "left").select(F.col("a.s").alias("s"), F.col("c.j").alias("j"))
-        jumps.append(reliable_checkpoint(nxt2))
-    path = V.groupBy("sk").agg(F.min("s").alias("s")).select("s")
-    for t in reversed(jumps[:-1]):
-        step = path.join(t, "s").filter(F.col("j").isNotNull()).select(F.col("j").alias("s"))
-        path = reliable_checkpoint(path.unionByName(step).distinct())
-    return path.select(F.col("s").alias("__start"))
+    valid = F.when(complete & unsorted, F.raise_error(F.lit(msg))).otherwise(complete & ok)
+    same = F.col("__k1").eqNullSafe(F.col("__scope_key")) & F.col("__t1").eqNullSafe(F.col("__t0")) & F.col("__o1").isNotNull()
+    known = own | (F.pmod(o, F.lit(B)) < F.lit(L - 1))
+    buckets = win.groupBy("__b").agg(
+        F.array_sort(F.collect_list(F.when(valid, o))).alias("starts"),
+        F.array_sort(F.collect_list(F.when(known & ~same, o))).alias("breaks"),
+    )
+    buckets = reliable_checkpoint(buckets)
+    # One row per bucket: the first break behind the copied rows.
+    first = F.col("__b") * F.lit(B)
+    inside = F.filter("breaks", lambda x: x < first + F.lit(B))
+    firsts = buckets.select(
+        "__b", F.array_min(inside).alias("any"),
+        F.array_min(F.filter(inside, lambda x: x >= first + F.lit(L - 1))).alias("late"))
+    down = Window.orderBy(F.col("__b").desc())
+    beyond = F.least(F.lag("late", 1).over(down), F.min("any").over(down.rowsBetween(Window.unboundedPreceding, -2)))
+    firsts = firsts.select("__b", beyond.alias("beyond"))
+    whole = buckets.join(broadcast_if_small(firsts, measure=True), "__b").select("__b", "starts", "breaks", "beyond")
+
+    def bucket(row):
+        return _Bucket(row["__b"], B, L, row["starts"], row["breaks"], row["beyond"])
+
+    def reduce(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                one = bucket(row)
+                out.append({"__b": row["__b"], "entries": one.entries, "exits": [one.path(e)[1] for e in one.entries], "broken": one.broken})
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    numbers = pa.list_(pa.int64())
+    kind = pa.schema([("__b", pa.int64()), ("entries", numbers), ("exits", numbers), ("broken", pa.bool_())])
+    skeleton = whole.mapInArrow(reduce, "__b long, entries array<long>, exits array<long>, broken boolean")
+    per = WALK_BUCKETS
+    stretch = F.expr(f"__b div {per}")
+    skeleton = reliable_checkpoint(skeleton.withColumn("stretch", stretch))
+
+    def ordered(table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["__b"])
+        return rows, [(r["__b"], r["entries"], r["exits"]) for r in rows]
+
+    def stretch_exits(table: pa.Table) -> pa.Table:
+        rows, steps = ordered(table)
+        entries = []
+        for r in rows:  # a tie run of a window from before ends in the first of these that has a late break
+            entries += r["entries"]
+            if r["broken"]:
+                entries.append((r["__b"] + 1) * B)
+                break
+        exits = [list(_walk(steps, e, B))[-1][1] for e in entries]
+        number = rows[0]["stretch"]
+        return pa.table({"stretch": [number], "entries": pa.array([entries], numbers), "exits": pa.array([exits], numbers)})
+
+    def stretch_entries(batches):
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["stretch"])
+        entry, out = 0, []
+        size = B * per
+        for r in rows:
+            if entry < (r["stretch"] + 1) * size:
+                entry = max(entry, r["stretch"] * size)
+                out.append((r["stretch"], entry))
+                entry = r["exits"][r["entries"].index(entry)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["at", "entry"])
+
+    def bucket_entries(table: pa.Table, entry: pa.Table) -> pa.Table:
+        out = []
+        if table.num_rows and entry.num_rows:
+            out = [x for x in _walk(ordered(table)[1], entry.column("entry")[0].as_py(), B) if x[0] is not None]
+        return pa.table({"__b": pa.array([x[0] for x in out], pa.int64()), "entry": pa.array([x[1] for x in out], pa.int64())})
+
+    # One row for each WALK_BUCKETS buckets goes through one task.
+    stretches = skeleton.groupBy("stretch").applyInArrow(stretch_exits, "stretch long, entries array<long>, exits array<long>")
+    entered = stretches.repartition(1).mapInArrow(stretch_entries, "at long, entry long")
+    entries = skeleton.groupBy("stretch").cogroup(entered.groupBy("at")).applyInArrow(bucket_entries, "__b long, entry long")
+
+    def expand(batches):
+        for batch in batches:
+            starts = []
+            for row in batch.to_pylist():
+                one = bucket(row)
+                starts += one.starts[one.path(row["entry"])[0]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64())], names=["__start"])
+
+    return whole.join(entries, "__b").mapInArrow(expand, "__start long")
 
 
 def ngram_no_overlap(df: DataFrame, spec: NGram, scope: list[str], order: list | None = None,

@@ -146,10 +146,15 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
             df = RG.shard(df, spec.cur_shard, spec.shard_count, total_pieces)
     if spec.ngram is not None and spec.shuffle_row_drop_partitions > 1 and not spec.ngram.timestamp_overlap:
         raise NotImplementedError("windows without overlap cannot be cut from sub-splits: use one part")
-    part_col = None
+    part_col, rank_col = None, None
+    key = [c for c in row_key if c != "piece_id"]
     if spec.shuffle_row_drop_partitions > 1:
         overlap = (spec.ngram.length - 1) if spec.ngram is not None else 0
-        df = RG.subsplit_parts(df, spec.shuffle_row_drop_partitions, [F.col(c) for c in row_key], overlap=overlap)
+        if spec.shuffle_rows:  # shuffled inside the piece first, then cut
+            rank_col = "__rank"
+            df = X.shuffled_parts(df, spec.shuffle_row_drop_partitions, key, spec.num_epochs, spec.seed, overlap, index_name=rank_col)
+        else:
+            df = RG.subsplit_parts(df, spec.shuffle_row_drop_partitions, [F.col(c) for c in row_key], overlap=overlap)
         part_col = "part"
     # Row predicate, then projection (predicate fields must be in the selected view).
     columns = [c for c in df.columns if not c.startswith("__") and c not in ("piece_id", "epoch", "part")]
@@ -159,18 +164,18 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
         if missing and spec.strict_predicate_fields:
             raise ValueError(f"Predicate fields {sorted(missing)} must be among the selected fields")
         df = df.filter(spec.predicate.to_column())
-    key = [c for c in row_key if c != "piece_id"]
     shuffles = {"shuffle_pieces": spec.shuffle_row_groups, "shuffle_rows": spec.shuffle_rows, "seed": spec.seed}
     keep = ["epoch", "piece_id", *([part_col] if part_col else []), *selected]
     if not spec.global_positions:
-        df = X.with_epochs(df, spec.num_epochs) if spec.num_epochs != 1 else df.withColumn("epoch", F.lit(0))
+        if rank_col is None:
+            df = X.with_epochs(df, spec.num_epochs) if spec.num_epochs != 1 else df.withColumn("epoch", F.lit(0))
         if spec.ngram is not None or spec.transform is not None:
             raise ValueError("sequences and transforms need global_positions=True")
         # Sort keys only: sortWithinPartitions(order_key*) or a range write gives the order
         # without materialising a global numbering.
         order = X.read_order(df, key, "piece_id", "epoch", part_col=part_col, **shuffles)
         return df.select(*[k.alias(f"order_key{i}") for i, k in enumerate(order)], *keep)
-    ordered = X.piece_positions(df, key, spec.num_epochs, part_col=part_col, **shuffles).select("position", *keep)
+    ordered = X.piece_positions(df, key, spec.num_epochs, part_col=part_col, rank_col=rank_col, **shuffles).select("position", *keep)
     if spec.transform is not None:
         ordered = apply_transform(ordered, spec.transform)
     if spec.ngram is not None:

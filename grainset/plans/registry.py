@@ -1097,4 +1097,4 @@ def q_rowgroup_scan_select(spark, sf):
     return read_dataset(spark, spec).select("event_id", "event_type", "value", "piece_id")
 
 
-from . import registry_values  # noqa: E402,F401  (registers its queries)
+from . import registry_layouts, registry_values  # noqa: E402,F401  (register their queries)

@@ -52,6 +52,12 @@ def read_metric_records(spark: SparkSession, json_dir: str) -> DataFrame:
     return out.select("source_file", "__r.*", "has_author", "has_metrics", "has_date")
 
 
+def _bound(df: DataFrame, *columns) -> DataFrame:
+    """A select whose expressions are evaluated once for each row: a generator stands between
+    them and what is made of them, where a plain projection would be merged and repeat them."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def _int_text(c):
     """Python ``int(text)``: optional whitespace and sign, digits only."""
     t = F.trim(c)
@@ -60,13 +66,15 @@ def _int_text(c):
 
 def _float_text(c):
     t = F.trim(c)
-    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|nan|infinity)$"),
+    return F.when(t.rlike(r"(?i)^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|nan|infinity)$"),
                   t.try_cast("double"))
 
 
 def clean_metric_records(records: DataFrame) -> DataFrame:
     """Flatten and clean: absent metric -> 0, absent total -> 0; a malformed metric,
     date, or an absent author / metrics object drops the whole record."""
+    kept = ["commit_hash", "author", "date", "overall_comment_metrics", "total_changed_files_comments"]
+    records = _bound(records, *kept, "has_author", "has_metrics", "has_date")
     m = F.col("overall_comment_metrics")
     lines_txt = m.getField("comment_lines")
     dens_txt = m.getField("comment_lines_density")
@@ -74,7 +82,8 @@ def clean_metric_records(records: DataFrame) -> DataFrame:
     dens = F.when(dens_txt.isNull(), F.lit(0.0)).otherwise(_float_text(dens_txt))
     total_txt = F.col("total_changed_files_comments")
     total = F.when(total_txt.isNull(), F.lit(0).cast("bigint")).otherwise(_int_text(total_txt))
-    out = records.select(
+    out = _bound(
+        records,
         "commit_hash",
         "author",
         F.col("date").alias("date_text"),
@@ -110,31 +119,43 @@ def read_work_list(spark: SparkSession, path: str) -> DataFrame:
 def parse_commit_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """'hash|author|YYYY-MM-DD HH:MM:SS +ZZZZ' lines; rows without exactly 3 parts or a
     bad date are dropped. Keeps the local wall-clock and the UTC instant."""
-    parts = F.split(F.trim(F.col(col)), r"\|")
-    date_txt = parts.getItem(2)
+    split = _bound(lines, F.split(F.trim(F.col(col)), r"\|").alias("parts"))
+    parts = F.col("parts")
+    read = _bound(split, parts, F.get(parts, F.lit(2)).alias("text"))
+    text = F.col("text")
     iso = F.concat(
-        F.substring(date_txt, 1, 10), F.lit("T"), F.substring(date_txt, 12, 8),
-        F.substring(date_txt, 21, 3), F.lit(":"), F.substring(date_txt, 24, 2),
-    )
-    ok = (F.size(parts) == 3) & date_txt.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} [+-]\d{4}$")
-    out = lines.select(
-        parts.getItem(0).alias("commit_hash"),
-        parts.getItem(1).alias("author"),
-        dates.wall_clock(iso).alias("date"),
-        utc_from_offset_text(iso).alias("date_utc"),
-        F.when(ok, iso).alias("date_text"),
-        ok.alias("__ok"),
+        F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8),
+        F.substring(text, 21, 3), F.lit(":"), F.substring(text, 24, 2),
     )
-    return out.filter(F.col("__ok") & F.col("date").isNotNull()).drop("__ok")
+    ok = (F.size(parts) == 3) & text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} [+-]\d{4}$")
+    dated = _bound(
+        read.where(ok),
+        F.get(parts, F.lit(0)).alias("commit_hash"), F.get(parts, F.lit(1)).alias("author"), iso.alias("date_text"))
+    out = _bound(
+        dated, "commit_hash", "author", dates.wall_clock(F.col("date_text")).alias("date"),
+        utc_from_offset_text(F.col("date_text")).alias("date_utc"), "date_text")
+    return out.filter(F.col("date").isNotNull())
 
 
 def measures_to_map(measures_col: str = "measures", key: str = "metric", value: str = "value"):
     """Array of {metric, value} structs to a map; a repeated key keeps the last value, whatever
     the session's key policy. Entries without a key are left out."""
     named = F.filter(F.col(measures_col), lambda m: m[key].isNotNull())
-    keys = F.array_distinct(F.transform(named, lambda m: m[key]))
-    last = F.transform(keys, lambda k: F.element_at(F.filter(named, lambda m: m[key] == k), -1)[value])
-    return F.map_from_arrays(keys, last)
+    # Places by key, then the first and last place of each key, in the order of first places.
+    places = F.array_sort(F.transform(named, lambda m, i: F.struct(m[key].alias("k"), i.alias("i"))))
+
+    def ends(entries, places):
+        other = lambda i, step: F.get(places, i + F.lit(step))["k"]
+        firsts = F.filter(places, lambda p, i: ~other(i, -1).eqNullSafe(p["k"]))
+        lasts = F.filter(places, lambda p, i: ~other(i, 1).eqNullSafe(p["k"]))
+        spans = F.array_sort(F.zip_with(firsts, lasts, lambda a, b: F.struct(a["i"].alias("first"), b["i"].alias("last"))))
+        return F.map_from_arrays(
+            F.transform(spans, lambda s: F.get(entries, s["first"])[key]),
+            F.transform(spans, lambda s: F.get(entries, s["last"])[value]),
+        )
+
+    held = F.array(F.struct(named.alias("e"), places.alias("p")))
+    return F.get(F.transform(held, lambda h: ends(h["e"], h["p"])), F.lit(0))
 
 
 def write_metric_records(df: DataFrame, path: str, key_col: str = "commit_hash", mode: str = "overwrite"):

@@ -69,3 +69,47 @@ def run_epochs(stream: DataFrame, sink, max_epochs: int, checkpoint_dir: str, ti
     finally:
         q.stop()
     return seen["n"]
+
+
+class _Enough(Exception):
+    """Raised in the sink so that the micro-batch behind the last one wanted isn't committed."""
+
+
+def epochs_to_table(stream: DataFrame, path: str, epochs: int, checkpoint_dir: str, timeout_s: float = 300.0) -> int:
+    """Writes epochs 0 to ``epochs - 1`` below ``path``, each once, and stops; called again with
+    the same folders (after a stop, a failure or for more epochs) it goes on where it was.
+
+    A micro-batch is an epoch with a folder of its own, named by the batch, which a replay
+    overwrites: a batch that was written but not committed when the query ended is written
+    again, not added. The batch behind the last one wanted is refused, so it stays uncommitted
+    and is the first of a later call. Returns how many epochs this call wrote."""
+    import threading
+    import time
+
+    done, wrote = threading.Event(), []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        if number >= epochs:
+            done.set()
+            raise _Enough(f"epoch {number} is not wanted")
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+        wrote.append(number)
+
+    query = (
+        stream.writeStream.foreachBatch(sink)
+        .option("checkpointLocation", checkpoint_dir)
+        .trigger(processingTime="100 milliseconds")
+        .start()
+    )
+    deadline = time.monotonic() + timeout_s
+    try:
+        while not done.wait(0.1):
+            if query.exception() is not None:
+                if done.wait(1.0):
+                    break
+                raise query.exception()
+            if time.monotonic() > deadline:
+                raise TimeoutError(f"only {len(wrote)} epochs ran in {timeout_s}s")
+    finally:
+        query.stop()
+    return len(wrote)
