@@ -49,11 +49,11 @@ from .common import (
 from .repeats import split_buckets
 from .simhash_dedup import _lower
 
-MIN_WORDS = 2
-MIN_NEAR_WORDS = 8
-# What the query and the pipeline ask for: exact copies of any length, and one word edit from
-# one word in four on (below, most such pairs meet by chance; figures in the README).
-EVERY_LINE = {"min_words": 1, "min_near_words": 4}
+# Exact copies of any length, and one word edit from one word in four on (below, most such
+# pairs meet by chance; figures in the README).
+MIN_WORDS = 1
+MIN_NEAR_WORDS = 4
+EVERY_LINE = {"min_words": MIN_WORDS, "min_near_words": MIN_NEAR_WORDS}
 HALVES, LINES, NEAR = 0, 1, 2
 REPLACED, WHOLE, DELETED, WORDS = 0, 1, 2, 9
 HALF = np.dtype([("key", "<u8"), ("a", "<u8")])

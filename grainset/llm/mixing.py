@@ -176,7 +176,7 @@ def domain_column() -> Column:
     return F.concat_ws("/", F.col("lang").cast("string"), F.when(F.col("quality") == 1, "good").otherwise("poor"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], carry: bool = False) -> tuple[DataFrame, list[str]]:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, carry: bool = False) -> tuple[DataFrame, list[str]]:
     """doc_id, o = struct(n_tokens, p, rate) for every row, and the domains in the order of
     p; with ``carry`` also ``rest``. Markers are read off the texts once and written with the
     ids; only ``carry`` reads the texts again, so as not to write them."""
@@ -186,6 +186,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], carry: bo
     rows = labels.select(F.col("doc_id").cast("long").alias("label_id"), "quality").where("label_id is not null and quality is not null")
     labelled = read.join(rows, F.col("doc_id") == F.col("label_id")).select(domain_column().alias("domain"), "f")
     model = fit_domains(labelled)
+    if targets is None:
+        targets = derived_targets(model["size"])
+    elif model["domains"] and not any(targets.get(d, 0.0) > 0 for d in model["domains"]):
+        raise ValueError(f"no target for any of the labelled domains {model['domains']}")
     fitted = read.select(F.col("f.n_tokens").alias("n_tokens"), posteriors(F.col("f.levels"), model).alias("p"))
     plan = fit_prices(fitted, model["domains"], targets)
 
@@ -199,14 +203,27 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], carry: bo
     return docs.select(doc_id, rest, let(features(F.col("text")), result).alias("o")), model["domains"]
 
 
-# Twice the share of good text for the languages that are rare; little poor text.
-TARGETS = {"en/good": 0.45, "de/good": 0.17, "fr/good": 0.17, "es/good": 0.17,
-           "en/poor": 0.01, "de/poor": 0.01, "fr/poor": 0.01, "es/poor": 0.01}
+# Of the tokens, what text of poor quality gets; and the power of the languages' shares (below
+# 1 raises rare languages).
+POOR = 0.04
+EVEN = 0.5
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, carry: bool = False) -> DataFrame:
-    """doc_id, n_tokens, domain (likeliest), posterior of it, rate, expected_tokens; with
-    ``carry`` also ``rest``, a struct of the input row."""
+def derived_targets(size: dict[str, int], poor: float = POOR, even: float = EVEN) -> dict[str, float]:
+    """A weight for every labelled domain: ``poor`` for those of poor quality and the rest for
+    good ones, among each by the domains' labelled documents to the power ``even``."""
+    weight = {d: n**even for d, n in size.items()}
+    bad = {d for d in weight if d.endswith("poor")}
+    out = {}
+    for part, share in ((bad, poor), (set(weight) - bad, 1 - poor)):
+        whole = sum(weight[d] for d in part)
+        out |= {d: share * weight[d] / whole for d in part if whole}
+    return out
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, n_tokens, domain (likeliest), posterior of it, rate, expected_tokens; targets
+    are weights of the domains (``derived_targets`` unless given); with ``carry`` also ``rest``, a struct of the input row."""
     frame, domains = mix(docs, labels, targets, carry)
     best = F.array_max("o.p")
     name = F.lit(None).cast("string")

@@ -54,7 +54,7 @@ INDEXES = 16  # built one after the other in a partition, to keep each small
 SIDE = "chunk long, kind int, doc long, pos long, c1 long, c2 long, mask long, blob binary"
 FOUND = "ak long, c1 long, c2 long, doc long, pos long, len long, chunk long"
 MASKS = "c1 long, c2 long, mask long"
-BODIES = "p int, ak long, c1 long, c2 long, doc long, pos long, body binary"
+BODIES = "p long, ak long, c1 long, c2 long, doc long, pos long, body binary"
 _U = np.uint64
 
 
@@ -168,7 +168,7 @@ def _send_bodies(buckets, most):
     """The bytes of the asked-for contexts; the hash tells texts of one doc_id apart.
     Contexts of an anchor with more than ``most`` are dealt apart, to buckets of their own."""
     schema = pa.schema(
-        [("p", pa.int32())] + [(x, pa.int64()) for x in ("ak", "c1", "c2", "doc", "pos")] + [("body", pa.binary())]
+        [("p", pa.int64())] + [(x, pa.int64()) for x in ("ak", "c1", "c2", "doc", "pos")] + [("body", pa.binary())]
     )
 
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
@@ -195,14 +195,20 @@ def _send_bodies(buckets, most):
             bodies += [buf[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist())]
         at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         out = {x: pa.array(ask[x][at]) for x in ("ak", "c1", "c2", "doc", "pos")}
-        p = ((ask["ak"][at].view(_U) >> _U(24)) % _U(buckets)).astype(np.int32)
-        apart = buckets + ((ask["c1"][at].view(_U) >> _U(24)) % _U(buckets * 64)).astype(np.int32)
-        p = np.where(ask["count"][at] > most, apart, p)
+        p = bucket_numbers(ask["ak"][at], ask["c1"][at], ask["count"][at] > most, buckets)
         return pa.table({"p": pa.array(p)} | out | {"body": pa.array(bodies, pa.binary())}, schema=schema)
 
     return run
 
 
+def bucket_numbers(anchor: np.ndarray, context: np.ndarray, apart: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each context: below ``buckets`` by its anchor, else (apart) from there on by
+    itself, over 64 times as many."""
+    p = ((anchor.view(_U) >> _U(24)) % _U(buckets)).astype(np.int64)
+    alone = buckets + ((context.view(_U) >> _U(24)) % _U(buckets * 64)).astype(np.int64)
+    return np.where(apart, alone, p)
+
+
 def _body_arrays(table: pa.Table):
     arr = table.column("body").combine_chunks()
     if isinstance(arr, pa.ChunkedArray):

@@ -13,24 +13,46 @@ each time; other columns are not read; an empty table gives an empty histogram.
 from __future__ import annotations
 
 import base64
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainset.session import reliable_checkpoint
+
 from .common import text_buffers
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 4096
-
-
-def _encoder(ranks: bytes, pattern: str):
-    import tiktoken
-
-    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+# White space from which a run is cut out: the split pattern goes back through it at a depth of
+# its length, which ends the process at about a million.
+LONG_RUN = 1000
+# What the pattern takes as white space.
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUN = re.compile(f"{_SPACE}{{{LONG_RUN},}}")
+
+
+class _Counter:
+    def __init__(self, ranks: bytes, pattern: str):
+        import tiktoken
+
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        self.text = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.run = tiktoken.Encoding("run", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={})
+
+    def count(self, text: str) -> int:
+        """Tokens of a text. A long run of white space is one piece of the split pattern, without
+        its last character unless it ends the text: that goes with what follows."""
+        total = lo = 0
+        for found in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
+            hi = found.end() - (found.end() < len(text))
+            total += len(self.text.encode_ordinary(text[lo : found.start()]))
+            total += len(self.run.encode_ordinary(text[found.start() : hi]))
+            lo = hi
+        return total + len(self.text.encode_ordinary(text[lo:] if lo else text))
 
 
 def token_counts(
@@ -41,13 +63,13 @@ def token_counts(
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        encoder = None
+        counter = None
         for batch in batches:
-            encoder = encoder or _encoder(data.value, pattern)
+            counter = counter or _Counter(data.value, pattern)
             counts = []
             for _, _, buf, bounds in text_buffers(batch.column(1)):
                 raw, b = buf.tobytes(), bounds.tolist()
-                counts += [len(encoder.encode_ordinary(raw[i:j].decode())) for i, j in zip(b, b[1:])]
+                counts += [counter.count(raw[i:j].decode()) for i, j in zip(b, b[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -61,7 +83,9 @@ def length_histogram(counts: DataFrame, block: int = BLOCK) -> DataFrame:
     tokens_within, tokens_over (of those documents), truncated_tokens (every document cut to
     the limit), quantile (docs_within over all documents).
     """
-    hist = counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Written once (a row for each length), as sums of blocks and rows both read it: the texts
+    # are encoded once.
+    hist = reliable_checkpoint(counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
     hist = hist.withColumn("block", F.expr(f"n_tokens div {block}"))
     tokens = F.col("n_tokens") * F.col("n_docs")
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))

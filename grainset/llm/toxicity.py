@@ -17,7 +17,9 @@ text is an input of a score.
 
 Defined cases: null and empty texts score by the intercept; a null doc_id is not held out
 and takes no part in fitting; null labels are left out; several labels of one document count
-each; without labels every score is 0; repeated rows repeat in the result; other columns are
+each; without labels every score is 0 (below 1e-12); if the labelled sample has one class only, or
+no term tells its classes apart, every score is the sample's share of toxic documents (1 if all
+are); repeated rows repeat in the result; other columns are
 carried by ``mark`` and not read; an empty table gives an empty result.
 """
 
@@ -215,16 +217,19 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
-    none = Model(np.zeros(0, _U), np.zeros(len(PATTERNS)), -30.0, np.zeros(0, _U))
+    def constant(share: float) -> Model:
+        bias = np.log(max(share, 1e-13) / max(1 - share, 1e-13))
+        return Model(np.zeros(0, _U), np.zeros(len(PATTERNS)), float(bias), np.zeros(0, _U))
+
     rows = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = rows.where(F.col("label_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("label_id"))
     rows = rows.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(sample)
     frame = documents_frame(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & ~held_out())
     labelled = frame.join(F.broadcast(rows), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
     n, positive = labelled.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    if not n or not positive or positive == n:
-        return none
-    share = positive / n
+    share = (positive or 0) / n if n else 0.0
+    if share in (0.0, 1.0):
+        return constant(share)
     counts = term_counts(labelled).where(f"docs >= {LEAST_DOCS}")
     gain = _gain("docs", "toxic", n, share).alias("gain")
     chosen = counts.select("term", "docs", "toxic", gain).where(f"gain >= {LEAST_GAIN}")
@@ -233,7 +238,7 @@ def train(
     pure = (chosen["toxic"] >= PURITY * chosen["docs"]).to_numpy()
     lexicon = np.sort(hash_of[pure][:voters])
     if not len(lexicon):
-        return none
+        return constant(share)
     model = Model(np.sort(hash_of), np.zeros(len(hash_of) + len(PATTERNS)), 0.0, lexicon)
 
     def run(batches):
