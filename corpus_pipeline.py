@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
 Every stage works on all rows its predecessor kept and returns the columns of documents (the
-last one adds the mixing columns). Documents are told apart by row, not by doc_id: of near
+last one adds the mixing columns ``mix_...``, with underscores behind where the input has such a
+column). Documents are told apart by row, not by doc_id: of near
 copies one row stays, whether their doc_ids are null, repeated or neither (smallest doc_id,
 null last, then smallest text hash), and of rows that repeat doc_id and text one stays; an
 empty table passes through.
@@ -30,8 +31,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
-    out = line_dedup.line_dedup(docs, carry=True, **line_dedup.EVERY_LINE)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    out = line_dedup.line_dedup(docs, carry=True)
     return out.select(*[(new[c] if c in new else F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
@@ -49,8 +52,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = mixing.mixed(docs, _table(spark, sf_dir, "labels"), carry=True)
-    extra = ("n_tokens", "domain", "posterior", "rate", "expected_tokens")
-    return out.select("rest.*", *[F.col(c).alias(f"mix_{c}") for c in extra])
+    taken, extra = {c.lower() for c in docs.columns}, {}
+    for c in ("n_tokens", "domain", "posterior", "rate", "expected_tokens"):
+        name = f"mix_{c}"
+        while name in taken:  # a corpus that was mixed before keeps its columns
+            name += "_"
+        taken.add(name)
+        extra[name] = F.col(c)
+    return out.select("rest.*", *[c.alias(name) for name, c in extra.items()])
 
 
 STAGES = [
