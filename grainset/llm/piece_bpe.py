@@ -415,11 +415,17 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         model = self.model
-        shown = 0  # control pieces have no text: the first other piece loses its blank
-        while shown < len(ids) and model.kinds[ids[shown]] == CONTROL:
-            shown += 1
-        data = self.joined(ids[shown:])
-        return as_text(data[1:] if shown < len(ids) and model.pieces[ids[shown]].startswith(BLANK) else data)
+        runs: list[list[int]] = [[]]
+        for i in ids:  # control pieces have no text, and bytes on their two sides don't meet
+            if model.kinds[i] == CONTROL:
+                runs.append([])
+            else:
+                runs[-1].append(i)
+        runs = [r for r in runs if r]
+        data = [self.joined(r) for r in runs]
+        if runs and model.pieces[runs[0][0]].startswith(BLANK):  # encoding put it there
+            data[0] = data[0][1:]
+        return "".join(map(as_text, data))
 
 
 def as_text(data: bytes) -> str:
