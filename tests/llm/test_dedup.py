@@ -129,7 +129,7 @@ def test_line_dedup(corpus, frame):
                 w.insert(p, rng.choice(vocab))
             lines.append("  ".join(w) if rng.random() > 0.1 else "")
         rows.append((i, "\n".join(lines)))
-    got = line_dedup.line_dedup(frame(rows), carry=True).collect()
+    got = line_dedup.line_dedup(frame(rows), min_words=2, min_near_words=8, carry=True).collect()
     places = sorted({(i, k, tuple(split_words(x.translate(LOW))), x) for i, t in keyed(rows) for k, x in enumerate(t.split("\n"))})
     first = {}
     for i, k, w, _ in places:

@@ -73,7 +73,7 @@ def test_token_histogram(frame):
 
 def test_tokens_decode_to_the_text():
     with open(token_counts.RANKS, "rb") as f:
-        encoder = token_counts._encoder(f.read(), token_counts.PATTERN)
+        encoder = token_counts._Counter(f.read(), token_counts.PATTERN).text
     for t in ("", "a  b\n\n c", "Ünï ☃ 12\x00"):
         assert encoder.decode(encoder.encode_ordinary(t)) == t
 
