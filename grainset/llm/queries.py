@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import (
     alignment,
     decontamination,
@@ -34,7 +32,6 @@ QUERIES = {
     "op11_token_alignment": alignment.query,
     "op12_piece_encoding": piece_bpe.query,
     "op13_spelling_groups": spelling.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}
