@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, default_parallelism, estimated_bytes, reliable_checkpoint
+from ..session import BROADCAST_LIMIT_BYTES, broadcast_if_small, default_parallelism, estimated_bytes, reliable_checkpoint
 
 _MASK33 = (1 << 33) - 1
 
@@ -63,6 +63,33 @@ def with_row_index(df: DataFrame, order, name: str = "row_idx", num_partitions:
     return out.drop("__mid", "__pid", "__off")
 
 
+def with_running_sum(df: DataFrame, order, value: str, name: str, one_task_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before this one in the total order ``order``.
+
+    A table of up to ``one_task_bytes`` (one whose estimate is above it is written once and
+    measured) is summed in one task; a larger one in range partitions, each with the sum of the
+    partitions before it.
+    """
+    size = estimated_bytes(df)
+    if size is None or size > one_task_bytes:
+        df = reliable_checkpoint(df)
+        size = estimated_bytes(df)
+    cols = _cols(order)
+    if size is not None and size <= one_task_bytes:
+        before = Window.orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    parts = df.repartitionByRange(numbering_partitions(df), *cols).sortWithinPartitions(*cols)
+    parts = reliable_checkpoint(parts.withColumn("__mid", F.monotonically_increasing_id()))
+    parts = parts.withColumn("__pid", F.shiftright(F.col("__mid"), 33))
+    # One row per partition.
+    earlier = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("__pid").agg(F.sum(value).alias("__sum"))
+    sums = sums.select("__pid", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy("__pid").orderBy("__mid").rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(sums), "__pid")
+    return out.select(*df.columns, (F.col("__off") + F.col("__in")).alias(name))
+
+
 def _join_on_groups(left: DataFrame, stats: DataFrame, group_cols: list[str]) -> DataFrame:
     """Join a per-group table back (null-safe keys, renamed to avoid self-join ambiguity)."""
     renamed = stats.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform, order_key
-from ..functions.numbering import with_dense_group_rank, with_group_row_index, with_row_index
+from ..functions.numbering import with_dense_group_rank, with_group_row_index, with_row_index, with_running_sum
 from ..session import broadcast_if_small
 from .rowgroups import subsplit_parts
 
@@ -91,12 +91,7 @@ def piece_positions(
     else:
         starts = with_epochs(df.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n")), num_epochs)
     draw = [order_key(seed, F.col("epoch"), *[F.col(c) for c in unit])] if shuffle_pieces else []
-    before = Window.partitionBy("epoch").orderBy(*draw, *unit).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("__n").over(Window.partitionBy("epoch"))
-    if rank_col:  # epochs may differ in their number of rows (overlaps behind a predicate)
-        before = Window.orderBy("epoch", *draw, *unit).rowsBetween(Window.unboundedPreceding, -1)
-        total = F.lit(0)
-    starts = starts.select(*unit, "epoch", (F.coalesce(F.sum("__n").over(before), F.lit(0)) + F.col("epoch") * total).alias("__start"))
+    starts = with_running_sum(starts, [F.col("epoch"), *draw, *map(F.col, unit)], "__n", "__start").drop("__n")
     if rank_col:
         inside = Window.partitionBy(*unit, "epoch").orderBy(rank_col)
         rows = df.withColumn("__i", F.row_number().over(inside) - 1)
@@ -134,11 +129,17 @@ def shuffled_parts(
     return subsplit_parts(rows, parts, order, [piece_col, "epoch"], overlap, index_name, part_name)
 
 
+TOP_ROWS = 100_000  # above, the first rows come from a range sort instead of one top-k task
+
+
 def capped_sample(df: DataFrame, order: list[str], rows_capacity: int, num_epochs: int, seed: int,
                   shuffle: bool = True) -> DataFrame:
     """First ``rows_capacity`` rows (by ``order``), repeated for ``num_epochs``, each epoch
     permuted by md5(seed + epoch, key). Output adds ``epoch`` and ``position`` (in epoch)."""
-    head = df.orderBy(*order).limit(rows_capacity)
+    if rows_capacity <= TOP_ROWS:
+        head = df.orderBy(*order).limit(rows_capacity)
+    else:
+        head = with_row_index(df, order, "__place").where(F.col("__place") < rows_capacity).drop("__place")
     rep = with_epochs(head, num_epochs)
     if shuffle:
         key = [F.col("epoch"), order_key(F.lit(seed) + F.col("epoch"), *[F.col(c) for c in order])]

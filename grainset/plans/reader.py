@@ -93,12 +93,18 @@ class DatasetSpec:
     global_positions: bool = True  # False: return sort keys instead of numbering (no checkpoint)
 
 
+MOST_LISTED_FILES = 10_000
+
+
 def _pruned_scan(spark: SparkSession, urls: list[str], catalog: DataFrame, pieces: DataFrame) -> DataFrame:
     """Scan only the files that hold a selected row group (file-level skipping).
 
-    The selected-file list is metadata-sized (at most one entry per file)."""
+    A selection of more than ``MOST_LISTED_FILES`` files is not listed on the driver: the whole
+    dataset is scanned, and the join on the selected pieces that follows drops the other rows."""
     files = catalog.join(pieces, "piece_id", "left_semi").select("file_path").distinct()
-    paths = sorted(unquote(r["file_path"]) for r in files.collect())
+    paths = sorted(unquote(r["file_path"]) for r in files.limit(MOST_LISTED_FILES + 1).collect())
+    if len(paths) > MOST_LISTED_FILES:
+        return spark.read.parquet(*urls)
     reader = spark.read
     if len(urls) == 1:
         reader = reader.option("basePath", urls[0])  # keep hive partition columns
@@ -133,7 +139,7 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     if spec.selector is not None:
         if spec.block_rows:
             pieces = _selected_pieces(spark, spec)
-        df = df.join(broadcast_if_small(pieces), "piece_id", "left_semi")
+        df = df.join(broadcast_if_small(pieces, measure=True), "piece_id", "left_semi")
     if spec.shard_count is not None:
         if spec.filters:
             # Shards deal out the pieces that the filters leave, numbered anew.

@@ -6,16 +6,22 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..operators import batches as B
 from ..operators import predicates as P
+from ..operators import projection as PJ
 from ..operators import rowgroups as RG
 from ..operators import sampling as X
 from ..operators import sequences as SQ
 from ..session import shared_table_path, table
+from ..sources import catalog as CAT
+from ..sources import metrics as M
 from ..sources import writer as W
+from ..sources.schema import infer_fields
 from ..streaming.epochs import epochs_to_table, infinite_epochs
+from .reader import DatasetSpec, read_dataset
 from .registry import _PIECE_SQL, SEED, _md5_sql, events_pieces, register
 
 # ---------------------------------------------------------------- shuffled sub-splits
@@ -161,3 +167,184 @@ def q_epochs_resumed(spark, sf):
     for epochs in (2, 3):
         epochs_to_table(infinite_epochs(spark, e), path, epochs, checkpoint)
     return spark.read.parquet(path).select("event_id", "user_id", "epoch")
+
+
+# ---------------------------------------------------------------- growing datasets and stores
+
+
+@register(
+    "appended_dataset",
+    """SELECT event_id, user_id, event_type, event_id % 3 = 0 AS came_later FROM events""",
+)
+def q_appended_dataset(spark, sf):
+    # Stamped, appended to, brought up to date: only the new files' footers are read.
+    path = shared_table_path(spark, "grown-")
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    first = W.materialize_dataset(e.where("event_id % 3 <> 0"), path).agg(F.max("piece_id")).first()[0]
+    e.where("event_id % 3 = 0").write.mode("append").parquet(path)
+    W.update_catalog(spark, path)
+    url = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    rows = read_dataset(spark, DatasetSpec(url, global_positions=False))
+    return rows.select("event_id", "user_id", "event_type", (F.col("piece_id") > first).alias("came_later"))
+
+
+@register(
+    "appended_catalog",
+    """SELECT event_id % 3 = 0 AS came_later, count(*) AS catalogued, count(*) AS held, 0 AS gone FROM events GROUP BY 1""",
+)
+def q_appended_catalog(spark, sf):
+    # Row totals of the catalogued pieces against the rows found in them.
+    path = shared_table_path(spark, "grown-")
+    e = table(spark, sf, "events").select("event_id")
+    first = W.materialize_dataset(e.where("event_id % 3 <> 0"), path).agg(F.max("piece_id")).first()[0]
+    e.where("event_id % 3 = 0").write.mode("append").parquet(path)
+    gone = W.update_catalog(spark, path).gone_files
+    catalog = W.load_catalog(spark, path)
+    held = CAT.attach_pieces(spark.read.parquet(path), catalog).groupBy("piece_id").agg(F.count(F.lit(1)).alias("n"))
+    both = catalog.join(held, "piece_id", "full").groupBy((F.col("piece_id") > first).alias("came_later"))
+    return both.agg(F.sum("num_rows").alias("catalogued"), F.sum("n").alias("held"), F.lit(gone).alias("gone"))
+
+
+@register(
+    "record_store",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS commit_hash, o_orderpriority AS author, CAST(o_orderkey % 50 AS BIGINT) AS comment_lines,
+              CAST(o_custkey AS BIGINT) AS total_changed_files_comments,
+              CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS run FROM orders""",
+)
+def q_record_store(spark, sf):
+    # Two runs over a work list: the second measures only what the first has not stored.
+    path = shared_table_path(spark, "store-")
+    orders = table(spark, sf, "orders")
+    keys = F.col("o_orderkey").cast("string")
+    orders.select(F.concat(F.lit("  "), keys).alias("value")).write.text(f"{path}/work")
+    record = orders.select(
+        keys.alias("commit_hash"), F.col("o_orderpriority").alias("author"), F.lit("2020-01-02T03:04:05+00:00").alias("date"),
+        F.struct((F.col("o_orderkey") % 50).cast("string").alias("comment_lines")).alias("overall_comment_metrics"),
+        F.col("o_custkey").cast("string").alias("total_changed_files_comments"))
+    M.write_record_store(record.where(F.col("commit_hash").cast("bigint") % 3 != 0), path, run="first")
+    pending = M.pending_keys(M.read_work_list(spark, f"{path}/work"), M.store_keys(spark, path))
+    M.write_record_store(record.join(pending, F.col("commit_hash") == F.col("key"), "left_semi"), path, run="second")
+    records = M.read_record_store(spark, path).drop("key")
+    # The cleaning step keeps its own columns: the run is joined to them by key.
+    clean = M.clean_metric_records(M.parse_metric_records(records.drop("run")))
+    runs = M.store_keys(spark, path).withColumnRenamed("key", "commit_hash")
+    return clean.join(runs, "commit_hash").select("commit_hash", "author", "comment_lines", "total_changed_files_comments", "run")
+
+
+# ---------------------------------------------------------------- materialised paths, inference
+
+
+@register(
+    "converter_path_batches",
+    """WITH p AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+    SELECT i // 32 AS batch_id, CAST(count(*) AS INTEGER) AS batch_rows, list(o_orderkey ORDER BY i) AS o_orderkey,
+           CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM p GROUP BY 1""",
+)
+def q_converter_path_batches(spark, sf):
+    # A converter over files that are there already; the batch hook adds each batch's total.
+    path = shared_table_path(spark, "ready-")
+    W.write_in_order(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), path, ["o_orderkey"], 5)
+    made = W.make_converter(path, spark=spark)
+
+    def hook(batches):
+        cents = F.transform("o_totalprice", lambda x: F.round(x * 100).cast("bigint"))
+        return batches.withColumn("cents", F.aggregate(cents, F.lit(0).cast("bigint"), lambda a, x: a + x))
+
+    return made.batches(spark, 32, hook=hook).drop("o_totalprice")
+
+
+@register(
+    "converter_deleted",
+    """SELECT o_orderpriority, count(*) AS n, true AS held, false AS held_after, true AS made_again FROM orders GROUP BY 1""",
+)
+def q_converter_deleted(spark, sf):
+    # A materialisation that is deleted is made again, in another place.
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    before = spark.conf.get(W.CACHE_DIR_CONF, None)
+    parent = shared_table_path(spark, "converter-")
+    spark.conf.set(W.CACHE_DIR_CONF, parent if "://" in parent or parent.startswith("file:") else f"file://{parent}")
+    try:
+        first = W.make_converter(o)
+        held = W.path_exists(spark, first.cache_dir_url)
+        first.delete(spark)
+        after = W.path_exists(spark, first.cache_dir_url)
+        again = W.make_converter(o)
+    finally:
+        spark.conf.unset(W.CACHE_DIR_CONF) if before is None else spark.conf.set(W.CACHE_DIR_CONF, before)
+    counts = again.read(spark).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(
+        "o_orderpriority", "n", F.lit(held).alias("held"), F.lit(after).alias("held_after"),
+        F.lit(again.cache_dir_url != first.cache_dir_url and len(again) > 0).alias("made_again"))
+
+
+@register(
+    "inferred_columns",
+    """SELECT 'l_orderkey' AS name, 'int64' AS dtype, count(l_orderkey) AS n FROM lineitem
+    UNION ALL SELECT 'l_returnflag', 'str', count(l_returnflag) FROM lineitem
+    UNION ALL SELECT 'l_quantity', 'float64', count(l_quantity) FROM lineitem
+    UNION ALL SELECT 'flags', 'str[]', count(*) FROM lineitem""",
+)
+def q_inferred_columns(spark, sf):
+    # Fields inferred from the files' schema, with the rows that hold a value; a struct is left out.
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_returnflag", "l_quantity", F.array("l_returnflag", "l_linestatus").alias("flags"),
+        F.struct("l_orderkey").alias("nested"))
+    path = shared_table_path(spark, "plain-")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    fields = infer_fields(rows.schema, strict_compat=True)
+    counts = rows.agg(*[F.count(f.name).alias(f.name) for f in fields])
+    entry = lambda f: F.struct(F.lit(f.name).alias("name"), F.lit(f.dtype + "[]" * len(f.shape)).alias("dtype"), F.col(f.name).alias("n"))
+    return counts.select(F.inline(F.array(*map(entry, fields))))
+
+
+# ---------------------------------------------------------------- errors as rows
+
+
+def _refused(make) -> str:
+    """'refused: <start of the message>' of an error that ``make`` raises, else 'taken'."""
+    try:
+        make()
+    except (ValueError, NotImplementedError) as exc:
+        return f"refused: {str(exc)[:24]}"
+    return "taken"
+
+
+@register(
+    "refused_requests",
+    """SELECT event_type, count(*) AS n, 'refused: No fields matched the cr' AS no_field,
+              'refused: timestep keys must be in' AS bad_window, 'refused: windows without overlap ' AS bad_mix, 'taken' AS good_window
+       FROM events GROUP BY 1""",
+)
+def q_refused_requests(spark, sf):
+    e = table(spark, sf, "events")
+    url = f"{sf}/events.parquet"
+    url = url if "://" in url else f"file://{url}"
+    window = lambda **kw: SQ.NGram({0: ["event_id"], 1: ["event_id"]}, 10, "ts", **kw)
+    verdicts = {
+        "no_field": _refused(lambda: PJ.select_fields(e, ["nothing_.*"])),
+        "bad_window": _refused(lambda: SQ.NGram({"0": ["event_id"]}, 10, "ts")),
+        "bad_mix": _refused(lambda: read_dataset(
+            spark, DatasetSpec(url, ngram=window(timestamp_overlap=False), shuffle_row_drop_partitions=2, block_rows=100))),
+        "good_window": _refused(lambda: window()),
+    }
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *[F.lit(v).alias(k) for k, v in verdicts.items()])
+
+
+@register(
+    "unsorted_users",
+    """WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+    SELECT count(*) AS n_rows, count(*) FILTER (WHERE ts < before) > 0 AS refused FROM o""",
+)
+def q_unsorted_users(spark, sf):
+    # Sequences in the order of ids: an error if any user's time goes back.
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    spec = SQ.NGram({0: ["event_id"], 1: ["event_id"]}, 1e15, "ts")
+    try:
+        SQ.ngram(e, spec, ["user_id"], ["event_id"]).agg(F.count("start_pos")).collect()
+        refused = False
+    except PySparkException as exc:
+        if "goes back in time" not in str(exc):
+            raise
+        refused = True
+    return e.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(refused).alias("refused"))

@@ -86,10 +86,9 @@ def row_group_catalog(spark: SparkSession, path: str) -> DataFrame:
     return groups.withColumn("piece_id", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def rebased_catalog(spark: SparkSession, path: str, stored: DataFrame) -> DataFrame:
-    """A stored catalog with today's file paths: files are matched by their path below the
-    dataset, so a copied or moved dataset keeps its catalog. Fails if the dataset holds other
-    files than the catalog (metadata-sized: one row per file)."""
+def compare_files(spark: SparkSession, path: str, stored: DataFrame) -> DataFrame:
+    """One row per file of the dataset or of its stored catalog: ``rel_path`` (below the
+    dataset), today's ``file_path`` (null: gone) and ``in_catalog`` (null: new)."""
     root = unquote(urlparse(_root_uri(spark, path)).path).rstrip("/") + "/"
 
     def relative(batches):
@@ -99,13 +98,35 @@ def rebased_catalog(spark: SparkSession, path: str, stored: DataFrame) -> DataFr
             yield pd.DataFrame({"file_path": pdf["file_path"], "rel_path": rel})
 
     now = list_parquet_files(spark, path).select("file_path").mapInPandas(relative, "file_path string, rel_path string")
-    both = stored.select("rel_path").distinct().join(now, "rel_path", "full")
-    missing, extra = both.join(stored.select("rel_path", F.lit(1).alias("in_catalog")).distinct(), "rel_path", "left").agg(
-        F.count(F.when(F.col("file_path").isNull(), 1)), F.count(F.when(F.col("in_catalog").isNull(), 1))
-    ).first()
+    return stored.select("rel_path", F.lit(True).alias("in_catalog")).distinct().join(now, "rel_path", "full")
+
+
+def _count_changes(files: DataFrame) -> tuple[int, int]:
+    return tuple(files.agg(F.count(F.when(F.col("file_path").isNull(), 1)), F.count(F.when(F.col("in_catalog").isNull(), 1))).first())
+
+
+def rebased_catalog(spark: SparkSession, path: str, stored: DataFrame) -> DataFrame:
+    """A stored catalog with today's file paths: files are matched by their path below the
+    dataset, so a copied or moved dataset keeps its catalog. Fails if the dataset holds other
+    files than the catalog (metadata-sized: one row per file)."""
+    files = compare_files(spark, path, stored)
+    missing, extra = _count_changes(files)
     if missing or extra:
-        raise ValueError(f"stale catalog at {path}: {missing} catalogued files are gone, {extra} files are new; stamp the dataset again")
-    return stored.drop("file_path").join(now, "rel_path").select(*stored.columns)
+        raise ValueError(
+            f"stale catalog at {path}: {missing} catalogued files are gone, {extra} files are new; "
+            "bring it up to date with update_catalog or stamp the dataset again")
+    return stored.drop("file_path").join(files.select("rel_path", "file_path"), "rel_path").select(*stored.columns)
+
+
+def appended_row_groups(spark: SparkSession, path: str, stored: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Catalog rows of the files that ``stored`` lacks. Only their footers are read; their
+    pieces are numbered behind the stored ones, in the order (relative path, row group)."""
+    files = compare_files(spark, path, stored) if files is None else files
+    new = files.where("in_catalog IS NULL").select("file_path", F.lit(_root_uri(spark, path)).alias("root"))
+    groups = new.repartition(default_parallelism(spark), "file_path").mapInPandas(_footer_rows, CATALOG_SCHEMA)
+    first = stored.agg(F.coalesce(F.max("piece_id") + 1, F.lit(0))).first()[0]
+    w = Window.orderBy("rel_path", "row_group")  # one row per new row group
+    return groups.withColumn("piece_id", (F.row_number().over(w) - 1 + F.lit(first)).cast("bigint"))
 
 
 def row_groups_per_file(catalog: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates
 from ..operators.reports import utc_from_offset_text
+from ..session import broadcast_if_small
 
 # Metric values arrive as JSON strings ("3853") or numbers; read both as text.
 RECORD_SCHEMA = T.StructType(
@@ -38,18 +42,23 @@ def read_metric_records(spark: SparkSession, json_dir: str) -> DataFrame:
     list tells an absent key from a key holding null, which the cleaning step needs.
     """
     text = spark.read.text(json_dir, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
+    return parse_metric_records(text.select(F.col("_metadata.file_path").alias("source_file"), "value"))
+
+
+def parse_metric_records(text: DataFrame) -> DataFrame:
+    """``value`` (one JSON document a row) as records; the other columns stay."""
     keys = F.json_object_keys(F.col("value"))
     schema = T.StructType([f for f in RECORD_SCHEMA.fields if f.name != "_corrupt_record"])
     rec = F.from_json(F.col("value"), schema)
     out = text.select(
-        F.col("_metadata.file_path").alias("source_file"),
+        *[c for c in text.columns if c != "value"],
         rec.alias("__r"),
         F.array_contains(keys, "author").alias("has_author"),
         F.array_contains(keys, "overall_comment_metrics").alias("has_metrics"),
         F.array_contains(keys, "date").alias("has_date"),
         keys.isNotNull().alias("__valid"),
     ).filter("__valid")
-    return out.select("source_file", "__r.*", "has_author", "has_metrics", "has_date")
+    return out.select(*[c for c in text.columns if c != "value"], "__r.*", "has_author", "has_metrics", "has_date")
 
 
 def _bound(df: DataFrame, *columns) -> DataFrame:
@@ -159,10 +168,60 @@ def measures_to_map(measures_col: str = "measures", key: str = "metric", value:
 
 
 def write_metric_records(df: DataFrame, path: str, key_col: str = "commit_hash", mode: str = "overwrite"):
-    """One JSON document set per key (partitioned output)."""
+    """One folder of JSON documents per key: for a handful of keys. Many keys go to
+    ``write_record_store``, which has a bounded number of folders."""
     df.write.mode(mode).partitionBy(key_col).json(path)
 
 
+def write_record_store(df: DataFrame, path: str, key_col: str = "commit_hash", run: str | None = None,
+                       buckets: int = 64) -> None:
+    """Adds one JSON document per key to the store at ``path``, skipping keys that it has.
+
+    Documents go, one a line, to ``records/run=<run>/bucket=<hash of the key>``; after them the
+    run's keys go to the manifest ``keys/run=<run>``. Readers see runs of the manifest only, so
+    a run that stopped half-way leaves nothing behind and is simply run again under any name.
+    Rows with a null key are left out; of rows that repeat a key the smallest document is kept.
+    One writer at a time; a run name that is in the manifest is an error.
+    """
+    from .writer import path_exists
+
+    spark, run, path = df.sparkSession, run or uuid.uuid4().hex, path.rstrip("/")
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", run):
+        raise ValueError(f"run name {run!r}: letters, digits, - and _ only")
+    if path_exists(spark, f"{path}/keys/run={run}/_SUCCESS"):
+        raise ValueError(f"run {run!r} is in the store at {path} already")
+    key = F.col(key_col).cast("string")
+    rows = df.where(key.isNotNull()).select(key.alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+    rows = pending_keys(rows, store_keys(spark, path))
+    docs = rows.groupBy("key").agg(F.min("value").alias("value"))
+    docs = docs.withColumn("bucket", F.pmod(F.crc32(F.col("key")), F.lit(buckets)).cast("int"))
+    written = docs.select(F.to_json(F.struct("key", "value")).alias("value"), "bucket")
+    records = f"{path}/records/run={run}"
+    written.repartition("bucket").write.mode("overwrite").partitionBy("bucket").text(records)
+    keys = spark.read.text(records).select(F.get_json_object("value", "$.key").alias("key"))
+    keys.write.mode("overwrite").parquet(f"{path}/keys/run={run}")
+
+
+def store_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(key, run) of every document in the store's manifest; none without a store."""
+    from .writer import path_exists
+
+    keys = f"{path.rstrip('/')}/keys"
+    if not path_exists(spark, keys):
+        return spark.createDataFrame([], "key string, run string")
+    return spark.read.schema("key string, run string").parquet(keys)
+
+
+def read_record_store(spark: SparkSession, path: str) -> DataFrame:
+    """(key, run, value) of every document that the manifest names; ``value`` is its JSON."""
+    records = f"{path.rstrip('/')}/records"
+    runs = store_keys(spark, path).select("run").distinct()
+    text = spark.read.schema("value string, run string, bucket int").text(records).drop("bucket")
+    text = text.join(broadcast_if_small(runs, measure=True), "run", "left_semi")
+    doc = F.from_json("value", "key string, value string")
+    return text.select(doc.alias("d"), "run").select("d.key", "run", "d.value")
+
+
 def pending_keys(work: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
     """Keys whose result does not exist yet (anti join)."""
     return work.join(done.select(key), key, "left_anti")
