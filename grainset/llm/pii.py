@@ -8,7 +8,10 @@ it. Offsets count code points, ends are exclusive.
 Base kinds (leftmost, non-overlapping within a kind; a match that fails its check is dropped
 and not tried again): email, ip (parts at most 255), card (16 to 19 digits, Luhn), phone (8
 to 15 digits after a plus). Further kinds: url, iban (after its cue, modulo 97), ssn and
-account (digits after a cue).
+account (digits after a cue), secret: the value behind a cue such as token, password or api_key
+and one ``=`` or ``:`` (quoted: 6 characters or more up to the same quote on the line;
+otherwise 8 or more without blanks that hold both a letter and a digit), keys of a known prefix,
+and private-key blocks from their BEGIN line to the end of the next END line.
 
 Defined cases: null text is empty; repeated rows repeat in the result; a null doc_id stays;
 other columns are not read; an empty table gives an empty result.
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "iban", "ssn", "account")
+KINDS = (*BASE, "url", "iban", "ssn", "account", "secret")
 
 DIGITS = frozenset(string.digits)
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
@@ -33,6 +36,16 @@ UPPER_OR_DIGIT = frozenset(string.ascii_uppercase + string.digits)
 PHONE_FILL = frozenset(" ().0123456789-")
 URL_END = frozenset(" \t\n\r\v\f<>\"'`|{}[]")
 CUE_FILL = frozenset(" \t:#.=-")
+BLANKS = frozenset(" \t")
+VALUE_END = frozenset(" \t\n\r\v\f\"'`,;<>(){}[]")
+WORD = frozenset(string.ascii_letters + string.digits + "_")
+BLOCK_BEGIN, BLOCK_END, BLOCK_TAIL = "-----BEGIN ", "-----END ", "-----"
+# Prefix of an issued key -> fewest characters of letters, digits, _ and - behind it.
+KEY_PREFIXES = {"AKIA": 16, "ASIA": 16, "ghp_": 36, "gho_": 36, "ghs_": 36, "github_pat_": 22, "glpat-": 20, "xoxb-": 20, "xoxp-": 20}
+SECRET_CUES = (
+    "token", "secret", "password", "passwd", "passphrase", "api_key", "apikey", "api-key", "api key",
+    "access_key", "access-key", "access key", "secret_key", "secret key", "private_key", "private key",
+)
 CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "passport": "account"}
 
 
@@ -47,7 +60,10 @@ def automaton():
     a.add_word("://", ("scheme", 3))
     for w in ("www.", "WWW.", "Www."):
         a.add_word(w, ("www", 4))
-    for cue, kind in CUES.items():
+    a.add_word(BLOCK_BEGIN, ("block", len(BLOCK_BEGIN)))
+    for prefix in KEY_PREFIXES:
+        a.add_word(prefix, ("prefix", len(prefix)))
+    for cue, kind in (CUES | dict.fromkeys(SECRET_CUES, "secret")).items():
         for w in {cue, cue.upper(), cue.capitalize(), cue.title()}:
             a.add_word(w, (kind, len(cue)))
     a.make_automaton()
@@ -177,6 +193,55 @@ def parse_account(text: str, i: int):
     return (i, end) if 6 <= end - i <= 17 else None
 
 
+def parse_secret(text: str, i: int, failed: int):
+    """The value behind a cue that ends at i (an optional quote closes the cue's own name), and
+    the end of the last unquoted run that held none: what begins inside it holds none either."""
+    n = len(text)
+    if i < n and text[i] in "\"'":
+        i += 1
+    i = run_end(text, i, BLANKS)
+    if i == n or text[i] not in ":=":
+        return None, failed
+    i = run_end(text, i + 1, BLANKS)
+    if i < n and text[i] in "\"'`":
+        quote, end = text[i], i + 1
+        while end < n and text[end] != quote and text[end] not in "\r\n":
+            end += 1
+        return (i + 1, end) if end < n and text[end] == quote and end - i > 6 else None, failed
+    if i < failed:
+        return None, failed
+    end = i
+    while end < n and text[end] not in VALUE_END:
+        end += 1
+    run = end
+    while end > i and text[end - 1] in ".:!?":
+        end -= 1
+    value = text[i:end]
+    if len(value) >= 8 and any(c.isalpha() for c in value) and any(c.isdigit() for c in value):
+        return (i, end), failed
+    return None, run
+
+
+def parse_key(text: str, start: int, i: int, least: int):
+    """An issued key whose prefix is text[start:i]; it must not go on from another word."""
+    if start and text[start - 1] in WORD:
+        return None
+    end = i
+    while end < len(text) and (text[end] in WORD or text[end] == "-"):
+        end += 1
+    return (start, end) if end - i >= least else None
+
+
+def parse_block(text: str, start: int, i: int, close: int):
+    """A private-key block whose label starts at i, if the next END line, at close, has the same
+    label (of up to 60 characters)."""
+    tail = text.find(BLOCK_TAIL, i, i + 60 + len(BLOCK_TAIL))
+    if tail < 0 or not text[i:tail].endswith("PRIVATE KEY"):
+        return None
+    closing = f"{BLOCK_END}{text[i:tail]}{BLOCK_TAIL}"
+    return (start, close + len(closing)) if text.startswith(closing, close) else None
+
+
 CUE_PARSERS = {"iban": parse_iban, "ssn": parse_ssn, "account": parse_account}
 
 
@@ -184,6 +249,7 @@ def find_spans(text: str, auto) -> list[tuple[str, int, int]]:
     """All spans, by kind in the order of KINDS, then by start."""
     out: dict[str, list] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)
+    failed, close = 0, -1  # ends of secrets: the last failing run, the next END line
     for last, (what, size) in auto.iter(text):
         i = last - size + 1
         if what == "digit":
@@ -220,6 +286,22 @@ def find_spans(text: str, auto) -> list[tuple[str, int, int]]:
             if end > last + 1:
                 out["url"].append((start, end))
                 done["url"] = end
+        elif what in ("prefix", "block", "secret"):
+            if i < done["secret"]:
+                continue
+            span = None
+            if what == "secret":
+                span, failed = parse_secret(text, last + 1, failed)
+            elif what == "prefix":
+                span = parse_key(text, i, last + 1, KEY_PREFIXES[text[i : last + 1]])
+            else:
+                if close <= last and close < len(text):
+                    close = text.find(BLOCK_END, last)
+                    close = len(text) if close < 0 else close
+                span = parse_block(text, i, last + 1, close)
+            if span:
+                out["secret"].append(span)
+                done["secret"] = span[1]
         elif i >= done[what] and (span := CUE_PARSERS[what](text, last + 1)):
             out[what].append(span)
             done[what] = span[1]
