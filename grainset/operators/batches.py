@@ -1,12 +1,15 @@
 """Batch assembly: one output row per batch, one array column per input column.
 
 Rows get a global position under a given order (distributed prefix numbering),
-``batch_id = floor(position / batch_size)``, and each batch is a bounded group
-(at most ``batch_size`` rows), collected with its positions and sorted.
+``batch_id = floor(position / batch_size)``. The numbered rows lie in sorted runs, so most
+batches are cut where the rows are read, in Arrow; only the rows of batches that a run's end
+divides move again, to be put together. Rows with an existing position are grouped by batch.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,68 @@ def in_order(entries: Column, keys: list[str]) -> Column:
     return F.transform(F.array_sort(place), lambda p: entries[p["__i"]])
 
 
+def _in_arrow(kind: T.DataType) -> bool:
+    """Types that keep their values on the way through Arrow."""
+    if isinstance(kind, T.ArrayType):
+        return _in_arrow(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _in_arrow(kind.keyType) and _in_arrow(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return all(_in_arrow(f.dataType) for f in kind.fields) and len(kind.names) == len(set(kind.names)) > 0
+    plain = (T.StringType, T.BinaryType, T.BooleanType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return isinstance(kind, plain) and type(kind) not in (T.CharType, T.VarcharType)
+
+
+def cut_runs(batches, size: int, names: list[str]):
+    """Record batches of rows whose first column is a position, as record batches of pieces:
+    (batch_id, first position, rows, a list of each other column). A piece holds consecutive
+    positions of one batch; at most one unfinished piece is kept between record batches."""
+    held = None
+
+    def cut(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+        pos = rows.column(0).to_numpy()
+        ends = np.append(cuts[1:], len(pos))
+        offsets = pa.array(np.append(cuts, len(pos)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, c) for c in rows.columns[1:]]
+        arrays = [pa.array(pos[cuts] // size), pa.array(pos[cuts]), pa.array((ends - cuts).astype("int32")), *lists]
+        return pa.RecordBatch.from_arrays(arrays, names=["batch_id", "__first", "batch_rows", *names])
+
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        if held is not None:
+            rows = pa.Table.from_batches([held, rows.cast(held.schema)]).combine_chunks().to_batches()[0]
+        pos = rows.column(0).to_numpy()
+        new = (np.diff(pos) != 1) | (np.diff(pos // size) != 0)
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        last = int(cuts[-1])
+        if last:
+            yield cut(rows.slice(0, last), cuts[:-1])
+        held = rows.slice(last)
+    if held is not None:
+        yield cut(held, np.array([0]))
+
+
+def _runs(pos: DataFrame, size: int) -> DataFrame:
+    fields = pos.schema.fields[1:]
+    names = [f.name for f in fields]
+    kinds = [T.StructField("batch_id", T.LongType()), T.StructField("__first", T.LongType()), T.StructField("batch_rows", T.IntegerType())]
+    kinds += [T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields]
+    return pos.mapInArrow(lambda batches: cut_runs(batches, size, names), T.StructType(kinds))
+
+
+def _joined(pieces: DataFrame, size: int, columns: list[str]) -> DataFrame:
+    """Whole batches as they are, and the others from their pieces: rows of divided batches and
+    of a short last batch alone go through the grouping."""
+    whole = pieces.where(F.col("batch_rows") == size).drop("__first")
+    parts = pieces.where(F.col("batch_rows") < size).groupBy("batch_id").agg(
+        F.sum("batch_rows").cast("int").alias("batch_rows"),
+        F.collect_list(F.struct("__first", *[F.col(c) for c in columns])).alias("__all"))
+    parts = parts.select("batch_id", "batch_rows", in_order(F.col("__all"), ["__first"]).alias("__rows"))
+    lists = [F.flatten(F.col("__rows").getField(c)).alias(c) for c in columns]
+    return whole.unionByName(parts.select("batch_id", "batch_rows", *lists))
+
+
 def batch_rows(df: DataFrame, batch_size: int, order: list, columns: list[str] | None = None,
                full_only: bool = False, position_col: str | None = None) -> DataFrame:
     """Group rows into batches of ``batch_size`` in ``order``.
@@ -33,6 +98,9 @@ def batch_rows(df: DataFrame, batch_size: int, order: list, columns: list[str] |
     columns = columns or [c for c in df.columns if c != position_col]
     if position_col is None:
         pos = with_row_index(df, order, "__pos")
+        if all(_in_arrow(df.schema[c].dataType) for c in columns):
+            out = _joined(_runs(pos.select("__pos", *columns), batch_size), batch_size, columns)
+            return out.filter(F.col("batch_rows") == F.lit(batch_size)) if full_only else out
         position_col = "__pos"
     else:
         pos = df
