@@ -348,3 +348,20 @@ def q_unsorted_users(spark, sf):
             raise
         refused = True
     return e.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(refused).alias("refused"))
+
+
+@register(
+    "stored_index_listing",
+    """SELECT event_type, count(*) AS n_rows, true AS all_listed, true AS no_other FROM events GROUP BY 1""",
+)
+def q_stored_index_listing(spark, sf):
+    # The piece ids that the metadata report lists for each value, against the rows in the pieces.
+    path = shared_table_path(spark, "indexed-")
+    W.materialize_dataset(table(spark, sf, "events").select("event_id", "event_type").repartition(6, "event_id"), path)
+    W.build_dataset_indexes(spark, path, [RG.SingleFieldIndexer("by_type", "event_type"), RG.SingleFieldIndexer("by_id", "event_id")])
+    listing = W.metadata_report(spark, path, skip_indexes=["by_id"], list_pieces=True)[1]
+    listed = listing.select(F.col("value").alias("event_type"), F.explode("piece_ids").alias("piece_id"), F.lit(True).alias("listed"))
+    rows = CAT.attach_pieces(spark.read.parquet(path), W.load_catalog(spark, path))
+    held = rows.groupBy("event_type", "piece_id").agg(F.count(F.lit(1)).alias("n"))
+    return held.join(listed, ["event_type", "piece_id"], "full").groupBy("event_type").agg(
+        F.sum("n").alias("n_rows"), F.every(F.col("listed").isNotNull()).alias("all_listed"), F.every(F.col("n").isNotNull()).alias("no_other"))
