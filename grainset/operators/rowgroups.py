@@ -4,12 +4,19 @@ A *piece* is the unit of scan, shard and selection: a Parquet row group from the
 catalog, or a logical block of rows. Rows carry ``piece_id``; index and selection
 tables are metadata-sized (values x pieces), so they are joined back with a
 size-checked broadcast.
+
+Indexes and selections are *postings*: bitmaps of 64 pieces, one long for a ``word`` of piece
+ids (``piece_id // 64``). A value in few pieces costs a row a piece, as a list would; one in
+every piece costs a row for 64, spread over tasks. Union and intersection are ``|`` and ``&`` of
+such longs, word by word. (``bitmap_construct_agg`` would take 4 KB for each value and range of
+32,768 pieces, however few of them hold it.)
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -65,9 +72,25 @@ class ExpressionIndexer(Indexer):
         return _texts(df, self.value)
 
 
+WORD_SHIFT = 6  # 64 pieces to a long
+
+
+def _packed(piece_col: str) -> tuple[Column, Column]:
+    """The word of a piece and the long that has only the piece's bit set."""
+    piece = F.col(piece_col).cast("bigint")
+    bit = piece.bitwiseAND(F.lit((1 << WORD_SHIFT) - 1)).cast("int")
+    return F.shiftright(piece, WORD_SHIFT), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+
+
+def _unpacked(word: Column, bits: Column) -> Column:
+    """The piece ids of a word, ascending."""
+    places = F.filter(F.sequence(F.lit(0), F.lit((1 << WORD_SHIFT) - 1)), lambda k: F.getbit(bits, k) == 1)
+    return F.transform(places, lambda k: F.shiftleft(word, WORD_SHIFT) + k)
+
+
 def build_indexes(df: DataFrame, indexers: list, piece_col: str = "piece_id") -> DataFrame:
-    """All indexes in one scan, as long rows (index_name, value, piece_id), each once: a value
-    that is in every piece is as many rows, spread over tasks, and never one array."""
+    """All indexes in one scan and one exchange, as postings (index_name, value, word, bits):
+    a task sends a row for each value and word, however many rows hold it."""
     names = [ix.index_name for ix in indexers]
     if len(set(names)) != len(names):
         raise ValueError("index names must be unique")
@@ -78,10 +101,20 @@ def build_indexes(df: DataFrame, indexers: list, piece_col: str = "piece_id") ->
         named = lambda v: F.struct(F.lit(ix.index_name).alias("index_name"), v.alias("value"))
         return F.transform(F.coalesce(ix.values(df), F.array().cast("array<string>")), named)
 
-    rows = df.select(F.col(piece_col).alias("piece_id"), F.explode(F.concat(*map(entries, indexers))).alias("e"))
-    rows = rows.where("e.value IS NOT NULL").select("e.index_name", "e.value", "piece_id")
-    # Duplicates go map-side first: one shuffle carries an entry at most once per task.
-    return rows.dropDuplicates()
+    word, bit = _packed(piece_col)
+    rows = df.select(word.alias("word"), bit.alias("bit"), F.explode(F.concat(*map(entries, indexers))).alias("e"))
+    rows = rows.where("e.value IS NOT NULL").select("e.index_name", "e.value", "word", "bit")
+    return rows.groupBy("index_name", "value", "word").agg(F.bit_or("bit").alias("bits"))
+
+
+def merge_indexes(*indexes: DataFrame) -> DataFrame:
+    """One index of several built apart, of the same pieces or of others."""
+    return reduce(DataFrame.unionByName, indexes).groupBy("index_name", "value", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def index_pieces(index: DataFrame) -> DataFrame:
+    """The index as rows (index_name, value, piece_id), each once."""
+    return index.select("index_name", "value", F.explode(_unpacked(F.col("word"), F.col("bits"))).alias("piece_id"))
 
 
 def index_arrays(index: DataFrame, index_name: str | None = None, values: list | None = None) -> DataFrame:
@@ -91,7 +124,9 @@ def index_arrays(index: DataFrame, index_name: str | None = None, values: list |
         index = index.filter(SingleIndexSelector(index_name, values).hits())
     elif index_name is not None:
         index = index.filter(F.col("index_name") == index_name)
-    return index.groupBy("index_name", "value").agg(F.array_sort(F.collect_list("piece_id")).alias("piece_ids"))
+    words = index.groupBy("index_name", "value").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w"))
+    pieces = F.flatten(F.transform("w", lambda w: _unpacked(w["word"], w["bits"])))
+    return words.select("index_name", "value", pieces.alias("piece_ids"))
 
 
 def write_indexes(index: DataFrame, path: str, mode: str = "overwrite"):
@@ -99,12 +134,17 @@ def write_indexes(index: DataFrame, path: str, mode: str = "overwrite"):
 
 
 def read_indexes(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("index_name", "value", "piece_id")
+    """Postings written by ``write_indexes``; indexes stored as rows of pieces are packed."""
+    stored = spark.read.parquet(path)
+    if "piece_id" in stored.columns:
+        word, bit = _packed("piece_id")
+        stored = merge_indexes(stored.select("index_name", "value", word.alias("word"), bit.alias("bits")))
+    return stored.select("index_name", "value", "word", "bits")
 
 
 def index_report(index: DataFrame) -> DataFrame:
     """Per index and value: how many pieces hold it."""
-    return index.groupBy("index_name", "value").agg(F.count(F.lit(1)).cast("int").alias("n_pieces"))
+    return index.groupBy("index_name", "value").agg(F.sum(F.bit_count("bits")).cast("int").alias("n_pieces"))
 
 
 # ------------------------------------------------------------------ indexes with a state
@@ -196,8 +236,40 @@ def read_state_index(spark, indexer: StateIndexer, path: str) -> DataFrame:
 
 
 class Selector:
-    def pieces(self, index: DataFrame) -> DataFrame:
-        raise NotImplementedError
+    """A selection of pieces. A tree of selectors is one aggregate over the index: ``leaves``
+    are its parts that look something up, ``combine`` joins their bits, taken from an iterator
+    in the order of the leaves."""
+
+    def leaves(self) -> list:
+        return [self]
+
+    def combine(self, bits) -> Column:
+        return next(bits)
+
+    def words(self, index: DataFrame | None = None) -> DataFrame:
+        """The selected pieces as postings (word, bits), one row a word."""
+        leaves = self.leaves()
+        names = [f"b{i}" for i in range(len(leaves))]
+        named = [i for i, leaf in enumerate(leaves) if isinstance(leaf, SingleIndexSelector)]
+        parts = []
+        if named:
+            found = index.filter(reduce(lambda a, b: a | b, [leaves[i].hits() for i in named]))
+            hit = {i: F.when(leaves[i].hits(), F.col("bits")) for i in named}
+            parts.append(found.select("word", *[hit.get(i, F.lit(None)).cast("bigint").alias(n) for i, n in enumerate(names)]))
+        for k, leaf in enumerate(leaves):
+            if k not in named:
+                word, bit = _packed("piece_id")
+                own = [(bit if i == k else F.lit(None)).cast("bigint").alias(n) for i, n in enumerate(names)]
+                parts.append(leaf.pieces(index).select(word.alias("word"), *own))
+        if not parts:
+            return index.sparkSession.createDataFrame([], "word bigint, bits bigint")
+        found = reduce(DataFrame.union, parts).groupBy("word").agg(*[F.bit_or(n).alias(n) for n in names])
+        bits = self.combine(iter([F.coalesce(n, F.lit(0).cast("bigint")) for n in names]))
+        return found.select("word", bits.alias("bits")).where("bits != 0")
+
+    def pieces(self, index: DataFrame | None = None) -> DataFrame:
+        """The selected pieces as rows (piece_id), each once."""
+        return self.words(index).select(F.explode(_unpacked(F.col("word"), F.col("bits"))).alias("piece_id"))
 
 
 class SingleIndexSelector(Selector):
@@ -227,9 +299,6 @@ class SingleIndexSelector(Selector):
     def hits(self) -> Column:
         return (F.col("index_name") == self.index_name) & self._wanted()
 
-    def pieces(self, index: DataFrame) -> DataFrame:
-        return index.filter(self.hits()).select("piece_id").distinct()
-
 
 class StateIndexSelector(Selector):
     """Pieces whose state in ``indexer``'s index may hold ``asked``; takes that index, or a
@@ -251,24 +320,24 @@ class IntersectIndexSelector(Selector):
             raise ValueError("IntersectIndexSelector needs at least one selector")
         self.selectors = selectors
 
-    def pieces(self, index: DataFrame) -> DataFrame:
-        out = self.selectors[0].pieces(index)
-        for s in self.selectors[1:]:
-            out = out.intersect(s.pieces(index))
-        return out
+    def leaves(self):
+        return [leaf for s in self.selectors for leaf in s.leaves()]
+
+    def combine(self, bits):
+        return reduce(Column.bitwiseAND, [s.combine(bits) for s in self.selectors])
 
 
 class UnionIndexSelector(Selector):
+    """Pieces that any of the selectors finds; of no selectors, none."""
+
     def __init__(self, selectors: list):
         self.selectors = selectors
 
-    def pieces(self, index: DataFrame) -> DataFrame:
-        if not self.selectors:
-            return index.sparkSession.createDataFrame([], "piece_id bigint")
-        out = self.selectors[0].pieces(index)
-        for s in self.selectors[1:]:
-            out = out.union(s.pieces(index))
-        return out.distinct()
+    def leaves(self):
+        return [leaf for s in self.selectors for leaf in s.leaves()]
+
+    def combine(self, bits):
+        return reduce(Column.bitwiseOR, [s.combine(bits) for s in self.selectors], F.lit(0).cast("bigint"))
 
 
 def check_index_names(index: DataFrame, selector: Selector, known: set[str] | None = None):
@@ -290,10 +359,18 @@ def check_index_names(index: DataFrame, selector: Selector, known: set[str] | No
         raise ValueError(f"Index {sorted(missing)} is not available in this dataset")
 
 
+def in_words(df: DataFrame, words: DataFrame, piece_col: str = "piece_id") -> DataFrame:
+    """Rows whose piece is in the postings ``words`` (word, bits), one row a word: a semi join
+    on the word, with the piece's bit tested beside it."""
+    words = broadcast_if_small(words.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")), measure=True)
+    piece = F.col(piece_col).cast("bigint")
+    bit = F.getbit(F.col("__bits"), piece.bitwiseAND(F.lit((1 << WORD_SHIFT) - 1)).cast("int"))
+    return df.join(words, (F.shiftright(piece, WORD_SHIFT) == F.col("__word")) & (bit == 1), "left_semi")
+
+
 def select_pieces(df: DataFrame, index: DataFrame, selector: Selector, piece_col: str = "piece_id") -> DataFrame:
     """Rows of the *whole* selected pieces (a superset of the matching rows)."""
-    pieces = broadcast_if_small(selector.pieces(index).withColumnRenamed("piece_id", piece_col), measure=True)
-    return df.join(pieces, piece_col, "left_semi")
+    return in_words(df, selector.words(index), piece_col)
 
 
 # ------------------------------------------------------------------ shards

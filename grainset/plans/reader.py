@@ -9,7 +9,7 @@ Catalyst pushes filters and projections into the Parquet scan.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from urllib.parse import unquote, urlparse
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,12 +62,12 @@ def _catalog_for(spark: SparkSession, urls: list[str]) -> DataFrame:
     return reliable_checkpoint(cat)
 
 
-def _selected_pieces(spark: SparkSession, spec) -> DataFrame:
+def _selected_words(spark: SparkSession, spec) -> DataFrame:
     if not spec.index_path:
         raise ValueError("a selector needs index_path")
     index = RG.read_indexes(spark, spec.index_path)
     RG.check_index_names(index, spec.selector)
-    return spec.selector.pieces(index)
+    return reliable_checkpoint(spec.selector.words(index))  # the index is read once for files and rows
 
 
 @dataclass
@@ -94,23 +94,31 @@ class DatasetSpec:
 
 
 MOST_LISTED_FILES = 10_000
+FILE_RANGES = 256
 
 
-def _pruned_scan(spark: SparkSession, urls: list[str], catalog: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Scan only the files that hold a selected row group (file-level skipping).
+def in_files(df: DataFrame, files: DataFrame) -> DataFrame:
+    """``df``, a scan, cut to the files in ``files`` (file_path, as ``_metadata.file_path`` gives
+    it): a filter on file metadata, by which Spark drops files when it lists them.
 
-    A selection of more than ``MOST_LISTED_FILES`` files is not listed on the driver: the whole
-    dataset is scanned, and the join on the selected pieces that follows drops the other rows."""
-    files = catalog.join(pieces, "piece_id", "left_semi").select("file_path").distinct()
-    paths = sorted(unquote(r["file_path"]) for r in files.limit(MOST_LISTED_FILES + 1).collect())
-    if len(paths) > MOST_LISTED_FILES:
-        return spark.read.parquet(*urls)
-    reader = spark.read
-    if len(urls) == 1:
-        reader = reader.option("basePath", urls[0])  # keep hive partition columns
-    if not paths:
-        return reader.parquet(*urls).limit(0)
-    return reader.parquet(*paths)
+    Up to ``MOST_LISTED_FILES`` files are named in the filter. More are given as the ends of at
+    most ``FILE_RANGES`` ranges of paths, whatever their number, searched as a tree; files between
+    two selected ones may then stay, so the caller still drops rows by piece."""
+    files = files.select("file_path").distinct()
+    path = F.col("_metadata.file_path")
+    paths = [r["file_path"] for r in files.limit(MOST_LISTED_FILES + 1).collect()]
+    if len(paths) <= MOST_LISTED_FILES:
+        return df.filter(path.isin(paths) if paths else F.lit(False))
+    runs = files.repartitionByRange(FILE_RANGES, "file_path").groupBy(F.spark_partition_id().alias("run"))
+    ends = sorted((r["low"], r["high"]) for r in runs.agg(F.min("file_path").alias("low"), F.max("file_path").alias("high")).collect())
+
+    def within(runs):
+        if len(runs) == 1:
+            return (path >= runs[0][0]) & (path <= runs[0][1])
+        half = len(runs) // 2
+        return F.when(path <= runs[half - 1][1], within(runs[:half])).otherwise(within(runs[half:]))
+
+    return df.filter(within(ends))
 
 
 def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
@@ -128,18 +136,15 @@ def read_dataset(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     else:
         cat = _catalog_for(spark, urls)
         if spec.selector is not None:
-            pieces = _selected_pieces(spark, spec)
-            df = _pruned_scan(spark, urls, cat, pieces)
-            if spec.filters:
-                df = df.filter(P.dnf_filter(spec.filters))
-            df = df.withColumn("__fp", F.col("_metadata.file_path")).withColumn("__ri", F.col("_metadata.row_index"))
+            words = _selected_words(spark, spec)
+            df = in_files(df, RG.in_words(cat, words))
         df = attach_pieces(df, cat, max_groups_per_file=max_groups_per_file(cat))
         # The too-many-shards check uses the total row-group count (metadata-sized).
         total_pieces = cat.count() if spec.shard_count is not None else None
     if spec.selector is not None:
         if spec.block_rows:
-            pieces = _selected_pieces(spark, spec)
-        df = df.join(broadcast_if_small(pieces, measure=True), "piece_id", "left_semi")
+            words = _selected_words(spark, spec)
+        df = RG.in_words(df, words)
     if spec.shard_count is not None:
         if spec.filters:
             # Shards deal out the pieces that the filters leave, numbered anew.

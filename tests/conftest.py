@@ -23,3 +23,16 @@ def spark():
 def tmp_dir():
     # A fresh folder per test (with a space, to exercise path encoding).
     return tempfile.mkdtemp(prefix="grainset test-")
+
+
+@pytest.fixture()
+def files_read():
+    """How many files the one scan of a plan without exchanges opens."""
+
+    def count(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        files = plan.collectLeaves().apply(0).metrics().get("numFiles")
+        return files.get().value() if files.isDefined() else 0
+
+    return count

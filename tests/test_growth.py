@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from grainset.functions import numbering
 from grainset.operators import sampling as X
 from grainset.plans import reader as R
+from grainset.sources import catalog as CAT
 from grainset.sources import metrics as M
 from grainset.sources import writer as W
 
@@ -83,12 +84,23 @@ def test_capped_sample_by_range_sort(spark, monkeypatch):
     assert sorted(a) == sorted(b) and len(a) == 600
 
 
-def test_long_file_selections_are_not_listed(spark, tmp_dir, monkeypatch):
-    path = os.path.join(tmp_dir, "many")
-    spark.range(60).repartition(6).write.parquet(path)
+def test_long_file_selections_are_not_listed(spark, tmp_dir, monkeypatch, files_read):
+    path = os.path.join(tmp_dir, "many files")
+    spark.range(400).withColumn("b", F.col("id") % 40).repartition("b").write.partitionBy("b").parquet(path)
+    data = spark.read.parquet(path)
     catalog = R._catalog_for(spark, [f"file://{path}"])
-    pieces = catalog.where("piece_id < 3").select("piece_id")
-    pruned = R._pruned_scan(spark, [f"file://{path}"], catalog, pieces)
-    assert len(pruned.inputFiles()) == 3
-    monkeypatch.setattr(R, "MOST_LISTED_FILES", 2)
-    assert len(R._pruned_scan(spark, [f"file://{path}"], catalog, pieces).inputFiles()) == 6
+    assert catalog.count() == 40
+    few, none = catalog.where("piece_id IN (3, 4, 30)"), catalog.limit(0)
+    for most in (10, 1):  # by name, then in ranges
+        monkeypatch.setattr(R, "MOST_LISTED_FILES", most)
+        scan = R.in_files(data, few)
+        assert 3 <= files_read(scan) <= 40 and scan.count() >= 30
+        assert files_read(R.in_files(data, none)) == 0
+        # Whatever the ranges let through, the rows are those of the pieces.
+        assert CAT.attach_pieces(scan, catalog).where("piece_id IN (3, 4, 30)").count() == 30
+    monkeypatch.setattr(R, "MOST_LISTED_FILES", 10)
+    assert files_read(R.in_files(data, few)) == 3
+    monkeypatch.setattr(R, "MOST_LISTED_FILES", 1)
+    monkeypatch.setattr(R, "FILE_RANGES", 8)
+    ends = catalog.where("piece_id < 5 OR piece_id >= 35")
+    assert 10 <= files_read(R.in_files(data, ends)) < 40  # ranges leave files out, too

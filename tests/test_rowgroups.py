@@ -188,3 +188,45 @@ def test_shards_deal_out_filtered_pieces(spark, tmp_path):
     assert [read(k, 2).count() for k in (0, 1)] == [10, 10]
     with pytest.raises(ValueError):
         read(0, 4)
+
+
+def test_postings_hold_the_pieces(spark):
+    # Pieces around the edges of words, the sign bit (63) among them, one beyond 2^31.
+    pieces = [0, 1, 62, 63, 64, 127, 128, 1 << 33]
+    df = spark.createDataFrame([(p, v) for p in pieces for v in ("all", "low" if p < 64 else "high") for _ in (1, 2)],
+                               "piece_id long, v string")
+    index = RG.build_indexes(df, [RG.SingleFieldIndexer("v", "v")])
+    assert index.where("value = 'low'").count() == 1 and index.where("value = 'all'").count() == 4
+    listed = {r["value"]: r["piece_ids"] for r in RG.index_arrays(index).collect()}
+    assert listed == {"all": pieces, "low": [0, 1, 62, 63], "high": [64, 127, 128, 1 << 33]}
+    assert sorted((r.value, r.piece_id) for r in RG.index_pieces(index).collect()) == sorted(
+        (v, p) for v, ps in listed.items() for p in ps)
+    assert {r["value"]: r["n_pieces"] for r in RG.index_report(index).collect()} == {"all": 8, "low": 4, "high": 4}
+    halves = [RG.build_indexes(df.where(c), [RG.SingleFieldIndexer("v", "v")]) for c in ("piece_id < 100", "piece_id >= 63")]
+    assert sorted(RG.merge_indexes(*halves).collect()) == sorted(index.collect())
+
+
+def test_selector_trees_are_one_aggregate(spark):
+    df = spark.createDataFrame([(p, str(p % 3), p * 10) for p in range(200)] + [(None, "0", 1)], "piece_id long, v string, n long")
+    index = RG.build_indexes(df.where("piece_id IS NOT NULL"), [RG.SingleFieldIndexer("v", "v")])
+    ranges = RG.RangeIndexer("n", "n")
+    state = RG.build_state_index(df.where("piece_id IS NOT NULL"), ranges)
+    one = lambda *v: RG.SingleIndexSelector("v", v)
+    band = RG.StateIndexSelector(ranges, (600, 1300), state)
+    tree = RG.IntersectIndexSelector([RG.UnionIndexSelector([one("0"), one("1", "7"), RG.UnionIndexSelector([])]),
+                                      RG.UnionIndexSelector([RG.IntersectIndexSelector([one("1"), band]), one("0")])])
+    want = [p for p in range(200) if p % 3 == 0 or (p % 3 == 1 and 60 <= p <= 130)]
+    assert sorted(r.piece_id for r in tree.pieces(index).collect()) == want
+    assert sorted(r.piece_id for r in RG.select_pieces(df, index, tree).collect()) == want
+    plan = tree.words(index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert tree.words(index).where("bits = 0").count() == 0
+    assert RG.IntersectIndexSelector([one("0"), one("1")]).words(index).count() == 0
+
+
+def test_indexes_stored_as_rows_of_pieces_are_read(spark, tmp_dir):
+    index = _index(_f1(spark))
+    RG.write_indexes(index, tmp_dir + "/packed")
+    RG.write_indexes(RG.index_pieces(index), tmp_dir + "/rows")
+    packed, rows = (sorted(RG.read_indexes(spark, f"{tmp_dir}/{k}").collect()) for k in ("packed", "rows"))
+    assert packed == rows == sorted(index.collect())

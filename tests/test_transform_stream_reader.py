@@ -136,7 +136,7 @@ def test_partitioned_read_and_shard_check(spark, tmp_dir):
     assert names == ["pk", "id"]
 
 
-def test_selector_prunes_files(spark, tmp_dir):
+def test_selector_prunes_files(spark, tmp_dir, files_read):
     from grainset.sources import writer as W
 
     path = tmp_dir + "/sel ds"
@@ -151,11 +151,11 @@ def test_selector_prunes_files(spark, tmp_dir):
     ids = sorted(r["id"] for r in out.collect())
     assert ids == list(range(2000, 3000))
     assert [r["id"] for r in sorted(out.collect(), key=lambda r: r["position"])] == ids  # physical order kept
-    from grainset.plans.reader import _pruned_scan
+    from grainset.plans.reader import in_files
 
-    pieces = spec.selector.pieces(W.load_dataset_indexes(spark, path))
-    scan = _pruned_scan(spark, [url], W.load_catalog(spark, path), pieces)
-    assert len(scan.inputFiles()) == 1  # only the file holding block 2 is scanned
+    words = spec.selector.words(W.load_dataset_indexes(spark, path))
+    files = RG.in_words(W.load_catalog(spark, path), words)
+    assert files_read(in_files(spark.read.parquet(url), files)) == 1  # only the file holding block 2 is scanned
 
 
 def test_golden_ngram_through_reader(spark, tmp_dir):
