@@ -437,8 +437,8 @@ def _events_indexers():
     ]
 
 
-def events_index(spark, sf):
-    e = events_pieces(spark, sf).withColumn(
+def events_index(spark, sf, part="true"):
+    e = events_pieces(spark, sf).where(part).withColumn(
         "big_error", F.when((F.col("event_type") == "error") & (F.col("value") > 45), F.col("value"))
     )
     return RG.build_indexes(e, _events_indexers())

@@ -22,7 +22,7 @@ from ..sources import writer as W
 from ..sources.schema import infer_fields
 from ..streaming.epochs import epochs_to_table, infinite_epochs
 from .reader import DatasetSpec, read_dataset
-from .registry import _PIECE_SQL, SEED, _md5_sql, events_pieces, register
+from .registry import _PIECE_SQL, SEED, _md5_sql, events_index, events_pieces, register, stored_events_index
 
 # ---------------------------------------------------------------- shuffled sub-splits
 
@@ -365,3 +365,69 @@ def q_stored_index_listing(spark, sf):
     held = rows.groupBy("event_type", "piece_id").agg(F.count(F.lit(1)).alias("n"))
     return held.join(listed, ["event_type", "piece_id"], "full").groupBy("event_type").agg(
         F.sum("n").alias("n_rows"), F.every(F.col("listed").isNotNull()).alias("all_listed"), F.every(F.col("n").isNotNull()).alias("no_other"))
+
+
+# ---------------------------------------------------------------- postings, pruned files
+
+_POSTINGS = f"""
+    WITH e AS (SELECT event_type, user_id, value, {_PIECE_SQL} AS piece_id FROM events)"""
+
+
+@register(
+    "index_postings",
+    _POSTINGS
+    + """,
+    v AS (SELECT 'by_user' AS index_name, CAST(user_id AS VARCHAR) AS value, piece_id FROM e WHERE user_id IS NOT NULL
+          UNION ALL SELECT 'by_type', event_type, piece_id FROM e WHERE event_type IS NOT NULL
+          UNION ALL SELECT 'big_error', '*', piece_id FROM e WHERE event_type = 'error' AND value > 45),
+    w AS (SELECT index_name, value, piece_id // 64 AS word, sum(DISTINCT CAST(1 AS HUGEINT) << CAST(piece_id % 64 AS INTEGER)) AS s
+          FROM v GROUP BY 1, 2, 3)
+    SELECT index_name, value, word,
+           CAST(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END AS BIGINT) AS bits FROM w""",
+)
+def q_index_postings(spark, sf):
+    # Built in two parts, as for rows that came later, and merged: one long for 64 pieces.
+    return RG.merge_indexes(*[events_index(spark, sf, f"event_id % 2 = {k}") for k in (0, 1)])
+
+
+@register(
+    "select_tree",
+    _POSTINGS
+    + """,
+    u AS (SELECT piece_id FROM e WHERE user_id IN (3, 5) UNION SELECT piece_id FROM e WHERE event_type = 'error' AND value > 45),
+    r AS (SELECT piece_id FROM e GROUP BY 1 HAVING max(value) >= 20 AND min(value) <= 200)
+    SELECT piece_id, count(*) AS n_rows FROM e
+    WHERE piece_id IN (SELECT piece_id FROM u INTERSECT SELECT piece_id FROM r
+                       INTERSECT (SELECT piece_id FROM e WHERE user_id IN (7, 11) UNION SELECT piece_id FROM e WHERE user_id = 3))
+    GROUP BY 1""",
+)
+def q_select_tree(spark, sf):
+    # Values and a state index in one tree of selectors: one aggregate over both, no joins between.
+    e = events_pieces(spark, sf)
+    index = stored_events_index(spark, sf)
+    ranges = RG.RangeIndexer("value", "value")
+    user = lambda *v: RG.SingleIndexSelector("by_user", v)
+    tree = RG.IntersectIndexSelector([
+        RG.UnionIndexSelector([user(3, 5), RG.SingleIndexSelector("big_error", ["*"])]),
+        RG.StateIndexSelector(ranges, (20, 200), RG.build_state_index(e, ranges)),
+        RG.UnionIndexSelector([user(7, 11), user(3)]),
+    ])
+    return RG.select_pieces(e, index, tree).groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register(
+    "select_pruned_files",
+    """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 40 AS bucket FROM orders)
+    SELECT o_orderkey, o_custkey, o_totalprice, bucket FROM o
+    WHERE bucket IN (SELECT bucket FROM o WHERE o_custkey IN (1, 2, 4))""",
+)
+def q_select_pruned_files(spark, sf):
+    # A dataset of 40 files: the reader opens those that hold a selected row group.
+    path = shared_table_path(spark, "files-")
+    bucketed = table(spark, sf, "orders").withColumn("bucket", F.col("o_orderkey") % 40)
+    bucketed.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    W.stamp_metadata(spark, path)
+    W.build_dataset_indexes(spark, path, [RG.SingleFieldIndexer("by_customer", "o_custkey")])
+    spec = DatasetSpec(path if ":/" in path else f"file://{path}", selector=RG.SingleIndexSelector("by_customer", [1, 2, 4]),
+                       index_path=f"{path}/{W.SIDE_DIR}/index", global_positions=False)
+    return read_dataset(spark, spec).select("o_orderkey", "o_custkey", "o_totalprice", F.col("bucket").cast("bigint").alias("bucket"))
