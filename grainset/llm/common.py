@@ -93,6 +93,7 @@ SEQ_B = Poly(53)
 _sep = np.zeros(256, dtype=bool)
 _sep[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 NOT_SPACE = ~_sep
+SPACES = [bytes([b]) for b in np.flatnonzero(_sep)]
 
 
 def text_buffers(column, limit: int = PASS_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -118,6 +119,21 @@ def text_buffers(column, limit: int = PASS_BYTES) -> Iterator[tuple[int, int, np
         lo = hi
 
 
+def long_parts(raw: bytes, limit: int = PASS_BYTES) -> Iterator[bytes]:
+    """A long text in parts of at most ``limit`` bytes that end behind white space, so that no
+    word is cut; a word longer than that is a part by itself (with one blank behind it)."""
+    lo = 0
+    while lo < len(raw):
+        hi = lo + limit
+        if hi < len(raw):
+            hi = max(raw.rfind(c, lo, hi) for c in SPACES) + 1
+            if hi <= lo:
+                ends = [e for e in (raw.find(c, lo + limit) for c in SPACES) if e >= 0]
+                hi = min(ends, default=len(raw)) + 1
+        yield raw[lo:hi]
+        lo = hi
+
+
 def token_spans(buf: np.ndarray, bounds: np.ndarray, member: np.ndarray = NOT_SPACE):
     """Maximal runs of member bytes inside each text: (starts, ends, text index)."""
     n = len(buf)

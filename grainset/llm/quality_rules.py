@@ -9,7 +9,8 @@ never raise a document's score.
 Defined cases: null text has no words and fails the base rules; repeated rows repeat in the
 result; a null doc_id stays; labels with null or several values for a document count as given
 (a null quality is left out); without labelled rows the trees keep every document; other
-columns are not read; an empty table gives an empty result.
+columns are not read; an empty table gives an empty result; a text over 1 MB is read in parts,
+of which the hashes of words and lines are kept.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Forest, fit_forest
-from .common import BYTES, NOT_SPACE, SEQ_A, cover, documents_frame, mix, text_buffers, token_spans, window_ok
+from .common import BYTES, NOT_SPACE, PASS_BYTES, SEQ_A, cover, documents_frame, long_parts, mix, text_buffers, token_spans, window_ok, word_hashes
 
 SAMPLE = 20_000
 FAIL_WORDS = 10
@@ -75,22 +76,64 @@ def statistics(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     _, later = _again(BYTES.spans(prefix, l_start, l_end) ^ salt[l_doc])
     n_dup = np.bincount(l_doc[later], minlength=n)
     n_lines = np.bincount(l_doc, minlength=n)
+    long_words = np.bincount(doc[(ends - starts) > 20], minlength=n)
+    return _rows(n_words, word_chars, symbols, n_dup, n_repeat, n_lines, long_words,
+                 per_doc(DIGIT[buf]), per_doc(UPPER[buf]), per_doc(STOPS[buf]))
+
+
+def _rows(n_words, word_chars, symbols, n_dup, n_repeat, n_lines, long_words, digits, upper, stops):
     counts = np.stack([n_words, word_chars, symbols, n_dup, n_repeat], axis=1)
     w, c, lines = np.maximum(n_words, 1), np.maximum(word_chars, 1), np.maximum(n_lines, 1)
-    long_words = np.bincount(doc[(ends - starts) > 20], minlength=n)
     features = np.stack(
-        [np.log1p(n_words), word_chars / w, symbols / c, n_dup / lines, n_repeat / w, per_doc(DIGIT[buf]) / c,
-         per_doc(UPPER[buf]) / c, per_doc(STOPS[buf]) / w, n_words / lines, long_words / w], axis=1
+        [np.log1p(n_words), word_chars / w, symbols / c, n_dup / lines, n_repeat / w, digits / c,
+         upper / c, stops / w, n_words / lines, long_words / w], axis=1
     )
     return counts, features
 
 
+def long_statistics(raw: bytes, limit: int = PASS_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, features) of one text, read in parts of about ``limit`` bytes."""
+    import xxhash
+
+    hashes, sums = [np.zeros(0, np.uint64)], np.zeros(6, dtype=np.int64)
+    for part in long_parts(raw, limit):
+        buf = np.frombuffer(part, dtype=np.uint8)
+        starts, ends, _ = token_spans(buf, np.array([0, len(buf)]))
+        chars = np.count_nonzero(NOT_SPACE[buf] & ((buf & 0xC0) != 0x80))
+        tables = [np.count_nonzero(t[buf]) for t in (SYMBOLS, DIGIT, UPPER, STOPS)]
+        sums += np.array([chars, np.count_nonzero(ends - starts > 20), *tables])
+        if len(ends) == 1 and ends[0] - starts[0] >= limit:  # a word that fills a part: no table of its length
+            hashes.append(np.array([xxhash.xxh64_intdigest(part[starts[0] : ends[0]])], dtype=np.uint64))
+        else:
+            hashes.append(word_hashes(buf, starts, ends))
+    words = np.concatenate(hashes)
+    twice, _ = _again(SEQ_A.windows(SEQ_A.prefix(words), REPEAT))
+    at = np.flatnonzero(twice)
+    n_repeat = np.count_nonzero(cover(at, at + REPEAT, len(words)))
+
+    def lines():
+        lo = 0
+        while lo <= len(raw):
+            hi = raw.find(b"\n", lo)
+            hi = len(raw) if hi < 0 else hi
+            line = raw[lo:hi]
+            if line and not line.isspace():
+                yield xxhash.xxh64_intdigest(line)
+            lo = hi + 1
+
+    line_hashes = np.fromiter(lines(), np.uint64)
+    n_dup = len(line_hashes) - len(np.unique(line_hashes))
+    chars, long_words, symbols, digits, upper, stops = sums
+    one = [len(words), chars, symbols, n_dup, n_repeat, len(line_hashes), long_words, digits, upper, stops]
+    return _rows(*[np.array([v], dtype=np.int64) for v in one])
+
+
 def _apply(columns, forest: Forest | None):
     def run(batches):
         for batch in batches:
             counts, features = [np.zeros((0, len(COUNTS)), int)], [np.zeros((0, len(FEATURES)))]
             for _, _, buf, bounds in text_buffers(batch.column(1)):
-                c, f = statistics(buf, bounds)
+                c, f = long_statistics(buf.tobytes()) if len(buf) > PASS_BYTES else statistics(buf, bounds)
                 counts.append(c)
                 features.append(f)
             counts, features = np.concatenate(counts), np.concatenate(features)

@@ -20,7 +20,8 @@ cost nothing.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; a null
 doc_id is never the component's id unless no other exists; repeated rows repeat in the
-result; an empty table gives an empty result; other columns are not read.
+result; an empty table gives an empty result; other columns are not read; a text over 1 MB is
+read in parts that carry the last words over, so it takes a few bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from grainset.session import reliable_checkpoint
 
-from .common import documents_frame, text_buffers, token_spans
+from .common import PASS_BYTES, documents_frame, long_parts, text_buffers, token_spans
 
 SHINGLE = 3
 DISTANCE = 2
@@ -43,6 +44,24 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
 
+def long_fingerprint(raw: bytes, shingle: int, limit: int = PASS_BYTES) -> int:
+    """The fingerprint of one text, read in parts of about ``limit`` bytes."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    total, count, carried = np.zeros(64, dtype=np.int64), 0, []
+    for part in long_parts(raw, limit):
+        words = carried + part.lower().split()  # of bytes: ASCII letters and white space only
+        n = max(len(words) - shingle + 1, 0)
+        hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n)
+        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        count += n
+        carried = words[n:]
+    if not count:
+        return digest(b" ".join(carried), 42) if carried else 0
+    return int(np.packbits(2 * total > count).view(np.uint64)[0])
+
+
 def fingerprint_batch(column, shingle: int) -> np.ndarray:
     """uint64 fingerprints of a string column."""
     import xxhash
@@ -51,6 +70,9 @@ def fingerprint_batch(column, shingle: int) -> np.ndarray:
     parts = [np.zeros(0, np.uint64)]
     for _, _, buf, bounds in text_buffers(column):
         n_docs = len(bounds) - 1
+        if len(buf) > PASS_BYTES:  # one long text
+            parts.append(np.array([long_fingerprint(buf.tobytes(), shingle)], dtype=np.uint64))
+            continue
         buf = _lower[buf]
         starts, ends, doc = token_spans(buf, bounds)
         size = ends - starts
