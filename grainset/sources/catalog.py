@@ -108,9 +108,12 @@ def _count_changes(files: DataFrame) -> tuple[int, int]:
 def rebased_catalog(spark: SparkSession, path: str, stored: DataFrame) -> DataFrame:
     """A stored catalog with today's file paths: files are matched by their path below the
     dataset, so a copied or moved dataset keeps its catalog. Fails if the dataset holds other
-    files than the catalog (metadata-sized: one row per file)."""
+    files with row groups than the catalog (metadata-sized: one row per file); Spark writes
+    files without any where a task has no rows."""
     files = compare_files(spark, path, stored)
     missing, extra = _count_changes(files)
+    if extra:  # a file without rows has no row group to catalog
+        extra = appended_row_groups(spark, path, stored, files).agg(F.count_distinct("file_path")).first()[0]
     if missing or extra:
         raise ValueError(
             f"stale catalog at {path}: {missing} catalogued files are gone, {extra} files are new; "

@@ -36,6 +36,23 @@ def test_update_catalog_keeps_ids_and_reports_gone_files(spark, tmp_dir):
     assert R.read_dataset(spark, R.DatasetSpec(f"file://{path}")).count() == spark.read.parquet(path).count()
 
 
+def test_files_without_row_groups_are_not_new(spark, tmp_dir):
+    # Spark's first task writes a file even if it has no rows, as for a split without a row group.
+    path = os.path.join(tmp_dir, "grown")
+    holes = lambda lo, hi: spark.range(lo, hi, 1, 4).where(F.col("id") >= (lo + hi) // 2)
+    W.materialize_dataset(holes(0, 100), path)
+    assert W.update_catalog(spark, path) == W.CatalogUpdate(0, 0, 0)
+    holes(100, 200).write.mode("append").parquet(path)
+    assert W.update_catalog(spark, path) == W.CatalogUpdate(2, 2, 0)
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 6
+    rows = R.read_dataset(spark, R.DatasetSpec(f"file://{path}"))
+    assert sorted(r.id for r in rows.collect()) == [*range(50, 100), *range(150, 200)]
+    # One that has rows still is.
+    spark.range(200, 210).coalesce(1).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="stale catalog.* 1 files are new"):
+        R.read_dataset(spark, R.DatasetSpec(f"file://{path}"))
+
+
 def test_record_store_runs(spark, tmp_dir):
     path = os.path.join(tmp_dir, "store")
     assert M.store_keys(spark, path).count() == 0
