@@ -2,10 +2,11 @@
 
 1. Terms (words, ASCII lower case, hashed to ``TERMS`` slots) get inverse passage frequencies
    counted over every passage of every document.
-2. A randomised SVD of the TF-IDF matrix of benchmark passages and of a bounded sample of
-   document passages (``sample_docs`` documents, by a share of the hash range) gives ``rank``
-   latent directions. Its products run over the passages in tasks; only term x direction
-   blocks of fixed size reach the driver.
+2. A randomised SVD of the TF-IDF matrix of all benchmark passages and all passages of every
+   document gives ``rank`` latent directions. The documents weigh as much as ``count_as`` of
+   them would, whatever their number, so the directions don't leave the benchmark as a table
+   grows. Its product runs over the passages in tasks, once; only term x direction blocks of
+   fixed size reach the driver.
 3. Every document is cut into overlapping windows of four sizes at steps of ``STEP`` words.
    Each window is projected and compared with all benchmark passages of about its size, in
    blocks. The cosine takes the lengths of the unprojected TF-IDF vectors, so what a window
@@ -47,10 +48,10 @@ TERMS = 1 << 14
 RANK = 64
 EXTRA = 16
 STEP = 8
-BENCHMARK_WEIGHT = 100.0  # of a benchmark passage in the decomposition, against a sampled one
+BENCHMARK_WEIGHT = 100.0  # of a benchmark passage in the decomposition
 SIZES = (2, 3, 5, 7)  # window sizes in steps
 PASSAGE = 40
-SAMPLE_DOCS = 2000
+COUNT_AS = 2000  # documents; more weigh as much together, or they would drown the benchmark
 COSINE = 0.3
 LCS = 0.6
 PARAPHRASE = 0.45
@@ -60,9 +61,11 @@ LEAST_WORDS = 6
 SHORT_BYTES = 12  # of an item with fewer words; shorter ones say too little to be searched
 MOST_ITEMS = 1_000_000
 BLOCK = 1024
+SUMS = 64  # first sums of a block's partial matrices, each of every such task
+LEAST_VALUE = 1e-6  # smaller eigenvalues, against the largest, are rounding
 # Sizes of what numpy holds at once, whatever a text's length.
-COLUMNS = 8
-WORDS_AT_ONCE = 16384
+GROUPS_AT_ONCE = 1024
+PASSAGES_IN_PRODUCT = 16384
 WINDOWS_AT_ONCE = 4096
 PASSAGES_AT_ONCE = 1024
 
@@ -77,10 +80,35 @@ def _slot(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(17)).astype(np.int64) % TERMS
 
 
-def _once(slot: np.ndarray, passage: np.ndarray) -> np.ndarray:
-    """1 for a term's first place in its passage, else 0: a term counts once in a passage, so
-    a repeated word can't make up a likeness."""
-    return (_previous(slot, passage) < 0).astype(float)
+def _distinct(at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, term) of the passages that begin at the words ``at``, by passage: a term counts
+    once in a passage, so a repeated word can't make up a likeness."""
+    mark = np.zeros(len(slot), dtype=np.int64)
+    mark[at[1:]] = 1
+    both = np.sort(np.cumsum(mark) * TERMS + slot)
+    both = both[_first(both)]
+    return both // TERMS, both % TERMS
+
+
+def _first(ordered: np.ndarray) -> np.ndarray:
+    """Whether an ordered value is the first such."""
+    return np.concatenate([np.ones(len(ordered[:1]), bool), ordered[1:] != ordered[:-1]])
+
+
+def _sums(table: np.ndarray, slot: np.ndarray, group: np.ndarray):
+    """(groups, sums of the table's rows of their slots), some groups at a time; ``group`` is
+    ascending. Each step adds a row to every group that has one more, the longest groups first."""
+    begin = np.flatnonzero(_first(group))
+    count = np.diff(np.append(begin, len(group)))
+    order = np.argsort(-count, kind="stable")
+    for k in range(0, len(order), GROUPS_AT_ONCE):
+        some = order[k : k + GROUPS_AT_ONCE]
+        size, first = count[some], begin[some]
+        total = table.take(slot[first], axis=0)
+        for j in range(1, size[0]):
+            n = np.count_nonzero(size > j)
+            total[:n] += table.take(slot[first[:n] + j], axis=0)
+        yield group[first], total
 
 
 def _previous(slot: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -117,10 +145,7 @@ def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for _, _, buf, bounds in text_buffers(batch.column(0)):
                 words, doc = _words(buf, bounds)
                 at, _, _ = _blocks(doc, len(bounds) - 1, 32)
-                passage = np.zeros(len(words), dtype=np.int64)
-                passage[at[1:]] = 1
-                both = np.unique(np.cumsum(passage) * TERMS + _slot(words))
-                total[:TERMS] += np.bincount(both % TERMS, minlength=TERMS)
+                total[:TERMS] += np.bincount(_distinct(at, _slot(words))[1], minlength=TERMS)
                 total[TERMS] += len(at)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
@@ -132,95 +157,89 @@ def passage_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:TERMS], int(out[TERMS])
 
 
-def _matrix(column, weights, idf):
-    """Weighted unit TF-IDF passages of a column as (passage, term, value), and their number."""
-    ps, ts, n, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, [np.zeros(0)]
+def _add_products(total: np.ndarray, column, weights: np.ndarray, square: np.ndarray, right: np.ndarray) -> None:
+    """Adds (columns x terms) a column's part of P'P times the probe, without the last factor idf:
+    P has its passages' unit TF-IDF vectors times their weights, ``right`` is the probe times idf."""
     for lo, hi, buf, bounds in text_buffers(column):
         words, doc = _words(buf, bounds)
-        at, owner, _ = _blocks(doc, len(bounds) - 1, PASSAGE)
-        weight.append(weights[lo:hi][owner])
-        mark = np.zeros(len(words), dtype=np.int64)
-        mark[at[1:]] = 1
-        ps.append(np.cumsum(mark) + n)
-        ts.append(_slot(words))
-        n += len(at)
-    p, t = np.concatenate(ps), np.concatenate(ts)
-    v = idf[t] * _once(t, p)
-    norm = np.sqrt(np.bincount(p, weights=v * v, minlength=n))
-    return p, t, v * (np.concatenate(weight) / np.maximum(norm, 1e-9))[p], n
-
-
-def _times(p, t, v, n, right):
-    """Sparse passages x dense (terms x columns)."""
-    out = np.zeros((n, right.shape[1]))
-    if len(p):
-        begin = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        for k in range(0, right.shape[1], COLUMNS):
-            some = np.ascontiguousarray(right[:, k : k + COLUMNS])
-            out[p[begin], k : k + COLUMNS] = np.add.reduceat(some[t] * v[:, None], begin, axis=0)
-    return out
-
-
-def _transposed(p, t, v, dense):
-    """Transposed sparse passages x dense (passages x columns)."""
-    out = np.zeros((TERMS, dense.shape[1]))
-    if len(p):
-        order = np.argsort(t, kind="stable")
-        p, t, v = p[order], t[order], v[order]
-        begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        for k in range(0, dense.shape[1], COLUMNS):
-            some = np.ascontiguousarray(dense[:, k : k + COLUMNS])
-            out[t[begin], k : k + COLUMNS] = np.add.reduceat(some[p] * v[:, None], begin, axis=0)
-    return out
-
-
-def _summed(frame: DataFrame, partial, shape) -> np.ndarray:
-    """Sum of the tasks' partial matrices, exchanged in row blocks of a fixed size."""
+        at, owner, _ = _blocks(doc, hi - lo, PASSAGE)
+        passage, slot = _distinct(at, _slot(words))
+        norm = np.bincount(passage, weights=square[slot], minlength=len(at))
+        scale = (weights[lo:hi][owner] ** 2 / np.maximum(norm, 1e-18)).astype(np.float32)
+        cut = np.searchsorted(passage, np.arange(0, len(at) + PASSAGES_IN_PRODUCT, PASSAGES_IN_PRODUCT))
+        for i, j in zip(cut, cut[1:]):
+            base = passage[i : i + 1]
+            dense = np.zeros((min(PASSAGES_IN_PRODUCT, len(at)), right.shape[1]), np.float32)
+            for some, sums in _sums(right, slot[i:j], passage[i:j]):
+                dense[some - base] = sums * scale[some, None]
+            # The words by term, then a sum for each term and column.
+            both = np.sort(slot[i:j] << 32 | (passage[i:j] - base))
+            term, place = both >> 32, both & 0xFFFFFFFF
+            begin = np.flatnonzero(_first(term))
+            if len(begin):
+                for row, values in zip(total, np.ascontiguousarray(dense.T)):
+                    row[term[begin]] += np.add.reduceat(values.take(place), begin)
+
+
+def _summed(frame: DataFrame, add_to, width: int) -> np.ndarray:
+    """Sum (width x terms) of what the tasks add up, exchanged in blocks of a fixed size and
+    summed in two steps, so that no task holds the blocks of all tasks."""
 
     def run(batches):
-        total = np.zeros(shape)
+        from pyspark import TaskContext
+
+        total = np.zeros((width, TERMS))
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                total += partial(batch.column(0).slice(k, 200), batch.column(1).slice(k, 200).to_numpy())
-        cut = range(0, shape[0], BLOCK)
-        data = [total[i : i + BLOCK].astype(np.float32).tobytes() for i in cut]
-        yield pa.RecordBatch.from_arrays([pa.array(list(cut), pa.int64()), pa.array(data, pa.binary())], names=["at", "data"])
+            add_to(total, batch.column(0), batch.column(1).to_numpy())
+        cut = [i for i in range(0, TERMS, BLOCK) if total[:, i : i + BLOCK].any()]
+        data = [total[:, i : i + BLOCK].astype(np.float32).tobytes() for i in cut]
+        part = [TaskContext.get().partitionId() % SUMS] * len(cut)
+        columns = [pa.array(cut, pa.int64()), pa.array(part, pa.int64()), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["at", "part", "data"])
 
     def add(table: pa.Table) -> pa.Table:
-        blobs = table.column("data").to_pylist()
-        total = sum(np.frombuffer(b, np.float32).astype(float) for b in blobs)
-        return pa.table({"at": table.column("at").slice(0, 1), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    out = np.zeros(shape)
-    rows = frame.mapInArrow(run, "at long, data binary").groupBy("at").applyInArrow(add, "at long, data binary").collect()
-    for r in rows:
-        part = np.frombuffer(bytes(r["data"]), np.float32).reshape(-1, shape[1])
-        out[r["at"] : r["at"] + len(part)] = part
+        total = np.zeros(width * BLOCK)
+        for b in table.column("data"):
+            total += np.frombuffer(b.as_buffer(), np.float32)
+        return table.slice(0, 1).set_column(2, "data", pa.array([total.astype(np.float32).tobytes()], pa.binary()))
+
+    kind = "at long, part long, data binary"
+    some = frame.mapInArrow(run, kind).groupBy("at", "part").applyInArrow(add, kind)
+    out = np.zeros((width, TERMS))
+    for r in some.groupBy("at").applyInArrow(add, kind).collect():
+        out[:, r["at"] : r["at"] + BLOCK] = np.frombuffer(bytes(r["data"]), np.float32).reshape(width, BLOCK)
     return out
 
 
-def latent_directions(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """terms x rank: leading right singular vectors of the TF-IDF passages (randomised, with
-    one power step)."""
-    width = rank + EXTRA
-    probe = np.random.default_rng(seed).standard_normal((TERMS, width))
-
-    def power(basis):
-        def partial(column, weights):
-            p, t, v, n = _matrix(column, weights, idf)
-            return _transposed(p, t, v, _times(p, t, v, n, basis))
-
-        return partial
-
-    basis, _ = np.linalg.qr(_summed(passages, power(probe), (TERMS, width)))
-
-    def gram(column, weights):
-        p, t, v, n = _matrix(column, weights, idf)
-        y = _times(p, t, v, n, basis)
-        return y.T @ y
-
-    _, vectors = np.linalg.eigh(_summed(passages, gram, (width, width)))
-    return basis @ vectors[:, ::-1][:, :rank]
+def _product(passages: DataFrame, idf: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """P'P times the probe for the weighted TF-IDF passages P, in one pass over them."""
+    square, right = idf * idf, (probe * idf[:, None]).astype(np.float32)
+
+    def add_to(total, column, weights):
+        _add_products(total, column, weights, square, right)
+
+    return idf[:, None] * _summed(passages, add_to, probe.shape[1]).T
+
+
+def latent_directions(docs: DataFrame, benchmark: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
+    """terms x rank: leading right singular vectors of the weighted TF-IDF passages P of both
+    tables (text, weight). A random probe, turned to the benchmark by a first power step on its
+    passages alone, then one pass over all: C = P'P times the probe, and C's approximation from
+    that product (Nystrom)."""
+    probe = np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA))
+    turned = _product(benchmark, idf, probe)
+    size = np.abs(turned).max()
+    probe, _ = np.linalg.qr(turned / size + LEAST_VALUE * probe if size > 0 else probe)
+    product = _product(docs.unionAll(benchmark), idf, probe)
+    core = probe.T @ product
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    kept = values > max(values[-1] * LEAST_VALUE, 0)
+    half = product @ (vectors[:, kept] / np.sqrt(values[kept]))  # C is about half half'
+    out = np.zeros((TERMS, rank))
+    if kept.any():
+        left = np.linalg.svd(half, full_matrices=False)[0][:, :rank]
+        out[:, : left.shape[1]] = left
+    return out
 
 
 @dataclass
@@ -279,11 +298,9 @@ class Index:
 
     def _add(self, slot, block, sign, vectors, squares):
         """Adds words' projections and squares to those of their blocks (ascending)."""
-        for k in range(0, len(slot), WORDS_AT_ONCE):
-            part, to = slot[k : k + WORDS_AT_ONCE], block[k : k + WORDS_AT_ONCE]
-            begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            vectors[to[begin]] += sign * np.add.reduceat(self.projection[part], begin, axis=0)
-            squares[to[begin]] += sign * np.add.reduceat(self.square[part], begin)
+        for some, sums in _sums(self.projection, slot, block):
+            vectors[some] += sign * sums
+        squares += sign * np.bincount(block, weights=self.square[slot], minlength=len(squares))
 
     def _windows(self, words, doc, at):
         """(size, vectors, squared lengths) of the windows from each block on, by rising size;
@@ -344,8 +361,9 @@ class Index:
         for k in range(0, len(which), PASSAGES_AT_ONCE):
             part = which[k : k + PASSAGES_AT_ONCE]
             product = window @ self.vectors[part].T
-            rows, cols = np.nonzero(product >= least)
-            yield rows, part[cols], product[rows, cols] / norm[rows]
+            found = np.flatnonzero(product >= least)
+            rows, cols = np.divmod(found, len(part))
+            yield rows, part[cols], product.ravel()[found] / norm[rows]
 
     def _verify(self, window, q):
         """(share of the passage in the longest common subsequence, of the answer), or None."""
@@ -384,7 +402,7 @@ def build_index(
     docs: DataFrame,
     benchmark: DataFrame,
     rank: int = RANK,
-    sample_docs: int = SAMPLE_DOCS,
+    count_as: int = COUNT_AS,
     cosine: float = COSINE,
     most_items: int = MOST_ITEMS,
     item_col: str = "item_id",
@@ -401,12 +419,10 @@ def build_index(
     items = sorted(items, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     df, passages = passage_frequencies(frame)
     idf = np.log((passages + 1) / (df + 0.5)).clip(0)
-    total = docs.count()
-    part = min(1.0, sample_docs / max(total, 1))
-    spark = docs.sparkSession
-    some = frame.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(part * 1_000_000)).select("text", F.lit(1.0).alias("weight"))
-    both = some.unionAll(benchmark.select(F.col("text").cast("string"), F.lit(BENCHMARK_WEIGHT))).repartition(max(2, spark.sparkContext.defaultParallelism))
-    directions = latent_directions(both, idf, rank)
+    weight = min(1.0, count_as / max(docs.count(), 1)) ** 0.5
+    passage = frame.select("text", F.lit(weight).alias("weight"))
+    wanted = benchmark.select(F.col("text").cast("string"), F.lit(BENCHMARK_WEIGHT).alias("weight"))
+    directions = latent_directions(passage, wanted, idf, rank)
     projection = (directions * idf[:, None]).astype(np.float32)
     item, words, answers, short, left_out = [], [], [], {}, 0
     for item_id, text, answer in items:
