@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment of a byte-level and a piece vocabulary.
 
 Each text is encoded by both (without special tokens; their strings are plain text). The byte
-ranges of the tokens are aligned batch by batch with ``pandas.merge_asof`` keyed by document:
+ranges of the tokens are aligned batch by batch with ``pandas.merge_asof``, documents end to end:
 each token's start finds the other side's token that covers it; the union of both directions is
 all overlaps (links), and offsets where tokens of both sides end cut the text into groups.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from grainset.session import reliable_checkpoint
 
 from .common import documents_frame, in_sorted
-from .piece_bpe import BLANK, CACHE, WORD, Encoder, model_path, read_model, together, worker_encoder
+from .piece_bpe import BLANK, Encoder, model_path, read_model, together, worker_encoder
 
 BYTE_MODEL = "byte_bpe_50k.json"
 CHUNK = 12 << 20
@@ -44,7 +45,7 @@ PART = 1 << 20
 PASS = 2 << 20
 
 _UNIT = re.compile(f"(?<=[^ {BLANK}]) (?=\\S)")
-_ODD = re.compile(f"  | [^\\S ]|{BLANK}|^ | $")
+_SPACED = re.compile(" \\s")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -76,41 +77,57 @@ class Aligner(Encoder):
         self.length_b = np.array([len(b) for b in self.model.bytes], dtype=np.int64)
         a, b = [str(i) for i in range(self.size_a)], [str(i) for i in range(self.size_b)]
         self.names = [x + c for x, c in [(i, ",") for i in a] + [(i, "|") for i in a] + [(i, ",") for i in b] + [(i, ";") for i in b]]
-        self.known_a: dict[str, bytes] = {}
         self.odd: set[str] = set()
 
     def _words(self, text: str) -> list[str]:
         if not text:
             return []
-        return _UNIT.split(text) if _ODD.search(text) else text.split(" ")
+        odd = text[0] == " " or text[-1] == " " or BLANK in text or _SPACED.search(text)
+        return _UNIT.split(text) if odd else text.split(" ")
 
     def values(self, words, ids):
-        if len(self.known_a) > CACHE:
-            self.known_a = {w: v for w, v in self.known_a.items() if w in self.known}
-        pick, join = self.bytes_a.__getitem__, b"".join
+        """(ids of A, ids of B) of each word, as bytes."""
+        out: list[bytes] = []
         for k in range(0, len(words), 4096):
-            some = words[k : k + 4096]
+            some, mine = words[k : k + 4096], ids[k : k + 4096]
             other = [e.ids for e in self.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
-            for w, i, j in zip(some, other, ids[k : k + 4096]):
-                whole = (" " + w).encode()
-                if join(map(pick, i)) != whole or self.joined(j.tolist()) != whole:
-                    self.odd.add(w)
-            self.known_a.update(zip(some, [np.array(i, dtype=np.int32).tobytes() for i in other]))
-        return super().values(words, ids)
+            whole = [(" " + w).encode() for w in some]
+            flat = np.fromiter(chain.from_iterable(other), dtype=np.int32)
+            cut = np.cumsum([0] + [len(i) for i in other])
+            if not self._given_back(whole, flat, cut, mine):
+                join, pick = b"".join, self.bytes_a.__getitem__
+                for w, i, j, text in zip(some, other, mine, whole):
+                    if join(map(pick, i)) != text or self.joined(j.tolist()) != text:
+                        self.odd.add(w)
+            data, cut = flat.tobytes(), (cut * 4).tolist()
+            out += [data[i:j] for i, j in zip(cut, cut[1:])]
+        return list(zip(out, super().values(words, ids)))
+
+    def _given_back(self, whole: list[bytes], flat: np.ndarray, cut: np.ndarray, ids: list[np.ndarray]) -> bool:
+        """Whether both sides' tokens give back all of the words: as one text, at the same places."""
+        places = np.cumsum([0] + [len(w) for w in whole])
+        other, cut_b = np.concatenate(ids), np.cumsum([0] + [len(i) for i in ids])
+        for side, at, lengths, pieces in ((flat, cut, self.length_a, self.bytes_a), (other, cut_b, self.length_b, self.model.bytes)):
+            if not np.array_equal(np.append(0, np.cumsum(lengths[side]))[at], places):
+                return False
+            if b"".join(map(pieces.__getitem__, side.tolist())) != b"".join(whole):
+                return False
+        return True
 
     def _forget(self, words: set) -> None:
         super()._forget(words)
-        for w in words:
-            if len(w) > WORD:
-                self.known_a.pop(w, None)
-                self.odd.discard(w)
+        self.odd -= words
 
     def parts(self, texts: list[str]):
         """(text number, ids of A, ids of B) of each part in order, for texts with tokens."""
-        for d, (words, ids_b) in enumerate(self.texts(texts)):
-            if not words or not self.odd.isdisjoint(words):
+        for d, (words, both) in enumerate(self.texts(texts)):
+            if not words or (self.odd and not self.odd.isdisjoint(words)):
+                continue
+            ids_a, ids_b = zip(*both)
+            if len(texts[d]) + 1 < PART:
+                a, b = (np.frombuffer(b"".join(x), dtype=np.int32) for x in (ids_a, ids_b))
+                yield d, a, b, len(texts[d]) + 1
                 continue
-            ids_a = list(map(self.known_a.__getitem__, words))
             lo = size = 0
             for hi, w in enumerate(words):
                 size += len(w) + 1
@@ -143,10 +160,11 @@ class Aligner(Encoder):
             end = np.cumsum(lengths[ids])
             sides.append((ids, count, np.repeat(np.arange(len(parts)), count), end - lengths[ids], end))
         (a, n_a, part_a, start_a, end_a), (b, n_b, part_b, start_b, end_b) = sides
-        left = pd.DataFrame({"document": part_a, "at": start_a, "token": np.arange(len(a))}, copy=False)
-        right = pd.DataFrame({"document": part_b, "at": start_b, "token": np.arange(len(b))}, copy=False)
-        over_a = pd.merge_asof(left[["document", "at"]], right, on="at", by="document")["token"].to_numpy()
-        over_b = pd.merge_asof(right[["document", "at"]], left, on="at", by="document")["token"].to_numpy()
+        # Places go on from part to part, where tokens of both sides begin: no key is needed.
+        left = pd.DataFrame({"at": start_a, "token": np.arange(len(a))}, copy=False)
+        right = pd.DataFrame({"at": start_b, "token": np.arange(len(b))}, copy=False)
+        over_a = pd.merge_asof(left[["at"]], right, on="at")["token"].to_numpy()
+        over_b = pd.merge_asof(right[["at"]], left, on="at")["token"].to_numpy()
         new = start_a[over_b] != start_b  # equal starts are in both directions
         link_part = np.concatenate([part_a, part_b[new]])
         links = np.concatenate([a.astype(np.int64) << 32 | b[over_a], a[over_b[new]].astype(np.int64) << 32 | b[new]])

@@ -337,7 +337,7 @@ class Encoder:
                 for t in some:
                     words = self._words(t)
                     yield words, list(map(self.known.__getitem__, words))
-                self._forget(new)
+                self._forget({w for w in new if len(w) > WORD})
                 lo, size = hi + 1, 0
 
     def encode(self, texts: list[str]):
@@ -359,21 +359,21 @@ class Encoder:
             used = set().union(*[self._words(t) for t in texts])
             self.known = {w: v for w, v in self.known.items() if w in used}
         words = [w for w in new if len(w) <= WORD]
-        lo = size = 0
-        for hi, w in enumerate(words):
-            size += len(w) + 1
-            if size >= ROUND or hi + 1 == len(words):
-                some = words[lo : hi + 1]
-                self.known.update(zip(some, self.values(some, self._merge([BLANK + w.replace(" ", BLANK) for w in some]))))
-                lo, size = hi + 1, 0
-        for w in new:
-            if len(w) > WORD:
-                self.known[w] = self.values([w], [self._long(w)])[0]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        lo = 0
+        while lo < len(words):  # up to the word that reaches ROUND
+            hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + ROUND)) + 1
+            some = words[lo:hi]
+            self.known.update(zip(some, self.values(some, self._merge([BLANK + w.replace(" ", BLANK) for w in some]))))
+            lo = hi
+        if len(words) < len(new):
+            for w in new:
+                if len(w) > WORD:
+                    self.known[w] = self.values([w], [self._long(w)])[0]
 
     def _forget(self, words: set) -> None:
         for w in words:
-            if len(w) > WORD:
-                self.known.pop(w, None)
+            self.known.pop(w, None)
 
     def _long(self, word: str) -> np.ndarray:
         """The ids of a word of any length, merged in parts."""

@@ -146,6 +146,16 @@ def brute_alignment(rows, library):
     ]
 
 
+def test_only_words_not_given_back_are_odd(monkeypatch):
+    # Words are checked together first; a batch with an odd one is gone through word by word.
+    aligner = alignment.Aligner(*(open(piece_bpe.model_path(*p), "rb").read() for p in ((alignment.BYTE_MODEL,), ())))
+    checked = []
+    whole = aligner._given_back
+    monkeypatch.setattr(aligner, "_given_back", lambda *a: checked.append(whole(*a)) or checked[-1])
+    assert [len(list(aligner.align([t]))) for t in ("the cat and naïve 日本 words", "the cat, odd ▁x words")] == [1, 0]
+    assert checked == [True, False] and aligner.odd and all("▁" in w for w in aligner.odd)
+
+
 def test_alignment_against_all_pairs(spark, frame, library, given, monkeypatch):
     short = [(i, t) for i, t in given if len(t) < 2500]
     for rows in (edge_rows(made(150, 30)), short):
